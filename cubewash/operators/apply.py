@@ -42,7 +42,15 @@ from ..model import (
     ColumnRoles,
     InvalidSelectionError,
 )
-from .detect import DEFAULT_DETECTORS, ROW_KEY, Detector, detection_id, flag_cells, merged_fields
+from .detect import (
+    DEFAULT_DETECTORS,
+    ROW_KEY,
+    UNROLL_MAX,
+    Detector,
+    detection_id,
+    flag_cells,
+    merged_fields,
+)
 
 ACTION_T = "struct<ord:bigint,pos:int,fix:string,attribution:string,detection_id:string>"
 ENTRY_T = ("struct<pass:int,ord:bigint,step:int,pos:int,anomaly_type:string,"
@@ -206,6 +214,31 @@ def _policy_actions(flags: dict[str, list[Column]], measures: list[str], row_id:
 
     n = len(measures)
     by_name = sorted(range(n), key=lambda i: measures[i])  # stage-all order: column text
+
+    def choose(f: dict[str, Column], i: Column, rank: Column) -> Column:
+        merged = merged_fields(f, detectors)
+        if policy.context is not None:
+            selected = f[policy.context]
+            fix = F.lit(DETECTOR_ACTION[policy.context])
+            attr = F.lit(policy.context)
+        else:
+            visible = policy.detectors or tuple(d.name for d in detectors)
+            selected = F.lit(False)
+            for nm in visible:
+                selected = selected | f[nm]
+            fix = merged["suggested_fix"]
+            attr = attribution_expr(merged["flagged_by"], fix)
+        return F.when(selected, F.struct(
+            rank.cast("bigint").alias("ord"), i.cast("int").alias("pos"),
+            fix.alias("fix"), attr.alias("attribution"),
+            detection_id(row_id, F.get(names, i)).alias("detection_id")))
+
+    if n > UNROLL_MAX:
+        names = F.array(*[F.lit(m) for m in measures])
+        order = F.array(*[F.lit(i) for i in by_name])
+        acts = F.transform(order, lambda i, rank: choose(
+            {d.name: F.get(F.col(f"__f_{d.name}"), i) for d in detectors}, i, rank))
+        return F.array_compact(acts).cast(f"array<{ACTION_T}>")
     entries = []
     for rank, i in enumerate(by_name):
         f = {d.name: flags[d.name][i] for d in detectors}

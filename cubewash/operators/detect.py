@@ -55,8 +55,6 @@ class RowContext:
     n: int
     cells: list[Column]
     stats: dict[str, Column] = field(default_factory=dict)
-    running: dict[str, tuple[Column, Callable[[Column, Column], Column]]] = field(
-        default_factory=dict)
 
     def stat(self, name: str, expr: Column) -> Column:
         """Register ``expr`` as a per-row column and return a reference to it."""
@@ -64,33 +62,44 @@ class RowContext:
         self.stats.setdefault(col, expr)
         return F.col(col)
 
-    def scan(self, name: str, init: Column,
-             step: Callable[[Column, Column], Column]) -> list[Column]:
-        """Running value over the positions: r[0] = init, r[i+1] = step(r[i], cell[i]).
-
-        Materialised as a chain of projections (one new column per position), which
-        keeps the work linear in the number of positions and inside codegen; a
-        single nested expression would be re-generated at every depth."""
-        self.running.setdefault(name, (init, step))
-        return [F.col(f"__r_{name}_{i}") for i in range(self.n)]
-
 
 @dataclass(frozen=True)
 class Detector:
+    """``masks`` gives one boolean Column per position (unrolled form, used for
+    narrow cubes); ``array_mask`` one ``array<boolean>`` Column built with array
+    higher-order functions over ``__cells`` (used for wide cubes, where unrolled
+    code would outgrow the JVM method size limit)."""
+
     name: str
     fix: str
     alternatives: tuple[str, ...]
     masks: Callable[[RowContext], list[Column]]
     min_measures: int = 1
+    array_mask: Callable[[RowContext], Column] | None = None
+
+
+UNROLL_MAX = 32
+"""Cubes with at most this many measures use unrolled per-position expressions."""
 
 
 def _neg_masks(ctx: RowContext) -> list[Column]:
     return [x < 0 for x in ctx.cells]
 
 
+def _prior_balance(ctx: RowContext) -> Column:
+    """Per row, the positive cells before each position, summed left to right, in
+    one ``aggregate`` fold (a single expression: it stays small when the optimizer
+    inlines it into filters, unlike a nested chain of additions)."""
+    return ctx.stat("prior_balance", F.aggregate(
+        F.col(CELLS),
+        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a")),
+        lambda st, x: F.struct((st["s"] + positive_part(x)).alias("s"),
+                               F.concat(st["a"], F.array(st["s"])).alias("a")),
+        lambda st: st["a"]))
+
+
 def _refund_masks(ctx: RowContext) -> list[Column]:
-    # prior balance: positive cells before position i, summed left to right
-    pb = ctx.scan("prior_balance", F.lit(0.0), lambda acc, x: acc + positive_part(x))
+    pb = _prior_balance(ctx)
     return [(x < 0) & (pb[i] >= F.abs(x)) for i, x in enumerate(ctx.cells)]
 
 
@@ -120,10 +129,48 @@ def _outlier_masks(ctx: RowContext) -> list[Column]:
     return [(x < lower) | (x > upper) for x in ctx.cells]
 
 
-NEGATIVES = Detector(NEGATIVE, SET_TO_ZERO, (), _neg_masks)
-REFUNDS = Detector(REFUND, SET_TO_ZERO, (), _refund_masks)
-DOUBLE_BOOKINGS = Detector(DOUBLE_BOOKING, SPLIT_EVENLY, (), _double_booking_masks, 2)
-OUTLIERS = Detector(OUTLIER, KEEP_AS_IS, (SET_TO_ZERO,), _outlier_masks, 2)
+def _cells_arr() -> Column:
+    return F.col(CELLS)
+
+
+def _neg_array(ctx: RowContext) -> Column:
+    return F.transform(_cells_arr(), lambda x: x < 0)
+
+
+def _refund_array(ctx: RowContext) -> Column:
+    pb = _prior_balance(ctx)
+    return F.transform(_cells_arr(), lambda x, i: (x < 0) & (F.get(pb, i) >= F.abs(x)))
+
+
+def _double_booking_array(ctx: RowContext) -> Column:
+    threshold = ctx.stat("spike_threshold_arr", 2.0 * F.aggregate(
+        _cells_arr(), F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("c")),
+        lambda st, x: F.struct((st["t"] + positive_part(x)).alias("t"),
+                               (st["c"] + F.when(x > 0, 1).otherwise(0)).alias("c")),
+        lambda st: F.when(st["c"] > 0, st["t"] / st["c"]).otherwise(F.lit(0.0))))
+    c = _cells_arr()
+    return F.transform(c, lambda x, i: (x > 0) & (x > threshold) & (
+        F.coalesce((i > 0) & (F.get(c, i - 1) == 0.0), F.lit(False))
+        | F.coalesce(F.get(c, i + 1) == 0.0, F.lit(False))))
+
+
+def _outlier_array(ctx: RowContext) -> Column:
+    c = _cells_arr()
+    n_null = ctx.stat("n_null_arr", F.size(c) - F.size(F.array_compact(c)))
+    srt = ctx.stat("sorted_arr", F.sort_array(c))
+    q1 = quantile_linear(srt, n_null, ctx.n, 0.25)
+    q3 = quantile_linear(srt, n_null, ctx.n, 0.75)
+    iqr = q3 - q1
+    lower = ctx.stat("lower_arr", null_if_nan(q1 - 1.5 * iqr))
+    upper = ctx.stat("upper_arr", null_if_nan(q3 + 1.5 * iqr))
+    return F.transform(c, lambda x: (x < lower) | (x > upper))
+
+
+NEGATIVES = Detector(NEGATIVE, SET_TO_ZERO, (), _neg_masks, 1, _neg_array)
+REFUNDS = Detector(REFUND, SET_TO_ZERO, (), _refund_masks, 1, _refund_array)
+DOUBLE_BOOKINGS = Detector(DOUBLE_BOOKING, SPLIT_EVENLY, (), _double_booking_masks, 2,
+                           _double_booking_array)
+OUTLIERS = Detector(OUTLIER, KEEP_AS_IS, (SET_TO_ZERO,), _outlier_masks, 2, _outlier_array)
 DEFAULT_DETECTORS: tuple[Detector, ...] = (NEGATIVES, REFUNDS, DOUBLE_BOOKINGS, OUTLIERS)
 
 
@@ -148,21 +195,30 @@ def flag_cells(df: DataFrame, roles: ColumnRoles,
     if keep:
         carry_cols += [F.col(c) for c in keep if c not in carry]
     ctx = RowContext(n, [F.col(CELLS)[i] for i in range(n)])
+    # Masks use the array form: every per-row statistic occurs once per detector,
+    # so the expression stays small even when the optimizer inlines it into a
+    # pushed-down filter. The unrolled form is kept for detectors without one.
+    unrolled = False
     masks: dict[str, list[Column]] = {}
+    arrays: dict[str, Column] = {}
     for d in detectors:
-        if n >= d.min_measures:
+        if n < d.min_measures:
+            arrays[d.name] = F.array_repeat(F.lit(False), n)
+        elif unrolled or d.array_mask is None:
             masks[d.name] = [_false_if_null(m) for m in d.masks(ctx)]
         else:
-            masks[d.name] = [F.lit(False)] * n
+            arrays[d.name] = F.transform(d.array_mask(ctx), _false_if_null)
     staged = p.select(*carry_cols, *[e.alias(k) for k, e in ctx.stats.items()])
-    for name, (init, step) in ctx.running.items():
-        staged = staged.select("*", init.alias(f"__r_{name}_0"))
-        for i in range(1, n):
-            prev = F.col(f"__r_{name}_{i - 1}")
-            staged = staged.select("*", step(prev, ctx.cells[i - 1]).alias(f"__r_{name}_{i}"))
-    out_cols = [F.col(c) for c in staged.columns if not c.startswith(("__s_", "__r_"))]
-    flags = [F.array(*masks[d.name]).alias(f"__f_{d.name}") if n else
-             F.array().cast("array<boolean>").alias(f"__f_{d.name}") for d in detectors]
+    out_cols = [F.col(c) for c in staged.columns if not c.startswith("__s_")]
+    flags = []
+    for d in detectors:
+        if d.name in arrays:
+            col = arrays[d.name]
+        elif n:
+            col = F.array(*masks[d.name])
+        else:
+            col = F.array().cast("array<boolean>")
+        flags.append(col.cast("array<boolean>").alias(f"__f_{d.name}"))
     return staged.select(*out_cols, *flags)
 
 
@@ -204,6 +260,30 @@ def explode_detections(flagged: DataFrame, measures: list[str],
     """Flagged positions of :func:`flag_cells` -> one merged row per cell."""
     n = len(measures)
     names = [d.name for d in detectors]
+    keep = [ROW_ID, ROW_KEY] + ([ROW_INDEX] if ROW_INDEX in flagged.columns else [])
+    keep += [c for c in (carry or []) if c not in keep]
+    if n > UNROLL_MAX:
+        labels = F.array(*[F.lit(m) for m in measures])
+
+        def entry(i: Column) -> Column:
+            bits = [F.get(F.col(f"__f_{nm}"), i) for nm in names]
+            return F.struct(i.alias("pos"), F.get(labels, i).alias("column"),
+                            F.get(F.col(CELLS), i).alias("value"),
+                            *[b.alias(nm) for b, nm in zip(bits, names, strict=True)])
+
+        def any_flag(e: Column) -> Column:
+            out = e[names[0]]
+            for nm in names[1:]:
+                out = out | e[nm]
+            return out
+
+        arr = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), entry), any_flag)
+        ex = flagged.select(*keep, F.explode(arr).alias("__e"))
+        fields = merged_fields({nm: F.col("__e")[nm] for nm in names}, detectors)
+        return ex.select(
+            detection_id(F.col(ROW_ID), F.col("__e.column")).alias("detection_id"),
+            *keep, F.col("__e.pos").alias("pos"), F.col("__e.column").alias("column"),
+            F.col("__e.value").alias("value"), *[e.alias(k) for k, e in fields.items()])
     entries = []
     for i in range(n):
         bits = [F.col(f"__f_{nm}")[i] for nm in names]
@@ -216,8 +296,6 @@ def explode_detections(flagged: DataFrame, measures: list[str],
             F.col(CELLS)[i].alias("value"),
             *[b.alias(nm) for b, nm in zip(bits, names, strict=True)],
         )))
-    keep = [ROW_ID, ROW_KEY] + ([ROW_INDEX] if ROW_INDEX in flagged.columns else [])
-    keep += [c for c in (carry or []) if c not in keep]
     if not entries:
         return flagged.select(*keep).limit(0)
     ex = (flagged

@@ -127,4 +127,8 @@ def long_to_wide(facts: DataFrame, ids: list[str], period: str, value: str,
 def wide_to_long(df: DataFrame, ids: list[str], measures: list[str], *,
                  period: str = "period", value: str = "value") -> DataFrame:
     """P-05 inverse: one row per id tuple and measure (narrow, no shuffle)."""
-    return df.unpivot([q(c) for c in ids], [q(m) for m in measures], period, value)
+    from ..functions.cells import to_double
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cast = df.select(*[q(c) for c in ids], *[to_double(q(m), types[m]).alias(m) for m in measures])
+    return cast.unpivot([q(c) for c in ids], [q(m) for m in measures], period, value)
