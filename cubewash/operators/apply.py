@@ -75,6 +75,16 @@ def attribution_expr(flagged_by: Column, fix: Column, explicit: Column | None =
     return out
 
 
+def attribute(flagged_by: list[str], fix: str | None, explicit: str | None = None) -> str | None:
+    """X-03 in plain Python (used to tabulate the rule per detector combination)."""
+    if explicit is not None and explicit in flagged_by:
+        return explicit
+    for d in FIX_ATTRIBUTION.get(fix, ()):
+        if d in flagged_by:
+            return d
+    return flagged_by[0] if flagged_by else None
+
+
 def _entry(pass_no: int, ord_: Column, step: Column, pos: Column, attr: Column, kind: str,
            before: Column, after: Column, fix: str, flagged: bool, det_id: Column,
            parent_step: Column | None) -> Column:
@@ -97,13 +107,20 @@ def _set_at(v: Column, i: Column, value: Column) -> Column:
     return F.transform(v, lambda x, k: F.when(k == i, value).otherwise(x))
 
 
-def apply_kernel(v0: Column, actions: Column, measures: list[str]) -> Column:
-    """Five passes over one row. Returns ``struct<cells array<double>, log array<entry>>``.
+def apply_passes(df: DataFrame, measures: list[str], keep: list[str]) -> DataFrame:
+    """Five passes over each row of ``df`` (columns ``__cells`` and ``__actions``,
+    actions sorted by ``ord``). Returns ``keep`` + ``__applied``
+    (``struct<cells array<double>, log array<entry>>``).
 
-    ``actions`` must be sorted by ``ord`` (the selection order)."""
+    Every pass is its own projection, so each intermediate row state is computed
+    once and referenced by column; nesting the folds in one expression would copy
+    (and re-evaluate) the earlier passes at every reference."""
     def get(v: Column, i: Column) -> Column:
         return F.get(v, i)
 
+    v0 = F.col(CELLS)
+    actions = F.col(ACTIONS)
+
     # Pass 2: bulk set_to_zero (attribution other than refund); before = original value.
     zs = F.filter(actions, lambda a: (a["fix"] == SET_TO_ZERO) & (a["attribution"] != REFUND))
     v1 = F.transform(v0, lambda x, i: F.when(F.exists(zs, lambda a: a["pos"] == i),
@@ -111,6 +128,7 @@ def apply_kernel(v0: Column, actions: Column, measures: list[str]) -> Column:
     log1 = F.transform(zs, lambda a: _entry(
         2, a["ord"], F.lit(0), a["pos"], a["attribution"], PRIMARY, get(v0, a["pos"]),
         F.lit(0.0), SET_TO_ZERO, False, a["detection_id"], None))
+    p2 = df.select(*keep, CELLS, ACTIONS, v1.alias("__v1"), log1.alias("__log1"))
 
     # Pass 3: refunds in selection order; each zeroes its cell and walks back over
     # earlier positive cells absorbing the reversal (latest first). NULL cells are
@@ -127,7 +145,8 @@ def apply_kernel(v0: Column, actions: Column, measures: list[str]) -> Column:
         back = F.when(r > 0, F.sequence(r - 1, F.lit(0), F.lit(-1))).otherwise(
             F.array().cast("array<int>"))
         start = F.struct(_set_at(st["v"], r, F.lit(0.0)).alias("v"), (-before).alias("rem"),
-                         _empty_log().alias("log"), F.lit(1).alias("step")).cast(walk_t)
+                         F.concat(st["log"], F.array(primary)).alias("log"),
+                         F.lit(1).alias("step")).cast(walk_t)
 
         def walk(s: Column, i: Column) -> Column:
             x = get(s["v"], i)
@@ -142,13 +161,13 @@ def apply_kernel(v0: Column, actions: Column, measures: list[str]) -> Column:
                 (s["step"] + 1).alias("step")).cast(walk_t)
             return F.when(F.coalesce(take, F.lit(False)), moved).otherwise(s)
 
-        done = F.aggregate(back, start, walk)
-        return F.struct(done["v"].alias("v"),
-                        F.concat(st["log"], F.array(primary), done["log"]).alias("log")
-                        ).cast(state_t)
+        return F.aggregate(back, start, walk,
+                           lambda s: F.struct(s["v"].alias("v"), s["log"].alias("log"))
+                           .cast(state_t))
 
-    s3 = F.aggregate(rf, F.struct(v1.alias("v"), _empty_log().alias("log")).cast(state_t),
-                     refund_step)
+    s3 = F.aggregate(rf, F.struct(F.col("__v1").alias("v"), _empty_log().alias("log"))
+                     .cast(state_t), refund_step)
+    p3 = p2.select(*keep, CELLS, ACTIONS, "__log1", s3.alias("__s3"))
 
     # Pass 4: splits in selection order. The zero partner is looked up on the
     # original row (next position first); the spike keeps the larger half.
@@ -180,17 +199,20 @@ def apply_kernel(v0: Column, actions: Column, measures: list[str]) -> Column:
             .otherwise(F.array(e(0, partner, y, later), e(1, s, x, earlier)))
         return F.struct(v.alias("v"), F.concat(st["log"], log).alias("log")).cast(state_t)
 
-    s4 = F.aggregate(sp, F.struct(s3["v"].alias("v"), _empty_log().alias("log"))
+    s4 = F.aggregate(sp, F.struct(F.col("__s3.v").alias("v"), _empty_log().alias("log"))
                      .cast(state_t), split_step)
+    p4 = p3.select(*keep, ACTIONS, "__log1", F.col("__s3.log").alias("__log3"),
+                   s4.alias("__s4"))
 
     # Pass 5: keeps record the reviewed value, no change.
+    final = F.col("__s4.v")
     kp = F.filter(actions, lambda a: a["fix"] == KEEP_AS_IS)
     log5 = F.transform(kp, lambda a: _entry(
-        5, a["ord"], F.lit(0), a["pos"], a["attribution"], PRIMARY, get(s4["v"], a["pos"]),
-        get(s4["v"], a["pos"]), KEEP_AS_IS, True, a["detection_id"], None))
-
-    return F.struct(s4["v"].alias("cells"),
-                    F.concat(log1, s3["log"], s4["log"], log5).alias("log"))
+        5, a["ord"], F.lit(0), a["pos"], a["attribution"], PRIMARY, get(final, a["pos"]),
+        get(final, a["pos"]), KEEP_AS_IS, True, a["detection_id"], None))
+    return p4.select(*keep, F.struct(
+        final.alias("cells"),
+        F.concat("__log1", "__log3", "__s4.log", log5).alias("log")).alias(APPLIED))
 
 
 # --- policies (G-01..G-03) -----------------------------------------------------
@@ -215,49 +237,41 @@ def _policy_actions(flags: dict[str, list[Column]], measures: list[str], row_id:
     n = len(measures)
     by_name = sorted(range(n), key=lambda i: measures[i])  # stage-all order: column text
 
+    from .detect import combo_lookup, combos, flag_bits
+
+    table = combos(detectors)
+    fix_of = [t["suggested_fix"] for t in table]
+    attr_of = [attribute(t["flagged_by"], t["suggested_fix"]) for t in table]
+    visible = policy.detectors or tuple(d.name for d in detectors)
+    visible_mask = sum(1 << k for k, d in enumerate(detectors) if d.name in visible)
+    ctx_bit = (1 << [d.name for d in detectors].index(policy.context)
+               if policy.context is not None else 0)
+    names = F.array(*[F.lit(m) for m in measures]) if measures else F.array().cast(
+        "array<string>")
+
     def choose(f: dict[str, Column], i: Column, rank: Column) -> Column:
-        merged = merged_fields(f, detectors)
+        # one integer per cell; fix and attribution are lookups in per-combination tables
+        bits = flag_bits(f, detectors)
         if policy.context is not None:
-            selected = f[policy.context]
+            selected = bits.bitwiseAND(F.lit(ctx_bit)) != 0
             fix = F.lit(DETECTOR_ACTION[policy.context])
             attr = F.lit(policy.context)
         else:
-            visible = policy.detectors or tuple(d.name for d in detectors)
-            selected = F.lit(False)
-            for nm in visible:
-                selected = selected | f[nm]
-            fix = merged["suggested_fix"]
-            attr = attribution_expr(merged["flagged_by"], fix)
+            selected = bits.bitwiseAND(F.lit(visible_mask)) != 0
+            fix = combo_lookup(bits, fix_of, "string")
+            attr = combo_lookup(bits, attr_of, "string")
         return F.when(selected, F.struct(
             rank.cast("bigint").alias("ord"), i.cast("int").alias("pos"),
             fix.alias("fix"), attr.alias("attribution"),
             detection_id(row_id, F.get(names, i)).alias("detection_id")))
 
     if n > UNROLL_MAX:
-        names = F.array(*[F.lit(m) for m in measures])
         order = F.array(*[F.lit(i) for i in by_name])
         acts = F.transform(order, lambda i, rank: choose(
             {d.name: F.get(F.col(f"__f_{d.name}"), i) for d in detectors}, i, rank))
         return F.array_compact(acts).cast(f"array<{ACTION_T}>")
-    entries = []
-    for rank, i in enumerate(by_name):
-        f = {d.name: flags[d.name][i] for d in detectors}
-        merged = merged_fields(f, detectors)
-        if policy.context is not None:
-            selected = f[policy.context]
-            fix = F.lit(DETECTOR_ACTION[policy.context])
-            attr = F.lit(policy.context)
-        else:
-            visible = policy.detectors or tuple(d.name for d in detectors)
-            selected = F.lit(False)
-            for nm in visible:
-                selected = selected | f[nm]
-            fix = merged["suggested_fix"]
-            attr = attribution_expr(merged["flagged_by"], fix)
-        entries.append(F.when(selected, F.struct(
-            F.lit(rank).cast("bigint").alias("ord"), F.lit(i).alias("pos"),
-            fix.alias("fix"), attr.alias("attribution"),
-            detection_id(row_id, F.lit(measures[i])).alias("detection_id"))))
+    entries = [choose({d.name: flags[d.name][i] for d in detectors}, F.lit(i), F.lit(rank))
+               for rank, i in enumerate(by_name)]
     if not entries:
         return F.array().cast(f"array<{ACTION_T}>")
     return F.array_compact(F.array(*entries)).cast(f"array<{ACTION_T}>")
@@ -275,8 +289,7 @@ def apply_policy(df: DataFrame, roles: ColumnRoles, policy: Policy = Policy(),
     actions = _policy_actions(flags, measures, F.col(ROW_ID), policy, detectors)
     staged = flagged.select(*[q(c) for c in user_cols], ROW_ID, ROW_KEY, CELLS,
                             actions.alias(ACTIONS))
-    return staged.select(*[q(c) for c in user_cols], ROW_ID, ROW_KEY,
-                         apply_kernel(F.col(CELLS), F.col(ACTIONS), measures).alias(APPLIED))
+    return apply_passes(staged, measures, [*[q(c) for c in user_cols], ROW_ID, ROW_KEY])
 
 
 # --- explicit selections (X-01, X-02, X-09, D5) ------------------------------
@@ -340,10 +353,9 @@ def apply_selections(df: DataFrame, roles: ColumnRoles, detections: DataFrame,
     user_cols = [c for c in df.columns if not c.startswith("__")]
     cube = prepare(df, roles.id_columns, measures).select(
         *[q(c) for c in user_cols], ROW_ID, row_key(roles.id_columns).alias(ROW_KEY), CELLS)
-    joined = cube.join(per_row, ROW_ID, "left")
-    actions = F.coalesce(F.col(ACTIONS), F.array().cast(f"array<{ACTION_T}>"))
-    return joined.select(*[q(c) for c in user_cols], ROW_ID, ROW_KEY,
-                         apply_kernel(F.col(CELLS), actions, measures).alias(APPLIED))
+    joined = cube.join(per_row, ROW_ID, "left").withColumn(
+        ACTIONS, F.coalesce(F.col(ACTIONS), F.array().cast(f"array<{ACTION_T}>")))
+    return apply_passes(joined, measures, [*[q(c) for c in user_cols], ROW_ID, ROW_KEY])
 
 
 # --- outputs (X-11..X-14) ---------------------------------------------------
@@ -365,7 +377,17 @@ def changes(applied: DataFrame, roles: ColumnRoles, run_id: str = "run") -> Data
     recomputed partition yields the same ids; the parent of a cascade entry is
     the refund's primary entry."""
     names = F.array(*[F.lit(m) for m in roles.measure_columns])
-    ex = applied.select(ROW_ID, ROW_KEY, F.inline(F.col(f"{APPLIED}.log")))
+    # Explode positions, not the entries: the generator then consumes a plain
+    # integer array, and nested-field pruning has nothing to push into the folds
+    # that build the log.
+    log = F.col("__log")
+    n_log = F.size(log)
+    idx = F.when(n_log > 0, F.sequence(F.lit(0), n_log - 1)).otherwise(
+        F.array().cast("array<int>"))
+    ex = (applied.select(ROW_ID, ROW_KEY, F.col(f"{APPLIED}.log").alias("__log"))
+          .select(ROW_ID, ROW_KEY, "__log", F.explode(idx).alias("__k"))
+          .select(ROW_ID, ROW_KEY, F.get(log, F.col("__k")).alias("__e"))
+          .select(ROW_ID, ROW_KEY, "__e.*"))
 
     def cid(step: Column) -> Column:
         return F.sha2(F.concat_ws("|", F.lit(run_id), F.col("detection_id"),
@@ -396,4 +418,4 @@ def summary(change_rows: DataFrame) -> DataFrame:
 
 
 __all__ = ["Policy", "apply_policy", "apply_selections", "cleaned_cube", "changes", "summary",
-           "validate_selections", "attribution_expr", "apply_kernel", DOUBLE_BOOKING]
+           "validate_selections", "attribution_expr", "apply_passes", DOUBLE_BOOKING]

@@ -222,29 +222,57 @@ def flag_cells(df: DataFrame, roles: ColumnRoles,
     return staged.select(*out_cols, *flags)
 
 
+def merge_combo(flagged: list[str], detectors: tuple[Detector, ...]) -> dict:
+    """M-02..M-04 in plain Python for one set of flagging detectors: flagged_by in
+    detector order, default fix = best primary fix, alternatives = every other
+    offered fix in priority order."""
+    hit = [d for d in detectors if d.name in flagged]
+    primaries = {d.fix for d in hit}
+    offered = primaries | {a for d in hit for a in d.alternatives}
+    rank = {f: i for i, f in enumerate(FIX_PRIORITY)}
+    suggested = min(primaries, key=lambda f: rank.get(f, len(rank))) if primaries else None
+    alternatives = sorted(offered - {suggested}, key=lambda f: rank.get(f, len(rank)))
+    return {"flagged_by": [d.name for d in hit], "suggested_fix": suggested,
+            "alternative_fixes": alternatives}
+
+
+def flag_bits(flag: dict[str, Column], detectors: tuple[Detector, ...]) -> Column:
+    """The set of detectors that flagged a cell as one small integer (bit k = detector k)."""
+    bits = F.lit(0)
+    for k, d in enumerate(detectors):
+        bits = bits + F.when(flag[d.name], F.lit(1 << k)).otherwise(F.lit(0))
+    return bits
+
+
+def combo_lookup(bits: Column, values: list, dtype: str) -> Column:
+    """``values[bits]`` for a table with one entry per detector combination.
+
+    The merge rules are evaluated once per combination on the driver (2^k entries
+    for k detectors); per cell only an array lookup remains, so the expression
+    size does not grow with the rules."""
+    if dtype.startswith("array"):
+        lits = [F.array(*[F.lit(x) for x in v]).cast(dtype) for v in values]
+    else:
+        lits = [F.lit(v).cast(dtype) for v in values]
+    return F.element_at(F.array(*lits), bits + 1)
+
+
+def combos(detectors: tuple[Detector, ...]) -> list[dict]:
+    k = len(detectors)
+    return [merge_combo([d.name for j, d in enumerate(detectors) if b >> j & 1], detectors)
+            for b in range(1 << k)]
+
+
 def merged_fields(flag: dict[str, Column], detectors: tuple[Detector, ...]) -> dict[str, Column]:
     """M-02..M-05 for one cell given one boolean Column per detector."""
-    flagged_by = F.array_compact(F.array(*[F.when(flag[d.name], F.lit(d.name))
-                                           for d in detectors]))
-    primary: dict[str, Column] = {}
-    offered: dict[str, Column] = {}
-    for d in detectors:
-        primary[d.fix] = primary.get(d.fix, F.lit(False)) | flag[d.name]
-        for f in (d.fix, *d.alternatives):
-            offered[f] = offered.get(f, F.lit(False)) | flag[d.name]
-    suggested = F.lit(None).cast("string")
-    for f in reversed(FIX_PRIORITY):
-        if f in primary:
-            suggested = F.when(primary[f], F.lit(f)).otherwise(suggested)
-    alternatives = F.array_compact(F.array(*[
-        F.when(offered[f] & (suggested != F.lit(f)), F.lit(f))
-        for f in FIX_PRIORITY if f in offered
-    ]))
+    bits = flag_bits(flag, detectors)
+    table = combos(detectors)
     return {
-        "flagged_by": flagged_by,
-        "suggested_fix": suggested,
+        "flagged_by": combo_lookup(bits, [t["flagged_by"] for t in table], "array<string>"),
+        "suggested_fix": combo_lookup(bits, [t["suggested_fix"] for t in table], "string"),
         "confidence": F.lit(1.0),
-        "alternative_fixes": alternatives,
+        "alternative_fixes": combo_lookup(bits, [t["alternative_fixes"] for t in table],
+                                          "array<string>"),
     }
 
 
