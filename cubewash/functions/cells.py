@@ -47,10 +47,30 @@ def is_numeric_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType, T.NullType))
 
 
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _to_double_sql(name: str, dtype: T.DataType) -> str:
+    c = _sql_name(name)
+    if isinstance(dtype, T.StringType):
+        pattern = NUMERIC_TEXT.replace("\\", "\\\\")
+        num = f"CASE WHEN {c} RLIKE '{pattern}' THEN try_cast({c} AS DOUBLE) END"
+    elif isinstance(dtype, T.BooleanType):
+        num = f"CAST(CAST({c} AS INT) AS DOUBLE)"
+    else:
+        num = f"CAST({c} AS DOUBLE)"
+    return f"nanvl({num}, CAST(NULL AS DOUBLE))"
+
+
 def cells_array(df: DataFrame, measures: list[str]) -> Column:
+    """The measures of a row as ``array<double>`` (NaN and non-numbers -> NULL),
+    built as one SQL expression."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return F.array(*[to_double(q(m), types[m]) for m in measures]).cast(
-        T.ArrayType(T.DoubleType(), True))
+    if not measures:
+        return F.array().cast(T.ArrayType(T.DoubleType(), True))
+    return F.expr("array(" + ", ".join(_to_double_sql(m, types[m]) for m in measures)
+                  + ")").cast(T.ArrayType(T.DoubleType(), True))
 
 
 def positive_part(x: Column) -> Column:

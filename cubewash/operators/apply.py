@@ -270,11 +270,37 @@ def _policy_actions(flags: dict[str, list[Column]], measures: list[str], row_id:
         acts = F.transform(order, lambda i, rank: choose(
             {d.name: F.get(F.col(f"__f_{d.name}"), i) for d in detectors}, i, rank))
         return F.array_compact(acts).cast(f"array<{ACTION_T}>")
-    entries = [choose({d.name: flags[d.name][i] for d in detectors}, F.lit(i), F.lit(rank))
-               for rank, i in enumerate(by_name)]
-    if not entries:
+    if n == 0:
         return F.array().cast(f"array<{ACTION_T}>")
-    return F.array_compact(F.array(*entries)).cast(f"array<{ACTION_T}>")
+
+    # Unrolled form as one SQL expression (one parse instead of thousands of
+    # Column calls); the per-combination tables become array literals.
+    def lit(v: str | None) -> str:
+        if v is None:
+            return "CAST(NULL AS STRING)"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    fix_tab = "array(" + ", ".join(lit(x) for x in fix_of) + ")"
+    attr_tab = "array(" + ", ".join(lit(x) for x in attr_of) + ")"
+    entries = []
+    for rank, i in enumerate(by_name):
+        bits = " + ".join(f"(CASE WHEN __f_{d.name}[{i}] THEN {1 << k} ELSE 0 END)"
+                          for k, d in enumerate(detectors))
+        if policy.context is not None:
+            sel = f"coalesce(__f_{policy.context}[{i}], false)"
+            fix = lit(DETECTOR_ACTION[policy.context])
+            attr = lit(policy.context)
+        else:
+            sel = f"(({bits}) & {visible_mask}) != 0"
+            fix = f"element_at({fix_tab}, ({bits}) + 1)"
+            attr = f"element_at({attr_tab}, ({bits}) + 1)"
+        did = (f"concat('d_', substring(sha2(concat_ws('|', {ROW_ID}, {lit(measures[i])}), 256),"
+               f" 1, 32))")
+        entries.append(f"CASE WHEN {sel} THEN named_struct('ord', CAST({rank} AS BIGINT), "
+                       f"'pos', {i}, 'fix', {fix}, 'attribution', {attr}, "
+                       f"'detection_id', {did}) END")
+    return F.array_compact(F.expr("array(" + ", ".join(entries) + ")")).cast(
+        f"array<{ACTION_T}>")
 
 
 def apply_policy(df: DataFrame, roles: ColumnRoles, policy: Policy = Policy(),

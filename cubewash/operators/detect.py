@@ -62,6 +62,12 @@ class RowContext:
         self.stats.setdefault(col, expr)
         return F.col(col)
 
+    def stat_sql(self, name: str, expr: Column | str) -> str:
+        """Like :meth:`stat`, returning the column's SQL name."""
+        col = f"__s_{name}"
+        self.stats.setdefault(col, F.expr(expr) if isinstance(expr, str) else expr)
+        return col
+
 
 @dataclass(frozen=True)
 class Detector:
@@ -76,11 +82,18 @@ class Detector:
     masks: Callable[[RowContext], list[Column]]
     min_measures: int = 1
     array_mask: Callable[[RowContext], Column] | None = None
+    sql_masks: Callable[[RowContext], list[str]] | None = None
 
 
 UNROLL_MAX = 32
 """Cubes with at most this many measures use unrolled per-position expressions."""
 
+UNROLLED_MASKS = True
+"""Narrow cubes use unrolled masks (whole-stage codegen, about 2x faster than the
+array form). Filters on mask-derived columns must then go through a generator
+(see :func:`cubewash.operators.views.flagged_rows`), or Catalyst would copy the
+per-row statistics into the pushed-down predicate at every position."""
+
 
 def _neg_masks(ctx: RowContext) -> list[Column]:
     return [x < 0 for x in ctx.cells]
@@ -166,11 +179,61 @@ def _outlier_array(ctx: RowContext) -> Column:
     return F.transform(c, lambda x: (x < lower) | (x > upper))
 
 
-NEGATIVES = Detector(NEGATIVE, SET_TO_ZERO, (), _neg_masks, 1, _neg_array)
-REFUNDS = Detector(REFUND, SET_TO_ZERO, (), _refund_masks, 1, _refund_array)
+# SQL text forms of the unrolled masks: one parsed expression per detector
+# instead of thousands of Column calls from Python.
+
+def _cell(i: int) -> str:
+    return f"{CELLS}[{i}]"
+
+
+def _neg_sql(ctx: RowContext) -> list[str]:
+    return [f"{_cell(i)} < 0" for i in range(ctx.n)]
+
+
+def _refund_sql(ctx: RowContext) -> list[str]:
+    _prior_balance(ctx)
+    pb = "__s_prior_balance"
+    return [f"{_cell(i)} < 0 AND {pb}[{i}] >= abs({_cell(i)})" for i in range(ctx.n)]
+
+
+def _double_booking_sql(ctx: RowContext) -> list[str]:
+    n = ctx.n
+    pos = " + ".join(f"(CASE WHEN {_cell(i)} > 0 THEN {_cell(i)} ELSE 0.0D END)"
+                     for i in range(n))
+    cnt = " + ".join(f"(CASE WHEN {_cell(i)} > 0 THEN 1 ELSE 0 END)" for i in range(n))
+    thr = ctx.stat_sql("spike_threshold_sql",
+                       f"2.0D * (CASE WHEN ({cnt}) > 0 THEN (0.0D + {pos}) / ({cnt}) "
+                       f"ELSE 0.0D END)")
+    out = []
+    for i in range(n):
+        nb = []
+        if i > 0:
+            nb.append(f"coalesce({_cell(i - 1)} = 0.0D, false)")
+        if i + 1 < n:
+            nb.append(f"coalesce({_cell(i + 1)} = 0.0D, false)")
+        out.append(f"{_cell(i)} > 0 AND {_cell(i)} > {thr} AND ({' OR '.join(nb) or 'false'})")
+    return out
+
+
+def _outlier_sql(ctx: RowContext) -> list[str]:
+    n = ctx.n
+    n_null = F.col(ctx.stat_sql("n_null", " + ".join(
+        f"(CASE WHEN {_cell(i)} IS NULL THEN 1 ELSE 0 END)" for i in range(n))))
+    srt = F.col(ctx.stat_sql("sorted", f"sort_array({CELLS})"))
+    q1 = quantile_linear(srt, n_null, n, 0.25)
+    q3 = quantile_linear(srt, n_null, n, 0.75)
+    iqr = q3 - q1
+    ctx.stat_sql("lower", null_if_nan(q1 - 1.5 * iqr))
+    ctx.stat_sql("upper", null_if_nan(q3 + 1.5 * iqr))
+    return [f"{_cell(i)} < __s_lower OR {_cell(i)} > __s_upper" for i in range(ctx.n)]
+
+
+NEGATIVES = Detector(NEGATIVE, SET_TO_ZERO, (), _neg_masks, 1, _neg_array, _neg_sql)
+REFUNDS = Detector(REFUND, SET_TO_ZERO, (), _refund_masks, 1, _refund_array, _refund_sql)
 DOUBLE_BOOKINGS = Detector(DOUBLE_BOOKING, SPLIT_EVENLY, (), _double_booking_masks, 2,
-                           _double_booking_array)
-OUTLIERS = Detector(OUTLIER, KEEP_AS_IS, (SET_TO_ZERO,), _outlier_masks, 2, _outlier_array)
+                           _double_booking_array, _double_booking_sql)
+OUTLIERS = Detector(OUTLIER, KEEP_AS_IS, (SET_TO_ZERO,), _outlier_masks, 2, _outlier_array,
+                    _outlier_sql)
 DEFAULT_DETECTORS: tuple[Detector, ...] = (NEGATIVES, REFUNDS, DOUBLE_BOOKINGS, OUTLIERS)
 
 
@@ -195,15 +258,17 @@ def flag_cells(df: DataFrame, roles: ColumnRoles,
     if keep:
         carry_cols += [F.col(c) for c in keep if c not in carry]
     ctx = RowContext(n, [F.col(CELLS)[i] for i in range(n)])
-    # Masks use the array form: every per-row statistic occurs once per detector,
-    # so the expression stays small even when the optimizer inlines it into a
-    # pushed-down filter. The unrolled form is kept for detectors without one.
-    unrolled = False
+    # Wide cubes use the array form: every per-row statistic occurs once per
+    # detector, so the code size does not grow with the number of periods.
+    unrolled = UNROLLED_MASKS and n <= UNROLL_MAX
     masks: dict[str, list[Column]] = {}
     arrays: dict[str, Column] = {}
     for d in detectors:
         if n < d.min_measures:
             arrays[d.name] = F.array_repeat(F.lit(False), n)
+        elif unrolled and d.sql_masks is not None:
+            arrays[d.name] = F.expr("array(" + ", ".join(
+                f"coalesce({m}, false)" for m in d.sql_masks(ctx)) + ")")
         elif unrolled or d.array_mask is None:
             masks[d.name] = [_false_if_null(m) for m in d.masks(ctx)]
         else:
@@ -312,22 +377,19 @@ def explode_detections(flagged: DataFrame, measures: list[str],
             detection_id(F.col(ROW_ID), F.col("__e.column")).alias("detection_id"),
             *keep, F.col("__e.pos").alias("pos"), F.col("__e.column").alias("column"),
             F.col("__e.value").alias("value"), *[e.alias(k) for k, e in fields.items()])
+    def lit(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
     entries = []
     for i in range(n):
-        bits = [F.col(f"__f_{nm}")[i] for nm in names]
-        any_flag = bits[0]
-        for b in bits[1:]:
-            any_flag = any_flag | b
-        entries.append(F.when(any_flag, F.struct(
-            F.lit(i).alias("pos"),
-            F.lit(measures[i]).alias("column"),
-            F.col(CELLS)[i].alias("value"),
-            *[b.alias(nm) for b, nm in zip(bits, names, strict=True)],
-        )))
+        bits = [f"__f_{nm}[{i}]" for nm in names]
+        fields = ", ".join(f"'{nm}', {b}" for nm, b in zip(names, bits, strict=True))
+        entries.append(f"CASE WHEN {' OR '.join(bits)} THEN named_struct('pos', {i}, "
+                       f"'column', {lit(measures[i])}, 'value', {CELLS}[{i}], {fields}) END")
     if not entries:
         return flagged.select(*keep).limit(0)
     ex = (flagged
-          .select(*keep, F.explode(F.array(*entries)).alias("__e"))
+          .select(*keep, F.explode(F.expr("array(" + ", ".join(entries) + ")")).alias("__e"))
           .filter(F.col("__e").isNotNull()))
     fields = merged_fields({nm: F.col("__e")[nm] for nm in names}, detectors)
     return ex.select(

@@ -61,6 +61,12 @@ def read_cube(spark: SparkSession, path: str, *, with_row_index: bool = True,
             F.col("_metadata.file_name").alias("__file_name"),
             F.col("_metadata.row_index").alias(ROW_INDEX),
         )
+    # Detection and apply cost CPU per row. A small cube (one row group) would be
+    # a single scan task; spread it over the cores. Large inputs already have
+    # many more splits than cores and are left alone (no shuffle).
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     if check_empty:
         try:
             empty = df.isEmpty()
