@@ -135,7 +135,8 @@ def apply_passes(df: DataFrame, measures: list[str], keep: list[str]) -> DataFra
     # skipped; a leftover is dropped.
     rf = F.filter(actions, lambda a: (a["fix"] == SET_TO_ZERO) & (a["attribution"] == REFUND))
     state_t = f"struct<v:array<double>,log:array<{ENTRY_T}>>"
-    walk_t = f"struct<v:array<double>,rem:double,log:array<{ENTRY_T}>,step:int>"
+
+    walk_t = f"struct<rem:double,log:array<{ENTRY_T}>,step:int>"
 
     def refund_step(st: Column, a: Column) -> Column:
         r = a["pos"]
@@ -144,26 +145,34 @@ def apply_passes(df: DataFrame, measures: list[str], keep: list[str]) -> DataFra
                          F.lit(0.0), SET_TO_ZERO, False, a["detection_id"], None)
         back = F.when(r > 0, F.sequence(r - 1, F.lit(0), F.lit(-1))).otherwise(
             F.array().cast("array<int>"))
-        start = F.struct(_set_at(st["v"], r, F.lit(0.0)).alias("v"), (-before).alias("rem"),
-                         F.concat(st["log"], F.array(primary)).alias("log"),
+        start = F.struct((-before).alias("rem"), _empty_log().alias("log"),
                          F.lit(1).alias("step")).cast(walk_t)
 
         def walk(s: Column, i: Column) -> Column:
-            x = get(s["v"], i)
+            # positions below r are visited once, so the row state before this
+            # refund is the current value; the array is rebuilt once afterwards
+            x = get(st["v"], i)
             take = (s["rem"] > 0) & x.isNotNull() & (x > 0)
             absorbed = F.least(x, s["rem"])
             after = x - absorbed
             moved = F.struct(
-                _set_at(s["v"], i, after).alias("v"), (s["rem"] - absorbed).alias("rem"),
+                (s["rem"] - absorbed).alias("rem"),
                 F.concat(s["log"], F.array(_entry(
                     3, a["ord"], s["step"], i, a["attribution"], REFUND_CASCADE, x, after,
                     SET_TO_ZERO, False, a["detection_id"], F.lit(0)))).alias("log"),
                 (s["step"] + 1).alias("step")).cast(walk_t)
             return F.when(F.coalesce(take, F.lit(False)), moved).otherwise(s)
 
-        return F.aggregate(back, start, walk,
-                           lambda s: F.struct(s["v"].alias("v"), s["log"].alias("log"))
-                           .cast(state_t))
+        def finish(s: Column) -> Column:
+            upd = F.map_from_arrays(F.transform(s["log"], lambda e: e["pos"]),
+                                    F.transform(s["log"], lambda e: e["value_after"]))
+            v = F.transform(st["v"], lambda x, k: F.when(k == r, F.lit(0.0)).otherwise(
+                F.coalesce(F.try_element_at(upd, k), x)))
+            return F.struct(v.alias("v"),
+                            F.concat(st["log"], F.array(primary), s["log"]).alias("log")
+                            ).cast(state_t)
+
+        return F.aggregate(back, start, walk, finish)
 
     s3 = F.aggregate(rf, F.struct(F.col("__v1").alias("v"), _empty_log().alias("log"))
                      .cast(state_t), refund_step)
