@@ -54,8 +54,9 @@ def main() -> None:
             d = dt.detect(read_cube(spark, path), roles)
             return vw.detector_counts(d).first().asDict()
         info[f"{cube_name}_counts"] = timed(f"{cube_name}_detect", detect)
+        # roles were validated in the timed schema step above
         header = timed(f"{cube_name}_apply_all", lambda: pipeline.clean_file(
-            spark, path, f"{scratch}/{cube_name}_out", roles=roles))
+            spark, path, f"{scratch}/{cube_name}_out", roles=roles, validate=False))
         info[f"{cube_name}_changes"] = header["total_changes"]
 
     total = round(sum(times.values()), 3)

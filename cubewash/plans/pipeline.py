@@ -60,7 +60,8 @@ def clean_file(spark: SparkSession, path: str, out_dir: str, *,
                roles: ColumnRoles | None = None, policy: ap.Policy | None = None,
                selections: DataFrame | None = None, detections: DataFrame | None = None,
                file_id: str | None = None, project: str = "demo",
-               applied_at: datetime | None = None, run_summary: str | None = None) -> dict:
+               applied_at: datetime | None = None, run_summary: str | None = None,
+               validate: bool = True) -> dict:
     """Apply fixes and commit the cleaned cube and the audit log once.
 
     Without ``selections`` the fixes follow ``policy`` (default: every detection
@@ -69,7 +70,9 @@ def clean_file(spark: SparkSession, path: str, out_dir: str, *,
     The applied frame feeds two writers, so it is persisted (memory and disk);
     a lost executor recomputes its partitions deterministically from the scan."""
     df = read_cube(spark, path)
-    resolved = _roles(df, roles)
+    # ``validate=False`` trusts ``roles`` that the caller has just validated
+    # (saves the two profile jobs); without roles the schema is always resolved.
+    resolved = roles if (roles is not None and not validate) else _roles(df, roles)
     run_id = uuid.uuid4().hex[:8]
     file_id = file_id or path.rstrip("/").rsplit("/", 1)[-1]
     if selections is None:
