@@ -6,7 +6,7 @@ partial aggregation, so a hot detector or row never lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DETECTORS, ROW_ID, ROW_INDEX, CubeError
@@ -105,7 +105,12 @@ def exact_top_k(df: DataFrame, k: int, key: list) -> DataFrame:
             break
     out = srt.where(F.col("__pid").isin(full))
     if boundary is not None and need > 0:
-        out = out.unionByName(srt.where(F.col("__pid") == boundary).orderBy(*key).limit(need))
+        # rank inside the boundary partition only (about n / partitions rows)
+        w = Window.partitionBy("__pid").orderBy(*key)
+        cut = (srt.where(F.col("__pid") == boundary)
+               .withColumn("__rank", F.row_number().over(w))
+               .where(F.col("__rank") <= need).drop("__rank"))
+        out = out.unionByName(cut)
     return out.drop("__pid")
 
 

@@ -163,3 +163,14 @@ def test_aud_unique_change_ids_and_summary(spark):
     summ = {r["anomaly_type"]: r["n"] for r in ap.summary(ch).collect()}
     assert summ["double_booking"] == 2  # a split writes two entries
     assert sum(summ.values()) == len(ids)
+
+
+def test_top_share_exact_path_matches_brute_force(spark):
+    from cubewash.operators import views as vw
+
+    rows = [[float((k * 37 + i * 11) % 97 - 40) for i in range(8)] for k in range(60)]
+    df, roles = row_frame(spark, rows)
+    d = dt.detect(df, roles)
+    fast = {r["detection_id"] for r in vw.top_share(d, divisor=3).collect()}
+    exact = {r["detection_id"] for r in vw.top_share(d, divisor=3, max_driver_rows=0).collect()}
+    assert fast == exact and len(fast) == max(1, d.count() // 3)
