@@ -121,13 +121,16 @@ def long_to_wide(facts: DataFrame, ids: list[str], period: str, value: str,
     """P-05: fact rows (ids, period label, value) -> one row per id tuple and one
     column per label, in ``labels`` order.
 
-    The explicit label list avoids the extra distinct job of an open pivot; the
-    pivot is a hash aggregate with map-side partial sums, so the shuffle carries
-    at most one partial row per id tuple and map task."""
-    wide = facts.groupBy(*ids).pivot(period, labels).agg(F.sum(value))
-    if fill is not None:
-        wide = wide.fillna(fill, subset=labels)
-    return wide.select(*[q(c) for c in ids], *[q(c).cast("double").alias(c) for c in labels])
+    One hash aggregate with one conditional sum per label: map-side partial
+    sums, a single shuffle on the id tuple (``pivot`` would aggregate twice), and
+    no distinct job since the labels are given."""
+    def cell(lab: str):
+        s = F.sum(F.when(F.col(period) == F.lit(lab), F.col(value)))
+        if fill is not None:
+            s = F.coalesce(s, F.lit(fill))
+        return s.cast("double").alias(lab)
+
+    return facts.groupBy(*[q(c) for c in ids]).agg(*[cell(lab) for lab in labels])
 
 
 def wide_to_long(df: DataFrame, ids: list[str], measures: list[str], *,
