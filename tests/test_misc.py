@@ -61,3 +61,25 @@ def test_preview_pages_flagged_rows_in_file_order(spark):
     last = page1.agg(F.max("__row_index")).first()[0]
     page2 = pipeline.preview(spark, f"{d}/c.parquet", roles, detected="negative", after=last)
     assert [r["id"] for r in page2.collect()] == ["r6", "r9"]
+
+
+def test_saved_override_rechecks_file_order(spark):
+    from cubewash.operators import profile as pf
+
+    df = spark.createDataFrame([("a", 1.0, 2.0, 3.0)],
+                               "c string, `2022_3` double, `2022_1` double, `2022_2` double")
+    saved = ColumnRoles(["c"], ["2022_1", "2022_2", "2022_3"], ["2022_1", "2022_2", "2022_3"])
+    res = pf.resolve_schema(df, saved)
+    assert res.ok and res.roles.measure_columns == ["2022_1", "2022_2", "2022_3"]
+    assert any("chronological" in w for w in res.soft_warnings)
+    assert pf.resolve_schema(df, ColumnRoles()).roles.id_columns == ["c"]
+
+
+def test_detection_table_version_mismatch_is_ignored(spark):
+    from cubewash.sinks import writers as wr
+
+    d = tempfile.mkdtemp(prefix="cubewash-test-")
+    spark.createDataFrame([("d1", "v1")], "detection_id string, format_version string") \
+        .write.parquet(f"{d}/old")
+    assert wr.read_detections(spark, f"{d}/old") is None
+    assert wr.read_detections(spark, f"{d}/missing") is None
