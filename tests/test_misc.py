@@ -83,3 +83,17 @@ def test_detection_table_version_mismatch_is_ignored(spark):
         .write.parquet(f"{d}/old")
     assert wr.read_detections(spark, f"{d}/old") is None
     assert wr.read_detections(spark, f"{d}/missing") is None
+
+
+def test_detect_and_policy_apply_plans_have_no_shuffle(spark):
+    from cubewash.operators import apply as ap
+
+    d = tempfile.mkdtemp(prefix="cubewash-test-")
+    rows = [(f"r{k}", 100.0, -5.0 if k % 3 == 0 else 5.0, 0.0, 900.0) for k in range(10)]
+    spark.createDataFrame(rows, "id string, m1 double, m2 double, m3 double, m4 double") \
+        .write.parquet(f"{d}/c.parquet")
+    df = spark.read.parquet(f"{d}/c.parquet")
+    roles = ColumnRoles(["id"], ["m1", "m2", "m3", "m4"], ["m1", "m2", "m3", "m4"])
+    for q in (dt.detect(df, roles), ap.changes(ap.apply_policy(df, roles), roles)):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
