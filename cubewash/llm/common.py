@@ -20,13 +20,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so lost executors lose nothing.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master
-    without one gets a temporary folder; elsewhere a missing one is an error.
+    Only a local master without one gets a temporary folder; elsewhere a missing
+    one is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so lost executors lose nothing."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -144,3 +149,46 @@ def doc_groups(offsets: np.ndarray, limit: int = 1 << 21):
         last = min(max(last, first + 1), n)
         yield first, last
         first = last
+
+
+class Staging:
+    """A folder of this run's own under the shared checkpoint folder, for tables written on the way."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        import uuid
+
+        checkpoint_dir(spark)
+        self.spark = spark
+        self.label = f"{label}_{uuid.uuid4().hex}"
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/{self.label}"
+        self._n = 0
+
+    def path(self) -> str:
+        self._n += 1
+        return f"{self.root}/{self._n}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Parquet that survives lost executors; compressed, unlike a checkpoint."""
+        path = self.path()
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def write_bucketed(self, df: DataFrame, buckets: int, *keys: str) -> tuple[str, str]:
+        """(table, folder) of a table bucketed and sorted by ``keys``, which later joins need not shuffle."""
+        path = self.path()
+        name = f"{self.label}_{self._n}"
+        (df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+         .option("path", path).saveAsTable(name))
+        return name, path
+
+    def drop(self, table: tuple[str, str]) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table[0]}")
+        self._delete(table[1])
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def close(self) -> None:
+        self._delete(self.root)
