@@ -235,7 +235,8 @@ class ForcedBoundaryBpe:
             self._learn(chunks if len(self._chunks) + len(missing) > CACHE_ENTRIES else missing)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self._pieces(text) for i in ids.split(" ")]
+        pieces = self._pieces(text)
+        return list(map(int, " ".join([p[1] for p in pieces]).split(" "))) if pieces else []
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space: files of this kind name no decoder."""
@@ -283,7 +284,13 @@ def encode_column(shared, text: Column) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         bpe = _worker_bpe(shared)
-        return pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        _, offsets = text_bytes(texts)
+        parts = []
+        for i, j in doc_groups(offsets):
+            some = [t or "" for t in texts[i:j].to_pylist()]
+            bpe.prepare(some)
+            parts.append(pa.array([bpe.encode(t) for t in some], pa.list_(pa.int32())))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -294,7 +301,7 @@ def decode_column(shared, ids: Column) -> Column:
     @F.arrow_udf("string")
     def text(arrays: pa.Array) -> pa.Array:
         bpe = _worker_bpe(shared)
-        return pa.array([None if a is None else bpe.decode(a) for a in arrays.to_pylist()], pa.string())
+        return pa.array([None if not a.is_valid else bpe.decode(a.values.to_pylist()) for a in arrays], pa.string())
 
     return text(ids)
 
