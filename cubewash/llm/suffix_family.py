@@ -12,10 +12,14 @@ for equal prefixes; levels of one size are merged into one of twice the size.
 Levels are tables bucketed and sorted by their order, so scans and merges read
 them side by side without a shuffle.
 
-Matched suffixes are then settled exactly, by 128-bit hashes of the bytes: a
-run whose whole stretch occurs twice repeats at every start; of the others,
-each start's string is compared. No step gathers the rows of one key: hashes
-are counted with map-side sums and joined back.
+Matched suffixes are then settled exactly, by 128-bit hashes of the bytes. A
+run whose whole stretch occurs twice repeats at every start. The others are cut
+into blocks of ``BLOCK`` starts at fixed distances from the suffix: a block
+whose stretch occurs twice repeats at every start, one whose core (the bytes
+that all its strings share) occurs once repeats at none, and only for what is
+left each start's string is compared. No step gathers the rows of one key:
+hashes are counted with map-side sums and joined back. Suspect texts are
+written once, bucketed by row key, so these steps do not shuffle them again.
 
 A byte is removed if a repeated string covers it. Strings never cross
 documents; overlaps count; strings are judged on the input.
@@ -40,6 +44,7 @@ from cubewash.llm.common import RollingHash, Staging, checkpoint, doc_groups, sh
 WINDOW = 256  # at most length // 2 is used for short lengths
 GRAM = 16
 BATCHES = 4
+BLOCK = 16
 
 
 def _window(length: int) -> tuple[int, int]:
@@ -91,7 +96,7 @@ def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _suffix_batches(length: int):
-    """Rows (doc_id, th, n_bytes, sha, suffixes): the distinct indexed suffixes of each text, counted."""
+    """Rows (rid, doc_id, n_bytes, sha, suffixes): the distinct indexed suffixes of each text, counted."""
     prefix = length - _window(length)[0] + 1
 
     def run(batches):
@@ -117,7 +122,7 @@ def _suffix_batches(length: int):
                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(
                         [pa.array(lead[first]), pa.array(sig[first]), pa.array(np.minimum(n, 2).astype(np.int32))],
                         names=["lead", "sig", "n"]))],
-                    names=["doc_id", "th", "n_bytes", "sha", "suffixes"])
+                    names=["rid", "doc_id", "n_bytes", "sha", "suffixes"])
     return run
 
 
@@ -171,55 +176,74 @@ class SuffixFamily:
 
 
 def _stretches(length: int):
-    """From (doc_id, th, text, sigs): each matched run with a 128-bit hash of its whole stretch."""
+    """From (rid, text, sigs): each matched run with a 128-bit hash of its whole stretch."""
     prefix = length - _window(length)[0] + 1
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("row", "sig", "lo", "hi", "key")}
-            data, offsets = text_bytes(batch.column(2))
+            rows, keys, parts = [], [], []
+            data, offsets = text_bytes(batch.column(1))
             for row in range(batch.num_rows):
                 text = data[offsets[row]:offsets[row + 1]]
                 _, at, lo, hi = indexed_suffixes(text, np.array([0, len(text)]), length)
                 sig = RollingHash(text, 10).between(at, at + prefix).view(np.int64)
-                keep = np.isin(sig, batch.column(3)[row].values.to_numpy())
-                sig, lo, hi, raw = sig[keep], lo[keep], hi[keep], text.tobytes()
-                out["row"] += [row] * len(lo)
-                out["sig"].append(sig)
-                out["lo"].append(lo)
-                out["hi"].append(hi)
-                out["key"] += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in
-                               zip(lo.tolist(), (hi + length).tolist())]
-            row = pa.array(out["row"], pa.int64())
-            join = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
+                keep = np.isin(sig, batch.column(2)[row].values.to_numpy())
+                part, raw = np.stack([sig, at, lo, hi])[:, keep], text.tobytes()
+                rows += [row] * part.shape[1]
+                parts.append(part)
+                keys += [xxhash.xxh3_128_digest(raw[a:b + length]) for a, b in part[2:].T.tolist()]
+            part = np.concatenate([np.zeros((4, 0), np.int64), *parts], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), join(out["sig"]), join(out["lo"]),
-                 join(out["hi"]), pa.array(out["key"], pa.binary())],
-                names=["doc_id", "th", "sig", "lo", "hi", "key"])
+                [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x) for x in part],
+                 pa.array(keys, pa.binary())], names=["rid", "sig", "at", "lo", "hi", "key"])
+    return run
+
+
+def _blocks(length: int):
+    """From (rid, text, runs): the blocks of each run with hashes of their stretch and core."""
+    def run(batches):
+        for batch in batches:
+            rows, out, cores, fulls = [], [], [], []
+            data, offsets = text_bytes(batch.column(1))
+            for row in range(batch.num_rows):
+                raw = data[offsets[row]:offsets[row + 1]].tobytes()
+                for r in batch.column(2)[row].as_py():
+                    at, lo, hi = r["at"], r["lo"], r["hi"]
+                    for b in range((at - hi) // BLOCK, (at - lo) // BLOCK + 1):
+                        # starts of the block lie b * BLOCK .. b * BLOCK + BLOCK - 1 bytes before the suffix
+                        first, last = at - b * BLOCK - BLOCK + 1, at - b * BLOCK
+                        tag = b.to_bytes(2, "big")
+                        a, z = max(first, lo), min(last, hi)
+                        rows.append(row)
+                        out.append((a, z, r["weight"]))
+                        cores.append(xxhash.xxh3_128_digest(tag + raw[last:first + length]))
+                        fulls.append(xxhash.xxh3_128_digest(tag + bytes([a - first, last - z]) + raw[a:z + length]))
+            lo, hi, weight = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()),
+                 pa.array(weight, pa.int32()), pa.array(cores, pa.binary()), pa.array(fulls, pa.binary())],
+                names=["rid", "lo", "hi", "weight", "core", "full"])
     return run
 
 
 def _strings(length: int):
-    """From (doc_id, th, text, runs): the hash of the string at every start of the runs asked for."""
+    """From (rid, text, blocks): the hash of the string at every start of the blocks asked for."""
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            rows, starts, weights, keys = [], [], [], []
+            data, offsets = text_bytes(batch.column(1))
             for row in range(batch.num_rows):
                 raw = data[offsets[row]:offsets[row + 1]].tobytes()
-                starts, weights, open_ = [], [], []
-                for r in batch.column(3)[row].as_py():
-                    n = r["hi"] - r["lo"] + 1
-                    starts += range(r["lo"], r["hi"] + 1)
-                    weights += [r["weight"]] * n
-                    open_ += [r["weight"] == 1] * n
-                for k in range(0, len(starts), 100_000):
-                    some = starts[k:k + 100_000]
-                    take = pa.array(np.full(len(some), row))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), pa.array(some, pa.int64()),
-                         pa.array(weights[k:k + 100_000], pa.int32()), pa.array(open_[k:k + 100_000], pa.bool_()),
-                         pa.array([xxhash.xxh3_128_digest(raw[s:s + length]) for s in some], pa.binary())],
-                        names=["doc_id", "th", "start", "weight", "open", "key"])
+                for r in batch.column(2)[row].as_py():
+                    for s in range(r["lo"], r["hi"] + 1):
+                        rows.append(row)
+                        starts.append(s)
+                        weights.append(r["weight"])
+                        keys.append(xxhash.xxh3_128_digest(raw[s:s + length]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
+                 pa.array(weights, pa.int32()), pa.array(keys, pa.binary())],
+                names=["rid", "start", "weight", "key"])
     return run
 
 
@@ -236,30 +260,28 @@ def covered_spans(starts: list[tuple[int, int]], length: int, n_bytes: int) -> l
 
 
 def _removals(length: int, with_kept: bool):
-    """From (doc_id, th, text, starts): spans removed and what is left."""
+    """From (rid, text, starts): spans removed and what is left."""
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(1))
             spans, shas, kepts = [], [], []
             for row in range(batch.num_rows):
                 raw = data[offsets[row]:offsets[row + 1]].tobytes()
-                own = covered_spans([(r["lo"], r["hi"]) for r in batch.column(3)[row].as_py()], length, len(raw))
+                own = covered_spans([(r["lo"], r["hi"]) for r in batch.column(2)[row].as_py()], length, len(raw))
                 kept = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in own]], [*[s for s, _ in own], len(raw)]))
                 spans.append([{"start": a, "end": b} for a, b in own])
                 shas.append(hashlib.sha256(kept).hexdigest())
                 kepts.append(kept if with_kept else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(shas, pa.string()), pa.array(kepts, pa.binary())],
-                names=["doc_id", "th", "spans", "kept_sha256", "kept"])
+                names=["rid", "spans", "kept_sha256", "kept"])
     return run
 
 
-def _same_text(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """Join on (doc_id, th), where a null doc_id equals a null one; keeps a's columns and b's others."""
-    on = a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    return a.join(b, on, how).drop(b["doc_id"]).drop(b["th"])
+def _twice(rows: DataFrame, key: str, weight) -> DataFrame:
+    """The keys that occur twice or more."""
+    return rows.groupBy(key).agg(F.sum(weight).alias("n")).where("n > 1").select(key)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES,
@@ -269,60 +291,73 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES,
     ``kept`` (the remaining bytes) is null unless asked for, and for texts that lose nothing.
     """
     spark = docs.sparkSession
-    staging = Staging(spark, "suffix_family")
+    staging, buckets = Staging(spark, "suffix_family"), shuffle_partitions(spark)
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    keys = f"doc_id {key_type}, th long"
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    # rid: 128 bits of the row's doc_id and text; rows equal in both are told apart by their count alone
+    rid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"),
+                                 F.coalesce(F.col("text"), F.lit("")))))
+    texts = docs.select(rid.alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
     indexed = staging.write(texts.mapInArrow(
-        _suffix_batches(length),
-        f"{keys}, n_bytes long, sha string, suffixes array<struct<lead: long, sig: long, n: int>>"))
-    entries = indexed.select("doc_id", "th", F.explode("suffixes").alias("s")).select("doc_id", "th", "s.*")
+        _suffix_batches(length), f"rid binary, doc_id {key_type}, n_bytes long, sha string, "
+        "suffixes array<struct<lead: long, sig: long, n: int>>"))
+    entries = indexed.select("rid", F.explode("suffixes").alias("s")).select("rid", "s.*")
 
     # The family takes the documents batch by batch and returns what each batch repeats.
-    family = SuffixFamily(staging, shuffle_partitions(spark))
+    family = SuffixFamily(staging, buckets)
     matched = None
     for k in range(batches):
-        found = family.insert(entries.where(F.pmod(F.hash("doc_id"), F.lit(batches)) == k)
+        found = family.insert(entries.where(F.pmod(F.hash("rid"), F.lit(batches)) == k)
                               .select("lead", "sig", "n"))
         matched = found if matched is None else matched.union(found)
     family.drop()
-    matched = matched.distinct()
 
     # Only texts that hold a matched suffix go on; a suffix list is no longer than its text.
-    held = (entries.select("doc_id", "th", "lead", "sig").join(matched, ["lead", "sig"])
-            .groupBy("doc_id", "th").agg(F.collect_set("sig").alias("sigs")))
-    suspects = staging.write(_same_text(texts, held, "inner").select("doc_id", "th", "text", "sigs"))
-    texts_only = suspects.select("doc_id", "th", "text")
-
-    runs = staging.write(suspects.mapInArrow(
-        _stretches(length), f"{keys}, sig long, lo long, hi long, key binary"))
+    held = (entries.join(matched.distinct(), ["lead", "sig"])
+            .groupBy("rid").agg(F.collect_set("sig").alias("sigs")))
+    suspects = staging.write_bucketed(texts.select("rid", "text").join(held, "rid").select(
+        "rid", "text", "sigs"), buckets, "rid")
+    suspect = spark.table(suspects[0])
+    text_of = suspect.select("rid", "text")
+    known = checkpoint(indexed.select("rid", "doc_id", "n_bytes", "sha"))
+
+    runs = staging.write(suspect.mapInArrow(
+        _stretches(length), "rid binary, sig long, at long, lo long, hi long, key binary"))
     stretches = checkpoint(runs.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig"),
-        F.min(F.struct("doc_id", "th", "lo", "hi")).alias("at")))
-    settled = stretches.where("n > 1").select("key")
-    repeated_runs = runs.join(settled, "key").select("doc_id", "th", "lo", "hi")
+        F.min(F.struct("rid", "at", "lo", "hi")).alias("where")))
+    repeated = runs.join(stretches.where("n > 1").select("key"), "key").select("rid", "lo", "hi")
 
-    # Suffixes with a stretch that occurs once: compare the strings at every start of their stretches.
+    # Suffixes with a stretch that occurs once: their stretches block by block. Weight 1 is open.
     open_sigs = stretches.where("n = 1").select("sig").distinct()
     asked = (stretches.join(open_sigs, "sig", "left_semi")
-             .select("at.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
-             .groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("runs")))
-    strings = staging.write(_same_text(texts_only, asked, "inner").select("doc_id", "th", "text", "runs").mapInArrow(
-        _strings(length), f"{keys}, start long, weight int, open boolean, key binary"))
-    twice = strings.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key")
-    repeated_starts = (strings.where("open").join(twice, "key")
-                       .select("doc_id", "th", F.col("start").alias("lo"), F.col("start").alias("hi")))
-
-    starts = (repeated_runs.union(repeated_starts).groupBy("doc_id", "th")
-              .agg(F.collect_list(F.struct("lo", "hi")).alias("starts")))
-    cut = checkpoint(_same_text(texts_only, starts, "inner").select("doc_id", "th", "text", "starts").mapInArrow(
+             .select("where.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
+             .groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi", "weight")).alias("runs")))
+    blocks = staging.write(text_of.join(asked, "rid").select("rid", "text", "runs").mapInArrow(
+        _blocks(length), "rid binary, lo long, hi long, weight int, core binary, full binary"))
+    shared = blocks.join(_twice(blocks, "core", "weight"), "core")
+    settled = shared.join(_twice(blocks, "full", "weight").withColumn("whole", F.lit(True)), "full", "left")
+    settled = checkpoint(settled.select("rid", "lo", "hi", "weight", "core", "whole"))
+    repeated = repeated.union(settled.where("weight = 1 AND whole").select("rid", "lo", "hi"))
+
+    # Blocks whose core repeats and whose stretch does not: start by start.
+    open_cores = settled.where("weight = 1 AND whole IS NULL").select("core").distinct()
+    singly = (settled.join(open_cores, "core", "left_semi").groupBy("rid")
+              .agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("blocks")))
+    strings = checkpoint(text_of.join(singly, "rid").select("rid", "text", "blocks").mapInArrow(
+        _strings(length), "rid binary, start long, weight int, key binary"))
+    repeated = repeated.union(strings.where("weight = 1").join(_twice(strings, "key", "weight"), "key")
+                              .select("rid", F.col("start").alias("lo"), F.col("start").alias("hi")))
+
+    starts = repeated.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    cut = checkpoint(text_of.join(starts, "rid").select("rid", "text", "starts").mapInArrow(
         _removals(length, with_kept),
-        f"{keys}, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary")
-        .dropDuplicates(["doc_id", "th"]))
-    known = checkpoint(indexed.select("doc_id", "th", "n_bytes", "sha"))
+        "rid binary, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary")
+        .dropDuplicates(["rid"]))
+    staging.drop(suspects)
     staging.close()
-    return _same_text(known, cut, "left").select(
-        "doc_id", "n_bytes", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"),
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    return known.join(cut, "rid", "left").select(
+        "doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
 
 
