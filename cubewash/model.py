@@ -43,10 +43,19 @@ REFUND_CASCADE = "refund_cascade"
 DETECTIONS_FORMAT_VERSION = "v2"
 # -----------------------------------------------------------------------------
 
-# Internal column names added to a prepared cube.
+# Internal column names added to a prepared cube. They are told apart from user
+# columns by this list alone (never by a prefix); a cube that uses one of them is
+# refused by the source, so no user column is ever taken for an internal one.
 CELLS = "__cells"
 ROW_ID = "__row_id"
 ROW_INDEX = "__row_index"
+FILE_PATH = "__file_path"
+KEY = "__row_key"
+ACTIONS = "__actions"
+APPLIED = "__applied"
+INTERNAL = frozenset({CELLS, ROW_ID, ROW_INDEX, FILE_PATH, KEY, ACTIONS, APPLIED,
+                      "__v1", "__log1", "__s3", "__log3", "__s4",
+                      *(f"__f_{d}" for d in DETECTORS)})
 
 
 @dataclass
@@ -102,6 +111,10 @@ class EmptyInputError(CubeError):
     pass
 
 
+class ReservedNameError(CubeError):
+    """The cube has a column under a name that this library needs for itself."""
+
+
 class InvalidSelectionError(CubeError):
     """A selection names an unknown detection or a fix the detection does not allow."""
 

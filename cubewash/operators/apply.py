@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import q
 from ..model import (
+    ACTIONS,
+    APPLIED,
     CELLS,
-    DOUBLE_BOOKING,
     FIX_ATTRIBUTION,
     KEEP_AS_IS,
+    KEY,
     PRIMARY,
     REFUND,
     REFUND_CASCADE,
@@ -51,13 +53,12 @@ from .detect import (
     flag_cells,
     merged_fields,
 )
+from ..sources.cube import user_columns
 
 ACTION_T = "struct<ord:bigint,pos:int,fix:string,attribution:string,detection_id:string>"
 ENTRY_T = ("struct<pass:int,ord:bigint,step:int,pos:int,anomaly_type:string,"
            "change_kind:string,value_before:double,value_after:double,"
            "suggested_fix:string,flagged:boolean,detection_id:string,parent_step:int>")
-ACTIONS = "__actions"
-APPLIED = "__applied"
 
 
 def attribution_expr(flagged_by: Column, fix: Column, explicit: Column | None = None) -> Column:
@@ -76,13 +77,9 @@ def attribution_expr(flagged_by: Column, fix: Column, explicit: Column | None =
 
 
 def attribute(flagged_by: list[str], fix: str | None, explicit: str | None = None) -> str | None:
-    """X-03 in plain Python (used to tabulate the rule per detector combination)."""
-    if explicit is not None and explicit in flagged_by:
-        return explicit
-    for d in FIX_ATTRIBUTION.get(fix, ()):
-        if d in flagged_by:
-            return d
-    return flagged_by[0] if flagged_by else None
+    """X-03 for one known set of flags, as a search through a ranked list."""
+    ranked = [explicit, *FIX_ATTRIBUTION.get(fix, ()), *flagged_by]
+    return next(filter(set(flagged_by).__contains__, ranked), None)
 
 
 def _entry(pass_no: int, ord_: Column, step: Column, pos: Column, attr: Column, kind: str,
@@ -315,16 +312,16 @@ def _policy_actions(flags: dict[str, list[Column]], measures: list[str], row_id:
 def apply_policy(df: DataFrame, roles: ColumnRoles, policy: Policy = Policy(),
                  detectors: tuple[Detector, ...] = DEFAULT_DETECTORS) -> DataFrame:
     """Detect and apply in one narrow pass. Returns the cube columns plus
-    ``__row_id``, ``row_key`` and ``__applied`` (struct of new cells and log)."""
+    ``__row_id``, ``__row_key`` and ``__applied`` (struct of new cells and log)."""
     measures = roles.measure_columns
-    user_cols = [c for c in df.columns if not c.startswith("__")]
+    user_cols = user_columns(df)
     flagged = flag_cells(df, roles, detectors, keep=user_cols)
     flags = {d.name: [F.col(f"__f_{d.name}")[i] for i in range(len(measures))]
              for d in detectors}
     actions = _policy_actions(flags, measures, F.col(ROW_ID), policy, detectors)
-    staged = flagged.select(*[q(c) for c in user_cols], ROW_ID, ROW_KEY, CELLS,
+    staged = flagged.select(*[q(c) for c in user_cols], ROW_ID, KEY, CELLS,
                             actions.alias(ACTIONS))
-    return apply_passes(staged, measures, [*[q(c) for c in user_cols], ROW_ID, ROW_KEY])
+    return apply_passes(staged, measures, [*[q(c) for c in user_cols], ROW_ID, KEY])
 
 
 # --- explicit selections (X-01, X-02, X-09, D5) ------------------------------
@@ -332,7 +329,8 @@ def apply_policy(df: DataFrame, roles: ColumnRoles, policy: Policy = Policy(),
 def validate_selections(detections: DataFrame, selections: DataFrame) -> DataFrame:
     """Check and resolve a selections table; raise on the first problem.
 
-    ``selections``: detection_id, fix, optional attribution, optional sel_ord.
+    ``selections``: detection_id, fix, optional attribution, optional sel_ord (without
+    it, selections of a row apply in column order).
     Returns (detection_id, __row_id, pos, fix, attribution, ord) with one row per
     detection. One job computes all three checks (unknown id, fix not allowed,
     conflicting duplicates) and returns at most one offending row."""
@@ -341,10 +339,11 @@ def validate_selections(detections: DataFrame, selections: DataFrame) -> DataFra
         "detection_id", "fix",
         (F.col("attribution") if "attribution" in cols else F.lit(None).cast("string"))
         .alias("attribution"),
-        (F.col("sel_ord").cast("bigint") if "sel_ord" in cols
-         else F.monotonically_increasing_id()).alias("ord"))
-    # D5: equal duplicates collapse to the first; different fixes are a conflict.
-    dedup = (sel.groupBy("detection_id", "fix", "attribution").agg(F.min("ord").alias("ord")))
+        (F.col("sel_ord") if "sel_ord" in cols else F.lit(0)).cast("bigint").alias("ord"))
+    # D5: selections of one fix collapse to the first; different fixes are a conflict,
+    # a missing fix (a value of its own here) included.
+    dedup = sel.groupBy("detection_id", "fix").agg(
+        F.min("ord").alias("ord"), F.min_by("attribution", "ord").alias("attribution"))
     per_det = dedup.groupBy("detection_id").agg(
         F.count("*").alias("n_choices"),
         F.min_by(F.struct("fix", "attribution", "ord"), "ord").alias("c"))
@@ -356,9 +355,9 @@ def validate_selections(detections: DataFrame, selections: DataFrame) -> DataFra
                .when(F.col("n_choices") > 1,
                      F.concat(F.lit("Conflicting selections for detection "),
                               F.col("detection_id")))
-               .when(~F.array_contains(F.array_append(F.col("alternative_fixes"),
-                                                      F.col("suggested_fix")), F.col("c.fix")),
-                     F.concat(F.lit("Fix '"), F.col("c.fix"),
+               .when(~F.coalesce(F.array_contains(F.array_append(
+                   F.col("alternative_fixes"), F.col("suggested_fix")), F.col("c.fix")), F.lit(False)),
+                     F.concat(F.lit("Fix '"), F.coalesce(F.col("c.fix"), F.lit("NULL")),
                               F.lit("' not allowed for detection "), F.col("detection_id"),
                               F.lit(" (allowed: "),
                               F.array_join(F.array_sort(F.array_append(
@@ -385,12 +384,12 @@ def apply_selections(df: DataFrame, roles: ColumnRoles, detections: DataFrame,
     per_row = (resolved.groupBy(ROW_ID).agg(F.sort_array(F.collect_list(F.struct(
         F.col("ord"), F.col("pos"), F.col("fix"), F.col("attribution"),
         F.col("detection_id")))).cast(f"array<{ACTION_T}>").alias(ACTIONS)))
-    user_cols = [c for c in df.columns if not c.startswith("__")]
+    user_cols = user_columns(df)
     cube = prepare(df, roles.id_columns, measures).select(
-        *[q(c) for c in user_cols], ROW_ID, row_key(roles.id_columns).alias(ROW_KEY), CELLS)
+        *[q(c) for c in user_cols], ROW_ID, row_key(roles.id_columns).alias(KEY), CELLS)
     joined = cube.join(per_row, ROW_ID, "left").withColumn(
         ACTIONS, F.coalesce(F.col(ACTIONS), F.array().cast(f"array<{ACTION_T}>")))
-    return apply_passes(joined, measures, [*[q(c) for c in user_cols], ROW_ID, ROW_KEY])
+    return apply_passes(joined, measures, [*[q(c) for c in user_cols], ROW_ID, KEY])
 
 
 # --- outputs (X-11..X-14) ---------------------------------------------------
@@ -399,7 +398,7 @@ def cleaned_cube(applied: DataFrame, roles: ColumnRoles) -> DataFrame:
     """X-14: the cube with fixed measures (double), same column order as the input."""
     measures = roles.measure_columns
     pos = {m: i for i, m in enumerate(measures)}
-    cols = [c for c in applied.columns if not c.startswith("__") and c not in (ROW_KEY,)]
+    cols = user_columns(applied)
     return applied.select(*[
         F.get(F.col(f"{APPLIED}.cells"), F.lit(pos[c])).alias(c) if c in pos else q(c)
         for c in cols])
@@ -419,7 +418,7 @@ def changes(applied: DataFrame, roles: ColumnRoles, run_id: str = "run") -> Data
     n_log = F.size(log)
     idx = F.when(n_log > 0, F.sequence(F.lit(0), n_log - 1)).otherwise(
         F.array().cast("array<int>"))
-    ex = (applied.select(ROW_ID, ROW_KEY, F.col(f"{APPLIED}.log").alias("__log"))
+    ex = (applied.select(ROW_ID, F.col(KEY).alias(ROW_KEY), F.col(f"{APPLIED}.log").alias("__log"))
           .select(ROW_ID, ROW_KEY, "__log", F.explode(idx).alias("__k"))
           .select(ROW_ID, ROW_KEY, F.get(log, F.col("__k")).alias("__e"))
           .select(ROW_ID, ROW_KEY, "__e.*"))
@@ -453,4 +452,4 @@ def summary(change_rows: DataFrame) -> DataFrame:
 
 
 __all__ = ["Policy", "apply_policy", "apply_selections", "cleaned_cube", "changes", "summary",
-           "validate_selections", "attribution_expr", "apply_passes", DOUBLE_BOOKING]
+           "validate_selections", "attribution_expr", "apply_passes"]

@@ -26,13 +26,16 @@ from ..functions.cells import (
     null_if_nan,
     positive_mean,
     positive_part,
+    q,
     quantile_linear,
 )
 from ..model import (
     CELLS,
     DOUBLE_BOOKING,
+    FILE_PATH,
     FIX_PRIORITY,
     KEEP_AS_IS,
+    KEY,
     NEGATIVE,
     OUTLIER,
     REFUND,
@@ -254,9 +257,11 @@ def flag_cells(df: DataFrame, roles: ColumnRoles,
     carry = [ROW_ID, CELLS]
     if ROW_INDEX in p.columns:
         carry.append(ROW_INDEX)
-    carry_cols = [F.col(c) for c in carry] + [row_key(ids).alias(ROW_KEY)]
+    if FILE_PATH in p.columns:
+        carry.append(FILE_PATH)
+    carry_cols = [F.col(c) for c in carry] + [row_key(ids).alias(KEY)]
     if keep:
-        carry_cols += [F.col(c) for c in keep if c not in carry]
+        carry_cols += [q(c) for c in keep if c not in carry]
     ctx = RowContext(n, [F.col(CELLS)[i] for i in range(n)])
     # Wide cubes use the array form: every per-row statistic occurs once per
     # detector, so the code size does not grow with the number of periods.
@@ -274,7 +279,7 @@ def flag_cells(df: DataFrame, roles: ColumnRoles,
         else:
             arrays[d.name] = F.transform(d.array_mask(ctx), _false_if_null)
     staged = p.select(*carry_cols, *[e.alias(k) for k, e in ctx.stats.items()])
-    out_cols = [F.col(c) for c in staged.columns if not c.startswith("__s_")]
+    out_cols = [q(c) for c in staged.columns if c not in ctx.stats]
     flags = []
     for d in detectors:
         if d.name in arrays:
@@ -288,17 +293,19 @@ def flag_cells(df: DataFrame, roles: ColumnRoles,
 
 
 def merge_combo(flagged: list[str], detectors: tuple[Detector, ...]) -> dict:
-    """M-02..M-04 in plain Python for one set of flagging detectors: flagged_by in
-    detector order, default fix = best primary fix, alternatives = every other
-    offered fix in priority order."""
-    hit = [d for d in detectors if d.name in flagged]
-    primaries = {d.fix for d in hit}
-    offered = primaries | {a for d in hit for a in d.alternatives}
-    rank = {f: i for i, f in enumerate(FIX_PRIORITY)}
-    suggested = min(primaries, key=lambda f: rank.get(f, len(rank))) if primaries else None
-    alternatives = sorted(offered - {suggested}, key=lambda f: rank.get(f, len(rank)))
-    return {"flagged_by": [d.name for d in hit], "suggested_fix": suggested,
-            "alternative_fixes": alternatives}
+    """M-02..M-04 for one set of flagging detectors.
+
+    Each hit offers its own fix (grade 0) and its alternatives (grade 1). Sorted by
+    grade and then by FIX_PRIORITY, the first offer is the default; the rest, in
+    priority order, are the alternatives."""
+    hits = [d for d in detectors if d.name in flagged]
+    place = {**{f: i for i, f in enumerate(FIX_PRIORITY)}, None: -1}
+    offers = [(0, d.fix) for d in hits] + [(1, f) for d in hits for f in d.alternatives]
+    offers.sort(key=lambda o: (o[0], place.get(o[1], len(place))))
+    default = offers[0][1] if offers else None
+    rest = dict.fromkeys(f for _, f in offers if f != default)
+    return {"flagged_by": [d.name for d in hits], "suggested_fix": default,
+            "alternative_fixes": sorted(rest, key=lambda f: place.get(f, len(place)))}
 
 
 def flag_bits(flag: dict[str, Column], detectors: tuple[Detector, ...]) -> Column:
@@ -353,7 +360,8 @@ def explode_detections(flagged: DataFrame, measures: list[str],
     """Flagged positions of :func:`flag_cells` -> one merged row per cell."""
     n = len(measures)
     names = [d.name for d in detectors]
-    keep = [ROW_ID, ROW_KEY] + ([ROW_INDEX] if ROW_INDEX in flagged.columns else [])
+    flagged = flagged.withColumnRenamed(KEY, ROW_KEY)
+    keep = [ROW_ID, ROW_KEY] + [c for c in (FILE_PATH, ROW_INDEX) if c in flagged.columns]
     keep += [c for c in (carry or []) if c not in keep]
     if n > UNROLL_MAX:
         labels = F.array(*[F.lit(m) for m in measures])
@@ -386,8 +394,9 @@ def explode_detections(flagged: DataFrame, measures: list[str],
         fields = ", ".join(f"'{nm}', {b}" for nm, b in zip(names, bits, strict=True))
         entries.append(f"CASE WHEN {' OR '.join(bits)} THEN named_struct('pos', {i}, "
                        f"'column', {lit(measures[i])}, 'value', {CELLS}[{i}], {fields}) END")
-    if not entries:
-        return flagged.select(*keep).limit(0)
+    if not entries:  # a cube without measures: no detections, in the same schema
+        entries = ["CAST(NULL AS struct<pos: int, column: string, value: double, "
+                   + ", ".join(f"`{nm}`: boolean" for nm in names) + ">)"]
     ex = (flagged
           .select(*keep, F.explode(F.expr("array(" + ", ".join(entries) + ")")).alias("__e"))
           .filter(F.col("__e").isNotNull()))
@@ -416,7 +425,7 @@ def detect_one(df: DataFrame, roles: ColumnRoles, detector: Detector) -> DataFra
     """Raw detections of a single detector (the reference's ``detect_x``)."""
     dets = detect(df, roles, (detector,))
     return dets.select(
-        "detection_id", ROW_ID, ROW_KEY, *([ROW_INDEX] if ROW_INDEX in dets.columns else []),
+        "detection_id", ROW_ID, ROW_KEY, *[c for c in (FILE_PATH, ROW_INDEX) if c in dets.columns],
         "pos", "column", "value", F.lit(detector.name).alias("detector"),
         F.lit(detector.fix).alias("suggested_fix"), F.lit(1.0).alias("confidence"),
         F.array(*[F.lit(a) for a in detector.alternatives]).cast("array<string>")
@@ -426,8 +435,8 @@ def detect_one(df: DataFrame, roles: ColumnRoles, detector: Detector) -> DataFra
 
 def ordered(detections: DataFrame) -> DataFrame:
     """M-07 export order: file order of the row, then column name as text."""
-    key = ROW_INDEX if ROW_INDEX in detections.columns else ROW_ID
-    return detections.orderBy(key, "column")
+    place = [c for c in (FILE_PATH, ROW_INDEX) if c in detections.columns] or [ROW_ID]
+    return detections.orderBy(*place, "column")
 
 
 def merge_raw(raw: DataFrame, detectors: tuple[Detector, ...] = DEFAULT_DETECTORS) -> DataFrame:

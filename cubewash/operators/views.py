@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import DETECTORS, ROW_ID, ROW_INDEX, CubeError
+from ..model import DETECTORS, FILE_PATH, KEY, ROW_ID, ROW_INDEX, CubeError
 from .detect import ROW_KEY
 
 
@@ -20,9 +20,11 @@ def detector_counts(detections: DataFrame) -> DataFrame:
 
 
 def totals(detections: DataFrame) -> DataFrame:
-    """A-02 + A-03: number of merged detections and the sum of |value|."""
+    """A-02 + A-03: number of merged detections and the sum of |value|.
+
+    Summed as decimals, so the result does not depend on the order of the rows."""
     return detections.agg(F.count(F.lit(1)).alias("n_detections"),
-                          F.sum(F.abs("value")).alias("magnitude"))
+                          F.sum(F.abs("value").cast("decimal(38,6)")).cast("double").alias("magnitude"))
 
 
 def filter_types(detections: DataFrame, types: list[str]) -> DataFrame:
@@ -40,7 +42,8 @@ def row_flags(flagged: DataFrame) -> DataFrame:
     any_ = F.lit(False)
     for c in per.values():
         any_ = any_ | c
-    keep = [c for c in (ROW_ID, ROW_INDEX, ROW_KEY) if c in flagged.columns]
+    flagged = flagged.withColumnRenamed(KEY, ROW_KEY)
+    keep = [c for c in (ROW_ID, FILE_PATH, ROW_INDEX, ROW_KEY) if c in flagged.columns]
     return flagged.select(*keep, *[c.alias(d) for d, c in per.items()], any_.alias("any"))
 
 
@@ -56,62 +59,58 @@ def flagged_rows(flags: DataFrame, detected: str = "any") -> DataFrame:
     return flags.select("*", keep.alias("__keep")).drop("__keep")
 
 
-def page(rows: DataFrame, after: int | None = None, limit: int = 100,
-         order_col: str = ROW_INDEX) -> DataFrame:
-    """A-06 keyset paging: the next ``limit`` rows after ``after`` in file order.
+def page(rows: DataFrame, after: tuple[str, int] | None = None, limit: int = 100) -> DataFrame:
+    """A-06 keyset paging: the next ``limit`` rows after the place ``after``
+    (file path, index in the file) in file order.
 
-    The filter prunes by the key before the (per-partition) top-k, so a page
+    The filter prunes by the place before the per-partition top-k, so a page
     never sorts the whole table."""
-    src = rows if after is None else rows.where(F.col(order_col) > after)
-    return src.orderBy(order_col).limit(limit)
+    if after is not None:
+        path, index = F.lit(after[0]), F.lit(after[1])
+        rows = rows.where((F.col(FILE_PATH) > path)
+                          | ((F.col(FILE_PATH) == path) & (F.col(ROW_INDEX) > index)))
+    return rows.orderBy(FILE_PATH, ROW_INDEX).limit(limit)
 
 
-def top_share(detections: DataFrame, divisor: int = 20,
-              max_driver_rows: int = 1_000_000) -> DataFrame:
+def top_share(detections: DataFrame, divisor: int = 20, tie: list[str] | None = None,
+              group_rows: int = 10_000) -> DataFrame:
     """A-08: the ``max(1, n // divisor)`` detections with the largest |value|.
 
-    Ties break on detection_id so the result is deterministic. For a k that fits a
-    per-task top-k buffer, Spark's TakeOrderedAndProject keeps k rows per task.
-    Beyond that the cut-off is found exactly with a range-partitioned sort: rows
-    in partitions wholly above the cut are kept, and only the boundary partition
-    is ranked."""
+    Ties break on ``tie`` (default: the detection id). The cut is found by counting:
+    rows per |value| give, from the largest down, the value at which the running
+    count passes k (the running count goes over groups of neighbouring values, whose
+    number follows the row count, so no task or driver holds more than
+    ``group_rows`` values or one row per group). All rows above the cut are kept, and
+    of the rows at the cut the first by ``tie``. Nothing is sorted as a whole."""
+    tie = tie or ["detection_id"]
     n = detections.count()
     k = max(1, n // divisor)
-    key = [F.abs(F.col("value")).desc(), F.col("detection_id").asc()]
-    if k <= max_driver_rows:
-        return detections.orderBy(*key).limit(k)
-    return exact_top_k(detections, k, key)
-
-
-def exact_top_k(df: DataFrame, k: int, key: list) -> DataFrame:
-    """Top k rows by ``key`` without funnelling k rows through one task.
-
-    A range-partitioned sort gives partitions in key order; their sizes (one
-    small row per partition) locate the boundary partition, which alone is
-    ranked. The sorted table is checkpointed so every step sees the same split."""
-    spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = df.repartitionByRange(n_parts, *key).sortWithinPartitions(*key) \
-        .withColumn("__pid", F.spark_partition_id()).checkpoint()
-    sizes = sorted((r["__pid"], r["n"]) for r in
-                   srt.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    taken, full, boundary, need = 0, [], None, 0
-    for pid, cnt in sizes:
-        if taken + cnt <= k:
-            full.append(pid)
-            taken += cnt
-        else:
-            boundary, need = pid, k - taken
-            break
-    out = srt.where(F.col("__pid").isin(full))
-    if boundary is not None and need > 0:
-        # rank inside the boundary partition only (about n / partitions rows)
-        w = Window.partitionBy("__pid").orderBy(*key)
-        cut = (srt.where(F.col("__pid") == boundary)
-               .withColumn("__rank", F.row_number().over(w))
-               .where(F.col("__rank") <= need).drop("__rank"))
-        out = out.unionByName(cut)
-    return out.drop("__pid")
+    size = F.abs(F.col("value"))
+    sizes = detections.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("rows"))
+    groups = max(1, n // group_rows)
+    ranged = (sizes.repartitionByRange(groups, F.col("size").desc())
+              .withColumn("part", F.spark_partition_id()))
+    ranged = ranged.persist()
+    try:
+        parts = (ranged.groupBy("part").agg(F.sum("rows").alias("rows")).orderBy("part").collect())
+        above, cut_part = 0, parts[-1]["part"] if parts else 0
+        for p in parts:
+            if above + p["rows"] >= k:
+                cut_part = p["part"]
+                break
+            above += p["rows"]
+        running = F.sum("rows").over(Window.partitionBy("part").orderBy(F.desc("size")))
+        cut = (ranged.where(F.col("part") == cut_part).withColumn("upto", running + above)
+               .where(F.col("upto") >= k).orderBy(F.desc("size")).first())
+    finally:
+        ranged.unpersist()
+    if cut is None:
+        return detections.limit(0)
+    at = detections.where(size.eqNullSafe(F.lit(cut["size"])))
+    need = k - (cut["upto"] - cut["rows"])
+    first = (at.withColumn("__rank", F.row_number().over(
+        Window.partitionBy(size).orderBy(*tie))).where(F.col("__rank") <= need).drop("__rank"))
+    return detections.where(size > F.lit(cut["size"])).unionByName(first)
 
 
 def selections_by_detector(selections: DataFrame) -> DataFrame:

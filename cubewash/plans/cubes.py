@@ -14,8 +14,9 @@ Three shapes:
 Money is summed as ``decimal(18,2)`` (order-free, exact) and cast to double at
 the end, so results do not depend on partitioning.
 
-Join plan (sizes at 100 TB in mind): the date filter and the column pruning
-reach the lineitem scan. Lines get their brand from ``part`` and their nation
+Periods come from the data: a cube has the default labels, widened to the first
+and last date, so no fact falls outside. Join plan (sizes at 100 TB in mind):
+column pruning and the null filter reach the lineitem scan. Lines get their brand from ``part`` and their nation
 from ``orders x customer`` (built on the orders side, which is 4x smaller than
 lineitem), so lineitem-sized data crosses at most two shuffles (by part key,
 then by order key) and none when a dimension fits the broadcast threshold.
@@ -31,8 +32,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.periods import YYYY_M, YYYYQN, date_period_index_col, period_label_col, \
-    period_labels
+from ..functions.periods import YYYY_M, YYYYQN, date_period_index_col, format_period, parse_period, \
+    period_label_col, period_labels
 from ..sources.cube import long_to_wide
 
 MONEY = "decimal(18,2)"
@@ -50,17 +51,28 @@ def month_labels(start: str = "1995_1", end: str = "2001_8") -> list[str]:
     return period_labels(start, end, YYYY_M)
 
 
-def nation_brand_facts(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:
-    """Long form (n_name, p_brand, period, value decimal) of the main cube."""
-    first, last = labels[0], labels[-1]
-    lo = int(first[:4]), int(first[-1])
-    hi = int(last[:4]), int(last[-1])
-    start = f"{lo[0]:04d}-{3 * (lo[1] - 1) + 1:02d}-01"
-    end_month = 3 * hi[1] + 1
-    end = (f"{hi[0]:04d}-{end_month:02d}-01" if end_month <= 12 else f"{hi[0] + 1:04d}-01-01")
+def covering(default: list[str], dates: DataFrame, fmt: str) -> list[str]:
+    """The default labels, widened to all periods that the dates (one column) fall into."""
+    index = date_period_index_col(F.col(dates.columns[0]), fmt)
+    span = dates.agg(F.min(index).alias("lo"), F.max(index).alias("hi")).first()
+    if span["lo"] is None:
+        return default
+    lo, hi = parse_period(default[0], fmt), parse_period(default[-1], fmt)
+    return [format_period(i, fmt) for i in range(min(lo, span["lo"]), max(hi, span["hi"]) + 1)]
+
+
+def ship_quarters(spark: SparkSession, sf_dir: str) -> list[str]:
+    return covering(quarter_labels(), table(spark, sf_dir, "lineitem").select("l_shipdate"), YYYYQN)
+
+
+def order_months(spark: SparkSession, sf_dir: str) -> list[str]:
+    return covering(month_labels(), table(spark, sf_dir, "orders").select("o_orderdate"), YYYY_M)
+
+
+def nation_brand_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form (n_name, p_brand, period, value decimal) of the main cube, of all lines."""
     li = (table(spark, sf_dir, "lineitem")
-          .where((F.col("l_shipdate") >= F.lit(start).cast("timestamp"))
-                 & (F.col("l_shipdate") < F.lit(end).cast("timestamp")))
+          .where(F.col("l_shipdate").isNotNull())
           .select(
               "l_orderkey", "l_partkey",
               period_label_col(date_period_index_col(F.col("l_shipdate"), YYYYQN), YYYYQN)
@@ -83,40 +95,41 @@ def nation_brand_facts(spark: SparkSession, sf_dir: str, labels: list[str]) -> D
 
 def nation_brand_cube(spark: SparkSession, sf_dir: str,
                       labels: list[str] | None = None) -> DataFrame:
-    labels = labels or quarter_labels()
-    facts = nation_brand_facts(spark, sf_dir, labels)
+    labels = labels or ship_quarters(spark, sf_dir)
+    facts = nation_brand_facts(spark, sf_dir)
     return long_to_wide(facts, ["n_name", "p_brand"], "period", "v", labels, fill=0.0)
 
 
 def customer_brand_cube(spark: SparkSession, sf_dir: str,
-                        labels: list[str] | None = None) -> DataFrame:
-    """``c_name x p_brand`` by ship quarter, zero-filled; rows grow with the data."""
-    labels = labels or quarter_labels()
-    li = (table(spark, sf_dir, "lineitem")
+                        labels: list[str] | None = None, returns_only: bool = False) -> DataFrame:
+    """``c_name x p_brand`` by ship quarter, zero-filled; rows grow with the data.
+
+    ``returns_only`` counts returned lines alone (others are 0), so many rows are all zero."""
+    labels = labels or ship_quarters(spark, sf_dir)
+    price = F.col("l_extendedprice").cast(MONEY)
+    other = F.lit(0).cast(MONEY) if returns_only else price
+    li = (table(spark, sf_dir, "lineitem").where(F.col("l_shipdate").isNotNull())
           .select("l_orderkey", "l_partkey",
-                  period_label_col(date_period_index_col(F.col("l_shipdate"), YYYYQN), YYYYQN)
-                  .alias("period"),
-                  F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice").cast(MONEY))
-                  .otherwise(F.col("l_extendedprice").cast(MONEY)).alias("v"))
-          .where(F.col("period").isin(labels)))
+                  date_period_index_col(F.col("l_shipdate"), YYYYQN).alias("index"),
+                  F.when(F.col("l_returnflag") == "R", -price).otherwise(other).alias("v")))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     lines = li.join(part, li.l_partkey == part.p_partkey)
     facts = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-             .groupBy("o_custkey", "p_brand", "period").agg(F.sum("v").alias("v"))
+             # the period stays a number until the lines are summed
+             .groupBy("o_custkey", "p_brand", "index").agg(F.sum("v").alias("v"))
              .join(customer, F.col("o_custkey") == customer.c_custkey)
-             .select("c_name", "p_brand", "period", "v"))
+             .select("c_name", "p_brand", period_label_col(F.col("index"), YYYYQN).alias("period"), "v"))
     return long_to_wide(facts, ["c_name", "p_brand"], "period", "v", labels, fill=0.0)
 
 
-def segment_month_facts(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:
-    orders = (table(spark, sf_dir, "orders")
+def segment_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = (table(spark, sf_dir, "orders").where(F.col("o_orderdate").isNotNull())
               .select("o_custkey", "o_orderpriority",
                       period_label_col(date_period_index_col(F.col("o_orderdate"), YYYY_M),
                                        YYYY_M).alias("period"),
-                      F.col("o_totalprice").cast(MONEY).alias("v"))
-              .where(F.col("period").isin(labels)))
+                      F.col("o_totalprice").cast(MONEY).alias("v")))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     by_seg = (orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -128,7 +141,7 @@ def segment_month_facts(spark: SparkSession, sf_dir: str, labels: list[str]) ->
 
 def segment_month_cube(spark: SparkSession, sf_dir: str,
                        labels: list[str] | None = None) -> DataFrame:
-    labels = labels or month_labels()
-    facts = segment_month_facts(spark, sf_dir, labels)
+    labels = labels or order_months(spark, sf_dir)
+    facts = segment_month_facts(spark, sf_dir)
     return long_to_wide(facts, ["n_name", "c_mktsegment", "o_orderpriority"], "period", "v",
                         labels, fill=None)

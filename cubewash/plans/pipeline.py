@@ -17,13 +17,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import DETECTORS, ColumnRoles, SchemaError
+from ..functions.cells import q
+from ..model import DETECTORS, FILE_PATH, ROW_INDEX, ColumnRoles, CubeError, SchemaError
 from ..operators import apply as ap
 from ..operators import detect as dt
 from ..operators import profile as pf
 from ..operators import views as vw
 from ..sinks import writers as wr
-from ..sources.cube import read_cube
+from ..sources.cube import read_cube, user_columns
 
 
 @dataclass
@@ -41,18 +42,22 @@ def _roles(df: DataFrame, roles: ColumnRoles | None) -> ColumnRoles:
 
 
 def detect_file(spark: SparkSession, path: str, *, roles: ColumnRoles | None = None,
-                store: str | None = None) -> DetectResult:
-    """Detections of a cube file; re-uses a stored detection table of the current
-    format version when ``store`` holds one, else computes and stores it (S-06)."""
+                store: str | None = None, run_summary: str | None = None) -> DetectResult:
+    """Detections of a cube file; re-uses a stored detection table only if it was made
+    by this format version from the same files, roles and detectors (S-06)."""
     df = read_cube(spark, path)
     resolved = _roles(df, roles)
-    dets = wr.read_detections(spark, store) if store else None
+    made_of = wr.detection_fingerprint(spark, path, resolved, dt.DEFAULT_DETECTORS) if store else ""
+    dets = wr.read_detections(spark, store, made_of) if store else None
     if dets is None:
         dets = dt.detect(df, resolved)
         if store:
-            wr.write_detections(dets, store)
-            dets = wr.read_detections(spark, store)
+            wr.write_detections(dets, store, made_of)
+            dets = wr.read_detections(spark, store, made_of)
     counts = vw.detector_counts(dets).first().asDict()
+    if run_summary:
+        wr.append_run_summary(spark, run_summary, path.rstrip("/").rsplit("/", 1)[-1], status="detected",
+                              row_count=df.count(), anomaly_counts=counts)
     return DetectResult(resolved, dets, counts)
 
 
@@ -98,15 +103,40 @@ def clean_file(spark: SparkSession, path: str, out_dir: str, *,
     return header
 
 
+def preview_rows(df: DataFrame, roles: ColumnRoles, detected: str | None = None) -> DataFrame:
+    """A-05: the rows of a scanned cube with their place, optionally only flagged rows.
+
+    The flag is computed in the row's own narrow pass; nothing is joined."""
+    if detected is None:
+        return df
+    columns = user_columns(df)
+    flagged = dt.flag_cells(df, roles, keep=columns)
+    names = [d.name for d in dt.DEFAULT_DETECTORS]
+    if detected not in (*names, "any"):
+        raise CubeError(f"Unknown detector type '{detected}'.")
+    hit = F.lit(False)
+    for name in names if detected == "any" else [detected]:
+        hit = hit | F.exists(F.col(f"__f_{name}"), lambda x: x)
+    # A generator instead of a filter: a pushed-down filter would repeat the row's statistics.
+    kept = F.explode(F.array_repeat(F.lit(True), hit.cast("int"))).alias("__kept")
+    return flagged.select(*[q(c) for c in columns], FILE_PATH, ROW_INDEX, kept).drop("__kept")
+
+
 def preview(spark: SparkSession, path: str, roles: ColumnRoles, detected: str | None = None,
-            after: int | None = None, limit: int = 100) -> DataFrame:
-    """A-05/A-06: a page of cube rows in file order, optionally only flagged rows."""
+            after: tuple[str, int] | int | None = None, limit: int = 100) -> DataFrame:
+    """A-05/A-06: a page of cube rows in file order, optionally only flagged rows.
+
+    ``after`` is the place of the last row of the page before: its file path and index.
+    An index alone will do for a cube of one file; for more it is an error."""
     df = read_cube(spark, path, check_empty=False)
-    if detected is None:
-        return vw.page(df, after, limit)
-    flags = vw.row_flags(dt.flag_cells(df, roles))
-    rows = vw.flagged_rows(flags, detected).select(dt.ROW_INDEX)
-    return vw.page(df.join(rows, dt.ROW_INDEX, "left_semi"), after, limit)
+    if isinstance(after, int):
+        files = df.inputFiles()
+        if len(files) > 1:
+            raise CubeError("A cube of several files is paged by (file path, row index).")
+        after = (df.select(FILE_PATH).first()[0], after)
+    return vw.page(preview_rows(df, roles, detected), after, limit)
 
 
-_ = F
+def preview_total(spark: SparkSession, path: str, roles: ColumnRoles, detected: str | None = None) -> int:
+    """How many rows all pages of :func:`preview` have together."""
+    return preview_rows(read_cube(spark, path, check_empty=False), roles, detected).count()

@@ -32,10 +32,10 @@ from ..operators import profile as pf
 from ..operators import views as vw
 from .cubes import (
     customer_brand_cube,
-    month_labels,
     nation_brand_cube,
     nation_brand_facts,
     quarter_labels,
+    ship_quarters,
     segment_month_cube,
     segment_month_facts,
     table,
@@ -47,19 +47,25 @@ CUST_IDS = ["c_name", "p_brand"]
 
 
 def main_roles() -> ColumnRoles:
-    labels = quarter_labels()
-    return ColumnRoles(MAIN_IDS, labels, labels)
+    """Roles of the main cube over its default quarters."""
+    return ColumnRoles(MAIN_IDS, quarter_labels(), quarter_labels())
 
 
-def seg_roles() -> ColumnRoles:
-    labels = month_labels()
-    return ColumnRoles(SEG_IDS, labels, labels)
+def _roles_of(cube: DataFrame, ids: list[str]) -> ColumnRoles:
+    """Every column that is no id is a period, so none is left out."""
+    periods = [c for c in cube.columns if c not in ids]
+    return ColumnRoles(ids, periods, periods)
 
 
 def _main(spark: SparkSession, sf: str) -> DataFrame:
     return nation_brand_cube(spark, sf)
 
 
+def _main_and_roles(spark: SparkSession, sf: str) -> tuple[DataFrame, ColumnRoles]:
+    cube = _main(spark, sf)
+    return cube, _roles_of(cube, MAIN_IDS)
+
+
 def _key_cols(ids: list[str]) -> list:
     return [F.col(f"row_key.{c}").alias(c) for c in ids]
 
@@ -67,7 +73,7 @@ def _key_cols(ids: list[str]) -> list:
 # --- P-05 -------------------------------------------------------------------
 
 def cube_long(spark: SparkSession, sf: str) -> DataFrame:
-    facts = nation_brand_facts(spark, sf, quarter_labels())
+    facts = nation_brand_facts(spark, sf)
     return facts.select("n_name", "p_brand", "period", F.col("v").cast("double").alias("value"))
 
 
@@ -79,15 +85,15 @@ def cube_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     """wide -> long (P-05 inverse) of the zero-filled cube."""
     from ..sources.cube import wide_to_long
 
-    labels = quarter_labels()
-    return wide_to_long(_main(spark, sf), MAIN_IDS, labels, period="period", value="value")
+    cube, roles = _main_and_roles(spark, sf)
+    return wide_to_long(cube, MAIN_IDS, roles.measure_columns, period="period", value="value")
 
 
 # --- D-01..D-05, M-* ------------------------------------------------------------
 
 def _detect_one(detector: dt.Detector) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        d = dt.detect_one(_main(spark, sf), main_roles(), detector)
+        d = dt.detect_one(*_main_and_roles(spark, sf), detector)
         return d.select(*_key_cols(MAIN_IDS), "column", "value")
     run.__name__ = f"detect_{detector.name}"
     return run
@@ -100,49 +106,45 @@ def _merged(d: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def detections_merged(spark: SparkSession, sf: str) -> DataFrame:
-    return _merged(dt.detect(_main(spark, sf), main_roles()), MAIN_IDS)
+    return _merged(dt.detect(*_main_and_roles(spark, sf)), MAIN_IDS)
 
 
 def detections_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """Detections on the not-zero-filled monthly cube (NULL cells, 80 periods)."""
-    return _merged(dt.detect(segment_month_cube(spark, sf), seg_roles()), SEG_IDS)
+    cube = segment_month_cube(spark, sf)
+    return _merged(dt.detect(cube, _roles_of(cube, SEG_IDS)), SEG_IDS)
 
 
 def customer_detector_counts(spark: SparkSession, sf: str) -> DataFrame:
     """A-01 on the customer x brand cube, whose row count grows with the data."""
-    labels = quarter_labels()
-    roles = ColumnRoles(CUST_IDS, labels, labels)
-    return vw.detector_counts(dt.detect(customer_brand_cube(spark, sf), roles))
+    cube = customer_brand_cube(spark, sf)
+    return vw.detector_counts(dt.detect(cube, _roles_of(cube, CUST_IDS)))
 
 
 # --- A-* ------------------------------------------------------------------------
 
 def detector_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return vw.detector_counts(dt.detect(_main(spark, sf), main_roles()))
+    return vw.detector_counts(dt.detect(*_main_and_roles(spark, sf)))
 
 
 def magnitude(spark: SparkSession, sf: str) -> DataFrame:
-    d = dt.detect(_main(spark, sf), main_roles())
-    return d.agg(F.count(F.lit(1)).alias("n_detections"),
-                 F.sum(F.abs("value").cast("decimal(18,2)")).cast("double").alias("magnitude"))
+    return vw.totals(dt.detect(*_main_and_roles(spark, sf)))
 
 
 def flagged_rows(spark: SparkSession, sf: str) -> DataFrame:
-    flags = vw.row_flags(dt.flag_cells(_main(spark, sf), main_roles()))
+    flags = vw.row_flags(dt.flag_cells(*_main_and_roles(spark, sf)))
     return vw.flagged_rows(flags, "any").select(*_key_cols(MAIN_IDS), *DETECTORS)
 
 
 def top5pct(spark: SparkSession, sf: str) -> DataFrame:
-    d = dt.detect(_main(spark, sf), main_roles()).select(
+    d = dt.detect(*_main_and_roles(spark, sf)).select(
         *_key_cols(MAIN_IDS), "column", "value")
-    n = d.count()
-    k = max(1, n // 20)
-    return d.orderBy(F.abs("value").desc(), "n_name", "p_brand", "column").limit(k)
+    return vw.top_share(d, 20, tie=["n_name", "p_brand", "column"])
 
 
 def outlier_view(spark: SparkSession, sf: str) -> DataFrame:
     """A-07: detections filtered to a detector set."""
-    d = vw.filter_types(dt.detect(_main(spark, sf), main_roles()), ["outlier", "double_booking"])
+    d = vw.filter_types(dt.detect(*_main_and_roles(spark, sf)), ["outlier", "double_booking"])
     return _merged(d, MAIN_IDS)
 
 
@@ -160,14 +162,13 @@ def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_zero_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """V-19 on the customer x brand cube restricted to one year of quarters."""
-    labels = quarter_labels("2001Q1", "2001Q4")
-    cube = customer_brand_cube(spark, sf, quarter_labels())
-    return pf.all_zero_rows(cube, labels)
+    """V-19 over all quarters of the customer x brand cube of returned lines."""
+    labels = ship_quarters(spark, sf)
+    return pf.all_zero_rows(customer_brand_cube(spark, sf, labels, returns_only=True), labels)
 
 
 def period_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    facts = segment_month_facts(spark, sf, month_labels()).select(
+    facts = segment_month_facts(spark, sf).select(
         *SEG_IDS, period_index_col(F.col("period"), YYYY_M).alias("pidx"))
     gaps = pf.long_period_gaps(facts, SEG_IDS, "pidx")
     return gaps.select(*SEG_IDS, period_label_col(F.col("gap_index"), YYYY_M).alias("gap"))
@@ -207,21 +208,23 @@ def period_parse(spark: SparkSession, sf: str) -> DataFrame:
 # --- G-*, X-* ---------------------------------------------------------------------
 
 def default_policy(spark: SparkSession, sf: str) -> DataFrame:
-    d = dt.detect(_main(spark, sf), main_roles())
-    s = pol.stage_all(d, main_roles().measure_columns, ap.Policy())
+    cube, roles = _main_and_roles(spark, sf)
+    d = dt.detect(cube, roles)
+    s = pol.stage_all(d, roles.measure_columns, ap.Policy())
     return s.join(d.select("detection_id", "row_key", "column"), "detection_id") \
         .select(*_key_cols(MAIN_IDS), "column", "fix", "attribution")
 
 
 def selections_by_detector(spark: SparkSession, sf: str) -> DataFrame:
-    d = dt.detect(_main(spark, sf), main_roles())
-    s = pol.stage_all(d, main_roles().measure_columns, ap.Policy())
+    cube, roles = _main_and_roles(spark, sf)
+    d = dt.detect(cube, roles)
+    s = pol.stage_all(d, roles.measure_columns, ap.Policy())
     return vw.selections_by_detector(s)
 
 
 def _changes(spark: SparkSession, sf: str, policy: ap.Policy) -> DataFrame:
-    roles = main_roles()
-    applied = ap.apply_policy(_main(spark, sf), roles, policy)
+    cube, roles = _main_and_roles(spark, sf)
+    applied = ap.apply_policy(cube, roles, policy)
     return ap.changes(applied, roles)
 
 
@@ -243,8 +246,8 @@ def apply_refund(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaned_cube(spark: SparkSession, sf: str) -> DataFrame:
-    roles = main_roles()
-    return ap.cleaned_cube(ap.apply_policy(_main(spark, sf), roles, ap.Policy()), roles)
+    cube, roles = _main_and_roles(spark, sf)
+    return ap.cleaned_cube(ap.apply_policy(cube, roles, ap.Policy()), roles)
 
 
 def audit_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,8 +271,7 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
 def selections_apply(spark: SparkSession, sf: str) -> DataFrame:
     """X-01..X-03 through the explicit-selection path: every outlier set to zero,
     credited to the outlier detector."""
-    roles = main_roles()
-    cube = _main(spark, sf)
+    cube, roles = _main_and_roles(spark, sf)
     d = dt.detect(cube, roles)
     sel = d.where(F.array_contains("flagged_by", "outlier")).select(
         "detection_id", F.lit("set_to_zero").alias("fix"),

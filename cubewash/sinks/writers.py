@@ -2,9 +2,9 @@
 
 * cleaned cube -> Parquet (snappy), input column order (S-04);
 * audit log -> gzip NDJSON of change rows + a one-row header JSON (S-05);
-* detections -> versioned Parquet table, re-used only when the version matches (S-06);
-* both artifacts of an apply are written under a staging folder, promoted with a
-  file-system rename, and sealed by a commit marker; a second apply is refused (S-07);
+* detections -> Parquet table, re-used only for the same input, roles and version (S-06);
+* both artifacts of an apply are written into a folder per run and committed by creating
+  one pointer; a second apply is refused (S-07);
 * one appended run-summary row per step (S-08).
 
 Writers are Spark's own distributed writers; nothing is collected on the driver.
@@ -12,24 +12,26 @@ Writers are Spark's own distributed writers; nothing is collected on the driver.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import DETECTIONS_FORMAT_VERSION, AlreadyCleanedError
+from ..model import DETECTIONS_FORMAT_VERSION, AlreadyCleanedError, ColumnRoles
 
 COMMIT_MARKER = "_CLEANED"
+POINTER = f"{COMMIT_MARKER}/commit.json"
 
 
-def iso_utc(dt: datetime | None = None) -> str:
-    dt = dt or datetime.now(UTC)
-    if dt.tzinfo is None:
-        dt = dt.replace(tzinfo=UTC)
-    return dt.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+def iso_utc(when: datetime | None = None) -> str:
+    """A moment (default: now; without a zone it is UTC) as text in UTC, by the second."""
+    when = datetime.now(UTC) if when is None else when
+    utc = when.replace(tzinfo=when.tzinfo or UTC).astimezone(UTC)
+    return f"{utc.replace(tzinfo=None).isoformat(timespec='seconds')}Z"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -51,7 +53,7 @@ def write_audit(changes: DataFrame, header: dict, path: str, mode: str = "errori
     """Change rows as gzip JSON lines under ``path/changes``; header under ``path/header``."""
     spark = changes.sparkSession
     out = changes.select(
-        "change_id", "anomaly_type", "change_kind", F.to_json("row_key").alias("row_key"),
+        "change_id", "anomaly_type", "change_kind", "row_key",
         "column", "value_before", "value_after", "suggested_fix", "flagged",
         "parent_change_id")
     out.write.mode(mode).option("compression", "gzip").json(f"{path}/changes")
@@ -63,74 +65,104 @@ def read_audit_header(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/header").first()[0])
 
 
-def write_detections(detections: DataFrame, path: str) -> None:
-    """S-06: detections with a literal format version column."""
-    detections.withColumn("format_version", F.lit(DETECTIONS_FORMAT_VERSION)) \
-        .write.mode("overwrite").parquet(path)
-
-
-def read_detections(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored detection table, or None when missing, unreadable or of another
-    version (the caller then recomputes). Reads one row to check the version."""
-    try:
-        df = spark.read.parquet(path)
-        if "format_version" not in df.columns:
-            return None
-        bad = df.where(F.col("format_version") != DETECTIONS_FORMAT_VERSION).limit(1).count()
-        if bad:
-            return None
-        return df.drop("format_version")
-    except (AnalysisException, Exception):
+def detection_fingerprint(spark: SparkSession, path: str, roles: ColumnRoles, detectors) -> str:
+    """What a detection table was made of: input files (name, length, time), roles, detectors, version."""
+    fs, p, _ = _fs(spark, path)
+    files, listed = [], fs.listFiles(p, True)
+    while listed.hasNext():
+        f = listed.next()
+        files.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    parts = [DETECTIONS_FORMAT_VERSION, sorted(files), roles.id_columns, roles.time_columns,
+             roles.measure_columns, [d.name for d in detectors]]
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
+
+def write_detections(detections: DataFrame, path: str, made_of: str = "") -> None:
+    """S-06: detections, and under ``path/_made_of`` what they were made of (written last)."""
+    spark = detections.sparkSession
+    fs, p, _ = _fs(spark, f"{path}/_made_of")
+    fs.delete(p, True)
+    detections.write.mode("overwrite").parquet(f"{path}/detections")
+    spark.createDataFrame([(f"{DETECTIONS_FORMAT_VERSION}:{made_of}",)], "value string") \
+        .coalesce(1).write.mode("overwrite").text(f"{path}/_made_of")
+
+
+def read_detections(spark: SparkSession, path: str, made_of: str = "") -> DataFrame | None:
+    """A stored detection table, or None when there is none that was completely written
+    from the same input, roles, detectors and format version (the caller then recomputes)."""
+    if not path_exists(spark, f"{path}/_made_of/_SUCCESS"):
+        return None
+    if spark.read.text(f"{path}/_made_of").first()[0] != f"{DETECTIONS_FORMAT_VERSION}:{made_of}":
         return None
+    return spark.read.parquet(f"{path}/detections")
 
 
 def commit_apply(spark: SparkSession, out_dir: str, cleaned: DataFrame, changes: DataFrame,
                  header: dict) -> dict:
     """S-07: write both artifacts once.
 
-    Both are written under ``out_dir/_staging-<run>``; only when both succeeded
-    are they renamed into place and the commit marker written. A failed run
-    leaves no marker and its staging folder is removed. A second call after a
-    successful one raises :class:`AlreadyCleanedError`."""
-    if path_exists(spark, f"{out_dir}/{COMMIT_MARKER}") or path_exists(spark, f"{out_dir}/cleaned"):
-        raise AlreadyCleanedError(
-            "File already cleaned. Download the cleaned file and audit log instead.")
-    staging = f"{out_dir}/_staging-{uuid.uuid4().hex[:8]}"
-    fs, _, jvm = _fs(spark, out_dir)
+    Each run writes into a folder of its own, ``out_dir/run-<id>``. Only when both
+    artifacts are complete the pointer (a file in ``out_dir/_CLEANED``) is created with the
+    run's name and the header in it; creating it fails if it exists, so of any number of concurrent or
+    repeated runs one is committed. Readers follow the pointer (:func:`committed_artifact`).
+    A run that fails or loses leaves no pointer, and its folder is removed."""
+    fs, marker, jvm = _fs(spark, f"{out_dir}/{POINTER}")
+    taken = "File already cleaned. Download the cleaned file and audit log instead."
+    if fs.exists(marker):
+        raise AlreadyCleanedError(taken)
+    run = f"run-{uuid.uuid4().hex}"
+    committed = False
     try:
-        write_cleaned(cleaned, f"{staging}/cleaned")
-        write_audit(changes, header, f"{staging}/audit")
+        write_cleaned(cleaned, f"{out_dir}/{run}/cleaned")
+        write_audit(changes, header, f"{out_dir}/{run}/audit")
+        try:
+            out = fs.create(marker, False)  # atomic: fails if another run was first
+        except Exception as exc:
+            if fs.exists(marker):
+                raise AlreadyCleanedError(taken) from exc
+            raise
+        out.write(json.dumps({"run": run, **header}).encode())
+        out.close()
+        committed = True
+        # Published under plain names too where these are free; the pointer is what counts.
         for name in ("cleaned", "audit"):
-            src = jvm.org.apache.hadoop.fs.Path(f"{staging}/{name}")
-            dst = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{name}")
-            if not fs.rename(src, dst):
-                raise OSError(f"could not promote {name}")
-        spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1) \
-            .write.mode("errorifexists").text(f"{out_dir}/{COMMIT_MARKER}")
+            plain = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{name}")
+            if not fs.exists(plain):
+                fs.rename(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{run}/{name}"), plain)
     finally:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+        if not committed:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{run}"), True)
     return header
 
 
+def committed_artifact(spark: SparkSession, out_dir: str, name: str) -> str | None:
+    """Folder of a committed artifact (``cleaned`` or ``audit``), None before a commit."""
+    if not path_exists(spark, f"{out_dir}/{POINTER}"):
+        return None
+    text = spark.read.text(f"{out_dir}/{COMMIT_MARKER}").first()
+    if text is None:  # the committing run died while it wrote the pointer
+        return None
+    own = f"{out_dir}/{json.loads(text[0])['run']}/{name}"
+    return own if path_exists(spark, own) else f"{out_dir}/{name}"
+
+
 def append_run_summary(spark: SparkSession, path: str, file_id: str, **fields) -> None:
-    """S-08: append one state row for ``file_id``."""
-    row = {"file_id": file_id, "updated_at": iso_utc(),
-           "row_count": fields.get("row_count"), "status": fields.get("status"),
-           "anomaly_counts": json.dumps(fields.get("anomaly_counts")) if fields.get(
-               "anomaly_counts") is not None else None,
-           "applied_changes": fields.get("applied_changes"),
-           "cleaned_at": fields.get("cleaned_at")}
-    schema = ("file_id string, updated_at string, row_count long, status string, "
+    """S-08: append one event for ``file_id``; fields that are not given stay as they were.
+
+    Events are numbered by the nanosecond clock, so two in one second keep their order."""
+    counts = fields.get("anomaly_counts")
+    row = (file_id, time.time_ns(), iso_utc(), fields.get("row_count"), fields.get("status"),
+           None if counts is None else json.dumps(counts), fields.get("applied_changes"),
+           fields.get("cleaned_at"))
+    schema = ("file_id string, seq long, updated_at string, row_count long, status string, "
               "anomaly_counts string, applied_changes long, cleaned_at string")
-    spark.createDataFrame([tuple(row.values())], schema).coalesce(1) \
-        .write.mode("append").parquet(path)
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
 
 
 def latest_run_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Latest state per file: the newest row of each file_id (``max_by`` with
-    map-side partial aggregation, so a file with many rows stays cheap)."""
+    """Latest state per file: of each field the newest value that an event gave
+    (``max_by`` ignores nothing by itself, so the order is null where the field is)."""
     df = spark.read.parquet(path)
-    cols = [c for c in df.columns if c != "file_id"]
-    return (df.groupBy("file_id")
-            .agg(F.max_by(F.struct(*cols), F.col("updated_at")).alias("__s"))
-            .select("file_id", "__s.*"))
+    fields = [c for c in df.columns if c not in ("file_id", "seq")]
+    return df.groupBy("file_id").agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields])

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.cells import cells_array, q
 from ..model import (
     CELLS,
+    FILE_PATH,
+    INTERNAL,
     ROW_ID,
     ROW_INDEX,
     DuplicateColumnsError,
     EmptyInputError,
+    ReservedNameError,
     UnreadableInputError,
 )
 
@@ -32,12 +35,14 @@ def read_cube(spark: SparkSession, path: str, *, with_row_index: bool = True,
     * unreadable / non-Parquet input -> :class:`UnreadableInputError`,
     * zero rows -> :class:`EmptyInputError` (``isEmpty`` reads at most one row group).
 
-    ``with_row_index`` keeps the file order as ``__row_index`` (plus the file name,
-    so the pair is unique across a multi-file table); it costs nothing extra.
+    ``with_row_index`` keeps the place of a row: its file's path and its index in
+    that file. Together they identify the row and order a table of many files; they
+    cost nothing extra. Columns such as `Rev` and `rev` are distinct only in a session
+    with ``spark.sql.caseSensitive``; other sessions get DuplicateColumnsError.
+
+    The scan is not repartitioned; a session that wants more tasks for a small file
+    sets ``spark.sql.files.maxPartitionBytes`` or ``minPartitionNum``.
     """
-    if spark.conf.get("spark.sql.caseSensitive") != "true":
-        # Column names such as `Rev` and `rev` are distinct cube columns.
-        spark.conf.set("spark.sql.caseSensitive", "true")
     try:
         df = spark.read.parquet(path)
         cols = df.columns
@@ -55,18 +60,15 @@ def read_cube(spark: SparkSession, path: str, *, with_row_index: bool = True,
     dups = sorted({c for c in cols if cols.count(c) > 1})
     if dups:
         raise DuplicateColumnsError(dups)
+    taken = sorted(set(cols) & INTERNAL)
+    if taken:
+        raise ReservedNameError(f"The cube has a column named '{taken[0]}', which is reserved.")
     if with_row_index:
         df = df.select(
             "*",
-            F.col("_metadata.file_name").alias("__file_name"),
+            F.col("_metadata.file_path").alias(FILE_PATH),
             F.col("_metadata.row_index").alias(ROW_INDEX),
         )
-    # Detection and apply cost CPU per row. A small cube (one row group) would be
-    # a single scan task; spread it over the cores. Large inputs already have
-    # many more splits than cores and are left alone (no shuffle).
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
     if check_empty:
         try:
             empty = df.isEmpty()
@@ -81,7 +83,7 @@ def read_cube(spark: SparkSession, path: str, *, with_row_index: bool = True,
 
 def user_columns(df: DataFrame) -> list[str]:
     """Columns of the cube itself (without the ones this library adds)."""
-    return [c for c in df.columns if not c.startswith("__")]
+    return [c for c in df.columns if c not in INTERNAL]
 
 
 def row_key(ids: list[str]) -> Column:
@@ -123,7 +125,12 @@ def long_to_wide(facts: DataFrame, ids: list[str], period: str, value: str,
 
     One hash aggregate with one conditional sum per label: map-side partial
     sums, a single shuffle on the id tuple (``pivot`` would aggregate twice), and
-    no distinct job since the labels are given."""
+    no distinct job since the labels are given. A fact of any other period is an
+    error, never dropped."""
+    known = F.col(period).isin(labels)
+    facts = facts.withColumn(period, F.when(known, F.col(period)).otherwise(F.raise_error(F.concat(
+        F.lit("period outside the cube: "), F.coalesce(F.col(period).cast("string"), F.lit("NULL"))))))
+
     def cell(lab: str):
         s = F.sum(F.when(F.col(period) == F.lit(lab), F.col(value)))
         if fill is not None:

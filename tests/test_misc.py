@@ -97,3 +97,121 @@ def test_detect_and_policy_apply_plans_have_no_shuffle(spark):
     for q in (dt.detect(df, roles), ap.changes(ap.apply_policy(df, roles), roles)):
         plan = q._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+
+
+def test_user_columns_with_internal_looking_names_survive(spark):
+    from cubewash.operators import apply as ap
+
+    df = spark.createDataFrame([("a", "n1", -5.0, 5.0, 4.0), ("b", "n2", 1.0, 2.0, 3.0)],
+                               "row_key string, __note string, m1 double, m2 double, m3 double")
+    roles = ColumnRoles(["row_key"], ["m1", "m2", "m3"], ["m1", "m2", "m3"])
+    cleaned = ap.cleaned_cube(ap.apply_policy(df, roles, ap.Policy()), roles)
+    assert cleaned.columns == df.columns
+    assert sorted(r["__note"] for r in cleaned.collect()) == ["n1", "n2"]
+
+
+def test_reserved_column_is_refused(spark):
+    from cubewash.model import ReservedNameError
+    from cubewash.sources.cube import read_cube
+
+    d = tempfile.mkdtemp(prefix="cubewash-test-")
+    spark.createDataFrame([("a", 1.0)], "id string, __cells double").write.parquet(f"{d}/c.parquet")
+    try:
+        read_cube(spark, f"{d}/c.parquet")
+    except ReservedNameError:
+        return
+    raise AssertionError("a reserved name was taken")
+
+
+def test_pages_over_several_files_hold_every_row_once(spark):
+    from cubewash.model import FILE_PATH, ROW_INDEX
+
+    d = tempfile.mkdtemp(prefix="cubewash-test-")
+    rows = [(f"r{k}", -1.0 if k == 0 else 1.0, 2.0, 3.0) for k in range(9)]
+    spark.createDataFrame(rows, "id string, m1 double, m2 double, m3 double") \
+        .repartition(3).write.parquet(f"{d}/c.parquet")
+    roles = ColumnRoles(["id"], ["m1", "m2", "m3"], ["m1", "m2", "m3"])
+    seen, after = [], None
+    while True:
+        got = pipeline.preview(spark, f"{d}/c.parquet", roles, after=after, limit=2).collect()
+        if not got:
+            break
+        seen += [r["id"] for r in got]
+        after = (got[-1][FILE_PATH], got[-1][ROW_INDEX])
+    assert sorted(seen) == sorted(r[0] for r in rows) and len(seen) == 9
+    flagged = pipeline.preview(spark, f"{d}/c.parquet", roles, detected="negative").collect()
+    assert [r["id"] for r in flagged] == ["r0"]
+    assert pipeline.preview_total(spark, f"{d}/c.parquet", roles) == 9
+    assert pipeline.preview_total(spark, f"{d}/c.parquet", roles, "negative") == 1
+
+
+def test_findings_are_data_and_no_measures_find_nothing(spark):
+    from cubewash.operators import detect as dt
+    from cubewash.operators import profile as pf
+
+    df = spark.createDataFrame([("a", None, "x"), ("b", None, "y")], "id string, day date, `2021_1` string")
+    found = {(r["check_id"], r["severity"]) for r in pf.findings(df).collect()}
+    assert ("V-14", "soft") in found
+    schema = pf.infer_schema(df)
+    assert schema.roles.id_columns == ["id", "day"] and schema.roles.measure_columns == []
+    none = dt.detect(df, schema.roles)
+    assert none.count() == 0 and "flagged_by" in none.columns
+
+
+def test_null_fix_is_refused_and_unlisted_period_is_an_error(spark):
+    from cubewash.model import InvalidSelectionError
+    from cubewash.operators import apply as ap
+    from cubewash.operators import detect as dt
+    from cubewash.sources.cube import long_to_wide
+
+    df = spark.createDataFrame([("a", -5.0, 5.0, 4.0)], "id string, m1 double, m2 double, m3 double")
+    roles = ColumnRoles(["id"], ["m1", "m2", "m3"], ["m1", "m2", "m3"])
+    dets = dt.detect(df, roles)
+    chosen = dets.limit(1).select("detection_id", F.lit(None).cast("string").alias("fix"))
+    try:
+        ap.validate_selections(dets, chosen)
+        raise AssertionError("a missing fix was accepted")
+    except InvalidSelectionError:
+        pass
+    facts = spark.createDataFrame([("a", "2021_1", 1.0), ("a", "2030_1", 1.0)], "id string, p string, v double")
+    try:
+        long_to_wide(facts, ["id"], "p", "v", ["2021_1"]).collect()
+        raise AssertionError("a period was dropped")
+    except Exception as exc:  # noqa: BLE001
+        assert "2030_1" in str(exc)
+
+
+def test_stored_detections_of_other_roles_are_not_used(spark):
+    d = tempfile.mkdtemp(prefix="cubewash-test-")
+    spark.createDataFrame([("a", 1.0, -2.0, -3.0)], "id string, `2021_1` double, `2021_2` double, `2021_3` double") \
+        .coalesce(1).write.parquet(f"{d}/c.parquet")
+    for other in ("2021_2", "2021_3"):
+        roles = ColumnRoles(["id"], ["2021_1", other], ["2021_1", other])
+        got = pipeline.detect_file(spark, f"{d}/c.parquet", roles=roles, store=f"{d}/store").detections
+        assert {r["column"] for r in got.collect()} == {other}
+
+
+def test_run_summary_merges_fields(spark):
+    from cubewash.sinks import writers as wr
+
+    path = tempfile.mkdtemp(prefix="cubewash-test-") + "/runs"
+    wr.append_run_summary(spark, path, "f", status="detected", row_count=3, anomaly_counts={"negative": 1})
+    wr.append_run_summary(spark, path, "f", status="cleaned", applied_changes=2)
+    row = wr.latest_run_summary(spark, path).first()
+    assert (row["status"], row["row_count"], row["applied_changes"]) == ("cleaned", 3, 2)
+    assert row["anomaly_counts"] == '{"negative": 1}'
+
+
+def test_commit_survives_a_leftover_folder(spark):
+    from cubewash.sinks import writers as wr
+
+    out = tempfile.mkdtemp(prefix="cubewash-test-")
+    df = spark.createDataFrame([(1,)], "x int")
+    changes = spark.createDataFrame([], "change_id string, anomaly_type string, change_kind string, "
+                                    "row_key struct<id: string>, column string, value_before double, value_after double, "
+                                    "suggested_fix string, flagged boolean, parent_change_id string")
+    df.write.parquet(f"{out}/audit/old")
+    wr.commit_apply(spark, out, df, changes, {"file_id": "f"})
+    audit = wr.committed_artifact(spark, out, "audit")
+    assert wr.read_audit_header(spark, audit) == {"file_id": "f"}
+    assert spark.read.parquet(wr.committed_artifact(spark, out, "cleaned")).count() == 1
