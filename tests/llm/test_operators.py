@@ -1,0 +1,325 @@
+"""Operators of the subpackage llm against brute force, with the edge cases of their docstrings."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cubewash.llm import (
+    bitmask_langid, byte_cnn_quality, decontam_mih, forced_bpe, mih_ann, pii_boost, pst_lm,
+    secret_forest, simhash_vptree, suffix_family)
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+WORDS = [a + b for a in ("the", "ing", "on", "er", "sta") for b in ("", "a", "to", "re", "ble", "X")]
+SCHEMA = "doc_id long, text string, lang string, fp long, rid string, matches int"
+
+
+def words_of(text):
+    return (text or "").translate(LOWER).encode().split()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    made = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 160))) for _ in range(40)]
+    made += [made[0], made[0] + " tail", made[5][: len(made[5]) // 2] + made[6], None, "", " \t\n ", None,
+             "a", "ab " * 700, "é ñ ß", "x" * 5000]
+    return made
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 3 + 1, t, "en" if i % 2 else "de", 7, "r", 1) for i, t in enumerate(texts)]
+    rows += [(1, texts[0], "en", 7, "r", 1), (None, texts[1], None, 7, "r", 1), (None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_simhash_components_equal_brute_force(spark, docs, texts, monkeypatch):
+    got = simhash_vptree.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+
+    def fingerprint(text):
+        w = words_of(text)
+        shingles = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    prints = [fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None),
+                    default=None) for g in set(group)}
+    want = sorted((str(rows[i][0]), f"{prints[i]:016x}", str(least[group[i]])) for i in range(len(rows)))
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == want
+    kept = simhash_vptree.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(group))
+
+
+def test_vp_tree_links_are_exact_over_shards(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    near = base[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
+    chain = near[:50] ^ (np.uint64(1) << rng.integers(0, 63, 50).astype(np.uint64))
+    points = np.unique(np.concatenate([base, near, chain]))
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    found = {r["node"]: r["root"] for r in simhash_vptree.components(
+        simhash_vptree.forest(df, 2, shard_rows=60)).collect()}
+    label = np.arange(len(points))
+    link = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
+    for _ in range(10):
+        label = np.where(link, label[None, :], len(points)).min(axis=1)
+    values = points.view(np.int64).tolist()
+    want = {}
+    for i, v in enumerate(values):
+        members = [values[j] for j in range(len(values)) if label[j] == label[i]]
+        if len(members) > 1:
+            want[v] = min(members)
+    assert found == want
+
+
+def test_ann_recall_ties_and_unusable_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[300:330] = x[7]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    rows += [(1000, None, 1), (1100, [0.0] * 16, 1), (1200, [float("nan")] * 16, 1), (1300, [1.0] * 3, 1),
+             (None, x[3].tolist(), 1), (5, x[5].tolist(), 2), (1400, [None] + [1.0] * 15, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, ids int")
+    got = mih_ann.search(df, F.col("vec_id") % 100 == 0).collect()
+    assert {r["query_id"] for r in got} == {0, 100, 200, 300, 400, 500}
+    d = x.astype(np.float64)
+    hits = []
+    for q in range(0, 600, 100):
+        dist = np.sqrt(((d - d[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(600), dist)) if i != q][:10]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 11))
+        assert all(abs(dist[r["vec_id"]] - r["score"]) < 1e-12 for r in mine)
+        hits.append(len({r["vec_id"] for r in mine} & set(order)))
+    assert sum(hits) >= 54
+    assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 300), key=lambda r: r["rank"])] == [
+        7, *range(301, 310)]
+    empty = mih_ann.search(df.where("vec_id = -1"), F.col("vec_id") % 100 == 0)
+    assert empty.count() == 0
+
+
+def test_suffix_family_equals_brute_force(spark, docs):
+    length = 60
+    got = suffix_family.removal_digests(docs, length).collect()
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    seen = Counter(t[p:p + length] for _, t in rows for p in range(len(t) - length + 1))
+    want = []
+    for i, t in rows:
+        covered = np.zeros(len(t), bool)
+        for p in range(len(t) - length + 1):
+            if seen[t[p:p + length]] > 1:
+                covered[p:p + length] = True
+        spans = int((np.diff(np.concatenate([[0], covered.astype(int)])) == 1).sum())
+        kept = bytes(np.frombuffer(t, np.uint8)[~covered])
+        want.append((str(i), len(t), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
+
+
+def test_suffix_tree_lm_base_and_normalisation(spark, docs):
+    got = pst_lm.score(docs).collect()
+    rows = [(r["doc_id"], words_of(r["text"]) + [b"\n"]) for r in docs.collect()]
+    fold = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5
+    c = Counter(w for i, t in rows for w in t if fold(i) != 1)
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(i), fold(i) == 1, len(t), sum(c[w] > 0 for w in t), n) for i, t in rows)
+    assert sorted((str(r[0]), *r[1:5]) for r in got) == want
+    sums = sorted(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for _, t in rows)
+    assert np.allclose(sorted(r["base_score"] for r in got), sums)
+    assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
+    # every state's distribution sums to that of its suffix: no mass is made or lost
+    train = docs.select("text")
+    tree = pst_lm.fit(train, pst_lm.checkpoint(pst_lm.word_counts(train)))
+    assert tree.contexts and len(tree.contexts[0][0])
+    every = np.arange(len(tree.words))
+    root = tree.root(tree.counts)
+    for context in tree.contexts[0][0][:5]:
+        shift = pst_lm._correction_of(tree, np.full((len(every), 1), context), every)
+        unseen = 1 - root.sum()  # mass of unknown words, scaled like any unlisted token
+        scale = tree.contexts[0][1][np.searchsorted(tree.contexts[0][0], context)]
+        assert abs((root * 10**shift).sum() + unseen * 10**scale - 1) < 0.02
+
+
+def test_forced_bpe_equals_the_library(spark, docs):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    mine = forced_bpe.ForcedBoundaryBpe(forced_bpe.BpeModel.load(path))
+    rng = random.Random(5)
+    alphabet = "abcdeIéß'’0123٣ ÅΣσ́中文😀-_.!\n\x1c\x85<|>"
+    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    cases += ["<|endoftext|>a b<|startoftext|> <|endoftext|>", "don't we'll 'S x'RE", "ΑΣ Σ İ", "q" * 3000, ""]
+    for case in cases:
+        ids = library.encode(case, add_special_tokens=False).ids
+        assert mine.encode(case) == ids, case
+        assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    for r in forced_bpe.encode_digests(docs, path).join(docs.select("doc_id", "text"), "doc_id").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_quality_network_learns_and_handles_edges(spark):
+    rng = random.Random(1)
+    good = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(150)]
+    rows = [(i, t if i % 3 else t.replace(" ", "!! ").upper(), 9) for i, t in enumerate(good)]
+    docs = spark.createDataFrame(rows + [(900, None, 9), (901, "", 9), (902, "x" * 200_000, 9), (5, good[5], 9)],
+                                 "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)] + [(None, 1, 0), (3, None, 0)],
+                                   "doc_id long, quality int, toxic int")
+    got = byte_cnn_quality.score_quality(docs, labels).collect()
+    assert len(got) == 154 and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 150]
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) >= 0.95 * len(held)
+    kept = byte_cnn_quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    none = byte_cnn_quality.score_quality(docs, labels.where("doc_id < 0")).collect()
+    assert {r["score"] for r in none} == {0.5}
+
+
+def test_language_filters(spark):
+    rng = random.Random(2)
+    stems = {"aa": ["kor", "mel", "tün", "ba"], "bb": ["shi", "nga", "wé", "lo"], "cc": ["pre", "qua", "zi", "do"]}
+    rows = []
+    for i in range(120):
+        lang = ("aa", "bb", "cc")[i % 3]
+        rows.append((i, " ".join("".join(rng.choices(stems[lang], k=2)) for _ in range(40)), lang))
+    odd = [(500, None, "aa"), (501, "", "aa"), (502, "123 !?", "bb"), (503, "q", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in bitmask_langid.predict_language(docs).collect()}
+    assert len(got) == 124
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
+    assert [got[i]["lang_pred"] for i in (500, 501, 502)] == ["und"] * 3
+    assert got[503]["lang_pred"] in stems and all(0 <= r["score"] <= 1 for r in got.values())
+    none = bitmask_langid.predict_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r["lang_pred"] for r in none} == {"und"}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        value = int(c) * (1 + i % 2)
+        total += value - 9 * (value > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15)}
+    return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m.group())]
+
+
+def test_personal_data_base_spans(spark):
+    cases = ["a@b.c_x@d.e", "1.2.3.4.5.6.7.8 999.1.1.1 1.1.1", "+1 (555) 123-4567 x", "4111 1111 1111 1111", "",
+             "é4111-1111-1111-1111 😀 a.b@c-d.e.f", "a" * 20000, "9" * 20000, "1 " * 3000, "a@" * 2000,
+             "+1+1+12345678", "0001.002.3.4 256.1.1.1 00255.1.1.1", "x@y a@b..c a@b.c.", "1.1.1.1 " * 900]
+    rows = [(i, t, 1) for i, t in enumerate(cases)] + [(99, None, 1), (None, cases[3], 1), (3, cases[3], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base int")
+    got = pii_boost.personal_data_digests(docs).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, t, _ in rows:
+        spans = base_spans(t or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((str(i), *[sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")],
+                     hashlib.sha256(text.encode()).hexdigest()))
+        mine = next(r for r in got if r["doc_id"] == i)
+        assert set(filter(None, text.split(","))) <= set(mine["spans"].split(","))
+    assert sorted((str(r[0]), *r[1:6]) for r in got) == sorted(want)
+
+
+def test_secrets_are_found_and_redacted(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        secret = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        card = "".join(rng.choice("0123456789") for _ in range(16))
+        rows.append((i, f'the thing {rng.choice(WORDS)} token = "{secret}" and {card} of it' if i % 2 else
+                     f"the number {card} was on it", "src"))
+    docs = spark.createDataFrame(rows + [(90, None, "s"), (91, "", "s"), (1, rows[1][1], "src")],
+                                 "doc_id long, text string, secret_scan string")
+    got = secret_forest.secret_digests(docs).collect()
+    assert len(got) == 63
+    assert all(r["n_secrets"] == (1 if r["doc_id"] % 2 and r["doc_id"] < 60 else 0) for r in got)
+    clean = secret_forest.redact_secrets(docs)
+    assert clean.columns == docs.columns
+    for r in clean.collect():
+        if r["doc_id"] < 60:
+            old = rows[r["doc_id"]][1]
+            assert r["text"] == re.sub(r'"[0-9a-f]{40}"', '"[SECRET]"', old)
+    assert secret_forest.secret_digests(docs.where("doc_id > 80")).count() == 2
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(n))
+    items = [(i, text(rng.randint(12, 50))) for i in range(12)] + [(50, "Only three words"), (51, None), (52, "")]
+    items.append((60, items[0][1].upper()))
+    rows = []
+    for i in range(30):
+        words = items[i % 12][1].split()
+        if i % 3 == 0:
+            words[-1] = "changed"
+        if i % 5 == 0:
+            words[len(words) // 2] = "other"
+        rows.append((i, f"{text(40)} {' '.join(words)}\n{text(30)}" if i < 24 else text(90), 0))
+    rows += [(100, None, 0), (101, "", 0), (102, "it has only THREE words", 0), (3, rows[3][1], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, similarity int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def brute(t):
+        w, out = words_of(t), {}
+        for item_id, item in items:
+            iw = words_of(item)
+            k = min(5, len(iw))
+            bag = Counter(tuple(iw[a:a + k]) for a in range(len(iw) - k + 1)) if iw else Counter()
+            for a in range(len(w) - len(iw) + 1 if iw else 0):
+                other = Counter(tuple(w[b:b + k]) for b in range(a, a + len(iw) - k + 1))
+                s = (bag & other).total() / (bag | other).total()
+                if s >= 0.8:
+                    out[item_id] = max(s, out.get(item_id, 0))
+        return sorted(out), max(out.values(), default=0.0)
+
+    got = decontam_mih.find_contamination(docs, bench).collect()
+    want = sorted((i, *brute(t)) for i, t, _ in rows)
+    mine = sorted((r["doc_id"], r["item_ids"], r["similarity"]) for r in got)
+    assert [m[:2] for m in mine] == [x[:2] for x in want]
+    assert np.allclose([m[2] for m in mine], [x[2] for x in want])
+    kept = decontam_mih.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not x[1] for x in want)
+    assert decontam_mih.drop_contaminated(docs, bench.where("item_id < 0")).count() == len(rows)
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("doc_id = -5")
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for made in (simhash_vptree.near_duplicates(none), suffix_family.removal_digests(none), pst_lm.score(none),
+                 byte_cnn_quality.score_quality(none, labels), bitmask_langid.predict_language(none),
+                 pii_boost.personal_data_digests(none), secret_forest.secret_digests(none),
+                 decontam_mih.find_contamination(none, bench)):
+        assert made.count() == 0
