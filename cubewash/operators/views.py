@@ -73,21 +73,21 @@ def page(rows: DataFrame, after: tuple[str, int] | None = None, limit: int = 100
 
 
 def top_share(detections: DataFrame, divisor: int = 20, tie: list[str] | None = None,
-              group_rows: int = 10_000) -> DataFrame:
+              max_driver_rows: int = 10_000) -> DataFrame:
     """A-08: the ``max(1, n // divisor)`` detections with the largest |value|.
 
     Ties break on ``tie`` (default: the detection id). The cut is found by counting:
     rows per |value| give, from the largest down, the value at which the running
     count passes k (the running count goes over groups of neighbouring values, whose
     number follows the row count, so no task or driver holds more than
-    ``group_rows`` values or one row per group). All rows above the cut are kept, and
+    ``max_driver_rows`` values or one row per group). All rows above the cut are kept, and
     of the rows at the cut the first by ``tie``. Nothing is sorted as a whole."""
     tie = tie or ["detection_id"]
     n = detections.count()
     k = max(1, n // divisor)
     size = F.abs(F.col("value"))
     sizes = detections.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("rows"))
-    groups = max(1, n // group_rows)
+    groups = max(1, n // max(1, max_driver_rows))
     ranged = (sizes.repartitionByRange(groups, F.col("size").desc())
               .withColumn("part", F.spark_partition_id()))
     ranged = ranged.persist()
