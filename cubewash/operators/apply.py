@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import q
+from ..functions.cells import cells_array, q
 from ..model import (
     ACTIONS,
     APPLIED,
@@ -438,6 +438,19 @@ def changes(applied: DataFrame, roles: ColumnRoles, run_id: str = "run") -> Data
     )
 
 
+def what_if(applied: DataFrame, roles: ColumnRoles) -> DataFrame:
+    """X-15: the cells that the fixes would change (row_key, column, value_before,
+    value_after). A lazy, narrow view of an applied frame; nothing is written."""
+    measures = roles.measure_columns
+    before, after = cells_array(applied, measures), F.col(f"{APPLIED}.cells")
+    names = F.array(*[F.lit(m) for m in measures]).cast("array<string>")
+    cells = F.transform(names, lambda name, i: F.struct(
+        name.alias("column"), F.get(before, i).alias("value_before"), F.get(after, i).alias("value_after")))
+    changed = F.filter(cells, lambda c: ~c["value_before"].eqNullSafe(c["value_after"]))
+    return (applied.select(F.col(KEY).alias(ROW_KEY), F.explode(changed).alias("c"))
+            .select(ROW_KEY, "c.*"))
+
+
 def summary(change_rows: DataFrame) -> DataFrame:
     """X-12: number of entries per detector, zero-filled for all four."""
     from ..model import DETECTORS
@@ -451,5 +464,5 @@ def summary(change_rows: DataFrame) -> DataFrame:
             .orderBy("k").drop("k"))
 
 
-__all__ = ["Policy", "apply_policy", "apply_selections", "cleaned_cube", "changes", "summary",
+__all__ = ["Policy", "apply_policy", "apply_selections", "cleaned_cube", "changes", "summary", "what_if",
            "validate_selections", "attribution_expr", "apply_passes"]

@@ -1,10 +1,11 @@
 """Cubes built from the driver's TPC-H-like tables (P-05 long -> wide).
 
-Three shapes:
+Four shapes:
 
 * ``nation_brand_cube``: ``n_name x p_brand`` rows, one ``YYYYQn`` column per
   ship quarter, value = sum of ``l_extendedprice`` with returned lines
   (``l_returnflag = 'R'``) negated, zero-filled. Every detector fires on it.
+* ``nation_brand_month_cube``: the same by ship month, ``YYYY_M``; a wide cube.
 * ``segment_month_cube``: ``n_name x c_mktsegment x o_orderpriority`` rows, one
   ``YYYY_M`` column per order month, value = sum of ``o_totalprice``, *not*
   zero-filled (gaps are NULL cells).
@@ -69,14 +70,17 @@ def order_months(spark: SparkSession, sf_dir: str) -> list[str]:
     return covering(month_labels(), table(spark, sf_dir, "orders").select("o_orderdate"), YYYY_M)
 
 
-def nation_brand_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ship_months(spark: SparkSession, sf_dir: str) -> list[str]:
+    return covering(month_labels(end="2001_12"), table(spark, sf_dir, "lineitem").select("l_shipdate"), YYYY_M)
+
+
+def nation_brand_facts(spark: SparkSession, sf_dir: str, fmt: str = YYYYQN) -> DataFrame:
     """Long form (n_name, p_brand, period, value decimal) of the main cube, of all lines."""
     li = (table(spark, sf_dir, "lineitem")
           .where(F.col("l_shipdate").isNotNull())
           .select(
               "l_orderkey", "l_partkey",
-              period_label_col(date_period_index_col(F.col("l_shipdate"), YYYYQN), YYYYQN)
-              .alias("period"),
+              date_period_index_col(F.col("l_shipdate"), fmt).alias("index"),
               F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice").cast(MONEY))
               .otherwise(F.col("l_extendedprice").cast(MONEY)).alias("v")))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -88,9 +92,9 @@ def nation_brand_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_nation = orders.join(customer, orders.o_custkey == customer.c_custkey)
     facts = (lines.join(order_nation, lines.l_orderkey == order_nation.o_orderkey)
              # map-side partial sums make the final shuffle tiny (nations x brands x periods)
-             .groupBy("c_nationkey", "p_brand", "period").agg(F.sum("v").alias("v")))
+             .groupBy("c_nationkey", "p_brand", "index").agg(F.sum("v").alias("v")))
     return (facts.join(nation, facts.c_nationkey == nation.n_nationkey)
-            .select("n_name", "p_brand", "period", "v"))
+            .select("n_name", "p_brand", period_label_col(F.col("index"), fmt).alias("period"), "v"))
 
 
 def nation_brand_cube(spark: SparkSession, sf_dir: str,
@@ -100,6 +104,11 @@ def nation_brand_cube(spark: SparkSession, sf_dir: str,
     return long_to_wide(facts, ["n_name", "p_brand"], "period", "v", labels, fill=0.0)
 
 
+def nation_brand_month_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = nation_brand_facts(spark, sf_dir, YYYY_M)
+    return long_to_wide(facts, ["n_name", "p_brand"], "period", "v", ship_months(spark, sf_dir), fill=0.0)
+
+
 def customer_brand_cube(spark: SparkSession, sf_dir: str,
                         labels: list[str] | None = None, returns_only: bool = False) -> DataFrame:
     """``c_name x p_brand`` by ship quarter, zero-filled; rows grow with the data.

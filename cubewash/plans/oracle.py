@@ -8,6 +8,8 @@ in selection order. Output column names equal the Spark queries'.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .cubes import month_labels, quarter_labels
 
 MONEY = "DECIMAL(18,2)"
@@ -25,11 +27,11 @@ def _m_label(ts: str) -> str:
     return f"CAST(year({ts}) AS VARCHAR) || '_' || CAST(month({ts}) AS VARCHAR)"
 
 
-def main_facts() -> str:
+def main_facts(label: Callable[[str], str] = _q_label) -> str:
     return f"""
 main_facts AS (
   SELECT n.n_name, p.p_brand, li.period, SUM(li.v) AS v
-  FROM (SELECT l_orderkey, l_partkey, {_q_label('l_shipdate')} AS period,
+  FROM (SELECT l_orderkey, l_partkey, {label('l_shipdate')} AS period,
                CASE WHEN l_returnflag = 'R' THEN -CAST(l_extendedprice AS {MONEY})
                     ELSE CAST(l_extendedprice AS {MONEY}) END AS v
         FROM lineitem
@@ -159,18 +161,26 @@ def _main_det() -> list[str]:
             detect("md", "mc", ["n_name", "p_brand"])]
 
 
+def _month_det() -> list[str]:
+    """The same tables for the cube by ship month."""
+    return [main_facts(_m_label),
+            cells("mc", "main_facts", ["n_name", "p_brand"], month_labels(end="2001_12"), True),
+            detect("md", "mc", ["n_name", "p_brand"])]
+
+
 # --- apply -------------------------------------------------------------------
 
-def apply_sql(action: str, attribution: str, select: str) -> str:
-    """Replay the apply passes on the main cube.
+def apply_sql(action: str, attribution: str, select: str, *, det: list[str] | None = None,
+              order: str = '"column"') -> str:
+    """Replay the apply passes on the main cube (or on the one that ``det`` detects on).
 
     ``action`` is a CASE over the detector flags giving 'zero', 'refund', 'split',
     'keep' or NULL per cell; ``attribution`` the credited detector. Selection order
-    inside a row is the column text. ``select`` is the final query over the CTEs
+    inside a row is ``order``, by default the column text. ``select`` is the final query over the CTEs
     ``entries`` (ids, column, anomaly_type, change_kind, value_before, value_after,
-    suggested_fix, flagged) and ``final_cells`` (ids, pos, column, v)."""
+    suggested_fix, flagged, parent_column) and ``final_cells`` (ids, pos, column, v)."""
     ids = "n_name, p_brand"
-    ctes = _main_det() + [f"""
+    ctes = (det or _main_det()) + [f"""
 acts AS (
   SELECT n_name, p_brand, pos, "column", value, {action} AS act, {attribution} AS attr FROM md),
 plan AS (
@@ -180,9 +190,9 @@ plan AS (
     COALESCE(a.rpos, []) AS rpos, COALESCE(a.spos, []) AS spos
   FROM md_rows r LEFT JOIN (
     SELECT n_name, p_brand,
-      list(pos + 1 ORDER BY "column") FILTER (WHERE act = 'zero') AS zpos,
-      list(pos + 1 ORDER BY "column") FILTER (WHERE act = 'refund') AS rpos,
-      list(pos + 1 ORDER BY "column") FILTER (WHERE act = 'split') AS spos
+      list(pos + 1 ORDER BY {order}) FILTER (WHERE act = 'zero') AS zpos,
+      list(pos + 1 ORDER BY {order}) FILTER (WHERE act = 'refund') AS rpos,
+      list(pos + 1 ORDER BY {order}) FILTER (WHERE act = 'split') AS spos
     FROM acts GROUP BY 1, 2) a USING ({ids})),
 rw(n_name, p_brand, k, cur, prev, r) AS (
   SELECT n_name, p_brand, 0, vs1, vs1, CAST(NULL AS BIGINT) FROM plan
@@ -227,28 +237,28 @@ final_cells AS (
 entries AS (
   SELECT a.n_name, a.p_brand, a."column", a.attr AS anomaly_type, 'primary' AS change_kind,
          a.value AS value_before, 0.0 AS value_after, 'set_to_zero' AS suggested_fix,
-         false AS flagged
+         false AS flagged, CAST(NULL AS VARCHAR) AS parent_column
   FROM acts a WHERE a.act = 'zero'
   UNION ALL
   SELECT w.n_name, w.p_brand, p.periods[w.r], 'refund', 'primary', w.prev[w.r], 0.0,
-         'set_to_zero', false
+         'set_to_zero', false, NULL
   FROM rw w JOIN plan p USING ({ids}) WHERE w.k > 0
   UNION ALL
   SELECT n_name, p_brand, periods[i], 'refund', 'refund_cascade', prev[i], cur[i],
-         'set_to_zero', false
-  FROM (SELECT w.n_name, w.p_brand, w.cur, w.prev, p.periods, unnest(range(1, w.r)) AS i
+         'set_to_zero', false, periods[r]
+  FROM (SELECT w.n_name, w.p_brand, w.cur, w.prev, w.r, p.periods, unnest(range(1, w.r)) AS i
         FROM rw w JOIN plan p USING ({ids}) WHERE w.k > 0)
   WHERE cur[i] <> prev[i]
   UNION ALL
   SELECT w.n_name, w.p_brand, p.periods[w.s], 'double_booking', 'primary', w.prev[w.s],
-         w.cur[w.s], 'split_evenly', false
+         w.cur[w.s], 'split_evenly', false, NULL
   FROM sw w JOIN plan p USING ({ids}) WHERE w.k > 0
   UNION ALL
   SELECT w.n_name, w.p_brand, p.periods[w.pt], 'double_booking', 'primary', w.prev[w.pt],
-         w.cur[w.pt], 'split_evenly', false
+         w.cur[w.pt], 'split_evenly', false, NULL
   FROM sw w JOIN plan p USING ({ids}) WHERE w.k > 0
   UNION ALL
-  SELECT a.n_name, a.p_brand, a."column", a.attr, 'primary', fc.v, fc.v, 'keep_as_is', true
+  SELECT a.n_name, a.p_brand, a."column", a.attr, 'primary', fc.v, fc.v, 'keep_as_is', true, NULL
   FROM acts a JOIN final_cells fc ON fc.n_name = a.n_name AND fc.p_brand = a.p_brand
        AND fc.pos = a.pos
   WHERE a.act = 'keep')"""]
@@ -392,6 +402,38 @@ SELECT anomaly_type, count(*) AS n,
 FROM entries GROUP BY 1""")
     out["selections_apply"] = apply_sql("CASE WHEN out_ THEN 'zero' END", "'outlier'",
                                         f"SELECT {ENTRY_COLS} FROM entries")
+    out["preview_pages"] = out["cube_wide"]
+    out["preview_flagged"] = w(*main) + """
+SELECT n_name, p_brand, count(*) OVER () AS total FROM md GROUP BY n_name, p_brand HAVING bool_or(neg)"""
+    out["schema_findings_returns"] = w(returns) + """
+SELECT 'V-19' AS check_id, 'soft' AS severity, CAST(NULL AS VARCHAR) AS "column", count(*) AS n FROM (
+  SELECT c_name, p_brand FROM cust_facts GROUP BY 1, 2 HAVING bool_and(COALESCE(v, 0) = 0))
+HAVING count(*) > 0"""
+    out["schema_findings_duplicates"] = w(seg_facts()) + """
+SELECT 'V-12' AS check_id, 'hard' AS severity, CAST(NULL AS VARCHAR) AS "column",
+       CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT count(*) AS n FROM (SELECT DISTINCT n_name, c_mktsegment, o_orderpriority FROM seg_facts)
+      GROUP BY n_name, c_mktsegment)
+WHERE n > 1
+HAVING count(*) > 0"""
+    out["selections_mixed"] = apply_sql(
+        "CASE WHEN neg AND NOT ref THEN 'zero' WHEN ref THEN 'refund' WHEN dbl THEN 'split' END", ALL_ATTR,
+        f"SELECT {ENTRY_COLS} FROM entries", order='"column" DESC')
+    out["what_if"] = apply_sql(ALL_ACTION, ALL_ATTR, """
+SELECT f.n_name, f.p_brand, f."column", m.value AS value_before, f.v AS value_after
+FROM final_cells f JOIN md m USING (n_name, p_brand, pos) WHERE f.v IS DISTINCT FROM m.value""")
+    month = _month_det()
+    out["wide_detections"] = w(*month) + \
+        f'\nSELECT n_name, p_brand, "column", value, {MERGED_COLS}\nFROM md WHERE {ANY_FLAG}'
+    out["wide_cleaned_cube"] = apply_sql(ALL_ACTION, ALL_ATTR, _cube_wide_select(
+        "final_cells", ["n_name", "p_brand"], month_labels(end="2001_12")), det=month)
+    out["wide_audit"] = apply_sql(ALL_ACTION, ALL_ATTR, f"SELECT {ENTRY_COLS} FROM entries", det=month)
+    out["roundtrip_cleaned"] = out["cleaned_cube"]
+    out["roundtrip_audit"] = apply_sql(ALL_ACTION, ALL_ATTR, f"SELECT {ENTRY_COLS}, parent_column FROM entries")
+    out["run_summary_state"] = apply_sql(ALL_ACTION, ALL_ATTR, """
+SELECT 'cleaned' AS status, (SELECT count(*) FROM md_rows) AS row_count,
+       count_if(neg)::BIGINT AS negative, count_if(ref)::BIGINT AS refund,
+       count_if(dbl)::BIGINT AS double_booking, count_if(out_)::BIGINT AS outlier,
+       (SELECT count(*) FROM entries) AS applied_changes
+FROM md""")
     return out
-
-

@@ -9,6 +9,7 @@ Money that was computed in double arithmetic is compared at cent precision
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +25,21 @@ from ..functions.periods import (
     period_index_col,
     period_label_col,
 )
-from ..model import DETECTORS, ColumnRoles
+from ..model import DETECTORS, FILE_PATH, ROW_INDEX, ColumnRoles
 from ..operators import apply as ap
 from ..operators import detect as dt
 from ..operators import policy as pol
 from ..operators import profile as pf
 from ..operators import views as vw
+from ..session import ensure_checkpoint_dir
+from ..sinks import writers as wr
+from ..sources.cube import read_cube
+from . import pipeline
 from .cubes import (
     customer_brand_cube,
     nation_brand_cube,
     nation_brand_facts,
+    nation_brand_month_cube,
     quarter_labels,
     ship_quarters,
     segment_month_cube,
@@ -280,6 +286,133 @@ def selections_apply(spark: SparkSession, sf: str) -> DataFrame:
     return _change_cols(ap.changes(applied, roles))
 
 
+def selections_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """X-01, X-09, G-04: every fix staged, kept cells unstaged again, rest applied last column first."""
+    cube, roles = _main_and_roles(spark, sf)
+    d = dt.detect(cube, roles)
+    staged = d.select("detection_id", F.lit("stage").alias("op"), F.col("suggested_fix").alias("fix"),
+                      F.lit(None).cast("string").alias("attribution"),
+                      (-F.col("pos")).cast("bigint").alias("sel_ord"))
+    unstaged = staged.where(F.col("fix") == "keep_as_is").withColumns(
+        {"op": F.lit("unstage"), "sel_ord": F.lit(1).cast("bigint")})
+    applied = ap.apply_selections(cube, roles, d, pol.latest_selections(staged.unionByName(unstaged)))
+    return _change_cols(ap.changes(applied, roles))
+
+
+def what_if(spark: SparkSession, sf: str) -> DataFrame:
+    cube, roles = _main_and_roles(spark, sf)
+    view = ap.what_if(ap.apply_policy(cube, roles), roles)
+    return view.select(*_key_cols(MAIN_IDS), "column", "value_before", "value_after")
+
+
+# --- cubes of more periods ----------------------------------------------------------
+
+def _month(spark: SparkSession, sf: str) -> tuple[DataFrame, ColumnRoles]:
+    cube = nation_brand_month_cube(spark, sf)
+    return cube, _roles_of(cube, MAIN_IDS)
+
+
+def wide_detections(spark: SparkSession, sf: str) -> DataFrame:
+    return _merged(dt.detect(*_month(spark, sf)), MAIN_IDS)
+
+
+def wide_cleaned_cube(spark: SparkSession, sf: str) -> DataFrame:
+    cube, roles = _month(spark, sf)
+    return ap.cleaned_cube(ap.apply_policy(cube, roles), roles)
+
+
+def wide_audit(spark: SparkSession, sf: str) -> DataFrame:
+    cube, roles = _month(spark, sf)
+    return _change_cols(ap.changes(ap.apply_policy(cube, roles), roles))
+
+
+# --- findings, files, sinks -----------------------------------------------------------
+
+def _findings(cube: DataFrame, ids: list[str], periods: list[str]) -> DataFrame:
+    return pf.findings(cube, ColumnRoles(ids, periods, periods)).select("check_id", "severity", "column", "n")
+
+
+def schema_findings_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks on the customer x brand cube of returned lines (V-19 finds rows)."""
+    labels = ship_quarters(spark, sf)
+    return _findings(customer_brand_cube(spark, sf, labels, returns_only=True), CUST_IDS, labels)
+
+
+def schema_findings_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks with too few id columns (V-12), which blocks the soft ones (V-13)."""
+    cube = segment_month_cube(spark, sf)
+    return _findings(cube, SEG_IDS[:2], [c for c in cube.columns if c not in SEG_IDS])
+
+
+def _cube_files(spark: SparkSession, sf: str) -> tuple[str, str, ColumnRoles]:
+    """The main cube as several files in the shared folder: folder of the run, path, roles."""
+    cube, roles = _main_and_roles(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark)}/cubewash-{uuid.uuid4().hex}"
+    cube.repartition(4, *[q(c) for c in MAIN_IDS]).write.parquet(f"{folder}/cube")
+    return folder, f"{folder}/cube", roles
+
+
+def preview_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A-06: pages of 250 rows, each asked for with the place of the last row before it."""
+    _, path, roles = _cube_files(spark, sf)
+    pages, after = [], None
+    while True:
+        page = pipeline.preview(spark, path, roles, after=after, limit=250)
+        last = page.orderBy(F.desc(FILE_PATH), F.desc(ROW_INDEX)).select(FILE_PATH, ROW_INDEX).first()
+        if last is None:
+            break
+        pages.append(page.drop(FILE_PATH, ROW_INDEX))
+        after = tuple(last)
+    out = pages[0] if pages else page.drop(FILE_PATH, ROW_INDEX)
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def preview_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    """A-05: rows with a negative in a cube of several files, and their total."""
+    _, path, roles = _cube_files(spark, sf)
+    total = pipeline.preview_total(spark, path, roles, "negative")
+    return pipeline.preview_rows(read_cube(spark, path), roles, "negative").select(
+        *MAIN_IDS, F.lit(total).cast("bigint").alias("total"))
+
+
+def _committed(spark: SparkSession, sf: str, name: str) -> str:
+    """Folder of an artifact of the main cube after detect, apply and commit."""
+    folder, path, roles = _cube_files(spark, sf)
+    pipeline.clean_file(spark, path, f"{folder}/out", roles=roles)
+    return wr.committed_artifact(spark, f"{folder}/out", name)
+
+
+def roundtrip_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """S-01, S-04, S-07: the committed cleaned cube, read again."""
+    return spark.read.parquet(_committed(spark, sf, "cleaned"))
+
+
+def roundtrip_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """S-05, X-11: the committed audit log, read again, with the column of each parent entry."""
+    log = spark.read.schema(
+        "change_id string, anomaly_type string, change_kind string, "
+        "row_key struct<n_name: string, p_brand: string>, column string, value_before double, "
+        "value_after double, suggested_fix string, flagged boolean, parent_change_id string"
+    ).json(f"{_committed(spark, sf, 'audit')}/changes")
+    parents = log.select(F.col("change_id").alias("parent_change_id"), F.col("column").alias("parent_column"))
+    joined = log.join(parents, "parent_change_id", "left")
+    return joined.select(*_key_cols(MAIN_IDS), "column", "anomaly_type", "change_kind", "value_before",
+                         "value_after", "suggested_fix", "flagged", "parent_column")
+
+
+def run_summary_state(spark: SparkSession, sf: str) -> DataFrame:
+    """S-06, S-08: state of a file after it was detected (table stored) and cleaned."""
+    folder, path, roles = _cube_files(spark, sf)
+    summary = f"{folder}/runs"
+    found = pipeline.detect_file(spark, path, roles=roles, store=f"{folder}/detections", run_summary=summary)
+    pipeline.clean_file(spark, path, f"{folder}/out", roles=found.roles, run_summary=summary)
+    counts = F.from_json("anomaly_counts", ", ".join(f"{d} long" for d in DETECTORS))
+    return wr.latest_run_summary(spark, summary).select(
+        "status", "row_count", *[counts[d].alias(d) for d in DETECTORS], "applied_changes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cube_long": cube_long,
     "cube_wide": cube_wide,
@@ -312,4 +445,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_summary": audit_summary,
     "reconcile": reconcile,
     "selections_apply": selections_apply,
+    "selections_mixed": selections_mixed,
+    "what_if": what_if,
+    "wide_detections": wide_detections,
+    "wide_cleaned_cube": wide_cleaned_cube,
+    "wide_audit": wide_audit,
+    "schema_findings_returns": schema_findings_returns,
+    "schema_findings_duplicates": schema_findings_duplicates,
+    "preview_pages": preview_pages,
+    "preview_flagged": preview_flagged,
+    "roundtrip_cleaned": roundtrip_cleaned,
+    "roundtrip_audit": roundtrip_audit,
+    "run_summary_state": run_summary_state,
 }
