@@ -174,3 +174,17 @@ def test_top_share_exact_path_matches_brute_force(spark):
     fast = {r["detection_id"] for r in vw.top_share(d, divisor=3).collect()}
     exact = {r["detection_id"] for r in vw.top_share(d, divisor=3, max_driver_rows=0).collect()}
     assert fast == exact and len(fast) == max(1, d.count() // 3)
+
+
+def test_what_if_lists_changed_cells_only(spark):
+    df, roles = row_frame(spark, [[600, 700, -1200, 50], [5, 5, 5, 5]])
+    view = ap.what_if(ap.apply_policy(df, roles), roles).orderBy("column").collect()
+    assert [(r["row_key"]["id"], r["column"], r["value_before"], r["value_after"]) for r in view] == [
+        ("r0", "m1", 600.0, 100.0), ("r0", "m2", 700.0, 0.0), ("r0", "m3", -1200.0, 0.0)]
+
+
+def test_what_if_without_measures_is_empty(spark):
+    from cubewash.model import ColumnRoles
+
+    df, roles = spark.createDataFrame([("a",)], "id string"), ColumnRoles(["id"], [], [])
+    assert ap.what_if(ap.apply_policy(df, roles), roles).collect() == []
