@@ -36,7 +36,7 @@ THRESHOLD = 0.5
 MARK = "[SECRET]"
 
 _RUN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = (r"(?<=[=:]\x20?[\"'])[^\"'\s]{8,512}+"
+CANDIDATE = (r"(?<=[=:]\x20?[\"'])[^\"'\s]{8,}+"
              rf"|(?<!{_RUN})(?=[A-Za-z+/_=-]*+[0-9]){_RUN}{{16,}}+")
 #: Keys whose assigned values are labelled secrets by default.
 SECRET_KEY = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?$"

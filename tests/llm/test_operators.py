@@ -274,6 +274,16 @@ def test_secrets_are_found_and_redacted(spark):
     assert secret_forest.secret_digests(docs.where("doc_id > 80")).count() == 2
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    rng = random.Random(6)
+    made = ["".join(rng.choice("abcdefABCDEF0123456789+/") for _ in range(n)) for n in (40, 600, 5000, 40000) * 5]
+    docs = spark.createDataFrame([(i, f'the token = "{m}" of it') for i, m in enumerate(made)]
+                                 + [(100 + i, f"the number {i:016d} on it") for i in range(20)],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_forest.redact_secrets(docs).collect()}
+    assert all(got[i] == 'the token = "[SECRET]" of it' for i in range(len(made)))
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(6)
     text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(n))
