@@ -7,11 +7,12 @@ like a path, and the words beside it. It is trained from labelled findings: at
 most ``MAX_ROWS`` of each label. A caller may give its own (candidate, before,
 after, label); by default a finding is labelled a secret if a secret-like key
 is assigned to it, and a false positive otherwise. The dictionary is the
-``DICTIONARY_WORDS`` most frequent words of at most ``DICTIONARY_ROWS`` texts.
+``DICTIONARY_WORDS`` most frequent words of all texts.
 
 Candidates, features, forest and redaction are DataFrame expressions within the
 row of a document; the forest is a set of nested conditions. Whole texts are
-scanned once to train and once to score, without a shuffle of text.
+scanned once for the dictionary, once to train and once to score, without a
+shuffle of text; words are counted before they are shuffled.
 
 Positions are code points, ends exclusive. Edge cases: null and empty texts have
 no candidate (a redacted null stays null). Rows that repeat a doc_id or have none are rows of
@@ -30,7 +31,6 @@ from cubewash.llm.native_spans import (
     Matches, count_of, fit_trees, flag, forest_probability, sample_rows)
 
 MAX_ROWS = 3000
-DICTIONARY_ROWS = 2000
 DICTIONARY_WORDS = 300
 THRESHOLD = 0.5
 MARK = "[SECRET]"
@@ -67,10 +67,8 @@ def _matches(docs: DataFrame, text: str, name: str) -> tuple[DataFrame, Matches]
 
 
 def frequent_words(docs: DataFrame) -> str:
-    """Pattern of the most frequent words of a bounded sample of texts; '' without any."""
-    sample = (docs.select("text").where(F.col("text").isNotNull())
-              .orderBy(F.xxhash64("text")).limit(DICTIONARY_ROWS))
-    words = (sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}+"), F.lit(0))).alias("w"))
+    """Pattern of the most frequent words of all texts; '' without any."""
+    words = (docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}+"), F.lit(0))).alias("w"))
              .groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect())
     return "|".join(sorted((r["w"] for r in words), key=lambda w: (-len(w), w)))
 

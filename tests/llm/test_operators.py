@@ -284,6 +284,16 @@ def test_long_secrets_are_redacted_whole(spark):
     assert all(got[i] == 'the token = "[SECRET]" of it' for i in range(len(made)))
 
 
+def test_secret_dictionary_is_of_all_texts(spark):
+    # copies are one block in any order by hash: no block may hide the other texts' words
+    copies = spark.range(4000).select(F.lit("copied words here").alias("text"))
+    others = spark.range(4000).select(F.concat_ws(" ", F.lit("another text"), F.col("id")).alias("text"))
+    more = spark.range(4000).select(F.lit("third kind").alias("text"))
+    rows = copies.unionByName(others).unionByName(more).unionByName(spark.createDataFrame([(None,)], "text string"))
+    assert set(secret_forest.frequent_words(rows).split("|")) == {
+        "copied", "words", "here", "another", "text", "third", "kind"}
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(6)
     text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(n))
