@@ -1,12 +1,16 @@
 """Secret scans: candidates from wide patterns, false positives removed by a random forest.
 
-Candidates are quoted values after = or :, and long runs of token characters
-that hold a digit. The forest judges each by its length, its transitions
+Candidates are tokens of known formats, whatever a secret-like key is given
+(quoted or not, of any length), quoted values after = or :, and long runs of
+token characters that hold a digit, without the key that they are assigned to.
+The forest judges each by its length, its transitions
 between character classes, how much of it a dictionary covers, whether it looks
 like a path, and the words beside it. It is trained from labelled findings: at
 most ``MAX_ROWS`` of each label. A caller may give its own (candidate, before,
-after, label); by default a finding is labelled a secret if a secret-like key
-is assigned to it, and a false positive otherwise. The dictionary is the
+after, label); by default a finding is labelled a secret if it has a known format
+or a secret-like key is assigned to it, and a false positive otherwise. As a
+sample may hold few of a form, the forest only adds to what these labels call a
+secret; with given findings it decides alone. The dictionary is the
 ``DICTIONARY_WORDS`` most frequent words of all texts.
 
 Candidates, features, forest and redaction are DataFrame expressions within the
@@ -35,13 +39,46 @@ DICTIONARY_WORDS = 300
 THRESHOLD = 0.5
 MARK = "[SECRET]"
 
-_RUN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = (r"(?<=[=:]\x20?[\"'])[^\"'\s]{8,}+"
-             rf"|(?<!{_RUN})(?=[A-Za-z+/_=-]*+[0-9]){_RUN}{{16,}}+")
+_RUN = "[A-Za-z0-9+/_-]"
+_KEY = (r"(?i:(?:token|secret|passw(?:or)?d|passphrase|pwd|credential|(?:api|access|private|secret|auth|signing|"
+        r"encryption|account)[_-]?key)s?(?:[_-]?[0-9]{1,3})?)")
+_GIVES = r"[\"']?\s{0,3}(?:=>|:=|[=:]{1,2})\s{0,3}"
+#: Formats that are secrets without a key beside them.
+_BLOCK = r"-----BEGIN\x20[A-Z\x20]{0,20}PRIVATE\x20KEY-----[A-Za-z0-9+/=\s\\]++-----END\x20[A-Z\x20]{0,20}PRIVATE\x20KEY-----"
+_FORMATS = (r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_\w{22,}+"
+            r"|glpat-[\w-]{20,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+"
+            r"|AIza[\w-]{35}|eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]++)")
+TOKEN = f"{_BLOCK}|{_FORMATS}"
+_GIVEN = rf"{_KEY}{_GIVES}"
+
+
+def _quoted(q: str, least: int) -> str:
+    """A value to its closing quote; a backslash keeps the next character in it."""
+    return rf"(?<={q})(?:[^{q}\\\r\n]|\\.){{{least},}}+(?={q})"
+
+
+#: To the next blank or quote, without closing punctuation or the next parameter of an address.
+_VALUE = r"(?![=:>])(?:[^\s\"',;&<)}\]]|[,;)}\]<](?=[^\s\"',;&<)}\]])|&(?=\S)(?!\w{1,40}=))++"
+#: Quoted text in which something is a secret by itself is no value as a whole.
+_HOLDS = rf"(?:{_GIVEN}[\"']?[^\s\"']|{TOKEN})"
+_OTHERS = "|".join([
+    _FORMATS,
+    # whatever a secret-like key gives
+    rf"(?<=[=:>]\s{{0,3}}[\"']?)(?<={_GIVEN}[\"']?)(?:{_quoted('\"', 1)}|{_quoted("'", 1)}|{_VALUE})",
+    *[rf"(?<=[=:]\x20?{q})(?![^{q}\r\n]*?{_HOLDS}){_quoted(q, 8)}" for q in "\"'"],
+    rf"(?<=[=:]\x20?[\"'])(?![^\"'\s]*?{_HOLDS})[^\"'\s]{{8,}}+",
+    # a run, with padding; one that is given a value is a key
+    rf"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{16,}}+(?!=[\"']?[A-Za-z0-9+/_$-]|[\"']?\x20=\x20|[\"']\x20?:"
+    rf"|(?<={_KEY}){_GIVES})={{0,2}}+"])
+#: But for a block, nothing starts behind a word character.
+CANDIDATE = rf"{_BLOCK}|(?<!\w)(?:{_OTHERS})"
 #: Keys whose assigned values are labelled secrets by default.
-SECRET_KEY = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?$"
+SECRET_KEY = rf"{_GIVEN}[\"']?$"
+#: Values that stand for no secret.
+_NONE = (r"^(?:(?i:none|null|nil|true|false|undefined|empty|x+|\*+|\.+)|\$\{[^}]*\}|\$[A-Z_][A-Z0-9_]*"
+         r"|%[A-Z_]+%|<[^>]*>|\{\{.*\}\})$")
 FEATURES = ["length", "transitions", "digits", "upper", "lower", "symbols", "hex", "dictionary", "slashes",
-            "path_before", "assigned", "quoted", "key_word", "url_word", "closed"]
+            "path_before", "assigned", "quoted", "key_word", "url_word", "closed", "known_format"]
 
 
 def _features(m: Column, before: Column, after: Column, words: str) -> Column:
@@ -57,12 +94,13 @@ def _features(m: Column, before: Column, after: Column, words: str) -> Column:
         "quoted": flag(before.rlike("[\"']$")),
         "key_word": flag(before.rlike("(?i)key|token|secret|passw|pwd|auth|credential")),
         "url_word": flag(before.rlike("(?i)https?:|www|href|src")), "closed": flag(after.rlike("^[\"']")),
+        "known_format": flag(m.rlike(TOKEN)),
     }
     return F.struct(*[values[f].alias(f) for f in FEATURES])
 
 
 def _matches(docs: DataFrame, text: str, name: str) -> tuple[DataFrame, Matches]:
-    scan = Matches(name, CANDIDATE, F.col(text).rlike("[0-9=:]"))
+    scan = Matches(name, CANDIDATE, F.col(text).rlike(f"[0-9=:]|{TOKEN}"))
     return scan.add(docs, text), scan
 
 
@@ -73,12 +111,17 @@ def frequent_words(docs: DataFrame) -> str:
     return "|".join(sorted((r["w"] for r in words), key=lambda w: (-len(w), w)))
 
 
+def labelled_secret(m: Column, before: Column) -> Column:
+    """Whether a candidate is a secret by its format or by the key that it is assigned to."""
+    return m.rlike(TOKEN) | (before.rlike(SECRET_KEY) & ~m.rlike(_NONE))
+
+
 def default_findings(docs: DataFrame) -> DataFrame:
-    """(candidate, before, after, label) of every candidate, labelled by the key that it is assigned to."""
+    """(candidate, before, after, label) of every candidate, labelled by its format and the key that it is assigned to."""
     scanned, scan = _matches(docs.select("doc_id", "text"), "text", "c")
     return (scanned.select(F.explode(scan.spans).alias("c"))
             .select(F.col("c.m").alias("candidate"), "c.before", "c.after",
-                    flag(F.col("c.before").rlike(SECRET_KEY)).alias("label")))
+                    flag(labelled_secret(F.col("c.m"), F.col("c.before"))).alias("label")))
 
 
 class SecretForest:
@@ -86,6 +129,7 @@ class SecretForest:
 
     def __init__(self, docs: DataFrame, findings: DataFrame | None = None):
         self.words = frequent_words(docs)
+        self.by_rule = findings is None
         rows = (default_findings(docs) if findings is None else findings).select(
             F.xxhash64("candidate", "before", "after").alias("h"), F.col("label").cast("double").alias("label"),
             _features(F.col("candidate"), F.col("before"), F.col("after"), self.words).alias("f"))
@@ -96,7 +140,11 @@ class SecretForest:
         self.constant = 0.0 if only is None else only
 
     def probability(self, span: Column) -> Column:
-        """P(secret) of a candidate struct (m, before, after)."""
+        """P(secret) of a candidate struct (m, before, after); 1 for what the default labels call a secret."""
+        p = self._learned(span)
+        return F.when(labelled_secret(span["m"], span["before"]), 1.0).otherwise(p) if self.by_rule else p
+
+    def _learned(self, span: Column) -> Column:
         if self.model is None:
             return F.lit(self.constant)
         features = _features(span["m"], span["before"], span["after"], self.words)
