@@ -252,6 +252,21 @@ def test_personal_data_base_spans(spark):
     assert sorted((str(r[0]), *r[1:6]) for r in got) == sorted(want)
 
 
+def test_personal_data_beyond_the_base_patterns(spark):
+    cases = [("write to jo.doe (at) host (dot) com. The end", "jo.doe (at) host (dot) com", "email"),
+             ("it is JO [AT] a-b [DOT] org", "JO [AT] a-b [DOT] org", "email"),
+             ("phone 555 123 4567 or so", "555 123 4567", "phone"), ("call (555) 123-4567.", "(555) 123-4567", "phone"),
+             ("it is (555) 123-4567 now", "(555) 123-4567", "phone"),
+             ("my card 4111.1111.1111.1111 is", "4111.1111.1111.1111", "card"),
+             ("mobile: 0049 151 2345 6789", "0049 151 2345 6789", "phone"),
+             ("the 1234567 of 2024-01-02 and 12345678901234", None, None), ("a@b.cd and 1.2.3.4", None, None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases * 3)], "doc_id long, text string")
+    for r in pii_boost.find_personal_data(docs).collect():
+        text, span, kind = cases[r["doc_id"] % len(cases)]
+        want = [(kind, text.index(span), text.index(span) + len(span))] if span else []
+        assert [tuple(a) for a in r["added"]] == want, text
+
+
 def test_secrets_are_found_and_redacted(spark):
     rng = random.Random(4)
     rows = []
