@@ -1,5 +1,5 @@
 """Operators of a large-scale training-data pipeline.
 
-Ten operators, one module each, over the tables ``documents``, ``embeddings``,
+Thirteen operators, one module each, over the tables ``documents``, ``embeddings``,
 ``benchmark`` and ``labels``. Nothing outside this subpackage imports it.
 """

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators over whole tables, with their contract columns."""
+"""Registered queries of the operators over whole tables, with their contract columns, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewash.llm import (
-    bitmask_langid, byte_cnn_quality, decontam_mih, forced_bpe, mih_ann, pii_boost, pst_lm,
-    secret_forest, simhash_vptree, suffix_family)
+    bitmask_langid, byte_cnn_quality, centroid_clusters, decontam_mih, filter_audit, forced_bpe, mih_ann,
+    pii_boost, pst_lm, secret_forest, simhash_vptree, suffix_family, superminhash)
 from cubewash.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,7 +60,19 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_mih.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_vptree, op2_mih_ann, op3_suffix_family, op4_suffix_tree_lm, op5_forced_bpe,
     op6_byte_cnn_quality, op7_bitmask_langid, op8_pii_boost, op9_secret_forest,
-    op10_simhash_decontamination)}
+    op10_simhash_decontamination, op11_filter_audit, op12_centroid_clusters, op13_superminhash)}
