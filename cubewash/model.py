@@ -97,8 +97,7 @@ class DuplicateColumnsError(CubeError):
     def __init__(self, duplicates: list[str]):
         names = ", ".join(f"'{n}'" for n in duplicates)
         super().__init__(
-            f"Your file has more than one column named {names}. "
-            "Please check the source file and re-upload."
+            f"The cube has more than one column named {names}; every column needs a name of its own."
         )
         self.duplicates = duplicates
 
@@ -121,3 +120,7 @@ class InvalidSelectionError(CubeError):
 
 class AlreadyCleanedError(CubeError):
     pass
+
+
+class ConflictError(CubeError):
+    """Another writer changed the store between reading its state and publishing the next."""

@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import DETECTIONS_FORMAT_VERSION, AlreadyCleanedError, ColumnRoles
+from . import records
+from .records import file_system
 
 COMMIT_MARKER = "_CLEANED"
 POINTER = f"{COMMIT_MARKER}/commit.json"
+ARTIFACTS = ("cleaned", "audit")
 
 
 def iso_utc(when: datetime | None = None) -> str:
@@ -34,14 +37,8 @@ def iso_utc(when: datetime | None = None) -> str:
     return f"{utc.replace(tzinfo=None).isoformat(timespec='seconds')}Z"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = file_system(spark, path)
     return bool(fs.exists(p))
 
 
@@ -67,7 +64,7 @@ def read_audit_header(spark: SparkSession, path: str) -> dict:
 
 def detection_fingerprint(spark: SparkSession, path: str, roles: ColumnRoles, detectors) -> str:
     """What a detection table was made of: input files (name, length, time), roles, detectors, version."""
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = file_system(spark, path)
     files, listed = [], fs.listFiles(p, True)
     while listed.hasNext():
         f = listed.next()
@@ -80,7 +77,7 @@ def detection_fingerprint(spark: SparkSession, path: str, roles: ColumnRoles, de
 def write_detections(detections: DataFrame, path: str, made_of: str = "") -> None:
     """S-06: detections, and under ``path/_made_of`` what they were made of (written last)."""
     spark = detections.sparkSession
-    fs, p, _ = _fs(spark, f"{path}/_made_of")
+    fs, p, _ = file_system(spark, f"{path}/_made_of")
     fs.delete(p, True)
     detections.write.mode("overwrite").parquet(f"{path}/detections")
     spark.createDataFrame([(f"{DETECTIONS_FORMAT_VERSION}:{made_of}",)], "value string") \
@@ -102,67 +99,77 @@ def commit_apply(spark: SparkSession, out_dir: str, cleaned: DataFrame, changes:
     """S-07: write both artifacts once.
 
     Each run writes into a folder of its own, ``out_dir/run-<id>``. Only when both
-    artifacts are complete the pointer (a file in ``out_dir/_CLEANED``) is created with the
-    run's name and the header in it; creating it fails if it exists, so of any number of concurrent or
+    artifacts are complete the pointer (a record in ``out_dir/_CLEANED``) is published with
+    the run's name and the header; a name is given once, so of any number of concurrent or
     repeated runs one is committed. Readers follow the pointer (:func:`committed_artifact`).
-    A run that fails or loses leaves no pointer, and its folder is removed."""
-    fs, marker, jvm = _fs(spark, f"{out_dir}/{POINTER}")
-    taken = "File already cleaned. Download the cleaned file and audit log instead."
-    if fs.exists(marker):
+    A run that fails or loses leaves no pointer, and its folder is removed. What stands
+    under the pointer's name without being a record of a run with both artifacts (left by a
+    writer that died, or whose folder was deleted) is set aside and the run commits."""
+    pointer = f"{out_dir}/{POINTER}"
+    taken = "The cube has been cleaned already; its committed artifacts stay as they are."
+    if _committed_run(spark, out_dir):
         raise AlreadyCleanedError(taken)
     run = f"run-{uuid.uuid4().hex}"
+    fs, own, jvm = file_system(spark, f"{out_dir}/{run}")
     committed = False
     try:
         write_cleaned(cleaned, f"{out_dir}/{run}/cleaned")
         write_audit(changes, header, f"{out_dir}/{run}/audit")
-        try:
-            out = fs.create(marker, False)  # atomic: fails if another run was first
-        except Exception as exc:
-            if fs.exists(marker):
-                raise AlreadyCleanedError(taken) from exc
-            raise
-        out.write(json.dumps({"run": run, **header}).encode())
-        out.close()
+        while not records.publish(spark, pointer, {"run": run, **header}):
+            if _committed_run(spark, out_dir):
+                raise AlreadyCleanedError(taken)
+            records.set_aside(spark, pointer)
         committed = True
         # Published under plain names too where these are free; the pointer is what counts.
-        for name in ("cleaned", "audit"):
+        for name in ARTIFACTS:
             plain = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{name}")
             if not fs.exists(plain):
                 fs.rename(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{run}/{name}"), plain)
     finally:
         if not committed:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{run}"), True)
+            fs.delete(own, True)
     return header
 
 
+def _committed_run(spark: SparkSession, out_dir: str) -> dict[str, str] | None:
+    """Folders of both artifacts that the pointer names; None if it names none that are there."""
+    record = records.read(spark, f"{out_dir}/{POINTER}")
+    if record is None or "run" not in record:
+        return None
+    found = {}
+    for name in ARTIFACTS:
+        places = [f"{out_dir}/{record['run']}/{name}", f"{out_dir}/{name}"]
+        found[name] = next((x for x in places if path_exists(spark, x)), None)
+    return found if all(found.values()) else None
+
+
 def committed_artifact(spark: SparkSession, out_dir: str, name: str) -> str | None:
     """Folder of a committed artifact (``cleaned`` or ``audit``), None before a commit."""
-    if not path_exists(spark, f"{out_dir}/{POINTER}"):
-        return None
-    text = spark.read.text(f"{out_dir}/{COMMIT_MARKER}").first()
-    if text is None:  # the committing run died while it wrote the pointer
-        return None
-    own = f"{out_dir}/{json.loads(text[0])['run']}/{name}"
-    return own if path_exists(spark, own) else f"{out_dir}/{name}"
+    return (_committed_run(spark, out_dir) or {}).get(name)
 
 
-def append_run_summary(spark: SparkSession, path: str, file_id: str, **fields) -> None:
+def append_run_summary(spark: SparkSession, path: str, file_id: str, *, event_id: str | None = None,
+                       **fields) -> None:
     """S-08: append one event for ``file_id``; fields that are not given stay as they were.
 
-    Events are numbered by the nanosecond clock, so two in one second keep their order."""
+    Events are numbered by the nanosecond clock, so two in one second keep their order. An
+    event that is retried under its ``event_id`` is written once."""
+    folder = f"{path}/event_id={event_id or uuid.uuid4().hex}"
+    if path_exists(spark, f"{folder}/_SUCCESS"):
+        return
     counts = fields.get("anomaly_counts")
     row = (file_id, time.time_ns(), iso_utc(), fields.get("row_count"), fields.get("status"),
            None if counts is None else json.dumps(counts), fields.get("applied_changes"),
            fields.get("cleaned_at"))
     schema = ("file_id string, seq long, updated_at string, row_count long, status string, "
               "anomaly_counts string, applied_changes long, cleaned_at string")
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 def latest_run_summary(spark: SparkSession, path: str) -> DataFrame:
     """Latest state per file: of each field the newest value that an event gave
     (``max_by`` ignores nothing by itself, so the order is null where the field is)."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop("event_id")
     fields = [c for c in df.columns if c not in ("file_id", "seq")]
     return df.groupBy("file_id").agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields])

@@ -17,6 +17,7 @@ from ..model import (
     INTERNAL,
     ROW_ID,
     ROW_INDEX,
+    CubeError,
     DuplicateColumnsError,
     EmptyInputError,
     ReservedNameError,
@@ -51,11 +52,11 @@ def read_cube(spark: SparkSession, path: str, *, with_row_index: bool = True,
         if "COLUMN_ALREADY_EXISTS" in msg or "Found duplicate column" in msg:
             raise DuplicateColumnsError(sorted(set(_DUP_RE.findall(msg)))) from exc
         raise UnreadableInputError(
-            "Unable to parse Parquet — the file is corrupted or not a valid Parquet."
+            f"'{path}' cannot be read as Parquet."
         ) from exc
     except Exception as exc:  # corrupt footer, wrong magic bytes
         raise UnreadableInputError(
-            "Unable to parse Parquet — the file is corrupted or not a valid Parquet."
+            f"'{path}' cannot be read as Parquet."
         ) from exc
     dups = sorted({c for c in cols if cols.count(c) > 1})
     if dups:
@@ -74,10 +75,10 @@ def read_cube(spark: SparkSession, path: str, *, with_row_index: bool = True,
             empty = df.isEmpty()
         except Exception as exc:
             raise UnreadableInputError(
-                "Unable to parse Parquet — the file is corrupted or not a valid Parquet."
+                f"'{path}' cannot be read as Parquet."
             ) from exc
         if empty:
-            raise EmptyInputError("File has no data rows.")
+            raise EmptyInputError(f"'{path}' holds no rows.")
     return df
 
 
@@ -114,7 +115,7 @@ def coerce(df: DataFrame, columns: list[str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     missing = [c for c in columns if c not in types]
     if missing:
-        raise ValueError(f"Column '{missing[0]}' not in file.")
+        raise CubeError(f"The cube has no column '{missing[0]}'.")
     return df.withColumns({c: to_double(q(c), types[c]) for c in columns})
 
 
