@@ -22,6 +22,14 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores until no column has the name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def to_double(c: Column, dtype: T.DataType) -> Column:
     """Measure value as double, NaN and non-numeric text as NULL."""
     if isinstance(dtype, T.StringType):
@@ -43,16 +51,28 @@ def lost_on_coercion(c: Column, dtype: T.DataType) -> Column:
     return c.isNotNull()
 
 
+def lost_on_coercion_sql(name: str, dtype: T.DataType) -> str:
+    """:func:`lost_on_coercion` of a column by name, as SQL text."""
+    c = sql_name(name)
+    if isinstance(dtype, T.StringType):
+        return f"({c} IS NOT NULL AND {to_double_sql(name, dtype)} IS NULL)"
+    if is_numeric_type(dtype):
+        return "false"
+    return f"({c} IS NOT NULL)"
+
+
 def is_numeric_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType, T.NullType))
 
 
-def _sql_name(name: str) -> str:
+def sql_name(name: str) -> str:
+    """A column's name in SQL text. Python builds a Column call by call, which for a cube of
+    many periods takes longer than the job; wide expressions are therefore one text each."""
     return "`" + name.replace("`", "``") + "`"
 
 
-def _to_double_sql(name: str, dtype: T.DataType) -> str:
-    c = _sql_name(name)
+def to_double_sql(name: str, dtype: T.DataType) -> str:
+    c = sql_name(name)
     if isinstance(dtype, T.StringType):
         pattern = NUMERIC_TEXT.replace("\\", "\\\\")
         num = f"CASE WHEN {c} RLIKE '{pattern}' THEN try_cast({c} AS DOUBLE) END"
@@ -69,10 +89,17 @@ def cells_array(df: DataFrame, measures: list[str]) -> Column:
     types = {f.name: f.dataType for f in df.schema.fields}
     if not measures:
         return F.array().cast(T.ArrayType(T.DoubleType(), True))
-    return F.expr("array(" + ", ".join(_to_double_sql(m, types[m]) for m in measures)
+    return F.expr("array(" + ", ".join(to_double_sql(m, types[m]) for m in measures)
                   + ")").cast(T.ArrayType(T.DoubleType(), True))
 
 
+def sql_text(value: str | None) -> str:
+    """A string literal in SQL text."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def positive_part(x: Column) -> Column:
     return F.when(x > 0, x).otherwise(F.lit(0.0))
 

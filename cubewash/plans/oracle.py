@@ -280,6 +280,58 @@ def _cube_wide_select(cells_cte: str, ids: list[str], labels: list[str], val: st
     return f"SELECT {idl}, {cols} FROM {cells_cte} GROUP BY {idl}"
 
 
+def _case_sql(facts: str, seg_cells: str, labels: list[str]) -> dict[str, str]:
+    """Findings and roles of :mod:`cubewash.plans.cases`, from the cells of the segment cube."""
+    months, other, nation = "1996_3", "1998_7", "NATION_7"
+    soft_everywhere = [  # cases that reach the soft checks; those whose month is renamed or left out
+        ("inferred", {}), ("out of order", {}), ("gap", {months: None, other: None}),
+        ("mixed formats", {months: "1996-03"}), ("one id", {}), ("text period", {})]
+    names = [("out of order", "V-20", "soft", None, None), ("gap", "V-17", "soft", None, 2),
+             ("mixed formats", "V-15", "soft", None, None), ("mixed formats", "V-17", "soft", None, 1),
+             ("mixed formats", "V-20", "soft", None, None), ("one id", "V-16", "soft", "row", None),
+             ("no period", "V-10", "hard", None, None), ("no id", "V-10", "hard", None, None),
+             ("no measures", "V-14", "soft", None, None), ("unknown columns", "V-11", "hard", "2099_1", None),
+             ("unknown columns", "V-09", "hard", "region", None)]
+    lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    fixed = ", ".join(f"({', '.join(map(lit, row))})" for row in names)
+    nulls = []
+    for case, changed in soft_everywhere:
+        shown = "CASE period " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in changed.items()) + \
+            " ELSE period END" if changed else "period"
+        nulls.append(f"""
+  SELECT '{case}' AS "case", 'V-18' AS check_id, 'soft' AS severity, {shown} AS "column", n_null AS n
+  FROM nulls WHERE n_null / n_rows > 0.9 AND {shown} IS NOT NULL""")
+    findings = _with(facts, seg_cells, f"""
+nulls AS (SELECT period, count(*) AS n_rows, count(*) - count(v) AS n_null FROM sc GROUP BY period),
+lost AS (SELECT count(*) AS n, (SELECT n_rows FROM nulls LIMIT 1) AS n_rows FROM sc
+         WHERE n_name = '{nation}' AND period = '{months}'),
+keys AS (SELECT n_name, c_mktsegment, count(*) AS n FROM (
+           SELECT DISTINCT n_name, c_mktsegment, o_orderpriority FROM seg_facts) GROUP BY ALL)""") + f"""
+SELECT "case", check_id, severity, "column", CAST(n AS BIGINT) AS n FROM (
+  SELECT * FROM (VALUES {fixed}) t("case", check_id, severity, "column", n)
+  UNION ALL {' UNION ALL '.join(nulls)}
+  UNION ALL SELECT 'text period', 'V-21', 'soft', NULL, 1 FROM lost WHERE n > 0 AND n / n_rows < 0.1
+  UNION ALL SELECT 'text as measure', 'V-11', 'hard', '{months}', n FROM lost WHERE n > 0
+  UNION ALL SELECT 'too few ids', 'V-12', 'hard', NULL, sum(n) FROM keys WHERE n > 1 HAVING count(*) > 0)"""
+    ids = ["n_name", "c_mktsegment", "o_orderpriority"]
+    kept = [m for m in labels if m not in (months, other)]
+    mixed = [m if m != months else "1996-03" for m in labels]
+    # the label of the other format follows those of the common one
+    mixed_times = [m for m in mixed if m != "1996-03"] + ["1996-03"]
+    numbered = [f"m{i}" for i in range(len(labels))]
+    no_text = [m for m in labels if m != months]
+    roles = {"inferred": (ids, labels, labels, []), "out of order": (ids, labels, labels, []),
+             "gap": (ids, kept, kept, []), "mixed formats": (ids, mixed_times, mixed_times, []),
+             "one id": (["row"], labels, labels, []), "no period": (ids, [], numbered, []),
+             "no id": ([], labels, labels, []), "no measures": (ids, labels[:3], [], []),
+             "text period": (ids, labels, no_text, [months])}
+    rows = ", ".join(f"('{case}', '{role}', {i}, '{c}')" for case, lists in roles.items()
+                     for role, columns in zip(("id", "time", "measure", "coercible"), lists)
+                     for i, c in enumerate(columns))
+    return {"schema_findings_cases": findings, "inferred_roles": f"""
+SELECT r.* FROM (VALUES {rows}) r("case", role, pos, "column") WHERE (SELECT count(*) FROM orders) > 0"""}
+
+
 def oracle_sql() -> dict[str, str]:
     main = _main_det()
     w = _with
@@ -422,6 +474,17 @@ HAVING count(*) > 0"""
     out["what_if"] = apply_sql(ALL_ACTION, ALL_ATTR, """
 SELECT f.n_name, f.p_brand, f."column", m.value AS value_before, f.v AS value_after
 FROM final_cells f JOIN md m USING (n_name, p_brand, pos) WHERE f.v IS DISTINCT FROM m.value""")
+    out["coerced_detections"] = w(
+        main_facts(), cells("mc", "main_facts", ["n_name", "p_brand"], qlabels, True), """
+mt AS (SELECT n_name, p_brand, pos, period,
+              CASE WHEN n_name = 'NATION_7' AND period = '1997Q3' THEN NULL ELSE v END AS v FROM mc)""",
+        detect("md", "mt", ["n_name", "p_brand"]),
+        cells("mx", "main_facts", ["n_name", "p_brand"], [x for x in qlabels if x != "1997Q3"], True),
+        detect("mb", "mx", ["n_name", "p_brand"])) + f"""
+SELECT n_name, p_brand, "column", value, {MERGED_COLS},
+       (n_name, p_brand, "column") IN (SELECT (n_name, p_brand, "column") FROM mb WHERE {ANY_FLAG}) AS known
+FROM md WHERE {ANY_FLAG}"""
+    out.update(_case_sql(seg_facts(), seg_cells, mlabels))
     month = _month_det()
     out["wide_detections"] = w(*month) + \
         f'\nSELECT n_name, p_brand, "column", value, {MERGED_COLS}\nFROM md WHERE {ANY_FLAG}'

@@ -34,7 +34,7 @@ from ..operators import views as vw
 from ..session import ensure_checkpoint_dir
 from ..sinks import writers as wr
 from ..sources.cube import read_cube
-from . import pipeline
+from . import cases, pipeline
 from .cubes import (
     customer_brand_cube,
     nation_brand_cube,
@@ -46,6 +46,7 @@ from .cubes import (
     segment_month_facts,
     table,
 )
+from .store import CubeStore
 
 MAIN_IDS = ["n_name", "p_brand"]
 SEG_IDS = ["n_name", "c_mktsegment", "o_orderpriority"]
@@ -344,12 +345,37 @@ def schema_findings_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return _findings(cube, SEG_IDS[:2], [c for c in cube.columns if c not in SEG_IDS])
 
 
+def _written(spark: SparkSession, cube: DataFrame) -> tuple[str, str]:
+    """A folder of the run's own in the shared folder, and the cube's files in it."""
+    folder = f"{ensure_checkpoint_dir(spark)}/cubewash-{uuid.uuid4().hex}"
+    cube.write.parquet(f"{folder}/cube")
+    return folder, f"{folder}/cube"
+
+
+COERCED = "1997Q3"
+
+
+def coerced_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """P-04: detections after a text period of the main cube was made numbers in a store, and
+    whether the cell was detected by those stored before, which are not used any more."""
+    cube = _main(spark, sf)
+    text = F.when(F.col("n_name") == "NATION_7", F.lit("n/a")).otherwise(q(COERCED).cast("string"))
+    folder, path = _written(spark, cube.withColumn(COERCED, text))
+    store = CubeStore.create(spark, f"{folder}/store", path)
+    before = _merged(store.detections(), MAIN_IDS)
+    result = store.coerce(store.schema().coercible_columns)
+    if store.state().detections is not None or COERCED not in result.roles.measure_columns:
+        raise AssertionError("the new version still has what belonged to the old")
+    after = _merged(store.detections(), MAIN_IDS)
+    known = before.select(*MAIN_IDS, "column", F.lit(True).alias("known"))
+    return after.join(known, [*MAIN_IDS, "column"], "left").withColumn(
+        "known", F.coalesce("known", F.lit(False)))
+
+
 def _cube_files(spark: SparkSession, sf: str) -> tuple[str, str, ColumnRoles]:
     """The main cube as several files in the shared folder: folder of the run, path, roles."""
     cube, roles = _main_and_roles(spark, sf)
-    folder = f"{ensure_checkpoint_dir(spark)}/cubewash-{uuid.uuid4().hex}"
-    cube.repartition(4, *[q(c) for c in MAIN_IDS]).write.parquet(f"{folder}/cube")
-    return folder, f"{folder}/cube", roles
+    return *_written(spark, cube.repartition(4, *[q(c) for c in MAIN_IDS])), roles
 
 
 def preview_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -452,6 +478,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wide_audit": wide_audit,
     "schema_findings_returns": schema_findings_returns,
     "schema_findings_duplicates": schema_findings_duplicates,
+    "schema_findings_cases": cases.findings,
+    "inferred_roles": cases.roles,
+    "coerced_detections": coerced_detections,
     "preview_pages": preview_pages,
     "preview_flagged": preview_flagged,
     "roundtrip_cleaned": roundtrip_cleaned,

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import cells_array, q
+from ..functions.cells import cells_array, q, sql_name, sql_text, to_double_sql
 from ..model import (
     CELLS,
     FILE_PATH,
@@ -128,15 +128,15 @@ def long_to_wide(facts: DataFrame, ids: list[str], period: str, value: str,
     sums, a single shuffle on the id tuple (``pivot`` would aggregate twice), and
     no distinct job since the labels are given. A fact of any other period is an
     error, never dropped."""
-    known = F.col(period).isin(labels)
-    facts = facts.withColumn(period, F.when(known, F.col(period)).otherwise(F.raise_error(F.concat(
-        F.lit("period outside the cube: "), F.coalesce(F.col(period).cast("string"), F.lit("NULL"))))))
+    name, listed = sql_name(period), ", ".join(map(sql_text, labels))
+    known = (f"CASE WHEN {name} IN ({listed}) THEN {name} ELSE raise_error(concat('period outside the cube: ', "
+             f"coalesce(CAST({name} AS STRING), 'NULL'))) END" if labels else name)
+    facts = facts.withColumn(period, F.expr(known))
 
-    def cell(lab: str):
-        s = F.sum(F.when(F.col(period) == F.lit(lab), F.col(value)))
-        if fill is not None:
-            s = F.coalesce(s, F.lit(fill))
-        return s.cast("double").alias(lab)
+    def cell(label: str) -> Column:
+        total = f"sum(CASE WHEN {name} = {sql_text(label)} THEN {sql_name(value)} END)"
+        filled = total if fill is None else f"coalesce({total}, {float(fill)!r}D)"
+        return F.expr(f"CAST({filled} AS DOUBLE) AS {sql_name(label)}")
 
     return facts.groupBy(*[q(c) for c in ids]).agg(*[cell(lab) for lab in labels])
 
@@ -144,8 +144,6 @@ def long_to_wide(facts: DataFrame, ids: list[str], period: str, value: str,
 def wide_to_long(df: DataFrame, ids: list[str], measures: list[str], *,
                  period: str = "period", value: str = "value") -> DataFrame:
     """P-05 inverse: one row per id tuple and measure (narrow, no shuffle)."""
-    from ..functions.cells import to_double
-
     types = {f.name: f.dataType for f in df.schema.fields}
-    cast = df.select(*[q(c) for c in ids], *[to_double(q(m), types[m]).alias(m) for m in measures])
+    cast = df.selectExpr(*map(sql_name, ids), *[f"{to_double_sql(m, types[m])} AS {sql_name(m)}" for m in measures])
     return cast.unpivot([q(c) for c in ids], [q(m) for m in measures], period, value)
