@@ -51,11 +51,10 @@ ROW_ID = "__row_id"
 ROW_INDEX = "__row_index"
 FILE_PATH = "__file_path"
 KEY = "__row_key"
+FLAGS = "__flags"
 ACTIONS = "__actions"
 APPLIED = "__applied"
-INTERNAL = frozenset({CELLS, ROW_ID, ROW_INDEX, FILE_PATH, KEY, ACTIONS, APPLIED,
-                      "__v1", "__log1", "__s3", "__log3", "__s4",
-                      *(f"__f_{d}" for d in DETECTORS)})
+INTERNAL = frozenset({CELLS, ROW_ID, ROW_INDEX, FILE_PATH, KEY, FLAGS, ACTIONS, APPLIED})
 
 
 @dataclass

@@ -6,18 +6,17 @@ the row that holds the selected detection, so the Spark plan is:
 
 * **policy path** (:func:`apply_policy`): the fixes follow from the detector
   flags of the row itself (a staging policy, G-01..G-03). Detection, choice of
-  fix and the five passes run in one narrow projection: no shuffle at all.
+  fix and the passes run in one narrow stage: no shuffle at all.
 * **selection path** (:func:`apply_selections`): an explicit selections table
   (detection_id, fix, attribution, sel_ord) is validated against the
   detections, grouped per row (at most one action per measure cell, so groups
   are bounded by the number of periods) and joined to the cube on the row id:
   one shuffle, or a broadcast when AQE measures the action side as small.
 
-Per row, the passes are a fixed composition of array higher-order functions
-over the row's measure array (``__cells``) and its action list:
-``transform`` for the bulk zeroing, ``aggregate`` folds for the order-dependent
-refund cascades and splits. The result is the new measure array plus an array
-of change entries; ``cleaned`` and ``changes`` are two projections of it.
+The passes run over blocks of rows (:func:`cubewash.functions.blocks.apply_passes`) and
+leave, beside the new measures, a log of small numbers (pass, order, step, position,
+credited detector, values). Names, row keys and ids are looked up when the log is
+exploded; ``cleaned_cube`` and ``changes`` are two projections of one frame.
 """
 
 from __future__ import annotations
@@ -27,11 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import cells_array, q
+from ..functions import blocks
+from ..functions.cells import cells_array, q, sql_name
 from ..model import (
     ACTIONS,
     APPLIED,
     CELLS,
+    DETECTOR_ACTION,
+    DETECTORS,
     FIX_ATTRIBUTION,
     KEEP_AS_IS,
     KEY,
@@ -44,21 +46,14 @@ from ..model import (
     ColumnRoles,
     InvalidSelectionError,
 )
-from .detect import (
-    DEFAULT_DETECTORS,
-    ROW_KEY,
-    UNROLL_MAX,
-    Detector,
-    detection_id,
-    flag_cells,
-    merged_fields,
-)
-from ..sources.cube import user_columns
+from ..sources.cube import prepare, row_key, user_columns
+from .detect import DEFAULT_DETECTORS, ROW_KEY, Detector, combos, detection_id, lookup, masks
 
-ACTION_T = "struct<ord:bigint,pos:int,fix:string,attribution:string,detection_id:string>"
-ENTRY_T = ("struct<pass:int,ord:bigint,step:int,pos:int,anomaly_type:string,"
-           "change_kind:string,value_before:double,value_after:double,"
-           "suggested_fix:string,flagged:boolean,detection_id:string,parent_step:int>")
+#: The pass that treats a fix; a cell set to zero and credited to the refund detector is a refund.
+PASS_OF_FIX = {SET_TO_ZERO: blocks.ZERO, SPLIT_EVENLY: blocks.SPLIT, KEEP_AS_IS: blocks.KEEP}
+FIX_OF_PASS = {blocks.ZERO: SET_TO_ZERO, blocks.REFUND: SET_TO_ZERO, blocks.SPLIT: SPLIT_EVENLY,
+               blocks.KEEP: KEEP_AS_IS}
+ACTION_T = "array<struct<ord:bigint,pos:int,kind:int,detector:int>>"
 
 
 def attribution_expr(flagged_by: Column, fix: Column, explicit: Column | None = None) -> Column:
@@ -82,143 +77,9 @@ def attribute(flagged_by: list[str], fix: str | None, explicit: str | None = Non
     return next(filter(set(flagged_by).__contains__, ranked), None)
 
 
-def _entry(pass_no: int, ord_: Column, step: Column, pos: Column, attr: Column, kind: str,
-           before: Column, after: Column, fix: str, flagged: bool, det_id: Column,
-           parent_step: Column | None) -> Column:
-    return F.struct(
-        F.lit(pass_no).alias("pass"), ord_.cast("bigint").alias("ord"),
-        step.cast("int").alias("step"), pos.cast("int").alias("pos"),
-        attr.alias("anomaly_type"), F.lit(kind).alias("change_kind"),
-        before.cast("double").alias("value_before"), after.cast("double").alias("value_after"),
-        F.lit(fix).alias("suggested_fix"), F.lit(flagged).alias("flagged"),
-        det_id.alias("detection_id"),
-        (parent_step if parent_step is not None else F.lit(None)).cast("int").alias("parent_step"),
-    ).cast(ENTRY_T)
-
-
-def _empty_log() -> Column:
-    return F.array().cast(f"array<{ENTRY_T}>")
-
-
-def _set_at(v: Column, i: Column, value: Column) -> Column:
-    return F.transform(v, lambda x, k: F.when(k == i, value).otherwise(x))
-
-
-def apply_passes(df: DataFrame, measures: list[str], keep: list[str]) -> DataFrame:
-    """Five passes over each row of ``df`` (columns ``__cells`` and ``__actions``,
-    actions sorted by ``ord``). Returns ``keep`` + ``__applied``
-    (``struct<cells array<double>, log array<entry>>``).
-
-    Every pass is its own projection, so each intermediate row state is computed
-    once and referenced by column; nesting the folds in one expression would copy
-    (and re-evaluate) the earlier passes at every reference."""
-    def get(v: Column, i: Column) -> Column:
-        return F.get(v, i)
-
-    v0 = F.col(CELLS)
-    actions = F.col(ACTIONS)
-
-    # Pass 2: bulk set_to_zero (attribution other than refund); before = original value.
-    zs = F.filter(actions, lambda a: (a["fix"] == SET_TO_ZERO) & (a["attribution"] != REFUND))
-    v1 = F.transform(v0, lambda x, i: F.when(F.exists(zs, lambda a: a["pos"] == i),
-                                             F.lit(0.0)).otherwise(x))
-    log1 = F.transform(zs, lambda a: _entry(
-        2, a["ord"], F.lit(0), a["pos"], a["attribution"], PRIMARY, get(v0, a["pos"]),
-        F.lit(0.0), SET_TO_ZERO, False, a["detection_id"], None))
-    p2 = df.select(*keep, CELLS, ACTIONS, v1.alias("__v1"), log1.alias("__log1"))
-
-    # Pass 3: refunds in selection order; each zeroes its cell and walks back over
-    # earlier positive cells absorbing the reversal (latest first). NULL cells are
-    # skipped; a leftover is dropped.
-    rf = F.filter(actions, lambda a: (a["fix"] == SET_TO_ZERO) & (a["attribution"] == REFUND))
-    state_t = f"struct<v:array<double>,log:array<{ENTRY_T}>>"
-
-    walk_t = f"struct<rem:double,log:array<{ENTRY_T}>,step:int>"
-
-    def refund_step(st: Column, a: Column) -> Column:
-        r = a["pos"]
-        before = get(st["v"], r)
-        primary = _entry(3, a["ord"], F.lit(0), r, a["attribution"], PRIMARY, before,
-                         F.lit(0.0), SET_TO_ZERO, False, a["detection_id"], None)
-        back = F.when(r > 0, F.sequence(r - 1, F.lit(0), F.lit(-1))).otherwise(
-            F.array().cast("array<int>"))
-        start = F.struct((-before).alias("rem"), _empty_log().alias("log"),
-                         F.lit(1).alias("step")).cast(walk_t)
-
-        def walk(s: Column, i: Column) -> Column:
-            # positions below r are visited once, so the row state before this
-            # refund is the current value; the array is rebuilt once afterwards
-            x = get(st["v"], i)
-            take = (s["rem"] > 0) & x.isNotNull() & (x > 0)
-            absorbed = F.least(x, s["rem"])
-            after = x - absorbed
-            moved = F.struct(
-                (s["rem"] - absorbed).alias("rem"),
-                F.concat(s["log"], F.array(_entry(
-                    3, a["ord"], s["step"], i, a["attribution"], REFUND_CASCADE, x, after,
-                    SET_TO_ZERO, False, a["detection_id"], F.lit(0)))).alias("log"),
-                (s["step"] + 1).alias("step")).cast(walk_t)
-            return F.when(F.coalesce(take, F.lit(False)), moved).otherwise(s)
-
-        def finish(s: Column) -> Column:
-            upd = F.map_from_arrays(F.transform(s["log"], lambda e: e["pos"]),
-                                    F.transform(s["log"], lambda e: e["value_after"]))
-            v = F.transform(st["v"], lambda x, k: F.when(k == r, F.lit(0.0)).otherwise(
-                F.coalesce(F.try_element_at(upd, k), x)))
-            return F.struct(v.alias("v"),
-                            F.concat(st["log"], F.array(primary), s["log"]).alias("log")
-                            ).cast(state_t)
-
-        return F.aggregate(back, start, walk, finish)
-
-    s3 = F.aggregate(rf, F.struct(F.col("__v1").alias("v"), _empty_log().alias("log"))
-                     .cast(state_t), refund_step)
-    p3 = p2.select(*keep, CELLS, ACTIONS, "__log1", s3.alias("__s3"))
-
-    # Pass 4: splits in selection order. The zero partner is looked up on the
-    # original row (next position first); the spike keeps the larger half.
-    sp = F.filter(actions, lambda a: a["fix"] == SPLIT_EVENLY)
-    names = F.array(*[F.lit(m) for m in measures]) if measures else F.array().cast(
-        "array<string>")
-
-    def split_step(st: Column, a: Column) -> Column:
-        s = a["pos"]
-        partner = F.when(get(v0, s + 1) == 0.0, s + 1).when(
-            (s > 0) & (get(v0, s - 1) == 0.0), s - 1)
-        partner = F.coalesce(partner, F.raise_error(F.concat(
-            F.lit("Cannot split: '"), F.get(names, s), F.lit("' has no zero neighbor"))
-        ).cast("int"))
-        x = get(st["v"], s)
-        y = get(st["v"], partner)
-        half = x / 2.0
-        integral = F.pmod(x, F.lit(1.0)) == 0.0
-        later = F.when(integral, half - F.pmod(half, F.lit(1.0))).otherwise(half)
-        earlier = F.when(integral, x - later).otherwise(half)
-        v = F.transform(st["v"], lambda z, k: F.when(k == s, earlier)
-                        .when(k == partner, later).otherwise(z))
-
-        def e(step: int, pos: Column, before: Column, after: Column) -> Column:
-            return _entry(4, a["ord"], F.lit(step), pos, a["attribution"], PRIMARY, before,
-                          after, SPLIT_EVENLY, False, a["detection_id"], None)
-
-        log = F.when(s < partner, F.array(e(0, s, x, earlier), e(1, partner, y, later))) \
-            .otherwise(F.array(e(0, partner, y, later), e(1, s, x, earlier)))
-        return F.struct(v.alias("v"), F.concat(st["log"], log).alias("log")).cast(state_t)
-
-    s4 = F.aggregate(sp, F.struct(F.col("__s3.v").alias("v"), _empty_log().alias("log"))
-                     .cast(state_t), split_step)
-    p4 = p3.select(*keep, ACTIONS, "__log1", F.col("__s3.log").alias("__log3"),
-                   s4.alias("__s4"))
-
-    # Pass 5: keeps record the reviewed value, no change.
-    final = F.col("__s4.v")
-    kp = F.filter(actions, lambda a: a["fix"] == KEEP_AS_IS)
-    log5 = F.transform(kp, lambda a: _entry(
-        5, a["ord"], F.lit(0), a["pos"], a["attribution"], PRIMARY, get(final, a["pos"]),
-        get(final, a["pos"]), KEEP_AS_IS, True, a["detection_id"], None))
-    return p4.select(*keep, F.struct(
-        final.alias("cells"),
-        F.concat("__log1", "__log3", "__s4.log", log5).alias("log")).alias(APPLIED))
+def pass_of(fix: str | None, detector: str | None) -> int:
+    """The pass that treats a fix; 0 if there is nothing to do."""
+    return blocks.REFUND if fix == SET_TO_ZERO and detector == REFUND else PASS_OF_FIX.get(fix, 0)
 
 
 # --- policies (G-01..G-03) -----------------------------------------------------
@@ -236,77 +97,33 @@ class Policy:
     detectors: tuple[str, ...] | None = None
 
 
-def _policy_actions(flags: dict[str, list[Column]], measures: list[str], row_id: Column,
-                    policy: Policy, detectors: tuple[Detector, ...]) -> Column:
-    from ..model import DETECTOR_ACTION
+def _choices(policy: Policy, detectors: tuple[Detector, ...]) -> tuple[list[int], list[int]]:
+    """(pass, place of the credited detector) for every set of flagging detectors; pass 0: not staged."""
+    names = [d.name for d in detectors]
+    visible = set(policy.detectors or names)
+    kinds, credited = [], []
+    for combo in combos(detectors):
+        if policy.context is not None:
+            staged, fix, who = policy.context in combo["flagged_by"], DETECTOR_ACTION[policy.context], policy.context
+        else:
+            staged = bool(visible & set(combo["flagged_by"]))
+            fix = combo["suggested_fix"]
+            who = attribute(combo["flagged_by"], fix)
+        kinds.append(pass_of(fix, who) if staged else 0)
+        credited.append(names.index(who) if staged else 0)
+    return kinds, credited
 
-    n = len(measures)
-    by_name = sorted(range(n), key=lambda i: measures[i])  # stage-all order: column text
 
-    from .detect import combo_lookup, combos, flag_bits
+def _stage_order(measures: list[str]) -> list[int]:
+    """Place of each position when the cells of a row are staged by column text."""
+    place = [0] * len(measures)
+    for rank, i in enumerate(sorted(range(len(measures)), key=lambda i: measures[i])):
+        place[i] = rank
+    return place
 
-    table = combos(detectors)
-    fix_of = [t["suggested_fix"] for t in table]
-    attr_of = [attribute(t["flagged_by"], t["suggested_fix"]) for t in table]
-    visible = policy.detectors or tuple(d.name for d in detectors)
-    visible_mask = sum(1 << k for k, d in enumerate(detectors) if d.name in visible)
-    ctx_bit = (1 << [d.name for d in detectors].index(policy.context)
-               if policy.context is not None else 0)
-    names = F.array(*[F.lit(m) for m in measures]) if measures else F.array().cast(
-        "array<string>")
 
-    def choose(f: dict[str, Column], i: Column, rank: Column) -> Column:
-        # one integer per cell; fix and attribution are lookups in per-combination tables
-        bits = flag_bits(f, detectors)
-        if policy.context is not None:
-            selected = bits.bitwiseAND(F.lit(ctx_bit)) != 0
-            fix = F.lit(DETECTOR_ACTION[policy.context])
-            attr = F.lit(policy.context)
-        else:
-            selected = bits.bitwiseAND(F.lit(visible_mask)) != 0
-            fix = combo_lookup(bits, fix_of, "string")
-            attr = combo_lookup(bits, attr_of, "string")
-        return F.when(selected, F.struct(
-            rank.cast("bigint").alias("ord"), i.cast("int").alias("pos"),
-            fix.alias("fix"), attr.alias("attribution"),
-            detection_id(row_id, F.get(names, i)).alias("detection_id")))
-
-    if n > UNROLL_MAX:
-        order = F.array(*[F.lit(i) for i in by_name])
-        acts = F.transform(order, lambda i, rank: choose(
-            {d.name: F.get(F.col(f"__f_{d.name}"), i) for d in detectors}, i, rank))
-        return F.array_compact(acts).cast(f"array<{ACTION_T}>")
-    if n == 0:
-        return F.array().cast(f"array<{ACTION_T}>")
-
-    # Unrolled form as one SQL expression (one parse instead of thousands of
-    # Column calls); the per-combination tables become array literals.
-    def lit(v: str | None) -> str:
-        if v is None:
-            return "CAST(NULL AS STRING)"
-        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-    fix_tab = "array(" + ", ".join(lit(x) for x in fix_of) + ")"
-    attr_tab = "array(" + ", ".join(lit(x) for x in attr_of) + ")"
-    entries = []
-    for rank, i in enumerate(by_name):
-        bits = " + ".join(f"(CASE WHEN __f_{d.name}[{i}] THEN {1 << k} ELSE 0 END)"
-                          for k, d in enumerate(detectors))
-        if policy.context is not None:
-            sel = f"coalesce(__f_{policy.context}[{i}], false)"
-            fix = lit(DETECTOR_ACTION[policy.context])
-            attr = lit(policy.context)
-        else:
-            sel = f"(({bits}) & {visible_mask}) != 0"
-            fix = f"element_at({fix_tab}, ({bits}) + 1)"
-            attr = f"element_at({attr_tab}, ({bits}) + 1)"
-        did = (f"concat('d_', substring(sha2(concat_ws('|', {ROW_ID}, {lit(measures[i])}), 256),"
-               f" 1, 32))")
-        entries.append(f"CASE WHEN {sel} THEN named_struct('ord', CAST({rank} AS BIGINT), "
-                       f"'pos', {i}, 'fix', {fix}, 'attribution', {attr}, "
-                       f"'detection_id', {did}) END")
-    return F.array_compact(F.expr("array(" + ", ".join(entries) + ")")).cast(
-        f"array<{ACTION_T}>")
+def _untouched() -> Column:
+    return F.struct(F.col(CELLS).alias("cells"), F.array().cast(blocks.LOG_T).alias("log"))
 
 
 def apply_policy(df: DataFrame, roles: ColumnRoles, policy: Policy = Policy(),
@@ -314,14 +131,12 @@ def apply_policy(df: DataFrame, roles: ColumnRoles, policy: Policy = Policy(),
     """Detect and apply in one narrow pass. Returns the cube columns plus
     ``__row_id``, ``__row_key`` and ``__applied`` (struct of new cells and log)."""
     measures = roles.measure_columns
-    user_cols = user_columns(df)
-    flagged = flag_cells(df, roles, detectors, keep=user_cols)
-    flags = {d.name: [F.col(f"__f_{d.name}")[i] for i in range(len(measures))]
-             for d in detectors}
-    actions = _policy_actions(flags, measures, F.col(ROW_ID), policy, detectors)
-    staged = flagged.select(*[q(c) for c in user_cols], ROW_ID, KEY, CELLS,
-                            actions.alias(ACTIONS))
-    return apply_passes(staged, measures, [*[q(c) for c in user_cols], ROW_ID, KEY])
+    cube = prepare(df, roles.id_columns, measures)
+    kinds, credited = _choices(policy, detectors)
+    applied = blocks.policy_column(F.col(CELLS), measures, masks(detectors), kinds, credited,
+                                   _stage_order(measures)) if measures else _untouched()
+    return cube.select(*[q(c) for c in user_columns(df)], ROW_ID, row_key(roles.id_columns).alias(KEY),
+                       applied.alias(APPLIED))
 
 
 # --- explicit selections (X-01, X-02, X-09, D5) ------------------------------
@@ -377,65 +192,71 @@ def validate_selections(detections: DataFrame, selections: DataFrame) -> DataFra
 def apply_selections(df: DataFrame, roles: ColumnRoles, detections: DataFrame,
                      selections: DataFrame) -> DataFrame:
     """X-01..X-14 for an explicit selections table. Same output as :func:`apply_policy`."""
-    from ..sources.cube import prepare, row_key
-
     measures = roles.measure_columns
     resolved = validate_selections(detections, selections)
-    per_row = (resolved.groupBy(ROW_ID).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("ord"), F.col("pos"), F.col("fix"), F.col("attribution"),
-        F.col("detection_id")))).cast(f"array<{ACTION_T}>").alias(ACTIONS)))
+    refund = (F.col("fix") == SET_TO_ZERO) & (F.col("attribution") == REFUND)
+    kind = F.when(refund, blocks.REFUND)
+    for fix, pass_no in PASS_OF_FIX.items():
+        kind = kind.when(F.col("fix") == fix, pass_no)
+    who = F.array_position(F.array(*map(F.lit, DETECTORS)), F.col("attribution")) - 1
+    per_row = resolved.groupBy(ROW_ID).agg(F.collect_list(F.struct(
+        F.col("ord"), F.col("pos"), kind.alias("kind"), who.cast("int").alias("detector")))
+        .cast(ACTION_T).alias(ACTIONS))
     user_cols = user_columns(df)
     cube = prepare(df, roles.id_columns, measures).select(
         *[q(c) for c in user_cols], ROW_ID, row_key(roles.id_columns).alias(KEY), CELLS)
-    joined = cube.join(per_row, ROW_ID, "left").withColumn(
-        ACTIONS, F.coalesce(F.col(ACTIONS), F.array().cast(f"array<{ACTION_T}>")))
-    return apply_passes(joined, measures, [*[q(c) for c in user_cols], ROW_ID, KEY])
+    joined = cube.join(per_row, ROW_ID, "left")
+    applied = blocks.actions_column(F.col(CELLS), F.coalesce(ACTIONS, F.array().cast(ACTION_T)), measures) \
+        if measures else _untouched()
+    return joined.select(*[q(c) for c in user_cols], ROW_ID, KEY, applied.alias(APPLIED))
 
 
 # --- outputs (X-11..X-14) ---------------------------------------------------
 
 def cleaned_cube(applied: DataFrame, roles: ColumnRoles) -> DataFrame:
     """X-14: the cube with fixed measures (double), same column order as the input."""
-    measures = roles.measure_columns
-    pos = {m: i for i, m in enumerate(measures)}
-    cols = user_columns(applied)
-    return applied.select(*[
-        F.get(F.col(f"{APPLIED}.cells"), F.lit(pos[c])).alias(c) if c in pos else q(c)
-        for c in cols])
+    pos = {m: i for i, m in enumerate(roles.measure_columns)}
+    return applied.selectExpr(*[f"get({APPLIED}.cells, {pos[c]}) AS {sql_name(c)}" if c in pos else sql_name(c)
+                                for c in user_columns(applied)])
 
 
-def changes(applied: DataFrame, roles: ColumnRoles, run_id: str = "run") -> DataFrame:
+def changes(applied: DataFrame, roles: ColumnRoles, run_id: str = "run",
+            detectors: tuple[Detector, ...] = DEFAULT_DETECTORS) -> DataFrame:
     """X-11: one row per change entry.
 
     change_id is deterministic (hash of run id, detection id, pass and step), so a
-    recomputed partition yields the same ids; the parent of a cascade entry is
-    the refund's primary entry."""
-    names = F.array(*[F.lit(m) for m in roles.measure_columns])
-    # Explode positions, not the entries: the generator then consumes a plain
-    # integer array, and nested-field pruning has nothing to push into the folds
-    # that build the log.
+    recomputed partition yields the same ids; the parent of a cascade entry is the refund's
+    primary entry. The detection of an entry is that of the cell the action was chosen for:
+    the entry's own cell, but the refund's cell for its cascade, and the spike's for a split."""
+    def name(at: str) -> str:
+        return lookup(at, roles.measure_columns, "string") if roles.measure_columns else "CAST(NULL AS STRING)"
+
+    fixes = lookup("pass", [FIX_OF_PASS.get(k) for k in range(max(FIX_OF_PASS) + 1)], "string")
     log = F.col("__log")
-    n_log = F.size(log)
-    idx = F.when(n_log > 0, F.sequence(F.lit(0), n_log - 1)).otherwise(
-        F.array().cast("array<int>"))
-    ex = (applied.select(ROW_ID, F.col(KEY).alias(ROW_KEY), F.col(f"{APPLIED}.log").alias("__log"))
-          .select(ROW_ID, ROW_KEY, "__log", F.explode(idx).alias("__k"))
-          .select(ROW_ID, ROW_KEY, F.get(log, F.col("__k")).alias("__e"))
-          .select(ROW_ID, ROW_KEY, "__e.*"))
-
-    def cid(step: Column) -> Column:
-        return F.sha2(F.concat_ws("|", F.lit(run_id), F.col("detection_id"),
-                                  F.col("pass").cast("string"), step.cast("string")), 256)
-
-    return ex.select(
-        cid(F.col("step")).alias("change_id"),
-        "anomaly_type", "change_kind", ROW_KEY,
-        F.get(names, F.col("pos")).alias("column"),
+    # Positions are exploded, not the entries: the generator then consumes a plain array, and
+    # nested-field pruning has nothing to push into the function that makes the log.
+    at = F.when(F.size(log) > 0, F.sequence(F.lit(0), F.size(log) - 1)).otherwise(F.array().cast("array<int>"))
+    entries = (applied.select(ROW_ID, F.col(KEY).alias(ROW_KEY), F.col(f"{APPLIED}.log").alias("__log"))
+               .select(ROW_ID, ROW_KEY, "__log", F.explode(at).alias("__k"))
+               .select(ROW_ID, ROW_KEY, F.get(log, F.col("__k")).alias("__e"))
+               .select(ROW_ID, ROW_KEY, "__e.*"))
+    cascade = f"(pass = {blocks.REFUND} AND step > 0)"
+    named = entries.selectExpr(
+        ROW_ID, ROW_KEY, "pass", "ord", "step", "pos", "value_before", "value_after",
+        f"{lookup('detector', [d.name for d in detectors], 'string')} AS anomaly_type",
+        f"CASE WHEN {cascade} THEN '{REFUND_CASCADE}' ELSE '{PRIMARY}' END AS change_kind",
+        f"{name('pos')} AS column", f"{name('target')} AS __target",
+        f"{fixes} AS suggested_fix", f"pass = {blocks.KEEP} AS flagged", f"{cascade} AS __cascade")
+    with_id = named.withColumn("detection_id", detection_id(F.col(ROW_ID), F.col("__target")))
+
+    def cid(step: str) -> str:
+        return f"sha2(concat_ws('|', '{run_id}', detection_id, CAST(pass AS STRING), {step}), 256)"
+
+    return with_id.selectExpr(
+        f"{cid('CAST(step AS STRING)')} AS change_id", "anomaly_type", "change_kind", ROW_KEY, "column",
         "value_before", "value_after", "suggested_fix", "flagged",
-        F.when(F.col("parent_step").isNotNull(), cid(F.col("parent_step")))
-        .alias("parent_change_id"),
-        "detection_id", ROW_ID, "pos", "pass", "ord", "step",
-    )
+        f"CASE WHEN __cascade THEN {cid(chr(39) + '0' + chr(39))} END AS parent_change_id",
+        "detection_id", ROW_ID, "pos", "pass", "ord", "step")
 
 
 def what_if(applied: DataFrame, roles: ColumnRoles) -> DataFrame:
@@ -453,8 +274,6 @@ def what_if(applied: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 def summary(change_rows: DataFrame) -> DataFrame:
     """X-12: number of entries per detector, zero-filled for all four."""
-    from ..model import DETECTORS
-
     spark = change_rows.sparkSession
     counts = change_rows.groupBy("anomaly_type").agg(F.count("*").alias("n"))
     names = spark.createDataFrame([(d, i) for i, d in enumerate(DETECTORS)],

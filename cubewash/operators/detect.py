@@ -3,37 +3,33 @@
 Every detector is row-local: it only reads the measure cells of its own row.
 The whole detection is therefore one narrow stage over the cube:
 
-    scan -> project cells + per-row statistics -> per-position masks
-         -> explode flagged positions -> merged detection rows
+    scan -> measure array -> flagged positions -> explode -> merged detection rows
 
-No Exchange appears after the cube is built. The four masks are computed side
-by side for each position, so the merge needs no group-by either (M-01).
+No Exchange appears after the cube is built. All detectors look at a cell side by
+side and leave one small integer (bit k = detector k), so the merge needs no group-by
+either (M-01).
 
-Detectors are pluggable: a :class:`Detector` names its primary fix, its
-alternative fixes and builds one boolean Column per measure position from the
-per-row context. The default registry holds the four reference detectors.
+Detectors are pluggable: a :class:`Detector` names its primary fix, its alternative
+fixes and its rule, a function from a matrix (cube rows x periods, NaN where a cell is
+missing) to the cells that it flags (:mod:`cubewash.functions.blocks`). One rule serves
+cubes of any width. The default registry holds the four reference detectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import (
-    null_if_nan,
-    positive_mean,
-    positive_part,
-    q,
-    quantile_linear,
-)
+from ..functions import blocks
+from ..functions.cells import q, sql_text
 from ..model import (
     CELLS,
     DOUBLE_BOOKING,
     FILE_PATH,
     FIX_PRIORITY,
+    FLAGS,
     KEEP_AS_IS,
     KEY,
     NEGATIVE,
@@ -50,246 +46,51 @@ from ..sources.cube import prepare, row_key
 ROW_KEY = "row_key"
 
 
-@dataclass
-class RowContext:
-    """What a detector sees: the cells of one row by position, and a place to
-    declare per-row statistics that are computed once per row (not per cell)."""
-
-    n: int
-    cells: list[Column]
-    stats: dict[str, Column] = field(default_factory=dict)
-
-    def stat(self, name: str, expr: Column) -> Column:
-        """Register ``expr`` as a per-row column and return a reference to it."""
-        col = f"__s_{name}"
-        self.stats.setdefault(col, expr)
-        return F.col(col)
-
-    def stat_sql(self, name: str, expr: Column | str) -> str:
-        """Like :meth:`stat`, returning the column's SQL name."""
-        col = f"__s_{name}"
-        self.stats.setdefault(col, F.expr(expr) if isinstance(expr, str) else expr)
-        return col
-
-
 @dataclass(frozen=True)
 class Detector:
-    """``masks`` gives one boolean Column per position (unrolled form, used for
-    narrow cubes); ``array_mask`` one ``array<boolean>`` Column built with array
-    higher-order functions over ``__cells`` (used for wide cubes, where unrolled
-    code would outgrow the JVM method size limit)."""
+    """``mask`` takes a matrix of cube rows and gives a boolean matrix of the flagged cells.
+
+    It looks at each row by itself; cubes of fewer than ``min_measures`` periods have no
+    flags of it."""
 
     name: str
     fix: str
     alternatives: tuple[str, ...]
-    masks: Callable[[RowContext], list[Column]]
+    mask: blocks.Mask
     min_measures: int = 1
-    array_mask: Callable[[RowContext], Column] | None = None
-    sql_masks: Callable[[RowContext], list[str]] | None = None
-
-
-UNROLL_MAX = 32
-"""Cubes with at most this many measures use unrolled per-position expressions."""
-
-UNROLLED_MASKS = True
-"""Narrow cubes use unrolled masks (whole-stage codegen, about 2x faster than the
-array form). Filters on mask-derived columns must then go through a generator
-(see :func:`cubewash.operators.views.flagged_rows`), or Catalyst would copy the
-per-row statistics into the pushed-down predicate at every position."""
-
 
-def _neg_masks(ctx: RowContext) -> list[Column]:
-    return [x < 0 for x in ctx.cells]
 
-
-def _prior_balance(ctx: RowContext) -> Column:
-    """Per row, the positive cells before each position, summed left to right, in
-    one ``aggregate`` fold (a single expression: it stays small when the optimizer
-    inlines it into filters, unlike a nested chain of additions)."""
-    return ctx.stat("prior_balance", F.aggregate(
-        F.col(CELLS),
-        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a")),
-        lambda st, x: F.struct((st["s"] + positive_part(x)).alias("s"),
-                               F.concat(st["a"], F.array(st["s"])).alias("a")),
-        lambda st: st["a"]))
-
-
-def _refund_masks(ctx: RowContext) -> list[Column]:
-    pb = _prior_balance(ctx)
-    return [(x < 0) & (pb[i] >= F.abs(x)) for i, x in enumerate(ctx.cells)]
-
-
-def _double_booking_masks(ctx: RowContext) -> list[Column]:
-    threshold = ctx.stat("spike_threshold", 2.0 * positive_mean(ctx.cells))
-    out = []
-    n = ctx.n
-    for i, x in enumerate(ctx.cells):
-        zero_next = (ctx.cells[i + 1] == 0.0) if i + 1 < n else F.lit(False)
-        zero_prev = (ctx.cells[i - 1] == 0.0) if i > 0 else F.lit(False)
-        zero_nb = F.coalesce(zero_prev, F.lit(False)) | F.coalesce(zero_next, F.lit(False))
-        out.append((x > 0) & (x > threshold) & zero_nb)
-    return out
-
-
-def _outlier_masks(ctx: RowContext) -> list[Column]:
-    n = ctx.n
-    n_null = ctx.stat("n_null", sum((F.when(x.isNull(), 1).otherwise(0) for x in ctx.cells),
-                                    F.lit(0)))
-    srt = ctx.stat("sorted", F.sort_array(F.array(*ctx.cells)))
-    q1 = quantile_linear(srt, n_null, n, 0.25)
-    q3 = quantile_linear(srt, n_null, n, 0.75)
-    iqr = q3 - q1
-    # A NaN bound (infinite cells) must flag nothing: Spark orders NaN above all.
-    lower = ctx.stat("lower", null_if_nan(q1 - 1.5 * iqr))
-    upper = ctx.stat("upper", null_if_nan(q3 + 1.5 * iqr))
-    return [(x < lower) | (x > upper) for x in ctx.cells]
-
-
-def _cells_arr() -> Column:
-    return F.col(CELLS)
-
-
-def _neg_array(ctx: RowContext) -> Column:
-    return F.transform(_cells_arr(), lambda x: x < 0)
-
-
-def _refund_array(ctx: RowContext) -> Column:
-    pb = _prior_balance(ctx)
-    return F.transform(_cells_arr(), lambda x, i: (x < 0) & (F.get(pb, i) >= F.abs(x)))
-
-
-def _double_booking_array(ctx: RowContext) -> Column:
-    threshold = ctx.stat("spike_threshold_arr", 2.0 * F.aggregate(
-        _cells_arr(), F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("c")),
-        lambda st, x: F.struct((st["t"] + positive_part(x)).alias("t"),
-                               (st["c"] + F.when(x > 0, 1).otherwise(0)).alias("c")),
-        lambda st: F.when(st["c"] > 0, st["t"] / st["c"]).otherwise(F.lit(0.0))))
-    c = _cells_arr()
-    return F.transform(c, lambda x, i: (x > 0) & (x > threshold) & (
-        F.coalesce((i > 0) & (F.get(c, i - 1) == 0.0), F.lit(False))
-        | F.coalesce(F.get(c, i + 1) == 0.0, F.lit(False))))
-
-
-def _outlier_array(ctx: RowContext) -> Column:
-    c = _cells_arr()
-    n_null = ctx.stat("n_null_arr", F.size(c) - F.size(F.array_compact(c)))
-    srt = ctx.stat("sorted_arr", F.sort_array(c))
-    q1 = quantile_linear(srt, n_null, ctx.n, 0.25)
-    q3 = quantile_linear(srt, n_null, ctx.n, 0.75)
-    iqr = q3 - q1
-    lower = ctx.stat("lower_arr", null_if_nan(q1 - 1.5 * iqr))
-    upper = ctx.stat("upper_arr", null_if_nan(q3 + 1.5 * iqr))
-    return F.transform(c, lambda x: (x < lower) | (x > upper))
-
-
-# SQL text forms of the unrolled masks: one parsed expression per detector
-# instead of thousands of Column calls from Python.
-
-def _cell(i: int) -> str:
-    return f"{CELLS}[{i}]"
-
-
-def _neg_sql(ctx: RowContext) -> list[str]:
-    return [f"{_cell(i)} < 0" for i in range(ctx.n)]
-
-
-def _refund_sql(ctx: RowContext) -> list[str]:
-    _prior_balance(ctx)
-    pb = "__s_prior_balance"
-    return [f"{_cell(i)} < 0 AND {pb}[{i}] >= abs({_cell(i)})" for i in range(ctx.n)]
-
-
-def _double_booking_sql(ctx: RowContext) -> list[str]:
-    n = ctx.n
-    pos = " + ".join(f"(CASE WHEN {_cell(i)} > 0 THEN {_cell(i)} ELSE 0.0D END)"
-                     for i in range(n))
-    cnt = " + ".join(f"(CASE WHEN {_cell(i)} > 0 THEN 1 ELSE 0 END)" for i in range(n))
-    thr = ctx.stat_sql("spike_threshold_sql",
-                       f"2.0D * (CASE WHEN ({cnt}) > 0 THEN (0.0D + {pos}) / ({cnt}) "
-                       f"ELSE 0.0D END)")
-    out = []
-    for i in range(n):
-        nb = []
-        if i > 0:
-            nb.append(f"coalesce({_cell(i - 1)} = 0.0D, false)")
-        if i + 1 < n:
-            nb.append(f"coalesce({_cell(i + 1)} = 0.0D, false)")
-        out.append(f"{_cell(i)} > 0 AND {_cell(i)} > {thr} AND ({' OR '.join(nb) or 'false'})")
-    return out
-
-
-def _outlier_sql(ctx: RowContext) -> list[str]:
-    n = ctx.n
-    n_null = F.col(ctx.stat_sql("n_null", " + ".join(
-        f"(CASE WHEN {_cell(i)} IS NULL THEN 1 ELSE 0 END)" for i in range(n))))
-    srt = F.col(ctx.stat_sql("sorted", f"sort_array({CELLS})"))
-    q1 = quantile_linear(srt, n_null, n, 0.25)
-    q3 = quantile_linear(srt, n_null, n, 0.75)
-    iqr = q3 - q1
-    ctx.stat_sql("lower", null_if_nan(q1 - 1.5 * iqr))
-    ctx.stat_sql("upper", null_if_nan(q3 + 1.5 * iqr))
-    return [f"{_cell(i)} < __s_lower OR {_cell(i)} > __s_upper" for i in range(ctx.n)]
-
-
-NEGATIVES = Detector(NEGATIVE, SET_TO_ZERO, (), _neg_masks, 1, _neg_array, _neg_sql)
-REFUNDS = Detector(REFUND, SET_TO_ZERO, (), _refund_masks, 1, _refund_array, _refund_sql)
-DOUBLE_BOOKINGS = Detector(DOUBLE_BOOKING, SPLIT_EVENLY, (), _double_booking_masks, 2,
-                           _double_booking_array, _double_booking_sql)
-OUTLIERS = Detector(OUTLIER, KEEP_AS_IS, (SET_TO_ZERO,), _outlier_masks, 2, _outlier_array,
-                    _outlier_sql)
+NEGATIVES = Detector(NEGATIVE, SET_TO_ZERO, (), blocks.negatives)
+REFUNDS = Detector(REFUND, SET_TO_ZERO, (), blocks.refunds)
+DOUBLE_BOOKINGS = Detector(DOUBLE_BOOKING, SPLIT_EVENLY, (), blocks.double_bookings, 2)
+OUTLIERS = Detector(OUTLIER, KEEP_AS_IS, (SET_TO_ZERO,), blocks.outliers, 2)
 DEFAULT_DETECTORS: tuple[Detector, ...] = (NEGATIVES, REFUNDS, DOUBLE_BOOKINGS, OUTLIERS)
 
 
-def _false_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def masks(detectors: tuple[Detector, ...]) -> list[tuple[int, blocks.Mask]]:
+    return [(d.min_measures, d.mask) for d in detectors]
 
 
 def flag_cells(df: DataFrame, roles: ColumnRoles,
                detectors: tuple[Detector, ...] = DEFAULT_DETECTORS,
                *, keep: list[str] | None = None) -> DataFrame:
-    """One row per cube row with ``__cells`` and one boolean array per detector
-    (``__f_<name>``, aligned with the measure positions). Narrow.
+    """One row per cube row with ``__cells`` and ``__flags``: the flagged positions, each with
+    the set of detectors that flag it (bit k = detector k). Narrow.
 
     ``keep`` lists extra columns to carry (default: row id, row index, row key)."""
     ids, measures = roles.id_columns, roles.measure_columns
-    n = len(measures)
     p = prepare(df, ids, measures)
-    carry = [ROW_ID, CELLS]
-    if ROW_INDEX in p.columns:
-        carry.append(ROW_INDEX)
-    if FILE_PATH in p.columns:
-        carry.append(FILE_PATH)
-    carry_cols = [F.col(c) for c in carry] + [row_key(ids).alias(KEY)]
-    if keep:
-        carry_cols += [q(c) for c in keep if c not in carry]
-    ctx = RowContext(n, [F.col(CELLS)[i] for i in range(n)])
-    # Wide cubes use the array form: every per-row statistic occurs once per
-    # detector, so the code size does not grow with the number of periods.
-    unrolled = UNROLLED_MASKS and n <= UNROLL_MAX
-    masks: dict[str, list[Column]] = {}
-    arrays: dict[str, Column] = {}
-    for d in detectors:
-        if n < d.min_measures:
-            arrays[d.name] = F.array_repeat(F.lit(False), n)
-        elif unrolled and d.sql_masks is not None:
-            arrays[d.name] = F.expr("array(" + ", ".join(
-                f"coalesce({m}, false)" for m in d.sql_masks(ctx)) + ")")
-        elif unrolled or d.array_mask is None:
-            masks[d.name] = [_false_if_null(m) for m in d.masks(ctx)]
-        else:
-            arrays[d.name] = F.transform(d.array_mask(ctx), _false_if_null)
-    staged = p.select(*carry_cols, *[e.alias(k) for k, e in ctx.stats.items()])
-    out_cols = [q(c) for c in staged.columns if c not in ctx.stats]
-    flags = []
-    for d in detectors:
-        if d.name in arrays:
-            col = arrays[d.name]
-        elif n:
-            col = F.array(*masks[d.name])
-        else:
-            col = F.array().cast("array<boolean>")
-        flags.append(col.cast("array<boolean>").alias(f"__f_{d.name}"))
-    return staged.select(*out_cols, *flags)
+    carry = [c for c in (ROW_ID, CELLS, ROW_INDEX, FILE_PATH) if c in p.columns]
+    more = [q(c) for c in keep or [] if c not in carry]
+    flags = blocks.flags_column(F.col(CELLS), len(measures), masks(detectors)) if measures else F.array().cast(
+        blocks.FLAGS_T)
+    return p.select(*carry, row_key(ids).alias(KEY), *more, flags.alias(FLAGS))
+
+
+def flagged_by(position: int | Column, flags: Column | None = None) -> Column:
+    """Whether any cell of a row is flagged by the detector at ``position`` (A-04)."""
+    return F.exists(F.col(FLAGS) if flags is None else flags,
+                    lambda f: f["bits"].bitwiseAND(F.lit(1 << position)) != 0)
 
 
 def merge_combo(flagged: list[str], detectors: tuple[Detector, ...]) -> dict:
@@ -308,25 +109,15 @@ def merge_combo(flagged: list[str], detectors: tuple[Detector, ...]) -> dict:
             "alternative_fixes": sorted(rest, key=lambda f: place.get(f, len(place)))}
 
 
-def flag_bits(flag: dict[str, Column], detectors: tuple[Detector, ...]) -> Column:
-    """The set of detectors that flagged a cell as one small integer (bit k = detector k)."""
-    bits = F.lit(0)
-    for k, d in enumerate(detectors):
-        bits = bits + F.when(flag[d.name], F.lit(1 << k)).otherwise(F.lit(0))
-    return bits
-
+def lookup(index: str, values: list, dtype: str) -> str:
+    """SQL text of ``values[index]`` (from 0). Rules that depend on few values, such as the set
+    of flagging detectors, are evaluated once per value on the driver; per cell a lookup remains."""
+    def literal(v) -> str:
+        if isinstance(v, (list, tuple)):
+            return f"CAST(array({', '.join(map(literal, v))}) AS {dtype})"
+        return sql_text(v)
 
-def combo_lookup(bits: Column, values: list, dtype: str) -> Column:
-    """``values[bits]`` for a table with one entry per detector combination.
-
-    The merge rules are evaluated once per combination on the driver (2^k entries
-    for k detectors); per cell only an array lookup remains, so the expression
-    size does not grow with the rules."""
-    if dtype.startswith("array"):
-        lits = [F.array(*[F.lit(x) for x in v]).cast(dtype) for v in values]
-    else:
-        lits = [F.lit(v).cast(dtype) for v in values]
-    return F.element_at(F.array(*lits), bits + 1)
+    return f"element_at(array({', '.join(map(literal, values))}), {index} + 1)"
 
 
 def combos(detectors: tuple[Detector, ...]) -> list[dict]:
@@ -335,17 +126,13 @@ def combos(detectors: tuple[Detector, ...]) -> list[dict]:
             for b in range(1 << k)]
 
 
-def merged_fields(flag: dict[str, Column], detectors: tuple[Detector, ...]) -> dict[str, Column]:
-    """M-02..M-05 for one cell given one boolean Column per detector."""
-    bits = flag_bits(flag, detectors)
+def merged_fields(bits: str, detectors: tuple[Detector, ...]) -> list[str]:
+    """M-02..M-05 for one cell, given the SQL text of its set of flags."""
     table = combos(detectors)
-    return {
-        "flagged_by": combo_lookup(bits, [t["flagged_by"] for t in table], "array<string>"),
-        "suggested_fix": combo_lookup(bits, [t["suggested_fix"] for t in table], "string"),
-        "confidence": F.lit(1.0),
-        "alternative_fixes": combo_lookup(bits, [t["alternative_fixes"] for t in table],
-                                          "array<string>"),
-    }
+    return [f"{lookup(bits, [t['flagged_by'] for t in table], 'array<string>')} AS flagged_by",
+            f"{lookup(bits, [t['suggested_fix'] for t in table], 'string')} AS suggested_fix",
+            "1.0D AS confidence",
+            f"{lookup(bits, [t['alternative_fixes'] for t in table], 'array<string>')} AS alternative_fixes"]
 
 
 def detection_id(row_id_col: Column, column: Column) -> Column:
@@ -358,57 +145,14 @@ def explode_detections(flagged: DataFrame, measures: list[str],
                        detectors: tuple[Detector, ...] = DEFAULT_DETECTORS,
                        *, carry: list[str] | None = None) -> DataFrame:
     """Flagged positions of :func:`flag_cells` -> one merged row per cell."""
-    n = len(measures)
-    names = [d.name for d in detectors]
     flagged = flagged.withColumnRenamed(KEY, ROW_KEY)
     keep = [ROW_ID, ROW_KEY] + [c for c in (FILE_PATH, ROW_INDEX) if c in flagged.columns]
     keep += [c for c in (carry or []) if c not in keep]
-    if n > UNROLL_MAX:
-        labels = F.array(*[F.lit(m) for m in measures])
-
-        def entry(i: Column) -> Column:
-            bits = [F.get(F.col(f"__f_{nm}"), i) for nm in names]
-            return F.struct(i.alias("pos"), F.get(labels, i).alias("column"),
-                            F.get(F.col(CELLS), i).alias("value"),
-                            *[b.alias(nm) for b, nm in zip(bits, names, strict=True)])
-
-        def any_flag(e: Column) -> Column:
-            out = e[names[0]]
-            for nm in names[1:]:
-                out = out | e[nm]
-            return out
-
-        arr = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), entry), any_flag)
-        ex = flagged.select(*keep, F.explode(arr).alias("__e"))
-        fields = merged_fields({nm: F.col("__e")[nm] for nm in names}, detectors)
-        return ex.select(
-            detection_id(F.col(ROW_ID), F.col("__e.column")).alias("detection_id"),
-            *keep, F.col("__e.pos").alias("pos"), F.col("__e.column").alias("column"),
-            F.col("__e.value").alias("value"), *[e.alias(k) for k, e in fields.items()])
-    def lit(v: str) -> str:
-        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-    entries = []
-    for i in range(n):
-        bits = [f"__f_{nm}[{i}]" for nm in names]
-        fields = ", ".join(f"'{nm}', {b}" for nm, b in zip(names, bits, strict=True))
-        entries.append(f"CASE WHEN {' OR '.join(bits)} THEN named_struct('pos', {i}, "
-                       f"'column', {lit(measures[i])}, 'value', {CELLS}[{i}], {fields}) END")
-    if not entries:  # a cube without measures: no detections, in the same schema
-        entries = ["CAST(NULL AS struct<pos: int, column: string, value: double, "
-                   + ", ".join(f"`{nm}`: boolean" for nm in names) + ">)"]
-    ex = (flagged
-          .select(*keep, F.explode(F.expr("array(" + ", ".join(entries) + ")")).alias("__e"))
-          .filter(F.col("__e").isNotNull()))
-    fields = merged_fields({nm: F.col("__e")[nm] for nm in names}, detectors)
-    return ex.select(
-        detection_id(F.col(ROW_ID), F.col("__e.column")).alias("detection_id"),
-        *keep,
-        F.col("__e.pos").alias("pos"),
-        F.col("__e.column").alias("column"),
-        F.col("__e.value").alias("value"),
-        *[e.alias(k) for k, e in fields.items()],
-    )
+    cells = flagged.select(*keep, CELLS, F.explode(FLAGS).alias("__f")).selectExpr(
+        *[f"`{c}`" for c in keep], "__f.pos AS pos", "__f.bits AS __bits", f"get({CELLS}, __f.pos) AS value",
+        f"{lookup('__f.pos', measures, 'string') if measures else 'CAST(NULL AS STRING)'} AS column")
+    return cells.select(detection_id(F.col(ROW_ID), F.col("column")).alias("detection_id"), *keep, "pos",
+                        "column", "value", *map(F.expr, merged_fields("__bits", detectors)))
 
 
 def detect(df: DataFrame, roles: ColumnRoles,
@@ -449,9 +193,9 @@ def merge_raw(raw: DataFrame, detectors: tuple[Detector, ...] = DEFAULT_DETECTOR
          .agg(F.first(ROW_KEY).alias(ROW_KEY),
               F.min_by("value", order[F.col("detector")]).alias("value"),
               *[F.max(F.col("detector") == F.lit(d.name)).alias(d.name) for d in detectors]))
-    fields = merged_fields({d.name: F.col(d.name) for d in detectors}, detectors)
+    bits = " + ".join(f"CASE WHEN `{d.name}` THEN {1 << k} ELSE 0 END" for k, d in enumerate(detectors))
     return g.select(
         detection_id(F.col(ROW_ID), F.col("column")).alias("detection_id"),
         ROW_ID, ROW_KEY, "pos", "column", "value",
-        *[e.alias(k) for k, e in fields.items()],
+        *map(F.expr, merged_fields(f"({bits})", detectors)),
     )

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import DETECTORS, FILE_PATH, KEY, ROW_ID, ROW_INDEX, CubeError
-from .detect import ROW_KEY
+from ..model import DETECTORS, FILE_PATH, FLAGS, KEY, ROW_ID, ROW_INDEX, CubeError
+from .detect import DEFAULT_DETECTORS, ROW_KEY, Detector, flagged_by
 
 
 def detector_counts(detections: DataFrame) -> DataFrame:
@@ -32,27 +32,22 @@ def filter_types(detections: DataFrame, types: list[str]) -> DataFrame:
     return detections.where(F.arrays_overlap("flagged_by", F.array(*[F.lit(t) for t in types])))
 
 
-def row_flags(flagged: DataFrame) -> DataFrame:
+def row_flags(flagged: DataFrame, detectors: tuple[Detector, ...] = DEFAULT_DETECTORS) -> DataFrame:
     """A-04: per cube row, whether it holds a detection of each type and of any.
 
     Works on :func:`~cubewash.operators.detect.flag_cells` output, so it is a
     narrow projection (no group-by over detections)."""
-    per = {d: F.exists(F.col(f"__f_{d}"), lambda x: x) for d in DETECTORS
-           if f"__f_{d}" in flagged.columns}
-    any_ = F.lit(False)
-    for c in per.values():
-        any_ = any_ | c
     flagged = flagged.withColumnRenamed(KEY, ROW_KEY)
     keep = [c for c in (ROW_ID, FILE_PATH, ROW_INDEX, ROW_KEY) if c in flagged.columns]
-    return flagged.select(*keep, *[c.alias(d) for d, c in per.items()], any_.alias("any"))
+    return flagged.select(*keep, *[flagged_by(k).alias(d.name) for k, d in enumerate(detectors)],
+                          (F.size(FLAGS) > 0).alias("any"))
 
 
 def flagged_rows(flags: DataFrame, detected: str = "any") -> DataFrame:
     """A-05: rows with at least one detection of ``detected`` (or ``any``).
 
-    The row filter runs as a generator (each row yields itself when flagged):
-    a plain ``where`` would be pushed below the projections and re-inline every
-    detector's per-row statistics into the predicate."""
+    The row filter runs as a generator (each row yields itself when flagged): a plain
+    ``where`` would be pushed below the projection and compute the flags a second time."""
     if detected not in (*DETECTORS, "any"):
         raise CubeError(f"Unknown detector type '{detected}'.")
     keep = F.explode(F.array_repeat(F.lit(True), F.col(detected).cast("int")))

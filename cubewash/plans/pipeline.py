@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import q
-from ..model import DETECTORS, FILE_PATH, ROW_INDEX, ColumnRoles, CubeError, SchemaError
+from ..model import DETECTORS, FILE_PATH, FLAGS, ROW_INDEX, ColumnRoles, CubeError, SchemaError
 from ..operators import apply as ap
 from ..operators import detect as dt
 from ..operators import profile as pf
@@ -114,10 +114,8 @@ def preview_rows(df: DataFrame, roles: ColumnRoles, detected: str | None = None)
     names = [d.name for d in dt.DEFAULT_DETECTORS]
     if detected not in (*names, "any"):
         raise CubeError(f"Unknown detector type '{detected}'.")
-    hit = F.lit(False)
-    for name in names if detected == "any" else [detected]:
-        hit = hit | F.exists(F.col(f"__f_{name}"), lambda x: x)
-    # A generator instead of a filter: a pushed-down filter would repeat the row's statistics.
+    hit = F.size(FLAGS) > 0 if detected == "any" else dt.flagged_by(names.index(detected))
+    # A generator instead of a filter: a pushed-down filter would compute the flags a second time.
     kept = F.explode(F.array_repeat(F.lit(True), hit.cast("int"))).alias("__kept")
     return flagged.select(*[q(c) for c in columns], FILE_PATH, ROW_INDEX, kept).drop("__kept")
 
