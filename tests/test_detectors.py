@@ -1,239 +1,160 @@
-"""Detector behaviour (NEG, REF, DBL, OUT, NAN, MATH ids of the reference spec)."""
+"""Detectors and their merge: rules over blocks against plain Python, and cubes through Spark."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from cubewash.functions import blocks
+from cubewash.model import ColumnRoles
 from cubewash.operators import detect as dt
-from tests.conftest import flagged
-
-NEG, REF, DBL, OUT = dt.NEGATIVES, dt.REFUNDS, dt.DOUBLE_BOOKINGS, dt.OUTLIERS
-
-
-# --- negatives -----------------------------------------------------------------
-
-def test_neg_01_none(spark):
-    assert flagged(spark, [[1, 2, 3]], NEG) == []
-
-
-def test_neg_02_single(spark):
-    assert flagged(spark, [[1, -2, 3]], NEG) == [("r0", "m2")]
-
-
-def test_neg_03_many(spark):
-    got = flagged(spark, [[-1, 2, -3], [-4, -5, 6]], NEG)
-    assert len(got) == 4
-
-
-def test_neg_04_all(spark):
-    assert len(flagged(spark, [[-1, -2, -3]], NEG)) == 3
-
-
-def test_neg_05_identifier_ignored(spark):
-    from cubewash.model import ColumnRoles
-    from cubewash.operators.detect import detect_one
-
-    df = spark.createDataFrame([(-5, 1.0, 2.0)], "code int, m1 double, m2 double")
-    roles = ColumnRoles(["code"], ["m1", "m2"], ["m1", "m2"])
-    assert detect_one(df, roles, NEG).count() == 0
-
-
-def test_neg_06_07_zero_and_signed_zero(spark):
-    assert flagged(spark, [[0.0, -0.0, 5.0]], NEG) == []
-
-
-def test_neg_08_tiny(spark):
-    assert flagged(spark, [[1.0, -0.000001]], NEG) == [("r0", "m2")]
-
-
-# --- refunds -----------------------------------------------------------------------
-
-def test_ref_01_no_negatives(spark):
-    assert flagged(spark, [[1, 2, 3]], REF) == []
-
-
-def test_ref_02_paired(spark):
-    assert flagged(spark, [[200, -200, 50]], REF) == [("r0", "m2")]
-
-
-def test_ref_03_exceeds_balance(spark):
-    assert flagged(spark, [[550, -8900]], REF) == []
-
-
-def test_ref_04_first_column(spark):
-    assert flagged(spark, [[-100, 50]], REF) == []
-
-
-def test_ref_05_non_adjacent_balance(spark):
-    assert flagged(spark, [[500, -100, -200]], REF) == [("r0", "m2"), ("r0", "m3")]
-
-
-def test_ref_06_partial(spark):
-    assert flagged(spark, [[1000, -50]], REF) == [("r0", "m2")]
-
-
-def test_ref_07_multiple(spark):
-    assert flagged(spark, [[100, -100, 200, -200]], REF) == [("r0", "m2"), ("r0", "m4")]
-
-
-def test_ref_09_gross_positives(spark):
-    # earlier refunds are not subtracted from the balance
-    assert flagged(spark, [[10000, 0, -8900]], REF) == [("r0", "m3")]
-
-
-def test_ref_10_overlap_with_negative(spark):
-    vals = [[200, -200]]
-    assert flagged(spark, vals, REF) == flagged(spark, vals, NEG)
-
-
-def test_ref_null_past(spark):
-    assert flagged(spark, [[None, -200, 0, 0, 0]], REF) == []
-
-
-# --- double bookings -------------------------------------------------------------
-
-def test_dbl_01_none(spark):
-    assert flagged(spark, [[100, 110, 90, 105]], DBL) == []
-
-
-def test_dbl_02_clear(spark):
-    assert flagged(spark, [[100, 100, 10000, 0, 100]], DBL) == [("r0", "m3")]
-
-
-def test_dbl_03_close_to_mean(spark):
-    assert flagged(spark, [[100, 150, 0, 100]], DBL) == []
-
-
-def test_dbl_04_many_pairs(spark):
-    got = flagged(spark, [[100, 5000, 0, 100, 5000, 0, 100, 100]], DBL)
-    assert got == [("r0", "m2"), ("r0", "m5")]
-
-
-def test_dbl_05_last_column(spark):
-    assert flagged(spark, [[100, 100, 100, 0, 5000]], DBL) == [("r0", "m5")]
-    assert flagged(spark, [[100, 100, 100, 100, 5000]], DBL) == []
-
-
-def test_dbl_06_first_column(spark):
-    assert flagged(spark, [[5000, 0, 100, 100, 100]], DBL) == [("r0", "m1")]
-
-
-def test_dbl_07_two_zeros(spark):
-    assert flagged(spark, [[100, 5000, 0, 0, 100]], DBL) == [("r0", "m2")]
-
-
-def test_dbl_08_neighbour_exact_zero(spark):
-    assert flagged(spark, [[100, 5000, 1, 100, 100]], DBL) == []
-
+from tests.conftest import flagged, row_frame
 
-def test_dbl_10_negative_spike(spark):
-    assert flagged(spark, [[100, -5000, 0, 100]], DBL) == []
+CELL = st.one_of(st.none(), st.integers(-30, 30), st.just(0), st.floats(-1e6, 1e6, width=32),
+                 st.sampled_from([1e-9, -1e-9, 1e15, -1e15]))
+BLOCK = st.integers(1, 9).flatmap(lambda n: st.lists(st.lists(CELL, min_size=n, max_size=n), min_size=1, max_size=6))
 
 
-def test_dbl_11_all_zero(spark):
-    assert flagged(spark, [[0, 0, 0, 0]], DBL) == []
+def matrix(rows) -> np.ndarray:
+    return np.array([[math.nan if x is None else float(x) for x in r] for r in rows])
 
 
-def test_math_01_threshold(spark):
-    # mean of positives includes the spike: (10 + 10 + 50) / 3 = 23.3; 50 > 46.7
-    assert flagged(spark, [[10, 10, 50, 0]], DBL) == [("r0", "m3")]
+# --- the rules, one row and one cell at a time -------------------------------------------
 
+def plain_negative(row):
+    return [x is not None and x < 0 for x in row]
 
-# --- outliers -----------------------------------------------------------------------
 
-def test_out_01_uniform(spark):
-    assert flagged(spark, [[1000] * 12], OUT) == []
+def plain_refund(row):
+    out, before = [], 0.0
+    for x in row:
+        out.append(x is not None and x < 0 and before >= -x)
+        before += x if x is not None and x > 0 else 0.0
+    return out
 
 
-def test_out_02_spike(spark):
-    row = [100, 105, 110, 95, 100, 5000, 105, 100, 110, 95, 100, 105]
-    assert flagged(spark, [row], OUT) == [("r0", "m6")]
+def plain_double_booking(row):
+    positive = [x for x in row if x is not None and x > 0]
+    total = 0.0
+    for x in positive:
+        total += x
+    mean = total / len(positive) if positive else 0.0
+    zero = [x == 0 for x in row]
+    return [x is not None and x > 0 and x > 2 * mean
+            and ((i > 0 and zero[i - 1]) or (i + 1 < len(row) and zero[i + 1])) for i, x in enumerate(row)]
 
 
-def test_out_03_two_spikes(spark):
-    row = [100, 105, 110, 95, 9000, 9000, 105, 100, 110, 95, 100, 105]
-    assert flagged(spark, [row], OUT) == [("r0", "m5"), ("r0", "m6")]
+def plain_outlier(row):
+    there = np.array([x for x in row if x is not None], float)
+    if not len(there):
+        return [False] * len(row)
+    q1, q3 = np.percentile(there, [25, 75])
+    return [x is not None and not q1 - 1.5 * (q3 - q1) <= x <= q3 + 1.5 * (q3 - q1) for x in row]
 
 
-def test_out_04_all_zero(spark):
-    assert flagged(spark, [[0] * 6], OUT) == []
+PLAIN = {"negative": plain_negative, "refund": plain_refund, "double_booking": plain_double_booking,
+         "outlier": plain_outlier}
 
 
-def test_out_05_all_negative(spark):
-    row = [-100, -105, -110, -95, -100, -5000, -105, -100]
-    assert flagged(spark, [row], OUT) == [("r0", "m6")]
+@pytest.mark.parametrize("detector", dt.DEFAULT_DETECTORS, ids=lambda d: d.name)
+@settings(max_examples=150, deadline=None)
+@given(rows=BLOCK)
+def test_rules_equal_plain_python(detector, rows):
+    rows = [[None if x is None else float(x) for x in r] for r in rows]
+    with np.errstate(all="ignore"):
+        got = detector.mask(matrix(rows))
+    assert got.tolist() == [PLAIN[detector.name](r) for r in rows]
 
 
-def test_out_06_single_column(spark):
-    assert flagged(spark, [[5], [10000]], OUT) == []
+@settings(max_examples=60, deadline=None)
+@given(rows=BLOCK)
+def test_bits_hold_every_detector_and_its_least_width(rows):
+    rows = [[None if x is None else float(x) for x in r] for r in rows]
+    bits = blocks.flag_bits(matrix(rows), dt.masks(dt.DEFAULT_DETECTORS))
+    for k, d in enumerate(dt.DEFAULT_DETECTORS):
+        want = [PLAIN[d.name](r) if len(r) >= d.min_measures else [False] * len(r) for r in rows]
+        assert (bits >> k & 1).astype(bool).tolist() == want
 
 
-def test_out_07_zero_band(spark):
-    assert flagged(spark, [[0, 0, 0, 0, 100]], OUT) == [("r0", "m5")]
+def test_infinite_cells_flag_nothing_by_bounds_that_are_no_number():
+    v = np.array([[math.inf, -math.inf, 1.0, 2.0, math.inf, -math.inf]])
+    with np.errstate(all="ignore"):
+        assert not blocks.outliers(v)[0, 2:4].any()
+        assert blocks.negatives(v)[0].tolist() == [False, True, False, False, False, True]
 
 
-def test_out_08_band_with_zero(spark):
-    assert flagged(spark, [[1000] * 9 + [0]], OUT) == [("r0", "m10")]
+# --- through Spark ---------------------------------------------------------------------------
 
+ROWS = [[7, None, -7, 0, 40, 3, 2], [None] * 7, [0] * 7, [-1, 90, 0, -2, 4, 4, 4], [5, 5, 5, 5, 5, -500, 5]]
 
-def test_math_02_iqr(spark):
-    # q1 = q3 = 12: the 100 is outside, and so is the 10 (IQR = 0 collapses the band)
-    assert flagged(spark, [[10, 12, 12, 12, 100]], OUT) == [("r0", "m1"), ("r0", "m5")]
 
+@pytest.mark.parametrize("detector", dt.DEFAULT_DETECTORS, ids=lambda d: d.name)
+def test_a_cube_gets_the_flags_of_its_rows(spark, detector):
+    want = [(f"r{k}", f"m{i + 1}") for k, row in enumerate(ROWS)
+            for i, hit in enumerate(PLAIN[detector.name](row)) if hit]
+    assert flagged(spark, ROWS, detector) == sorted(want)
 
-def test_math_03_iqr_zero(spark):
-    assert flagged(spark, [[100] * 5], OUT) == []
 
+def test_missing_and_not_a_number_are_one_and_numbers_in_ids_are_no_cells(spark):
+    df = spark.createDataFrame([(-3, float("nan"), -8.0, 9.0), (-4, None, 9.0, -8.0)],
+                               "code int, m1 double, m2 double, m3 double")
+    roles = ColumnRoles(["code"], ["m1", "m2", "m3"], ["m1", "m2", "m3"])
+    got = {(r["row_key"]["code"], r["column"], tuple(r["flagged_by"])) for r in dt.detect(df, roles).collect()}
+    assert got == {(-3, "m2", ("negative",)), (-4, "m3", ("negative", "refund"))}
 
-# --- NaN / NULL ------------------------------------------------------------------------
 
-def test_nan_01_03_null_cell_never_flagged(spark):
-    for det in (NEG, REF, DBL):
-        assert flagged(spark, [[100, None, 0, -50]], det) in ([], [("r0", "m4")])
-        assert ("r0", "m2") not in flagged(spark, [[100, None, 0, -50]], det)
+def test_no_measures_no_detections(spark):
+    df = spark.createDataFrame([("a",)], "id string")
+    none = dt.detect(df, ColumnRoles(["id"], [], []))
+    assert none.count() == 0 and {"column", "value", "flagged_by"} <= set(none.columns)
 
 
-def test_nan_real_nan_is_null(spark):
-    df = spark.createDataFrame([("a", float("nan"), -1.0, 3.0)],
-                               "id string, m1 double, m2 double, m3 double")
-    from cubewash.model import ColumnRoles
-    from cubewash.operators.detect import detect
+def at_least(limit: float) -> dt.Detector:
+    return dt.Detector("large", "keep_as_is", ("set_to_zero",), lambda v: v >= limit)
 
-    roles = ColumnRoles(["id"], ["m1", "m2", "m3"], ["m1", "m2", "m3"])
-    got = {r["column"] for r in detect(df, roles).collect()}
-    assert "m1" not in got
 
+@pytest.mark.parametrize("width", [8, 80, 400])
+def test_a_detector_of_the_users_works_at_any_width(spark, width, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 1000)
+    values = [[float((i * 7 + k) % 50) - 3 for i in range(width)] for k in range(6)]
+    df, roles = row_frame(spark, values)
+    detectors = (*dt.DEFAULT_DETECTORS, at_least(45.0))
+    got = {(r["row_key"]["id"], r["column"]): r for r in dt.detect(df, roles, detectors).collect()}
+    for k, row in enumerate(values):
+        for i, x in enumerate(row):
+            names = [n for n, rule in PLAIN.items() if rule(row)[i]] + (["large"] if x >= 45 else [])
+            found = got.get((f"r{k}", f"m{i + 1}"))
+            assert (found["flagged_by"] if found else []) == names
+            assert found is None or found["value"] == x
+    assert any(r["flagged_by"] == ["large"] and r["suggested_fix"] == "keep_as_is" for r in got.values())
 
-def test_nan_04_all_null_row(spark):
-    assert flagged(spark, [[None, None, None, None]], OUT) == []
 
+def test_columns_that_look_internal_are_user_columns(spark):
+    df = spark.createDataFrame([("a", -5.0, 5.0, 1.0)], "__s_lower string, __f_negative double, m2 double, __e double")
+    roles = ColumnRoles(["__s_lower"], ["__f_negative", "m2", "__e"], ["__f_negative", "m2", "__e"])
+    assert [r["column"] for r in dt.detect_one(df, roles, dt.NEGATIVES).collect()] == ["__f_negative"]
 
-def test_nan_05_quartiles_over_non_null(spark):
-    assert flagged(spark, [[10, 12, None, 12, 12, 100]], OUT) == [("r0", "m1"), ("r0", "m6")]
 
+# --- merge (M-02..M-04) ------------------------------------------------------------------------
 
-def test_percentile_matches_numpy(spark):
-    np = pytest.importorskip("numpy")
-    rng = np.random.default_rng(7)
-    rows = [list(rng.integers(-50, 200, size=9).astype(float)) for _ in range(40)]
-    got = set(flagged(spark, rows, OUT))
-    want = set()
-    for k, r in enumerate(rows):
-        a = np.array(r)
-        q1, q3 = np.percentile(a, 25), np.percentile(a, 75)
-        iqr = q3 - q1
-        for i, x in enumerate(a):
-            if x < q1 - 1.5 * iqr or x > q3 + 1.5 * iqr:
-                want.add((f"r{k}", f"m{i + 1}"))
-    assert got == want
+@pytest.mark.parametrize("names, fix, others", [
+    (["outlier"], "keep_as_is", ["set_to_zero"]),
+    (["double_booking", "outlier"], "split_evenly", ["set_to_zero", "keep_as_is"]),
+    (["negative", "refund", "outlier"], "set_to_zero", ["keep_as_is"]),
+    (["negative", "refund"], "set_to_zero", []), ([], None, [])])
+def test_merge_takes_the_first_fix_by_priority(names, fix, others):
+    merged = dt.merge_combo(names, dt.DEFAULT_DETECTORS)
+    assert merged == {"flagged_by": names, "suggested_fix": fix, "alternative_fixes": others}
 
 
-def test_wide_cube_uses_array_form(spark):
-    """More than UNROLL_MAX measures: same rules through the array form."""
-    row = [100.0] * 40
-    row[5] = 5000.0
-    row[6] = 0.0
-    row[20] = -100.0
-    got = flagged(spark, [row], DBL) + flagged(spark, [row], NEG) + flagged(spark, [row], REF)
-    assert got == [("r0", "m6"), ("r0", "m21"), ("r0", "m21")]
-    assert ("r0", "m6") in flagged(spark, [row], OUT)
+def test_detections_come_in_file_order_then_column_text(spark):
+    df, roles = row_frame(spark, [[-1] * 11])
+    assert [r["column"] for r in dt.ordered(dt.detect_one(df, roles, dt.NEGATIVES)).collect()] == sorted(
+        f"m{i}" for i in range(1, 12))
+    first, again = (sorted(r["detection_id"] for r in dt.detect(df, roles).collect()) for _ in range(2))
+    assert first == again and len(set(first)) == len(first)
+    assert all(r["confidence"] == 1.0 for r in dt.detect(df, roles).collect())
