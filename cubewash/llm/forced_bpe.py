@@ -3,7 +3,8 @@
 Two neighbouring symbols that stand side by side inside no vocabulary token can
 never be merged over, so the place between them is a certain cut. Each word is
 cut there first, the fragments are encoded independently, and their tokens are
-concatenated. Fragments and words repeat, so both are cached per Python worker.
+concatenated. Words and runs between white space repeat, so both are cached per
+Python worker, in caches bounded by their bytes.
 
 The tokenizer file (vocabulary, merges, word-end suffix, special tokens) is a
 parameter; results equal those of the tokenizers library for files of the
@@ -12,8 +13,9 @@ below, byte-level symbols, and a suffix on each word's last symbol.
 
 Edge cases: a null or empty text, or one of white space alone, has no tokens
 (the hashes are those of the empty string). Special-token strings inside a text
-become their special token, as in the library's default. Repeated rows give
-repeated results; rows need no identity. Other columns are not read.
+become their special token, as in the library's default. Very long texts are encoded
+in segments of whole runs. Repeated rows give repeated results; rows need no
+identity; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from cubewash.llm.common import doc_groups, sha256_hex, text_bytes
 #: Fixed value: the word pattern of the tokenizer file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Entries that each of a worker's two caches holds before it is emptied.
-CACHE_ENTRIES = 400_000
+#: Bytes that each generation of a worker's two caches holds, and those of an entry beside its text.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 200
+#: Characters of a text that are resolved at a time.
+SEGMENT = 1 << 20
 
 NO_MERGE = 1 << 30
 
@@ -70,6 +74,41 @@ class BpeModel:
                         {t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
+class BoundedCache:
+    """Strings by string, in two generations bounded by their bytes.
+
+    When the young generation is full it becomes the old one, and the old one
+    goes; what is asked for again moves to the young one, so frequent entries stay.
+    """
+
+    def __init__(self, limit: int):
+        self._limit, self._bytes = limit, 0
+        self._young: dict[str, str] = {}
+        self._old: dict[str, str] = {}
+
+    def put(self, key: str, value: str) -> str:
+        if self._bytes > self._limit:
+            self._old, self._young, self._bytes = self._young, {}, 0
+        self._young[key] = value
+        self._bytes += len(key) + len(value) + ENTRY_BYTES
+        return value
+
+    def take(self, keys: set[str]) -> tuple[dict[str, str], list[str]]:
+        """(what is known of ``keys``, those that are not)."""
+        known, unknown = {}, []
+        young, old = self._young, self._old
+        for key in keys:
+            value = young.get(key)
+            if value is None:
+                value = old.get(key)
+                if value is None:
+                    unknown.append(key)
+                    continue
+                self.put(key, value)
+            known[key] = value
+        return known, unknown
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder of one model, with caches of words and of runs between white space.
 
@@ -94,8 +133,8 @@ class ForcedBoundaryBpe:
         self._special = regex.compile("|".join(map(regex.escape, model.special))) if model.special else None
         self._token = {i: t for t, i in {**vocab, **model.special}.items()}
         self._id_text = {i: str(i) for i in self._token}
-        self._words: dict[str, tuple[int, str, str]] = {}
-        self._chunks: dict[str, tuple[int, str, str]] = {}
+        self._token_of_text = {str(i): t for i, t in self._token.items()}
+        self._words, self._chunks = BoundedCache(CACHE_BYTES), BoundedCache(CACHE_BYTES)
 
     def _pairs_inside_tokens(self) -> np.ndarray:
         """[last, x, y]: some token holds byte x before byte y, where y ends a word or not."""
@@ -171,84 +210,71 @@ class ForcedBoundaryBpe:
         return [tokens[i] if j == i + 1 else [t for f in tokens[i:j] for t in f]
                 for i, j in zip(bounds, bounds[1:])]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Put runs between white space, and the words in them, into the caches."""
-        if len(self._chunks) + len(chunks) > CACHE_ENTRIES:
-            self._chunks.clear()
+    def _resolve(self, chunks: set[str]) -> dict[str, str]:
+        """Decimal ids, joined by a space, of runs between white space; learns those that the caches lack."""
+        known, lacking = self._chunks.take(chunks)
         parts = {}
-        for chunk in chunks:
+        for chunk in lacking:
             if chunk.isascii():
                 lower = chunk.lower()
             else:  # lower case is taken character by character, so no final-sigma rule applies
                 lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
             parts[chunk] = [lower] if lower.isalpha() else self._pattern.findall(lower)
-        words = {w for ws in parts.values() for w in ws}
-        if len(self._words) + len(words) > CACHE_ENTRIES:
-            self._words.clear()
-        new = [w for w in words if w not in self._words]
+        words, new = self._words.take({w for ws in parts.values() for w in ws})
         for at in range(0, len(new), 50_000):
             some = new[at:at + 50_000]
             for word, ids in zip(some, self._encode_words(some)):
-                self._words[word] = (len(ids), " ".join([self._id_text[i] for i in ids]),
-                                     " ".join([self._token[i] for i in ids]))
+                words[word] = self._words.put(word, " ".join([self._id_text[i] for i in ids]))
         for chunk, ws in parts.items():
-            if len(ws) == 1:
-                self._chunks[chunk] = self._words[ws[0]]
-            else:
-                counts, ids, tokens = zip(*[self._words[w] for w in ws])
-                self._chunks[chunk] = (sum(counts), " ".join(ids), " ".join(tokens))
-
-    def _plain_parts(self, text: str) -> list[tuple[str, bool]]:
-        """The text cut at special-token strings: (part, is a special token)."""
-        if self._special is None or not self._special.search(text):
-            return [(text, False)]
-        parts, at = [], 0
-        for m in self._special.finditer(text):
-            parts += [(text[at:m.start()], False), (m.group(), True)]
-            at = m.end()
-        return [*parts, (text[at:], False)]
-
-    def _pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """Runs and special tokens of a text, in order, as (tokens, ids, token strings)."""
-        pieces = []
-        for part, special in self._plain_parts(text):
+            known[chunk] = self._chunks.put(chunk, words[ws[0]] if len(ws) == 1 else " ".join([words[w] for w in ws]))
+        return known
+
+    def _segments(self, text: str):
+        """The text cut at special-token strings, and into segments of whole runs: (part, is a special token)."""
+        at, found = 0, []
+        if self._special is not None and self._special.search(text):
+            found = [m.span() for m in self._special.finditer(text)]
+        for start, end in [*found, (len(text), len(text))]:
+            while at < start:
+                cut = start
+                if start - at > SEGMENT:
+                    white = _WHITE.search(text, at + SEGMENT, start)
+                    cut = white.end() if white else start
+                yield text[at:cut], False
+                at = cut
+            if end > start:
+                yield text[start:end], True
+            at = end
+
+    def encode_texts(self, texts: list[str]) -> list[str]:
+        """Decimal ids, joined by a space, of each text; short texts are resolved together."""
+        short = [len(t) <= SEGMENT and not (self._special and self._special.search(t)) for t in texts]
+        runs = [split_white(t) if s else [] for t, s in zip(texts, short)]
+        known = self._resolve({c for r in runs for c in r})
+        return [" ".join([known[c] for c in r]) if s else self._encode_long(t)
+                for t, r, s in zip(texts, runs, short)]
+
+    def _encode_long(self, text: str) -> str:
+        out = []
+        for part, special in self._segments(text):
             if special:
-                pieces.append((1, str(self.model.special[part]), part))
+                out.append(str(self.model.special[part]))
                 continue
-            # a very long text goes through the caches in slices of whole runs
-            chunks = split_white(part)
-            for at in range(0, len(chunks), CACHE_ENTRIES // 2):
-                some = chunks[at:at + CACHE_ENTRIES // 2]
-                missing = set(some).difference(self._chunks)
-                if missing:
-                    if len(self._chunks) + len(missing) > CACHE_ENTRIES:
-                        missing = set(some)  # the cache is emptied first
-                    self._learn(missing)
-                pieces += [self._chunks[c] for c in some]
-        return pieces
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn what several texts lack in one go; their results do not depend on it."""
-        chunks = {c for t in texts for c in split_white(t)}
-        if len(chunks) <= CACHE_ENTRIES // 2:
-            missing = chunks.difference(self._chunks)
-            self._learn(chunks if len(self._chunks) + len(missing) > CACHE_ENTRIES else missing)
+            run = split_white(part)
+            known = self._resolve(set(run))
+            out += [known[c] for c in run]
+        return " ".join(out)
 
     def encode(self, text: str) -> list[int]:
-        pieces = self._pieces(text)
-        return list(map(int, " ".join([p[1] for p in pieces]).split(" "))) if pieces else []
+        return [int(i) for i in self.encode_texts([text])[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space: files of this kind name no decoder."""
         return " ".join(self._token[i] for i in ids)
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(tokens, decimal ids joined by a space, decoded text) in one pass."""
-        pieces = self._pieces(text)
-        if not pieces:
-            return 0, "", ""
-        counts, ids, tokens = zip(*pieces)
-        return sum(counts), " ".join(ids), " ".join(tokens)
+    def decode_text(self, ids: str) -> str:
+        """The same of decimal ids joined by a space."""
+        return " ".join(map(self._token_of_text.__getitem__, ids.split(" "))) if ids else ""
 
 
 _WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -278,23 +304,51 @@ def share(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(BpeModel.load(path))
 
 
+def _encoded(shared, texts: pa.Array):
+    """(encoder, ids of each text as text) for small groups of texts, in order."""
+    bpe = _worker_bpe(shared)
+    _, offsets = text_bytes(texts)
+    for i, j in doc_groups(offsets):
+        yield bpe, bpe.encode_texts([t or "" for t in texts[i:j].to_pylist()])
+
+
+def _id_lists(encoded: list[str]) -> pa.Array:
+    """list<int32> of ids that stand as text."""
+    lists = [np.fromstring(e, np.int32, sep=" ") if e else np.zeros(0, np.int32) for e in encoded]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
+
+
 def encode_column(shared, text: Column) -> Column:
     """array<int> of token ids of each whole text."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        bpe = _worker_bpe(shared)
-        _, offsets = text_bytes(texts)
-        parts = []
-        for i, j in doc_groups(offsets):
-            some = [t or "" for t in texts[i:j].to_pylist()]
-            bpe.prepare(some)
-            parts.append(pa.array([bpe.encode(t) for t in some], pa.list_(pa.int32())))
+        parts = [_id_lists(encoded) for _, encoded in _encoded(shared, texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)
 
 
+_BOTH = pa.struct([("token_ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+
+def encode_decode_column(shared, text: Column) -> Column:
+    """struct<token_ids, decoded_sha256>: ids of each whole text, and the SHA-256 of what they decode to.
+
+    One function for both, so ids do not travel to Spark and back to be decoded.
+    """
+
+    @F.arrow_udf("token_ids array<int>, decoded_sha256 string")
+    def both(texts: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays(
+            [_id_lists(encoded), pa.array([sha256_hex(bpe.decode_text(e).encode()) for e in encoded], pa.string())],
+            fields=list(_BOTH)) for bpe, encoded in _encoded(shared, texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _BOTH)
+
+    return both(text)
+
+
 def decode_column(shared, ids: Column) -> Column:
     """Text of each array of token ids; null for null."""
 
@@ -314,17 +368,11 @@ def digest_column(shared, text: Column) -> Column:
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pa.Array) -> pa.Array:
-        bpe = _worker_bpe(shared)
         counts, ids, decoded = [], [], []
-        _, offsets = text_bytes(texts)
-        for i, j in doc_groups(offsets):
-            some = [t or "" for t in texts[i:j].to_pylist()]
-            bpe.prepare(some)
-            for t in some:
-                n, as_ids, as_text = bpe.digest(t)
-                counts.append(n)
-                ids.append(sha256_hex(as_ids.encode()))
-                decoded.append(sha256_hex(as_text.encode()))
+        for bpe, encoded in _encoded(shared, texts):
+            counts += [e.count(" ") + 1 if e else 0 for e in encoded]
+            ids += [sha256_hex(e.encode()) for e in encoded]
+            decoded += [sha256_hex(bpe.decode_text(e).encode()) for e in encoded]
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
                                            pa.array(decoded, pa.string())], fields=list(_DIGEST))
 
