@@ -38,9 +38,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, decoded_sha256: ids of each text, and what they decode to."""
     shared = forced_bpe.share(spark, tokenizer_path())
-    ids = docs.select("doc_id", forced_bpe.encode_column(shared, F.col("text")).alias("token_ids"))
-    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-                      F.sha2(forced_bpe.decode_column(shared, F.col("token_ids")), 256).alias("decoded_sha256"))
+    coded = docs.select("doc_id", forced_bpe.encode_decode_column(shared, F.col("text")).alias("c"))
+    return coded.select("doc_id", F.size("c.token_ids").cast("long").alias("n_tokens"), "c.token_ids",
+                        "c.decoded_sha256")
 
 
 STAGES = [
