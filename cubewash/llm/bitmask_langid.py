@@ -7,16 +7,21 @@ its popcount of n-grams, corrected for the false positives that the fill of its
 own slice makes expected; the largest corrected share decides.
 
 n-grams are ``N`` letters (bytes of lower-cased UTF-8 letters, with one space
-between words). All training texts are counted. An n-gram enters the filter of
-a language if its rate there is at least ``SHARE`` of its highest rate in any
-language, so a passage quoted in a foreign text does not blur the filters. The
-filter has ``SLOTS`` rows whatever the corpus; that is all that leaves Spark.
-
-Edge cases: a null text, or one without a letter, gets ``und`` and score 0. A
-text with letters but without any n-gram that a filter holds gets the language
-of most training documents with score 0. Without training rows all rows get
-``und``. Null languages are not learned; null doc_ids count as the text 'null'
-in the fold. Ties go to the language that sorts first. Other columns are not read.
+between words; punctuation, symbols and emoji count as space). All training texts are
+counted. An n-gram enters the filter of a language if its rate there is at least
+``SHARE`` of its highest rate in any language, so a passage quoted in a foreign
+text does not blur the filters. The filter has as many rows as keep the slice of the
+language with most n-grams half empty, a byte a row for eight languages; that is all
+that leaves Spark. N letters are 32 bits and real alphabets a small part of them; above
+``MOST_SLOTS`` rows (some 4 million n-grams a language) slices would fill further.
+
+Edge cases: a null text, or one without a letter (by Unicode, whatever n-grams it
+holds), gets ``und`` and score 0. A text with letters but without any n-gram that a
+filter holds gets the language of most training documents with score 0. Without
+training rows all rows get ``und``. Null languages are not learned; null doc_ids count
+as the text 'null' in the fold. Ties go to the language that sorts first. Repeated rows
+are rows of their own; very long texts are read whole; an empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubewash.llm.common import doc_groups, fresh_name, mix, text_bytes, training_fold
+from cubewash.llm.common import checkpoint, doc_groups, fresh_name, mix, text_bytes, training_fold
 
 N = 4
-SLOTS = 1 << 20
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 24
 HASHES = 3
 SHARE = 0.2
 MIN_COUNT = 3  # an n-gram seen less often in a language is not evidence
@@ -43,11 +48,26 @@ _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 e
 _LATIN = np.array([b + 32 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256)], np.uint8)
 
 
+def _symbol_bytes(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes of common symbols: U+0080-U+00BF but for three letters, U+00D7, U+00F7,
+    U+2000-U+2BFF and U+3000-U+303F (punctuation, signs, arrows), U+1F000-U+1FFFF (emoji)."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    first, second = data[:-1], data[1:]
+    two = np.flatnonzero(((first == 0xC2) & ~np.isin(second, (0xAA, 0xB5, 0xBA)))
+                         | ((first == 0xC3) & np.isin(second, (0x97, 0xB7))))
+    three = np.flatnonzero(((first == 0xE2) & (second <= 0xAF)) | ((first == 0xE3) & (second == 0x80)))
+    four = np.flatnonzero((first == 0xF0) & (second == 0x9F))
+    at = np.concatenate([(places[:, None] + np.arange(n)).ravel() for n, places in ((2, two), (3, three), (4, four))])
+    return at[at < len(data)]
+
+
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, document of each code): every N letters of every text, one space between words."""
     if len(data) == 0:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     low = _FOLD[data]
+    low[_symbol_bytes(data)] = 32
     after = np.flatnonzero(data[:-1] == 0xC3) + 1
     low[after] = _LATIN[low[after]]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -65,17 +85,23 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[inside], doc[:n][inside]
 
 
-def slots(codes: np.ndarray) -> list[np.ndarray]:
+def slots(codes: np.ndarray, size: int) -> list[np.ndarray]:
     """The HASHES slots of each code, from two halves of one mixed hash."""
     h = mix(codes.astype(np.uint64) + np.uint64(1))
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(i) * b) % np.uint64(SLOTS)).astype(np.int64) for i in range(HASHES)]
+    return [((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64) for i in range(HASHES)]
+
+
+def slots_for(held: int) -> int:
+    """Rows at which a slice of ``held`` n-grams is half empty, as a power of two."""
+    need = HASHES * held / np.log(2)
+    return int(min(max(LEAST_SLOTS, 1 << int(np.ceil(np.log2(max(need, 1))))), MOST_SLOTS))
 
 
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    rows: np.ndarray  # (SLOTS, bytes) uint8: bit l of a row is language l
+    rows: np.ndarray  # (slots, bytes) uint8: bit l of a row is language l
     default: str  # of most training documents; 'und' without any
 
     @property
@@ -96,7 +122,7 @@ class LanguageFilters:
             if not len(codes):
                 continue
             held = None
-            for slot in slots(codes):
+            for slot in slots(codes, len(self.rows)):
                 found = self.rows[slot]
                 held = found if held is None else held & found
             counts = np.bincount(doc, minlength=j - i)
@@ -149,7 +175,7 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> LanguageFilters
     seen = train_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = sorted(r["lang"] for r in seen)
     if not languages:
-        return LanguageFilters([], np.zeros((SLOTS, 1), np.uint8), "und")
+        return LanguageFilters([], np.zeros((LEAST_SLOTS, 1), np.uint8), "und")
     counts = (train_rows.select("lang", "text")
               .mapInArrow(_count_batches, "lang string, code long, n long")
               .groupBy("lang", "code").agg(F.sum("n").alias("n")))
@@ -166,38 +192,51 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> LanguageFilters
             .select("code", F.explode(F.filter("r", lambda x: (x["n"] >= MIN_COUNT)
                                                & (x["rate"] >= SHARE * F.col("top")))).alias("x"))
             .select("code", F.col("x.lang").alias("lang")))
+    held = checkpoint(held)
+    size = slots_for(max((r["count"] for r in held.groupBy("lang").count().collect()), default=0))
     width = -(-len(languages) // 8)
-    # Slots are set by task and ORed; the driver gets at most SLOTS rows of `width` bytes.
-    planes = (held.mapInArrow(_slot_batches, "slot int, plane int, bits int")
+    # Slots are set by task and ORed; the driver gets at most `size` rows of `width` bytes.
+    planes = (held.mapInArrow(_slot_batches(size), "slot int, plane int, bits int")
               .groupBy("slot", "plane").agg(F.bit_or("bits").alias("bits")).toArrow())
-    rows = np.zeros((SLOTS, width), np.uint8)
+    rows = np.zeros((size, width), np.uint8)
     rows[planes["slot"].to_numpy(), planes["plane"].to_numpy()] = planes["bits"].to_numpy()
     return LanguageFilters(languages, rows, seen[0]["lang"])
 
 
-def _slot_batches(batches):
-    for batch in batches:
-        codes, lang = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for slot in slots(codes.astype(np.uint64)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot.astype(np.int32)), pa.array((lang // 8).astype(np.int32)),
-                 pa.array((1 << (lang % 8)).astype(np.int32))], names=["slot", "plane", "bits"])
+def _slot_batches(size: int):
+    def run(batches):
+        for batch in batches:
+            codes, lang = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for slot in slots(codes.astype(np.uint64), size):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot.astype(np.int32)), pa.array((lang // 8).astype(np.int32)),
+                     pa.array((1 << (lang % 8)).astype(np.int32))], names=["slot", "plane", "bits"])
+    return run
+
+
+def letter_rows(texts: pa.Array) -> np.ndarray:
+    """Which texts hold a letter; only those without an ASCII letter are looked at character by character."""
+    data, offsets = text_bytes(texts)
+    small = data | np.uint8(0x20)
+    before = np.concatenate([[0], np.cumsum((small >= 97) & (small <= 122), dtype=np.int64)])
+    found = before[offsets[1:]] > before[offsets[:-1]]
+    for row in np.flatnonzero(~found):
+        found[row] = any(c.isalpha() for c in texts[int(row)].as_py() or "")
+    return found
 
 
 def language_column(spark, filters: LanguageFilters, text: Column) -> Column:
     """struct<lang_pred, score> of each whole text."""
-    shared = spark.sparkContext.broadcast(filters)  # SLOTS rows of a byte for 8 languages
+    shared = spark.sparkContext.broadcast(filters)  # a byte a row for 8 languages
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         model = shared.value
         best, score = model.predict(*text_bytes(texts))
-        names = [model.languages[k] if k >= 0 else None for k in best]
-        for row, name in enumerate(names):
-            if name is None or score[row] == 0:
-                text = texts[row].as_py() or ""
-                names[row] = model.default if any(c.isalpha() for c in text) else "und"
-                score[row] = 0.0
+        letters = letter_rows(texts)
+        score[~letters] = 0
+        names = ["und" if not has else model.languages[k] if k >= 0 and s > 0 else model.default
+                 for has, k, s in zip(letters, best, score)]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)],
                                           names=["lang_pred", "score"])
 
