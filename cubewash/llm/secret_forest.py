@@ -3,20 +3,21 @@
 Candidates are tokens of known formats, whatever a secret-like key is given
 (quoted or not, of any length), quoted values after = or :, and long runs of
 token characters that hold a digit, without the key that they are assigned to.
-The forest judges each by its length, its transitions
-between character classes, how much of it a dictionary covers, whether it looks
-like a path, and the words beside it. It is trained from labelled findings: at
-most ``MAX_ROWS`` of each label. A caller may give its own (candidate, before,
-after, label); by default a finding is labelled a secret if it has a known format
-or a secret-like key is assigned to it, and a false positive otherwise. As a
-sample may hold few of a form, the forest only adds to what these labels call a
-secret; with given findings it decides alone. The dictionary is the
-``DICTIONARY_WORDS`` most frequent words of all texts.
+The forest alone judges each, by its length, its transitions between character classes,
+how much of it a dictionary covers, whether it looks like a path, and the words beside
+it. It is trained from labelled findings: at most ``MAX_ROWS`` of each label. A caller may
+give its own (candidate, before, after, label). By default evidence that no feature reads
+labels them: a token of a known format is a secret; so is what a secret-like key is given,
+unless it stands for nothing (null, a variable's name) or consists of words that the
+corpus uses at least ``PLAIN_USES`` times, which are descriptions ("password: required").
+Everything else is a false positive. The dictionary is the ``DICTIONARY_WORDS`` most
+frequent words of all texts.
 
 Candidates, features, forest and redaction are DataFrame expressions within the
 row of a document; the forest is a set of nested conditions. Whole texts are
-scanned once for the dictionary, once to train and once to score, without a
-shuffle of text; words are counted before they are shuffled.
+scanned once for words, once to train (both labels are drawn from one table of
+candidates) and once to score, without a shuffle of text; words are counted before
+they are shuffled.
 
 Positions are code points, ends exclusive. Edge cases: null and empty texts have
 no candidate (a redacted null stays null). Rows that repeat a doc_id or have none are rows of
@@ -35,7 +36,10 @@ from cubewash.llm.native_spans import (
     Matches, count_of, fit_trees, flag, forest_probability, sample_rows)
 
 MAX_ROWS = 3000
-DICTIONARY_WORDS = 300
+DICTIONARY_WORDS = 5_000
+PLAIN_USES = 20
+#: Buckets that the nearest words before and after a candidate are dealt into.
+BEFORE, AFTER = 16, 6
 THRESHOLD = 0.5
 MARK = "[SECRET]"
 
@@ -77,24 +81,40 @@ SECRET_KEY = rf"{_GIVEN}[\"']?$"
 #: Values that stand for no secret.
 _NONE = (r"^(?:(?i:none|null|nil|true|false|undefined|empty|x+|\*+|\.+)|\$\{[^}]*\}|\$[A-Z_][A-Z0-9_]*"
          r"|%[A-Z_]+%|<[^>]*>|\{\{.*\}\})$")
-FEATURES = ["length", "transitions", "digits", "upper", "lower", "symbols", "hex", "dictionary", "slashes",
-            "path_before", "assigned", "quoted", "key_word", "url_word", "closed", "known_format"]
+FEATURES = ["length", "transitions", "digits", "upper", "lower", "symbols", "hex", "blanks", "dictionary", "slashes",
+            "dots", "path_before", "quoted", "closed", "gap", "plain_before",
+            *[f"before_{k}" for k in range(BEFORE)], *[f"after_{k}" for k in range(AFTER)]]
+_WORD = "[a-z]{3,}+"
 
 
-def _features(m: Column, before: Column, after: Column, words: str) -> Column:
+def _words(text: Column) -> Column:
+    """Lower-case words of three letters or more; a capital after a small letter begins one."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), F.lit(_WORD), F.lit(0))
+
+
+def _covered(words: Column, dictionary: list[str]) -> Column:
+    """Letters of ``words`` that are words of the dictionary."""
+    known = F.filter(words, lambda w: w.isin(dictionary)) if dictionary else F.array().cast("array<string>")
+    return F.aggregate(known, F.lit(0), lambda n, w: n + F.length(w)).cast("double")
+
+
+def _features(m: Column, before: Column, after: Column, dictionary: list[str]) -> Column:
     classes = F.regexp_replace(m, "[a-z]++|[A-Z]++|[0-9]++|[^A-Za-z0-9]++", "x")
     length = F.length(m).cast("double")
-    covered = F.length(F.regexp_replace(F.lower(m), words, "")) if words else F.length(m)
+    ahead, behind = _words(before), _words(after)
+    bucket = lambda w, n: F.pmod(F.xxhash64(w), F.lit(n))
+    last, first = bucket(F.try_element_at(ahead, F.lit(-1)), BEFORE), bucket(F.try_element_at(behind, F.lit(1)), AFTER)
     values = {
         "length": length, "transitions": (F.length(classes) - 1) / length, "digits": count_of(m, "[0-9]") / length,
         "upper": count_of(m, "[A-Z]") / length, "lower": count_of(m, "[a-z]") / length,
         "symbols": count_of(m, "[^A-Za-z0-9]") / length, "hex": flag(m.rlike("^[0-9A-Fa-f]++$")),
-        "dictionary": 1 - covered / length, "slashes": count_of(m, "/"),
-        "path_before": flag(before.rlike(r"[/\\.]$")), "assigned": flag(before.rlike("[=:]\\s*[\"']?$")),
-        "quoted": flag(before.rlike("[\"']$")),
-        "key_word": flag(before.rlike("(?i)key|token|secret|passw|pwd|auth|credential")),
-        "url_word": flag(before.rlike("(?i)https?:|www|href|src")), "closed": flag(after.rlike("^[\"']")),
-        "known_format": flag(m.rlike(TOKEN)),
+        "blanks": count_of(m, r"\s"), "dictionary": _covered(_words(m), dictionary) / length,
+        "slashes": count_of(m, "/"), "dots": count_of(m, "[.]"), "path_before": flag(before.rlike(r"[/\\.]$")),
+        "quoted": flag(before.rlike("[\"']$")), "closed": flag(after.rlike("^[\"']")),
+        "gap": F.length(F.regexp_extract(before, "[^A-Za-z0-9]*+$", 0)).cast("double"),
+        "plain_before": _covered(ahead, dictionary) / F.greatest(F.length(before), F.lit(1)),
+        **{f"before_{k}": flag((F.size(ahead) > 0) & (last == k)) for k in range(BEFORE)},
+        **{f"after_{k}": flag((F.size(behind) > 0) & (first == k)) for k in range(AFTER)},
     }
     return F.struct(*[values[f].alias(f) for f in FEATURES])
 
@@ -104,50 +124,54 @@ def _matches(docs: DataFrame, text: str, name: str) -> tuple[DataFrame, Matches]
     return scan.add(docs, text), scan
 
 
-def frequent_words(docs: DataFrame) -> str:
-    """Pattern of the most frequent words of all texts; '' without any."""
-    words = (docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}+"), F.lit(0))).alias("w"))
+def frequent_words(docs: DataFrame) -> list[tuple[str, int]]:
+    """The most frequent words of all texts with their counts, most frequent first."""
+    words = (docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("w"))
              .groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect())
-    return "|".join(sorted((r["w"] for r in words), key=lambda w: (-len(w), w)))
+    return [(r["w"], r["count"]) for r in words]
 
 
-def labelled_secret(m: Column, before: Column) -> Column:
-    """Whether a candidate is a secret by its format or by the key that it is assigned to."""
-    return m.rlike(TOKEN) | (before.rlike(SECRET_KEY) & ~m.rlike(_NONE))
+def labelled_secret(m: Column, before: Column, plain: list[str]) -> Column:
+    """Whether a candidate is a secret by its format, or by a key and by not being plain words."""
+    words = F.regexp_extract_all(F.lower(m), F.lit("[^\\s]+"), F.lit(0))
+    short = "^[a-z]{1,2}$"  # the dictionary does not count these
+    described = F.exists(words, lambda w: w.isin(plain)) & F.forall(
+        words, lambda w: w.isin(plain) | w.rlike(short)) if plain else F.lit(False)
+    return m.rlike(TOKEN) | (before.rlike(SECRET_KEY) & ~m.rlike(_NONE) & ~described)
 
 
-def default_findings(docs: DataFrame) -> DataFrame:
-    """(candidate, before, after, label) of every candidate, labelled by its format and the key that it is assigned to."""
+def default_findings(docs: DataFrame, plain: list[str]) -> DataFrame:
+    """(candidate, before, after, label) of every candidate, labelled by evidence."""
     scanned, scan = _matches(docs.select("doc_id", "text"), "text", "c")
     return (scanned.select(F.explode(scan.spans).alias("c"))
             .select(F.col("c.m").alias("candidate"), "c.before", "c.after",
-                    flag(labelled_secret(F.col("c.m"), F.col("c.before"))).alias("label")))
+                    flag(labelled_secret(F.col("c.m"), F.col("c.before"), plain)).alias("label")))
 
 
 class SecretForest:
     """A trained judge of candidates, as a column expression."""
 
     def __init__(self, docs: DataFrame, findings: DataFrame | None = None):
-        self.words = frequent_words(docs)
-        self.by_rule = findings is None
-        rows = (default_findings(docs) if findings is None else findings).select(
+        words = frequent_words(docs)
+        self.dictionary = [w for w, _ in words]
+        found = default_findings(docs, [w for w, n in words if n >= PLAIN_USES]) if findings is None else findings
+        # candidates are a small part of the corpus; both labels are drawn from one table of them
+        rows = checkpoint(found.select(
             F.xxhash64("candidate", "before", "after").alias("h"), F.col("label").cast("double").alias("label"),
-            _features(F.col("candidate"), F.col("before"), F.col("after"), self.words).alias("f"))
-        sample = checkpoint(sample_rows(rows.select("h", "label", "f.*"), "h", "label", MAX_ROWS))
-        self.model = fit_trees(RandomForestClassifier(numTrees=24, maxDepth=6, seed=3, featureSubsetStrategy="sqrt"),
+            "candidate", "before", "after"))
+        sample = checkpoint(sample_rows(rows, "h", "label", MAX_ROWS).select(
+            "label", _features(F.col("candidate"), F.col("before"), F.col("after"), self.dictionary).alias("f"))
+            .select("label", "f.*"))
+        self.model = fit_trees(RandomForestClassifier(numTrees=40, maxDepth=8, seed=3, featureSubsetStrategy="sqrt"),
                                sample, FEATURES, "label")
         only = sample.agg(F.max("label")).first()[0] if self.model is None else None
         self.constant = 0.0 if only is None else only
 
     def probability(self, span: Column) -> Column:
-        """P(secret) of a candidate struct (m, before, after); 1 for what the default labels call a secret."""
-        p = self._learned(span)
-        return F.when(labelled_secret(span["m"], span["before"]), 1.0).otherwise(p) if self.by_rule else p
-
-    def _learned(self, span: Column) -> Column:
+        """P(secret) of a candidate struct (m, before, after)."""
         if self.model is None:
             return F.lit(self.constant)
-        features = _features(span["m"], span["before"], span["after"], self.words)
+        features = _features(span["m"], span["before"], span["after"], self.dictionary)
         # an array of one gives the features a name, so they are computed once per candidate
         return F.element_at(F.transform(F.array(features), lambda f: forest_probability(
             self.model, FEATURES, f)), 1)
