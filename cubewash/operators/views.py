@@ -6,10 +6,12 @@ partial aggregation, so a hot detector or row never lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import free_name
 from ..model import DETECTORS, FILE_PATH, FLAGS, KEY, ROW_ID, ROW_INDEX, CubeError
+from ..session import ensure_checkpoint_dir
 from .detect import DEFAULT_DETECTORS, ROW_KEY, Detector, flagged_by
 
 
@@ -67,45 +69,75 @@ def page(rows: DataFrame, after: tuple[str, int] | None = None, limit: int = 100
     return rows.orderBy(FILE_PATH, ROW_INDEX).limit(limit)
 
 
-def top_share(detections: DataFrame, divisor: int = 20, tie: list[str] | None = None,
-              max_driver_rows: int = 10_000) -> DataFrame:
+#: Bins of a pass of :func:`radix_cut`; so many counts come to the driver.
+RADIX = 4096
+
+
+def radix_cut(sizes: DataFrame, k: int) -> tuple[float, int] | None:
+    """(value, rows above it) of the k-th largest ``size`` of non-negative doubles; None if there are fewer.
+
+    The first pass counts rows by binary exponent, each further one divides what is left,
+    from its smallest to its largest value, into RADIX bins. A binade holds 2**52 values, so
+    there are six passes at most, whatever the data; each is one aggregate with map-side
+    partial counts."""
+    size, above = F.col("size"), 0
+    infinite = size == float("inf")
+    label = F.when(infinite, 5000).when(size > 0, F.floor(F.log2(size)).cast("int")).otherwise(-5000)
+    left = sizes
+    while True:
+        bins = left.groupBy(label.alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).collect()
+        for b in sorted(bins, key=lambda r: -r["bin"]):
+            if above + b["n"] >= k:
+                break
+            above += b["n"]
+        else:
+            return None
+        if b["lo"] == b["hi"]:
+            return b["lo"], above
+        lo, hi = F.lit(b["lo"]), F.lit(b["hi"])
+        left = sizes.where((size >= lo) & (size <= hi))
+        # halves first: the span of the largest doubles has no finite double
+        share = (size / 2 - lo / 2) / (hi / 2 - lo / 2)
+        label = F.least(F.floor(share * RADIX), F.lit(RADIX - 1)).cast("int")
+
+
+def first_by(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``, found by counting range partitions; only the
+    partition that holds the cut is sorted."""
+    part = free_name(rows, "part")
+    ranged = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()).checkpoint()
+    before, cut = 0, None
+    for r in ranged.groupBy(part).count().orderBy(part).collect():  # a row per shuffle partition
+        if before + r["count"] >= n:
+            cut = r[part]
+            break
+        before += r["count"]
+    if cut is None:
+        return ranged.drop(part)
+    last = ranged.where(F.col(part) == cut).orderBy(*order).limit(n - before)
+    return ranged.where(F.col(part) < cut).unionByName(last).drop(part)
+
+
+def top_share(detections: DataFrame, divisor: int = 20, tie: list[str] | None = None) -> DataFrame:
     """A-08: the ``max(1, n // divisor)`` detections with the largest |value|.
 
-    Ties break on ``tie`` (default: the detection id). The cut is found by counting:
-    rows per |value| give, from the largest down, the value at which the running
-    count passes k (the running count goes over groups of neighbouring values, whose
-    number follows the row count, so no task or driver holds more than
-    ``max_driver_rows`` values or one row per group). All rows above the cut are kept, and
-    of the rows at the cut the first by ``tie``. Nothing is sorted as a whole."""
+    Ties break on ``tie`` (default: the detection id). The value at the cut is found by
+    counting (:func:`radix_cut`), on as many partitions as the detections have. All rows
+    above it are kept, and of the rows at the cut the first by ``tie``, which are cut by
+    range, so a value that many rows share does not meet in one task."""
     tie = tie or ["detection_id"]
+    ensure_checkpoint_dir(detections.sparkSession)
+    detections = detections.checkpoint()  # the passes would detect again each time
+    size = F.abs(F.col("value"))
     n = detections.count()
     k = max(1, n // divisor)
-    size = F.abs(F.col("value"))
-    sizes = detections.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("rows"))
-    groups = max(1, n // max(1, max_driver_rows))
-    ranged = (sizes.repartitionByRange(groups, F.col("size").desc())
-              .withColumn("part", F.spark_partition_id()))
-    ranged = ranged.persist()
-    try:
-        parts = (ranged.groupBy("part").agg(F.sum("rows").alias("rows")).orderBy("part").collect())
-        above, cut_part = 0, parts[-1]["part"] if parts else 0
-        for p in parts:
-            if above + p["rows"] >= k:
-                cut_part = p["part"]
-                break
-            above += p["rows"]
-        running = F.sum("rows").over(Window.partitionBy("part").orderBy(F.desc("size")))
-        cut = (ranged.where(F.col("part") == cut_part).withColumn("upto", running + above)
-               .where(F.col("upto") >= k).orderBy(F.desc("size")).first())
-    finally:
-        ranged.unpersist()
+    cut = radix_cut(detections.select(size.alias("size")), k) if n else None
     if cut is None:
         return detections.limit(0)
-    at = detections.where(size.eqNullSafe(F.lit(cut["size"])))
-    need = k - (cut["upto"] - cut["rows"])
-    first = (at.withColumn("__rank", F.row_number().over(
-        Window.partitionBy(size).orderBy(*tie))).where(F.col("__rank") <= need).drop("__rank"))
-    return detections.where(size > F.lit(cut["size"])).unionByName(first)
+    value, above = cut
+    at = first_by(detections.where(size == F.lit(value)), tie, k - above)
+    return detections.where(size > F.lit(value)).unionByName(at)
 
 
 def selections_by_detector(selections: DataFrame) -> DataFrame:
