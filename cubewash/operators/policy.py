@@ -6,7 +6,7 @@ same rules are bulk DataFrame operations:
 * :func:`stage_all` - "stage all visible" in a detector's view or in the view
   of all anomalies (default fix in context G-01, attribution G-02, G-03).
 * :func:`latest_selections` - a log of staging events reduced to the last
-  write per detection (G-04 upsert), with unstage events removing it.
+  write per detection (G-04 upsert), with unstage and clear events removing it.
 """
 
 from __future__ import annotations
@@ -51,15 +51,24 @@ def stage_all(detections: DataFrame, measures: list[str], policy: Policy = Polic
 
 
 def latest_selections(events: DataFrame) -> DataFrame:
-    """G-04: ``events(detection_id, fix, attribution, sel_ord, op)`` with op in
-    {'stage', 'unstage'} -> current selections (last event per detection wins).
-
-    ``max_by`` is an aggregate with map-side partial results, so a detection that
-    is toggled very often does not pile up in one task."""
-    last = events.groupBy("detection_id").agg(
-        F.max_by(F.struct("op", "fix", "attribution", "sel_ord"), "sel_ord").alias("e"))
-    return last.where(F.col("e.op") == "stage").select(
-        "detection_id", "e.fix", "e.attribution", "e.sel_ord")
+    """G-04: ``events(detection_id, fix, attribution, sel_ord, op)`` -> current selections.
+
+    ``op`` is 'stage' (the last one of a detection gives fix and attribution), 'unstage' or
+    'clear' (of all detections; its detection_id says nothing). A detection keeps the place
+    it was first staged at since it was last unstaged or cleared: staging it again changes
+    the fix, not the order in which it is applied.
+
+    Aggregates with map-side partial results, so a detection that is toggled very often
+    does not pile up in one task."""
+    cleared = events.agg(F.max(F.when(F.col("op") == "clear", F.col("sel_ord")))).first()[0]
+    since = events.where("op <> 'clear'")
+    if cleared is not None:
+        since = since.where(F.col("sel_ord") > cleared)
+    gone = since.where("op = 'unstage'").groupBy("detection_id").agg(F.max("sel_ord").alias("gone"))
+    staged = since.where("op = 'stage'").join(gone, "detection_id", "left").where("gone IS NULL OR sel_ord > gone")
+    return staged.groupBy("detection_id").agg(
+        F.max_by(F.struct("fix", "attribution"), "sel_ord").alias("e"), F.min("sel_ord").alias("sel_ord")).select(
+        "detection_id", "e.fix", "e.attribution", "sel_ord")
 
 
 def unstage(selections: DataFrame, detection_ids: DataFrame) -> DataFrame:

@@ -452,6 +452,8 @@ SELECT anomaly_type, count(*) AS n,
   CAST(SUM(CAST(value_before AS {MONEY})) AS DOUBLE) AS sum_before,
   CAST(SUM(CAST(value_after AS {MONEY})) AS DOUBLE) AS sum_after
 FROM entries GROUP BY 1""")
+    out["selection_log"] = apply_sql("CASE WHEN neg AND \"column\" <> '1997Q3' THEN 'zero' END", "'negative'",
+                                     f"SELECT {ENTRY_COLS} FROM entries")
     out["selections_apply"] = apply_sql("CASE WHEN out_ THEN 'zero' END", "'outlier'",
                                         f"SELECT {ENTRY_COLS} FROM entries")
     out["preview_pages"] = out["cube_wide"]

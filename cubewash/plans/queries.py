@@ -372,6 +372,23 @@ def coerced_detections(spark: SparkSession, sf: str) -> DataFrame:
         "known", F.coalesce("known", F.lit(False)))
 
 
+def selection_log(spark: SparkSession, sf: str) -> DataFrame:
+    """G-04: changes after everything was staged and cleared, the negatives were staged in their
+    own view, staged again with another order, and those of one period unstaged."""
+    cube, roles = _main_and_roles(spark, sf)
+    folder, path = _written(spark, cube)
+    store = CubeStore.create(spark, f"{folder}/store", path)
+    found = store.detections()
+    store.stage(pol.stage_all(found, roles.measure_columns))
+    store.clear()
+    negatives = pol.stage_all(found, roles.measure_columns, ap.Policy(context="negative"))
+    store.stage(negatives)
+    store.stage(negatives.withColumn("sel_ord", -F.col("sel_ord")))
+    store.unstage(found.where(F.col("column") == COERCED))
+    applied = ap.apply_selections(store.read(), store.schema().roles, found, store.selections())
+    return _change_cols(ap.changes(applied, roles))
+
+
 def _cube_files(spark: SparkSession, sf: str) -> tuple[str, str, ColumnRoles]:
     """The main cube as several files in the shared folder: folder of the run, path, roles."""
     cube, roles = _main_and_roles(spark, sf)
@@ -481,6 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_findings_cases": cases.findings,
     "inferred_roles": cases.roles,
     "coerced_detections": coerced_detections,
+    "selection_log": selection_log,
     "preview_pages": preview_pages,
     "preview_flagged": preview_flagged,
     "roundtrip_cleaned": roundtrip_cleaned,

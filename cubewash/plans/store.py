@@ -10,7 +10,8 @@ one that dies on the way changes nothing.
 
 What depends on the cube goes with it: coercing columns (P-04) writes a new version,
 forgets saved roles and stored detections and infers the roles again; saving other roles
-(V-09) forgets the stored detections.
+(V-09) forgets the stored detections. Staged selections (G-04) are a numbered log of
+batches; each names the detections it was staged for, so a selection never outlives them.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ import uuid
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import ColumnRoles, ConflictError, CubeError, SchemaError, SchemaResult
 from ..operators import detect as dt
 from ..operators import profile as pf
+from ..operators.policy import latest_selections
 from ..sinks import records
 from ..sinks import writers as wr
 from ..sources.cube import coerce, read_cube, user_columns
+from . import pipeline
 
 
 @dataclass(frozen=True)
@@ -127,17 +131,73 @@ class CubeStore:
             state = self._follow(state, "detected", detections=path)
         return self.spark.read.parquet(state.detections)
 
+    # --- staged selections (G-04) ---------------------------------------------------------
+
+    def _log(self) -> list[dict]:
+        """What was staged for the current detections since they were last cleared, oldest first."""
+        folder, current = f"{self.root}/log", self.state().detections
+        own = [r for n in records.names(self.spark, folder)
+               if (r := records.read(self.spark, f"{folder}/{n}")) and r["detections"] == current]
+        cleared = max((i for i, r in enumerate(own) if r["op"] == "clear"), default=-1)
+        return own[cleared + 1:]
+
+    def _append(self, op: str, events: DataFrame | None) -> None:
+        """Write the events, then give them the next number in the log; a race only costs a try."""
+        current, path = self.state().detections, None
+        if current is None:
+            raise CubeError("Detect before you stage: there are no stored detections.")
+        if events is not None:
+            path = f"{self.root}/events-{uuid.uuid4().hex}"
+            wr.write_cleaned(events, path)
+        number = len(records.names(self.spark, f"{self.root}/log")) + 1
+        while not records.publish(self.spark, f"{self.root}/log/{number:08d}.json", {
+                "number": number, "op": op, "detections": current, "events": path}):
+            number += 1
+
+    def stage(self, selections: DataFrame) -> None:
+        """Stage ``selections(detection_id, fix[, attribution][, sel_ord])``; the last fix of a detection counts."""
+        given = set(selections.columns)
+        self._append("stage", selections.select(
+            "detection_id", "fix",
+            (F.col("attribution") if "attribution" in given else F.lit(None)).cast("string").alias("attribution"),
+            (F.col("sel_ord") if "sel_ord" in given else F.lit(0)).cast("bigint").alias("sel_ord")))
+
+    def unstage(self, detection_ids: DataFrame) -> None:
+        self._append("unstage", detection_ids.select(
+            "detection_id", F.lit(None).cast("string").alias("fix"), F.lit(None).cast("string").alias("attribution"),
+            F.lit(0).cast("bigint").alias("sel_ord")))
+
+    def clear(self) -> None:
+        """Nothing that was staged so far counts any more."""
+        self._append("clear", None)
+
+    def selections(self) -> DataFrame:
+        """Current selections, in the order they are applied in (batch, then ``sel_ord``)."""
+        parts = [self.spark.read.parquet(r["events"]).withColumns({
+            "op": F.lit(r["op"]), "sel_ord": F.col("sel_ord") + F.lit(r["number"] << 40)}) for r in self._log()]
+        events = self.spark.createDataFrame(
+            [], "detection_id string, fix string, attribution string, sel_ord bigint, op string")
+        for part in parts:
+            events = events.unionByName(part)
+        return latest_selections(events)
+
+    def apply(self, out_dir: str, **options) -> dict:
+        """Apply the staged selections to the current version and commit both artifacts (S-07)."""
+        return pipeline.clean_file(self.spark, self.state().cube, out_dir, roles=self.schema().roles, validate=False,
+                                   detections=self.detections(), selections=self.selections(), **options)
+
     # --- upkeep -------------------------------------------------------------------------
 
     def vacuum(self) -> list[str]:
-        """Delete versions and detections in the store that the current state does not name.
+        """Delete versions, detections and staged events that the current state does not use.
 
         For times when no job reads an older version. Returns what was deleted."""
         state = self.state()
-        kept = {p.rsplit("/", 1)[-1] for p in (state.cube, state.detections) if p}
+        used = [state.cube, state.detections, *[r["events"] for r in self._log()]]
+        kept = {p.rsplit("/", 1)[-1] for p in used if p}
         fs, root, jvm = records.file_system(self.spark, self.root)
         gone = [n for n in records.names(self.spark, self.root)
-                if n.startswith(("cube-", "detections-")) and n not in kept]
+                if n.startswith(("cube-", "detections-", "events-")) and n not in kept]
         for name in gone:
             fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
         return gone

@@ -167,3 +167,42 @@ def test_a_store_is_not_changed_twice_from_one_state(spark, cube):
     spark.createDataFrame([("a", 1.0), ("a", 2.0)], "c string, `2021_1` double").write.parquet(duplicates)
     with pytest.raises(SchemaError):
         CubeStore.create(spark, f"{scratch()}/store", duplicates).detections()
+
+
+def test_staged_selections_follow_the_log(spark, cube):
+    store = CubeStore.create(spark, f"{scratch()}/store", cube)
+    with pytest.raises(CubeError):
+        store.clear()  # nothing is detected yet
+    store.coerce(["2021_2"])
+    ids = sorted(r["detection_id"] for r in store.detections().collect())
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "detection_id string, fix string, sel_ord long")
+    current = lambda: {r["detection_id"]: (r["fix"], r["sel_ord"]) for r in store.selections().collect()}
+    assert current() == {}
+    store.stage(rows(("a", "set_to_zero", 1), ("b", "keep_as_is", 2)))
+    store.stage(rows(("a", "keep_as_is", 9)))
+    first = current()
+    assert first["a"] == ("keep_as_is", (1 << 40) + 1)  # the fix is new, the place is not
+    store.unstage(rows(("a", None, 0)))
+    store.stage(rows(("a", "set_to_zero", 1)))
+    assert current()["a"][1] > first["b"][1]  # staged anew: it goes to the end
+    store.clear()
+    assert current() == {}
+    store.stage(rows((ids[0], "set_to_zero", 1)))
+    assert set(current()) == {ids[0]}
+    other = CubeStore(spark, store.root)
+    assert other.apply(f"{scratch()}/out")["total_changes"] >= 1
+    assert [n.split("-")[0] for n in store.vacuum()] == ["events"] * 4
+    store.save_roles(ColumnRoles(["c"], ["2021_1", "2021_2"], ["2021_1", "2021_2"]))
+    store.detections()
+    assert current() == {}  # of other detections
+
+
+def test_clear_in_a_plain_log(spark):
+    from cubewash.operators import policy as pol
+
+    log = spark.createDataFrame(
+        [("a", "x", None, 1, "stage"), (None, None, None, 5, "clear"), ("b", "y", "outlier", 6, "stage"),
+         ("b", "z", None, 8, "stage"), ("c", "y", None, 7, "stage"), ("c", None, None, 9, "unstage"),
+         ("c", "w", None, 10, "stage")],
+        "detection_id string, fix string, attribution string, sel_ord long, op string")
+    assert {tuple(r) for r in pol.latest_selections(log).collect()} == {("b", "z", None, 6), ("c", "w", None, 10)}
