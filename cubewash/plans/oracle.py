@@ -351,6 +351,7 @@ def oracle_sql() -> dict[str, str]:
         out[name] = w(*main) + f'\nSELECT n_name, p_brand, "column", value FROM md WHERE {flag}'
     out["detections_merged"] = w(*main) + \
         f'\nSELECT n_name, p_brand, "column", value, {MERGED_COLS}\nFROM md WHERE {ANY_FLAG}'
+    out["detections_long"] = out["detections_merged"]
     out["detections_nulls"] = w(seg_facts(), seg_cells, detect("sd", "sc", seg_ids)) + \
         f'\nSELECT n_name, c_mktsegment, o_orderpriority, "column", value, {MERGED_COLS}' \
         f'\nFROM sd WHERE {ANY_FLAG}'

@@ -28,6 +28,7 @@ from ..functions.periods import (
 from ..model import DETECTORS, FILE_PATH, ROW_INDEX, ColumnRoles
 from ..operators import apply as ap
 from ..operators import detect as dt
+from ..operators import long as lg
 from ..operators import policy as pol
 from ..operators import profile as pf
 from ..operators import views as vw
@@ -116,6 +117,13 @@ def detections_merged(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(dt.detect(*_main_and_roles(spark, sf)), MAIN_IDS)
 
 
+def detections_long(spark: SparkSession, sf: str) -> DataFrame:
+    """D-01..D-05 on the long form of the main cube, which is never pivoted."""
+    facts = nation_brand_facts(spark, sf).withColumnRenamed("v", "value")
+    cells = lg.fill_periods(facts, MAIN_IDS, "period", "value", ship_quarters(spark, sf))
+    return _merged(lg.detect_long(cells, MAIN_IDS), MAIN_IDS)
+
+
 def detections_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """Detections on the not-zero-filled monthly cube (NULL cells, 80 periods)."""
     cube = segment_month_cube(spark, sf)
@@ -465,6 +473,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_double_bookings": _detect_one(dt.DOUBLE_BOOKINGS),
     "detect_outliers": _detect_one(dt.OUTLIERS),
     "detections_merged": detections_merged,
+    "detections_long": detections_long,
     "detections_nulls": detections_nulls,
     "detector_counts": detector_counts,
     "customer_detector_counts": customer_detector_counts,
