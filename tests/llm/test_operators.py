@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cubewash.llm import (
     bitmask_langid, byte_cnn_quality, decontam_mih, forced_bpe, mih_ann, pii_boost, pst_lm,
     secret_forest, simhash_vptree, suffix_family)
+from cubewash.llm.common import Staging
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 WORDS = [a + b for a in ("the", "ing", "on", "er", "sta") for b in ("", "a", "to", "re", "ble", "X")]
@@ -158,6 +159,30 @@ def test_suffix_tree_lm_base_and_normalisation(spark, docs):
         assert abs((root * 10**shift).sum() + unseen * 10**scale - 1) < 0.02
 
 
+def test_family_takes_batches_and_finds_what_they_repeat_from_before(spark):
+    rng = random.Random(6)
+    staging = Staging(spark, "family_test")
+    family = suffix_family.SuffixFamily(staging, 4)
+    seen, levels = Counter(), []
+    for _ in range(6):
+        batch = [(rng.randint(0, 40), rng.randint(0, 3), rng.randint(1, 2)) for _ in range(25)]
+        found = family.insert(spark.createDataFrame(batch, "lead long, sig long, n int"))
+        own = Counter()
+        for lead, sig, n in batch:
+            own[lead, sig] += n
+        seen.update(own)
+        assert {tuple(r) for r in found.collect()} == {k for k in own if seen[k] > 1}
+        levels.append(sorted(family.levels))
+    assert levels == [[0], [1], [0, 1], [2], [0, 2], [1, 2]]  # a binary counter: equal sizes merge
+    held = [r for name, _ in family.levels.values() for r in spark.table(name).collect()]
+    merged = Counter()
+    for r in held:
+        merged[r["lead"], r["sig"]] += r["n"]
+    assert merged.keys() == seen.keys()
+    family.drop()
+    staging.close()
+
+
 def test_forced_bpe_equals_the_library(spark, docs):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
