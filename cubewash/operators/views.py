@@ -73,13 +73,13 @@ def page(rows: DataFrame, after: tuple[str, int] | None = None, limit: int = 100
 RADIX = 4096
 
 
-def radix_cut(sizes: DataFrame, k: int) -> tuple[float, int] | None:
+def radix_cut(sizes: DataFrame, k: int, radix: int = RADIX) -> tuple[float, int] | None:
     """(value, rows above it) of the k-th largest ``size`` of non-negative doubles; None if there are fewer.
 
     The first pass counts rows by binary exponent, each further one divides what is left,
-    from its smallest to its largest value, into RADIX bins. A binade holds 2**52 values, so
-    there are six passes at most, whatever the data; each is one aggregate with map-side
-    partial counts."""
+    from its smallest to its largest value, into ``radix`` bins. A binade holds 2**52 values,
+    so at the default there are six passes at most, whatever the data; each is one aggregate
+    with map-side partial counts."""
     size, above = F.col("size"), 0
     infinite = size == float("inf")
     label = F.when(infinite, 5000).when(size > 0, F.floor(F.log2(size)).cast("int")).otherwise(-5000)
@@ -99,7 +99,7 @@ def radix_cut(sizes: DataFrame, k: int) -> tuple[float, int] | None:
         left = sizes.where((size >= lo) & (size <= hi))
         # halves first: the span of the largest doubles has no finite double
         share = (size / 2 - lo / 2) / (hi / 2 - lo / 2)
-        label = F.least(F.floor(share * RADIX), F.lit(RADIX - 1)).cast("int")
+        label = F.least(F.floor(share * radix), F.lit(radix - 1)).cast("int")
 
 
 def first_by(rows: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -119,20 +119,22 @@ def first_by(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return ranged.where(F.col(part) < cut).unionByName(last).drop(part)
 
 
-def top_share(detections: DataFrame, divisor: int = 20, tie: list[str] | None = None) -> DataFrame:
+def top_share(detections: DataFrame, divisor: int = 20, tie: list[str] | None = None,
+              max_driver_rows: int = RADIX) -> DataFrame:
     """A-08: the ``max(1, n // divisor)`` detections with the largest |value|.
 
     Ties break on ``tie`` (default: the detection id). The value at the cut is found by
     counting (:func:`radix_cut`), on as many partitions as the detections have. All rows
     above it are kept, and of the rows at the cut the first by ``tie``, which are cut by
-    range, so a value that many rows share does not meet in one task."""
+    range, so a value that many rows share does not meet in one task. ``max_driver_rows``
+    is how many counts a pass may bring to the driver (two at least); fewer mean more passes."""
     tie = tie or ["detection_id"]
     ensure_checkpoint_dir(detections.sparkSession)
     detections = detections.checkpoint()  # the passes would detect again each time
     size = F.abs(F.col("value"))
     n = detections.count()
     k = max(1, n // divisor)
-    cut = radix_cut(detections.select(size.alias("size")), k) if n else None
+    cut = radix_cut(detections.select(size.alias("size")), k, max(2, max_driver_rows)) if n else None
     if cut is None:
         return detections.limit(0)
     value, above = cut
