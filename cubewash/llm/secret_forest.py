@@ -15,7 +15,7 @@ frequent words of all texts.
 
 Candidates, features, forest and redaction are DataFrame expressions within the
 row of a document; the forest is a set of nested conditions. Whole texts are
-scanned once for words, once to train (both labels are drawn from one table of
+scanned once for words, once to train (both labels are drawn from one checkpoint of
 candidates) and once to score, without a shuffle of text; words are counted before
 they are shuffled.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cubewash.llm.common import checkpoint, fresh_name
 from cubewash.llm.native_spans import (
-    Matches, count_of, fit_trees, flag, forest_probability, sample_rows)
+    Matches, count_of, fit_trees, flag, forest_text, sample_rows)
 
 MAX_ROWS = 3000
 DICTIONARY_WORDS = 5_000
@@ -92,13 +92,18 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), F.lit(_WORD), F.lit(0))
 
 
-def _covered(words: Column, dictionary: list[str]) -> Column:
+def word_array(words: list[str]) -> Column:
+    """Words (of a-z alone) as one constant; a text is parsed at once, thousands of literals are not."""
+    return F.expr(f"CAST(array({', '.join(repr(w) for w in words)}) AS array<string>)")
+
+
+def _covered(words: Column, dictionary: Column) -> Column:
     """Letters of ``words`` that are words of the dictionary."""
-    known = F.filter(words, lambda w: w.isin(dictionary)) if dictionary else F.array().cast("array<string>")
+    known = F.filter(words, lambda w: F.array_contains(dictionary, w))
     return F.aggregate(known, F.lit(0), lambda n, w: n + F.length(w)).cast("double")
 
 
-def _features(m: Column, before: Column, after: Column, dictionary: list[str]) -> Column:
+def _features(m: Column, before: Column, after: Column, dictionary: Column) -> Column:
     classes = F.regexp_replace(m, "[a-z]++|[A-Z]++|[0-9]++|[^A-Za-z0-9]++", "x")
     length = F.length(m).cast("double")
     ahead, behind = _words(before), _words(after)
@@ -131,21 +136,23 @@ def frequent_words(docs: DataFrame) -> list[tuple[str, int]]:
     return [(r["w"], r["count"]) for r in words]
 
 
-def labelled_secret(m: Column, before: Column, plain: list[str]) -> Column:
+def labelled_secret(m: Column, before: Column, plain: Column) -> Column:
     """Whether a candidate is a secret by its format, or by a key and by not being plain words."""
     words = F.regexp_extract_all(F.lower(m), F.lit("[^\\s]+"), F.lit(0))
     short = "^[a-z]{1,2}$"  # the dictionary does not count these
-    described = F.exists(words, lambda w: w.isin(plain)) & F.forall(
-        words, lambda w: w.isin(plain) | w.rlike(short)) if plain else F.lit(False)
+    described = F.exists(words, lambda w: F.array_contains(plain, w)) & F.forall(
+        words, lambda w: F.array_contains(plain, w) | w.rlike(short))
     return m.rlike(TOKEN) | (before.rlike(SECRET_KEY) & ~m.rlike(_NONE) & ~described)
 
 
 def default_findings(docs: DataFrame, plain: list[str]) -> DataFrame:
     """(candidate, before, after, label) of every candidate, labelled by evidence."""
     scanned, scan = _matches(docs.select("doc_id", "text"), "text", "c")
-    return (scanned.select(F.explode(scan.spans).alias("c"))
+    # materialised by row: exploded at once, the optimizer would scan each text several times
+    held = checkpoint(scanned.select(F.col(scan.spans).alias("spans")))
+    return (held.select(F.explode("spans").alias("c"))
             .select(F.col("c.m").alias("candidate"), "c.before", "c.after",
-                    flag(labelled_secret(F.col("c.m"), F.col("c.before"), plain)).alias("label")))
+                    flag(labelled_secret(F.col("c.m"), F.col("c.before"), word_array(plain))).alias("label")))
 
 
 class SecretForest:
@@ -153,34 +160,28 @@ class SecretForest:
 
     def __init__(self, docs: DataFrame, findings: DataFrame | None = None):
         words = frequent_words(docs)
-        self.dictionary = [w for w, _ in words]
+        self.dictionary = word_array([w for w, _ in words])
         found = default_findings(docs, [w for w, n in words if n >= PLAIN_USES]) if findings is None else findings
-        # candidates are a small part of the corpus; both labels are drawn from one table of them
-        rows = checkpoint(found.select(
+        rows = found.select(
             F.xxhash64("candidate", "before", "after").alias("h"), F.col("label").cast("double").alias("label"),
-            "candidate", "before", "after"))
+            "candidate", "before", "after")
         sample = checkpoint(sample_rows(rows, "h", "label", MAX_ROWS).select(
             "label", _features(F.col("candidate"), F.col("before"), F.col("after"), self.dictionary).alias("f"))
             .select("label", "f.*"))
         self.model = fit_trees(RandomForestClassifier(numTrees=40, maxDepth=8, seed=3, featureSubsetStrategy="sqrt"),
                                sample, FEATURES, "label")
         only = sample.agg(F.max("label")).first()[0] if self.model is None else None
-        self.constant = 0.0 if only is None else only
-
-    def probability(self, span: Column) -> Column:
-        """P(secret) of a candidate struct (m, before, after)."""
-        if self.model is None:
-            return F.lit(self.constant)
-        features = _features(span["m"], span["before"], span["after"], self.dictionary)
-        # an array of one gives the features a name, so they are computed once per candidate
-        return F.element_at(F.transform(F.array(features), lambda f: forest_probability(
-            self.model, FEATURES, f)), 1)
+        self.constant = 0.0 if only is None else float(only)
+        self.judgement = "" if self.model is None else forest_text(self.model, FEATURES, "f")
 
     def judge(self, docs: DataFrame, text: str, prefix: str) -> tuple[DataFrame, str, Matches]:
         """Adds, beside the candidates, an array of P(secret) per candidate."""
         df, scan = _matches(docs, text, prefix)
-        name = f"{prefix}_p"
-        return df.withColumn(name, F.transform(F.col(scan.spans), self.probability)), name, scan
+        name, features = f"{prefix}_p", f"{prefix}_features"
+        df = df.withColumn(features, F.transform(F.col(scan.spans), lambda c: _features(
+            c["m"], c["before"], c["after"], self.dictionary)))
+        judged = f"{self.constant!r}D" if self.model is None else self.judgement
+        return df.withColumn(name, F.expr(f"transform({features}, f -> {judged})")).drop(features), name, scan
 
 
 def _redacted(scan: Matches, p: str, threshold: float) -> Column:
