@@ -217,9 +217,11 @@ def _slot_batches(size: int):
 def letter_rows(texts: pa.Array) -> np.ndarray:
     """Which texts hold a letter; only those without an ASCII letter are looked at character by character."""
     data, offsets = text_bytes(texts)
-    small = data | np.uint8(0x20)
-    before = np.concatenate([[0], np.cumsum((small >= 97) & (small <= 122), dtype=np.int64)])
-    found = before[offsets[1:]] > before[offsets[:-1]]
+    found = np.zeros(len(texts), bool)
+    for i, j in doc_groups(offsets, 1 << 18):
+        small = data[offsets[i]:offsets[j]] | np.uint8(0x20)
+        letters = np.flatnonzero((small >= 97) & (small <= 122))
+        found[i:j] = np.diff(np.searchsorted(letters, offsets[i:j + 1] - offsets[i])) > 0
     for row in np.flatnonzero(~found):
         found[row] = any(c.isalpha() for c in texts[int(row)].as_py() or "")
     return found
