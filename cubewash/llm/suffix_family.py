@@ -24,8 +24,12 @@ written once, bucketed by row key, so these steps do not shuffle them again.
 A byte is removed if a repeated string covers it. Strings never cross
 documents; overlaps count; strings are judged on the input.
 
+A :class:`SuffixFamily` takes further batches at any time: inserting one reads the
+levels and the new batch only, never the texts of earlier ones.
+
 Edge cases: null and empty texts, and texts shorter than ``length``, lose
-nothing. Rows are texts of their own: two rows of the same text repeat each
+nothing. Very long texts are read whole, one at a time. An empty table gives an empty
+result. Rows are texts of their own: two rows of the same text repeat each
 other, also under one doc_id or none. Other columns are not read.
 """
 
@@ -280,8 +284,12 @@ def _removals(length: int, with_kept: bool):
 
 
 def _twice(rows: DataFrame, key: str, weight) -> DataFrame:
-    """The keys that occur twice or more."""
-    return rows.groupBy(key).agg(F.sum(weight).alias("n")).where("n > 1").select(key)
+    """The keys that occur twice or more.
+
+    Materialised, so that a join with them has a plain shuffle on either side and can be
+    split where a very common stretch gives one key to a large part of the rows.
+    """
+    return checkpoint(rows.groupBy(key).agg(F.sum(weight).alias("n")).where("n > 1").select(key))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES,
@@ -325,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES,
     stretches = checkpoint(runs.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig"),
         F.min(F.struct("rid", "at", "lo", "hi")).alias("where")))
-    repeated = runs.join(stretches.where("n > 1").select("key"), "key").select("rid", "lo", "hi")
+    repeated = staging.write(runs.join(stretches.where("n > 1").select("key"), "key").select("rid", "lo", "hi"))
 
     # Suffixes with a stretch that occurs once: their stretches block by block. Weight 1 is open.
     open_sigs = stretches.where("n = 1").select("sig").distinct()
@@ -345,8 +353,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES,
               .agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("blocks")))
     strings = checkpoint(text_of.join(singly, "rid").select("rid", "text", "blocks").mapInArrow(
         _strings(length), "rid binary, start long, weight int, key binary"))
-    repeated = repeated.union(strings.where("weight = 1").join(_twice(strings, "key", "weight"), "key")
-                              .select("rid", F.col("start").alias("lo"), F.col("start").alias("hi")))
+    single = strings.where("weight = 1").join(_twice(strings, "key", "weight"), "key")
+    repeated = repeated.union(staging.write(single.select("rid", F.col("start").alias("lo"), F.col("start").alias("hi"))))
 
     starts = repeated.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     cut = checkpoint(text_of.join(starts, "rid").select("rid", "text", "starts").mapInArrow(
