@@ -2,35 +2,47 @@
 
 Tokens are the lower-cased (A-Z) words of a whole text and one end token. The
 tree's root is the unigram distribution of all training tokens, smoothed by
-0.5. A node is a context: the last 1 to ``DEPTH`` tokens. A context is a
-candidate if its probability is at least ``CONTEXT_SHARE``; then its next-token
-counts are set against what its suffix state predicts. A next token is listed
-if the Poisson deviance of its count from that prediction is ``TOKEN_DEVIANCE``
-or more and its share of the context at least ``NEXT_SHARE``; a context stays in the tree if the deviances of its listed tokens
-reach ``CONTEXT_DEVIANCE`` together. A listed token's probability is its count
-smoothed towards the suffix state; all others share what is left in proportion
-to the suffix state, so every state's distribution sums to 1.
+0.5. A node is a context: the last 1 to ``DEPTH`` tokens. Every context that
+occurs ``CONTEXT_COUNT`` times is a candidate and every next token that follows it
+``LEAST_COUNT`` times is tested: absolute counts, so the tree grows with the
+corpus. A next token is listed if the Poisson deviance of its count from what the
+suffix state predicts is ``TOKEN_DEVIANCE`` or more; a context stays in the tree
+if the deviances of its listed tokens reach ``CONTEXT_DEVIANCE`` together. A listed
+token's probability is its count smoothed towards the suffix state; all others
+share what is left in proportion to the suffix state, so every state's
+distribution sums to 1.
 
 A text's score is the sum of log10 P(token | longest suffix state in the tree).
-As every state falls back on its suffix, that is the unigram score of the text
-plus one correction per position, and corrections only concern tokens of at
-least ``SYMBOL_SHARE`` and contexts of at least ``CONTEXT_SHARE``: these tables
-have at most 1/SYMBOL_SHARE and DEPTH/CONTEXT_SHARE entries whatever the
-corpus, and are broadcast. The vocabulary itself grows with the corpus and is
-never broadcast: only words of at least ``FREQUENT_SHARE`` (at most its
-inverse) are, and the rare words of each document are joined with their counts
-on Spark and summed by document.
-
-All counts are over all training texts; nothing is sampled.
-
-Edge cases: a null or empty text has the end token alone. Rows that repeat a
+As every state scales its suffix state or lists a token instead, log10 P is the
+root's value plus terms that belong to one n-gram each: ``scale`` of every context
+before the token, and for a listed token the difference to its scaled suffix. So
+the tree is a table (key of n-gram, weight), and a score is the unigram score
+plus the weights of all n-grams of the text, repeats included.
+
+On Spark: a level is a table (g, sfx, n, cum): key of an n-gram, of its suffix,
+its count, and log10 P of its last token after the rest. The next level counts
+(context, next token) per task, ships them as one list per context and salt (so a
+hot context is no single group), and joins the level before it for the context's
+count and the suffix state's prediction. Two Bloom filters of fixed size
+(``FILTER_BITS``) spare tasks most n-grams that cannot count often enough; they only
+ever let too much through. For scoring, the weights of the most frequent n-grams, at
+most ``HOT_WEIGHTS``, are broadcast; a text's other n-grams that pass a filter of all
+weights are joined with the table. Likewise words: those of at least
+``FREQUENT_SHARE`` (at most its inverse) are broadcast, rare ones are joined.
+
+Keys are 64-bit hashes (frequent words: small numbers); n-grams whose keys collide are
+counted as one, which takes billions of them to happen at all. All counts are over all
+training texts; nothing is sampled.
+
+Edge cases: a null or empty text has the end token alone. Texts of any length are
+scored whole; work space follows the longest text. Rows that repeat a
 doc_id (or have none) are scored row by row. Without training rows N and V are
 0 and both scores are 0 for every text, as no distribution is defined. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +50,46 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubewash.llm.common import LOWER, checkpoint, doc_groups, text_bytes, training_fold
+from cubewash.llm.common import LOWER, RollingHash, checkpoint, doc_groups, text_bytes, training_fold
 
 DEPTH = 3
-CONTEXT_SHARE = 1e-4
-SYMBOL_SHARE = 2e-5
-FREQUENT_SHARE = 2e-6
-NEXT_SHARE = 5e-4
+CONTEXT_COUNT = 8
 LEAST_COUNT = 3  # fewer occurrences are no evidence
+FREQUENT_SHARE = 2e-6
 TOKEN_DEVIANCE = 6.0
 CONTEXT_DEVIANCE = 12.0
 SMOOTHING = 4.0
+FILTER_BITS = 1 << 26
+HOT_WEIGHTS = 1 << 20
+HELD_PAIRS = 1 << 20  # (context, token) counts that a task holds before it hands them on
+SALTS = 16
 END = "\n"  # cannot be a word
 
+# The multipliers of XXH64, which Spark's xxhash64 uses.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
 _LOW = np.frombuffer(LOWER, np.uint8)
 
 
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hash_long(values: np.ndarray, seed=42) -> np.ndarray:
+    """xxhash64 of longs as Spark computes it; ``seed`` may be an array."""
+    with np.errstate(over="ignore"):
+        h = np.asarray(seed).astype(np.uint64) + _P5 + np.uint64(8)
+        h = _turn(h ^ (_turn(values.astype(np.uint64) * _P2, 31) * _P1), 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def joined_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Key of an n-gram from the keys of all but its last token and of that: xxhash64(context, token)."""
+    return hash_long(token, hash_long(context))
+
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words and one END per text, offsets) of a string column; null is empty."""
     # lower-cased in numpy: the Arrow kernel misreads arrays whose first offset is not 0
@@ -97,204 +133,264 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 @dataclass
-class SuffixTree:
-    """The bounded part of the model; token ids count the frequent words from the most frequent."""
+class Vocabulary:
+    """The frequent words, from the most frequent; their number is their key."""
 
-    words: pa.Array  # frequent words by id
+    words: pa.Array
     counts: np.ndarray
     total: int  # N
     distinct: int  # V
-    symbols: int  # ids below this may be listed as next tokens
-    heads: int  # ids below this may stand in a context
-    # for each depth: sorted context keys with log10 of what unlisted tokens are scaled by,
-    # and sorted (context, token) keys with log10(P / P of the root)
-    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    listed: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    @property
+    def denominator(self) -> float:
+        return self.total + 0.5 * (self.distinct + 1)
 
     def ids(self, words: pa.Array) -> np.ndarray:
-        """Frequent-word id of each value, -1 for rare ones."""
+        """Number of each frequent word, -1 for rare ones."""
         return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(
             zero_copy_only=False).astype(np.int64)
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-
-    def context_keys(self, ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-        """Key of the ``depth`` tokens before each position; -1 if one is rare or outside the text."""
-        keys = np.zeros(len(ids), np.int64)
-        ok = np.ones(len(ids), bool)
-        position = np.arange(len(ids)) - starts
-        ok &= position >= depth
-        for back in range(depth, 0, -1):
-            before = np.full(len(ids), -1, np.int64)
-            before[back:] = ids[:len(ids) - back]
-            ok &= (before >= 0) & (before < self.heads)
-            keys = keys * self.heads + before
-        return np.where(ok, keys, -1)
-
-    def corrections(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 P(token | longest suffix state) - log10 P(token) at each position."""
-        out = np.zeros(len(ids))
-        for depth, ((contexts, scale), (pairs, value)) in enumerate(zip(self.contexts, self.listed), 1):
-            if not len(contexts):
-                continue
-            at, found = lookup(contexts, self.context_keys(ids, starts, depth))
-            out[found] += scale[at[found]]
-            pair = np.where(found & (ids >= 0) & (ids < self.symbols), at * self.symbols + ids, -1)
-            at, known = lookup(pairs, pair)
-            out[known] = value[at[known]]
-        return out
+    def keys(self, words: pa.Array, ids: np.ndarray) -> np.ndarray:
+        """Keys of words: a frequent word's number, a hash below zero for a rare one."""
+        data, offsets = text_bytes(words)
+        hashes = RollingHash(data).between(offsets[:-1], offsets[1:]) | np.uint64(1 << 63)
+        return np.where(ids >= 0, ids, hashes.view(np.int64))
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = whole["n"] or 0, whole["v"]
+    frequent = (counts.where(F.col("c") >= FREQUENT_SHARE * total).orderBy(F.desc("c"), "word").toArrow())
+    return Vocabulary(frequent["word"].combine_chunks().cast(pa.large_string()),
+                      frequent["c"].to_numpy().astype(np.int64), total, distinct)
+
+
+def _word_keys(shared):
+    def run(batches):
+        for batch in batches:
+            words = batch.column(0).cast(pa.large_string())
+            keys = shared.value.keys(words, shared.value.ids(words))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(1)], names=["g", "n"])
+    return run
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of the column ``g``, two bits a key: at most FILTER_BITS / 64 numbers come to the driver."""
+    places = keys.select(F.xxhash64("g").alias("h")).select(F.explode(F.array(
+        F.col("h").bitwiseAND(FILTER_BITS - 1),
+        F.shiftrightunsigned("h", 32).bitwiseAND(FILTER_BITS - 1))).alias("p"))
+    words = (places.groupBy(F.shiftright("p", 6).alias("at"))
+             .agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits")).toArrow())
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    h = hash_long(keys).view(np.uint64)
+    places = (h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1))
+    found = [bits.view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) for p in places]
+    return (found[0] & found[1] & np.uint64(1)).astype(bool)
 
 
 def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, is there) of keys in a sorted array; negative keys are not there."""
+    """(place, is there) of keys in a sorted array."""
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, (table[at] == keys) & (keys >= 0)
+    return at, table[at] == keys
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(key, context, token, n) with equal keys added up."""
+    key, context, token, n = (np.concatenate(x) for x in zip(*parts))
+    key, first, place = np.unique(key, return_index=True, return_inverse=True)
+    return key, context[first], token[first], np.bincount(place, n, len(key)).astype(np.int64)
+
+
+def _by_context(key, context, token, n) -> pa.RecordBatch:
+    """One row per context and salt, with its tokens and their counts as lists."""
+    salt = token & (SALTS - 1)
+    order = np.lexsort((salt, context))
+    context, salt = context[order], salt[order]
+    new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])]))
+    offsets = pa.array(np.concatenate([new, [len(order)]]).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(context[new]), pa.array(salt[new].astype(np.int32)),
+         pa.ListArray.from_arrays(offsets, pa.array(token[order])),
+         pa.ListArray.from_arrays(offsets, pa.array(n[order]))], names=["ctx", "salt", "toks", "ns"])
 
 
 def _count_next(shared, depth: int):
-    """Per task: counts of (context, next token) for the contexts that are candidates at ``depth``."""
+    """Per task: counts of (context, next token) that may be tested at ``depth``."""
     def run(batches):
-        tree, candidates = shared.value
+        known, contexts, suffixes = shared.value
+        held, size = [], 0
         for batch in batches:
             for _, _, words, offsets in _groups(batch, 0):
                 coded = words.dictionary_encode()
-                ids = tree.ids(coded.dictionary)[coded.indices.to_numpy()]
-                starts = np.repeat(offsets[:-1], np.diff(offsets))
-                at, found = lookup(candidates, tree.context_keys(ids, starts, depth))
-                # an unlisted token counts as id `symbols`, so a context's total is kept too
-                token = np.where((ids >= 0) & (ids < tree.symbols), ids, tree.symbols)
-                keys, n = np.unique((at * (tree.symbols + 1) + token)[found], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))],
-                                                 names=["key", "n"])
+                token = known.keys(coded.dictionary, known.ids(coded.dictionary))[coded.indices.to_numpy()]
+                place = np.arange(len(token)) - np.repeat(offsets[:-1], np.diff(offsets))
+                gram = token  # key of the n-gram of ``depth`` tokens that ends at a position
+                for back in range(1, depth):
+                    gram = np.concatenate([gram[:1], joined_key(gram[:-1], token[1:])])
+                at = np.flatnonzero(place >= depth)
+                at = at[in_filter(contexts, gram[at - 1])]
+                at = at[in_filter(suffixes, gram[at])]
+                if len(at):
+                    context, last = gram[at - 1], token[at]
+                    held.append(_merged([(joined_key(context, last), context, last, np.ones(len(at), np.int64))]))
+                    size += len(held[-1][0])
+                if size > HELD_PAIRS:
+                    yield _by_context(*_merged(held))
+                    held, size = [], 0
+        if held:
+            yield _by_context(*_merged(held))
     return run
 
 
-def _frequent_next(shared, symbols: int):
-    """The (context, token) counts of at least LEAST_COUNT and NEXT_SHARE of their context."""
-    def run(batches):
-        for batch in batches:
-            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = (key % (symbols + 1) < symbols) & (n >= np.maximum(
-                LEAST_COUNT, NEXT_SHARE * shared.value[key // (symbols + 1)]))
-            yield batch.filter(pa.array(keep))
-    return run
+def _next_level(train: DataFrame, known: Vocabulary, below: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(level, weights) of the n-grams of ``depth`` + 1 tokens, from the level below."""
+    spark = train.sparkSession
+    contexts = below.where(F.col("n") >= CONTEXT_COUNT)
+    shared = spark.sparkContext.broadcast((known, filter_of(contexts.select("g")), filter_of(below.select("g"))))
+    # Lists of a context lie in SALTS groups; the sum by token needs no second shuffle.
+    lists = (train.mapInArrow(_count_next(shared, depth),
+                              "ctx long, salt int, toks array<long>, ns array<long>")
+             .repartition("ctx", "salt"))
+    counted = (lists.select("ctx", "salt", F.explode(F.arrays_zip("toks", "ns")).alias("x"))
+               .groupBy("ctx", "salt", F.col("x.toks").alias("tok")).agg(F.sum("x.ns").alias("n"))
+               .where(F.col("n") >= LEAST_COUNT).drop("salt"))
+    suffix = F.col("tok") if depth == 1 else F.xxhash64("ctx_sfx", "tok")
+    pairs = (counted.join(contexts.select(F.col("g").alias("ctx"), F.col("n").alias("ctx_n"),
+                                          F.col("sfx").alias("ctx_sfx")), "ctx")
+             .select("ctx", "tok", "n", "ctx_n", suffix.alias("sfx"))
+             .join(below.select(F.col("g").alias("sfx"), F.col("cum").alias("low")), "sfx")
+             .withColumn("expected", F.expr("ctx_n * power(10D, low)"))
+             .withColumn("deviance", F.expr("n * ln(n / expected) - n + expected"))
+             .withColumn("listed", F.col("deviance") >= TOKEN_DEVIANCE).drop("expected"))
+    pairs = checkpoint(pairs)
+    # What the listed tokens leave, over what they leave of the suffix state.
+    kept = (pairs.where("listed").groupBy("ctx", "ctx_n")
+            .agg(F.sum("deviance").alias("strength"), F.sum("n").alias("listed_n"),
+                 F.expr("greatest(1 - sum(power(10D, low)), 1e-12D)").alias("rest"))
+            .where(F.col("strength") >= CONTEXT_DEVIANCE)
+            .select("ctx", F.col("ctx_n").alias("n"), F.expr(
+                f"log10((ctx_n - listed_n + {SMOOTHING}D * rest) / ((ctx_n + {SMOOTHING}D) * rest))").alias("scale")))
+    kept = checkpoint(kept)
+    smoothed = F.expr(f"log10((n + {SMOOTHING}D * power(10D, low)) / (ctx_n + {SMOOTHING}D))")
+    level = (pairs.join(kept.select("ctx", "scale"), "ctx", "left")
+             .select(F.xxhash64("ctx", "tok").alias("g"), "sfx", "n",
+                     F.when(F.col("scale").isNull(), F.col("low")).when(F.col("listed"), smoothed)
+                     .otherwise(F.col("low") + F.col("scale")).alias("cum"),
+                     F.when(F.col("scale").isNotNull() & F.col("listed"), smoothed - F.col("low") - F.col("scale"))
+                     .alias("weight")))
+    level = checkpoint(level)
+    return level, (level.where("weight IS NOT NULL").select("g", "n", "weight")
+                   .unionAll(kept.select("ctx", "n", "scale")))
+
+
+def fit(train: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
+    """The tree as (g, n, weight): key of an n-gram, its count, and what it adds to a text's score."""
+    shared = train.sparkSession.sparkContext.broadcast(known)
+    below = checkpoint(counts.where(F.col("c") >= LEAST_COUNT).select("word", "c")
+                       .mapInArrow(_word_keys(shared), "g long, n long")
+                       .select("g", F.lit(0).cast("long").alias("sfx"), "n",
+                               F.log10((F.col("n") + 0.5) / known.denominator).alias("cum")))
+    weights = below.where("false").select("g", "n", F.col("cum").alias("weight"))
+    for depth in range(1, DEPTH + 1):
+        below, found = _next_level(train, known, below, depth)
+        weights = weights.unionAll(found)
+    return checkpoint(weights.groupBy("g").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
+
+
+def _hot_limit(weights: DataFrame) -> float:
+    """The least count at which no more than HOT_WEIGHTS n-grams are left, to an eighth of a doubling."""
+    sizes = weights.groupBy(F.floor(8 * F.log2("n")).alias("b")).count().collect()  # at most 8 * 63 rows
+    left, limit = 0, 64 * 8
+    for b, size in sorted(((r["b"], r["count"]) for r in sizes), reverse=True):
+        left += size
+        if left > HOT_WEIGHTS:
+            break
+        limit = b
+    return limit
 
 
-def _add_level(train: DataFrame, tree: SuffixTree, depth: int, candidates: np.ndarray) -> np.ndarray:
-    """Count one depth, run the divergence tests, add what stays; returns the next candidates.
-
-    Candidates, and so the pairs that come to the driver, are bounded by the shares.
-    """
-    sc = train.sparkSession.sparkContext
-    shared = sc.broadcast((tree, candidates))
-    counts = (train.select("text").mapInArrow(_count_next(shared, depth), "key long, n long")
-              .groupBy("key").agg(F.sum("n").alias("n")))
-    width = tree.symbols + 1
-    got = checkpoint(counts)
-    totals_rows = (got.groupBy(F.expr(f"key div {width}").alias("context"))
-                   .agg(F.sum("n").alias("n")).toArrow())
-    totals = np.zeros(len(candidates))
-    totals[totals_rows["context"].to_numpy()] = totals_rows["n"].to_numpy()
-    # What comes back is at most 1 / NEXT_SHARE tokens a context.
-    rows = got.mapInArrow(_frequent_next(sc.broadcast(totals), tree.symbols), "key long, n long").toArrow()
-    key, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
+@dataclass
+class HotWeights:
+    """What every task gets of the tree: weights by sorted key, and a filter of all keys."""
+
+    keys: np.ndarray
+    weights: np.ndarray
+    every: np.ndarray
+
+
+def hot_weights(weights: DataFrame) -> tuple[HotWeights, DataFrame]:
+    """(broadcast part, weights that must be joined)."""
+    heat, limit = F.floor(8 * F.log2("n")), _hot_limit(weights)
+    got = weights.where(heat >= limit).select("g", "weight").toArrow()
+    key, value = got["g"].to_numpy(), got["weight"].to_numpy()
     order = np.argsort(key)
-    key, n = key[order], n[order]
-    context, token = key // width, key % width
-    # what the suffix state predicts for the token: walk the shorter context that is in the tree
-    ids = _context_ids(candidates[context], depth, tree.heads)
-    log_suffix = np.log10(tree.root(tree.counts[token])) + _correction_of(tree, ids[:, 1:], token)
-    suffix = 10.0 ** log_suffix
-    expected = totals[context] * suffix
-    deviance = n * np.log(n / expected) - n + expected
-    keep = deviance >= TOKEN_DEVIANCE
-    strength = np.bincount(context[keep], deviance[keep], minlength=len(candidates))
-    retained = strength >= CONTEXT_DEVIANCE
-    keep &= retained[context]
-    smoothed = (n + SMOOTHING * suffix) / (totals[context] + SMOOTHING)
-    mass = np.bincount(context[keep], smoothed[keep], minlength=len(candidates))
-    mass_suffix = np.bincount(context[keep], suffix[keep], minlength=len(candidates))
-    scale = np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - mass_suffix, 1e-9))
-    number = np.cumsum(retained) - 1
-    tree.contexts.append((candidates[retained], scale[retained]))
-    pairs = number[context[keep]] * tree.symbols + token[keep]
-    value = np.log10(smoothed[keep]) - np.log10(tree.root(tree.counts[token[keep]]))
-    order = np.argsort(pairs)
-    tree.listed.append((pairs[order], value[order]))
-    # longer contexts: (context, token) pairs frequent enough to be contexts themselves
-    longer = (n >= CONTEXT_SHARE * tree.total) & (token < tree.heads) & (tree.counts[token] > 0)
-    longer &= token != tree.ids(pa.array([END], pa.large_string()))[0]
-    return np.sort(candidates[context[longer]] * tree.heads + token[longer])
-
-
-def _context_ids(keys: np.ndarray, depth: int, heads: int) -> np.ndarray:
-    """(n, depth) token ids of context keys, oldest first."""
-    ids = np.empty((len(keys), depth), np.int64)
-    for j in range(depth - 1, -1, -1):
-        ids[:, j] = keys % heads
-        keys = keys // heads
-    return ids
-
-
-def _correction_of(tree: SuffixTree, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Correction of each token after each (short) context, by laying them out as texts."""
-    n, depth = context.shape
-    laid = np.concatenate([context, token[:, None]], axis=1).ravel()
-    starts = np.repeat(np.arange(n) * (depth + 1), depth + 1)
-    return tree.corrections(laid, starts)[depth::depth + 1]
-
-
-def fit(train: DataFrame, counts: DataFrame) -> SuffixTree:
-    """The tree from training texts (column text) and their word counts."""
-    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = whole["n"] or 0, whole["v"]
-    frequent = (counts.where(F.col("c") >= FREQUENT_SHARE * total)
-                .orderBy(F.desc("c"), "word").toArrow())
-    c = frequent["c"].to_numpy().astype(np.int64)
-    words = frequent["word"].combine_chunks().cast(pa.large_string())
-    tree = SuffixTree(words, c, total, distinct, int((c >= SYMBOL_SHARE * total).sum()),
-                      int((c >= CONTEXT_SHARE * total).sum()))
-    if not total:
-        return tree
-    end = tree.ids(pa.array([END], pa.large_string()))[0]
-    candidates = np.setdiff1d(np.arange(tree.heads), [end])  # nothing follows the end
-    for depth in range(1, DEPTH + 1):
-        if not len(candidates):
-            break
-        candidates = _add_level(train, tree, depth, candidates)
-    return tree
+    return (HotWeights(key[order], value[order], filter_of(weights.select("g"))),
+            weights.where(heat < limit).select(F.col("g").alias("key"), "weight"))
+
+
+def _lists(doc, rows: int, columns: list[pa.Array], names: list[str]) -> pa.ListArray:
+    """Structs that are sorted by ``doc`` as one list for each of ``rows`` rows."""
+    first = np.searchsorted(doc, np.arange(rows + 1))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(columns, names=names))
 
 
-def _score_frequent(shared):
-    """Per row: what is known from the broadcast part, and the rare words with their counts."""
+def _score_hot(shared):
+    """Per row: what the broadcast parts give, and the rare words and other n-grams with their counts."""
     def run(batches):
-        tree = shared.value
-        log_root = np.log10(tree.root(tree.counts)) if tree.total else np.zeros(0)
+        known, hot = shared.value
+        log_root = np.log10((known.counts + 0.5) / known.denominator)
         for batch in batches:
             for i, j, words, offsets in _groups(batch, 1):
                 coded = words.dictionary_encode()
-                ids = tree.ids(coded.dictionary)[coded.indices.to_numpy()]
-                starts = np.repeat(offsets[:-1], np.diff(offsets))
+                index, size = coded.indices.to_numpy(), len(coded.dictionary)
+                word_ids = known.ids(coded.dictionary)
+                word_keys = known.keys(coded.dictionary, word_ids)
+                ids, token = word_ids[index], word_keys[index]
                 doc = np.repeat(np.arange(j - i), np.diff(offsets))
+                place = np.arange(len(ids)) - offsets[doc]
                 often = ids >= 0
-                base = np.bincount(doc[often], log_root[ids[often]], minlength=j - i)
-                gain = np.bincount(doc, tree.corrections(ids, starts), minlength=j - i)
-                known = np.bincount(doc[often], minlength=j - i)
-                # rare words of each row: (row, word, occurrences)
-                size = len(coded.dictionary)
-                pair, times = np.unique(doc[~often] * size + coded.indices.to_numpy()[~often],
-                                        return_counts=True)
-                first = np.searchsorted(pair // size, np.arange(j - i + 1))
-                rare = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(
-                    [coded.dictionary.take(pa.array(pair % size)).cast(pa.string()),
-                     pa.array(times.astype(np.int32))], names=["word", "times"]))
+                base = np.bincount(doc[often], log_root[ids[often]], minlength=j - i).astype(np.float64)
+                count = np.bincount(doc[often], minlength=j - i)
+                pair, times = np.unique(doc[~often] * size + index[~often], return_counts=True)
+                rare = _lists(pair // size, j - i, [
+                    coded.dictionary.take(pa.array(pair % size)).cast(pa.string()),
+                    pa.array(times.astype(np.int32))], ["word", "times"])
+                gain, cold = np.zeros(j - i), []
+                gram = token
+                for length in range(1, DEPTH + 2):
+                    if length > 1:
+                        gram = np.concatenate([gram[:1], joined_key(gram[:-1], token[1:])])
+                        at = np.flatnonzero(place >= length - 1)
+                        at = at[in_filter(hot.every, gram[at])]
+                    else:  # words: once each
+                        at = np.flatnonzero(in_filter(hot.every, word_keys)[index])
+                    key, where = np.unique(gram[at], return_inverse=True)
+                    spot, found = lookup(hot.keys, key)
+                    value = np.zeros(len(key))
+                    value[found] = hot.weights[spot[found]]
+                    gain += np.bincount(doc[at], value[where], minlength=j - i)
+                    at = at[~found[where]]
+                    cold.append((doc[at], gram[at]))
+                cold_doc, cold_key = (np.concatenate(x) for x in zip(*cold))
+                order = np.lexsort((cold_key, cold_doc))
+                cold_doc, cold_key = cold_doc[order], cold_key[order]
+                new = np.flatnonzero(np.concatenate([
+                    [True] * bool(len(order)),
+                    (cold_doc[1:] != cold_doc[:-1]) | (cold_key[1:] != cold_key[:-1])]).astype(bool))
+                repeats = np.diff(np.concatenate([new, [len(order)]])).astype(np.int32)
+                other = _lists(cold_doc[new], j - i, [pa.array(cold_key[new]), pa.array(repeats)], ["key", "times"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(np.diff(offsets)), pa.array(known.astype(np.int64)),
-                     pa.array(base), pa.array(gain), rare],
-                    names=["doc_id", "n_tokens", "n_known", "base", "gain", "rare"])
+                    [batch.column(0)[i:j], pa.array(np.diff(offsets)), pa.array(count.astype(np.int64)),
+                     pa.array(base), pa.array(gain), rare, other],
+                    names=["doc_id", "n_tokens", "n_known", "base", "gain", "rare", "other"])
     return run
 
 
@@ -302,24 +398,30 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     train = docs.where(training_fold("doc_id", folds) != held_out).select("text")
     counts = checkpoint(word_counts(train))
-    tree = fit(train, counts)
-    denominator = tree.total + 0.5 * (tree.distinct + 1)
+    known = vocabulary(counts)
+    hot, colder = hot_weights(fit(train, counts, known))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", "text").mapInArrow(
-        _score_frequent(docs.sparkSession.sparkContext.broadcast(tree)),
+        _score_hot(docs.sparkSession.sparkContext.broadcast((known, hot))),
         f"doc_id {id_type}, n_tokens long, n_known long, base double, gain double, "
-        "rare array<struct<word string, times int>>"))
+        "rare array<struct<word string, times int>>, other array<struct<key long, times int>>"))
     # The rows get a number once they lie in the checkpoint, where it no longer changes.
     rows = checkpoint(rows).withColumn("row", F.monotonically_increasing_id())
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    # Both sides dealt by word; the sum by row starts before the second shuffle.
-    c = F.coalesce("c", F.lit(0))
-    looked_up = (rare.join(counts, "word", "left")
-                 .groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.5) / denominator)).alias("rare_base"),
-                                     F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")))
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) if tree.total else F.lit(0.0)
-    return (rows.drop("rare").join(looked_up, "row", "left")
+    other = rows.select("row", F.explode("other").alias("r")).select("row", "r.key", "r.times")
+    # Both sides of a join dealt by its key; the sum by row starts before the next shuffle.
+    c, zero = F.coalesce("c", F.lit(0)), F.lit(0.0)
+    parts = (rare.join(counts, "word", "left")
+             .select("row", F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("known"),
+                     (F.col("times") * F.log10((c + 0.5) / known.denominator)).alias("base"), zero.alias("gain"))
+             .unionAll(other.join(colder, "key")
+                       .select("row", F.lit(0).cast("long"), zero, F.col("times") * F.col("weight"))))
+    summed = parts.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"),
+                                      F.sum("gain").alias("more_gain"))
+    base = F.col("base") + F.coalesce("more_base", zero) if known.total else zero
+    gain = F.col("gain") + F.coalesce("more_gain", zero)
+    return (rows.drop("rare", "other").join(summed, "row", "left")
             .select("doc_id", (training_fold("doc_id", folds) == held_out).alias("held_out"), "n_tokens",
-                    (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                    F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"),
-                    (base + F.col("gain")).alias("score")))
+                    (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+                    F.lit(known.total).cast("long").alias("train_tokens"), base.alias("base_score"),
+                    (base + gain).alias("score")))

@@ -146,17 +146,89 @@ def test_suffix_tree_lm_base_and_normalisation(spark, docs):
     sums = sorted(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for _, t in rows)
     assert np.allclose(sorted(r["base_score"] for r in got), sums)
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
-    # every state's distribution sums to that of its suffix: no mass is made or lost
-    train = docs.select("text")
-    tree = pst_lm.fit(train, pst_lm.checkpoint(pst_lm.word_counts(train)))
-    assert tree.contexts and len(tree.contexts[0][0])
-    every = np.arange(len(tree.words))
-    root = tree.root(tree.counts)
-    for context in tree.contexts[0][0][:5]:
-        shift = pst_lm._correction_of(tree, np.full((len(every), 1), context), every)
-        unseen = 1 - root.sum()  # mass of unknown words, scaled like any unlisted token
-        scale = tree.contexts[0][1][np.searchsorted(tree.contexts[0][0], context)]
-        assert abs((root * 10**shift).sum() + unseen * 10**scale - 1) < 0.02
+
+
+def suffix_tree(texts):
+    """log10 P(token | context) of the longest suffix state, by plain dictionaries, from lists of tokens."""
+    grams = Counter(tuple(t[i:i + k]) for t in texts for k in range(1, pst_lm.DEPTH + 2)
+                    for i in range(len(t) - k + 1))
+    n = sum(len(t) for t in texts)
+    vocabulary = [g[0] for g in grams if len(g) == 1]
+    followers, nodes = {}, {}
+    for g, k in grams.items():
+        if len(g) > 1 and k >= pst_lm.LEAST_COUNT:
+            followers.setdefault(g[:-1], []).append((g[-1], k))
+
+    def state(s):
+        """(listed tokens with log10 P, log10 of the others' scale) or None."""
+        if s not in nodes:
+            nodes[s] = None
+            total, listed, strength = grams[s], {}, 0.0
+            for t, k in followers.get(s, []) if total >= pst_lm.CONTEXT_COUNT else []:
+                low = 10 ** log_p(s[1:], t)
+                deviance = k * math.log(k / (total * low)) - k + total * low
+                if deviance >= pst_lm.TOKEN_DEVIANCE:
+                    strength += deviance
+                    listed[t] = (low, (k + pst_lm.SMOOTHING * low) / (total + pst_lm.SMOOTHING))
+            if strength >= pst_lm.CONTEXT_DEVIANCE:
+                scale = (1 - sum(p for _, p in listed.values())) / (1 - sum(low for low, _ in listed.values()))
+                nodes[s] = ({t: math.log10(p) for t, (_, p) in listed.items()}, math.log10(scale))
+        return nodes[s]
+
+    def log_p(s, t):
+        if not s:
+            return math.log10((grams[t,] + 0.5) / (n + 0.5 * (len(vocabulary) + 1)))
+        found = state(s)
+        if found is None:
+            return log_p(s[1:], t)
+        return found[0].get(t, log_p(s[1:], t) + found[1])
+
+    return log_p, nodes, vocabulary
+
+
+@pytest.mark.parametrize("frequent, hot", [(2e-6, 1 << 20), (1e-2, 60), (1.0, 0)])
+def test_suffix_tree_lm_equals_plain_dictionaries(spark, monkeypatch, frequent, hot):
+    """With all words and weights broadcast, some of them, and none."""
+    monkeypatch.setattr(pst_lm, "FREQUENT_SHARE", frequent)
+    monkeypatch.setattr(pst_lm, "HOT_WEIGHTS", hot)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(12)]
+
+    def text():
+        made = [rng.randrange(12) for _ in range(3)]
+        for _ in range(rng.randint(0, 90)):  # mostly the last one to three words tell the next
+            told = 5 * made[-1] + 1 + (made[-2] if made[-1] % 3 else 0) + (3 * made[-3] if made[-1] % 3 == 2 else 0)
+            made.append(told % 12 if rng.random() < 0.7 else rng.randrange(12))
+        return " ".join(words[k] for k in made).upper()
+
+    rows = [(i, text()) for i in range(150)] + [(500, None), (501, ""), (502, "w1 new words w1 new"), (None, text())]
+    rows += [(600 + i, rows[3][1]) for i in range(6)] + [(700, " ".join(text() for _ in range(60)))]
+    got = pst_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    split = [(i, [w.decode() for w in words_of(t)] + ["\n"]) for i, t in rows]
+    fold = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5
+    log_p, nodes, vocabulary = suffix_tree([t for i, t in split if fold(i) != 1])
+    want = [(str(i), len(t), sum(log_p(tuple(t[max(0, k - pst_lm.DEPTH):k]), w) for k, w in enumerate(t)))
+            for i, t in split]
+    mine = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
+    assert [m[:2] for m in mine] == [x[:2] for x in sorted(want)]
+    assert np.allclose([m[2] for m in mine], [x[2] for x in sorted(want)], rtol=1e-9, atol=1e-7)
+    held = {len(s): s for s, found in nodes.items() if found}
+    assert set(held) == {1, 2, 3}  # every depth has a state, and each sums to 1
+    for s in held.values():
+        assert abs(sum(10 ** log_p(s, t) for t in [*vocabulary, "unseen"]) - 1) < 1e-9
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Contexts are kept by counts, not by shares: eight times the texts, all new, give far more of them."""
+    rng = random.Random(12)
+
+    def weights(n):
+        rows = [(" ".join(f"t{i}x{rng.randint(0, 3)}" for _ in range(60)),) for i in range(n)]
+        train = spark.createDataFrame(rows, "text string")
+        counts = pst_lm.checkpoint(pst_lm.word_counts(train))
+        return pst_lm.fit(train, counts, pst_lm.vocabulary(counts)).count()
+
+    assert weights(80) > 6 * weights(10) > 0
 
 
 def test_family_takes_batches_and_finds_what_they_repeat_from_before(spark):
