@@ -21,8 +21,8 @@ plus the weights of all n-grams of the text, repeats included.
 
 On Spark: a level is a table (g, sfx, n, cum): key of an n-gram, of its suffix,
 its count, and log10 P of its last token after the rest. The next level counts
-(context, next token) per task, ships them as one list per context and salt (so a
-hot context is no single group), and joins the level before it for the context's
+(context, next token) per task, ships them as one list per context (hot contexts: one
+per salt of the token, so they are no single group), and joins the level before it for the context's
 count and the suffix state's prediction. Two Bloom filters of fixed size
 (``FILTER_BITS``) spare tasks most n-grams that cannot count often enough; they only
 ever let too much through. For scoring, the weights of the most frequent n-grams, at
@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubewash.llm.common import LOWER, RollingHash, checkpoint, doc_groups, text_bytes, training_fold
+from cubewash.llm.common import LOWER, RollingHash, Staging, doc_groups, text_bytes, training_fold
 
 DEPTH = 3
 CONTEXT_COUNT = 8
@@ -61,7 +61,8 @@ CONTEXT_DEVIANCE = 12.0
 SMOOTHING = 4.0
 FILTER_BITS = 1 << 26
 HOT_WEIGHTS = 1 << 20
-HELD_PAIRS = 1 << 20  # (context, token) counts that a task holds before it hands them on
+HELD_PAIRS = 1 << 19  # (context, token) counts that a task holds before it hands them on
+SALTED_SHARE = 1e-4  # contexts of this share of all tokens (at most its inverse) are dealt by SALTS
 SALTS = 16
 END = "\n"  # cannot be a word
 
@@ -114,7 +115,7 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _groups(batch: pa.RecordBatch, column: int):
     """Rows of a batch in groups of bounded text size: (first, last + 1, tokens, offsets)."""
     _, offsets = text_bytes(batch.column(column))
-    for i, j in doc_groups(offsets, 1 << 23):
+    for i, j in doc_groups(offsets, 1 << 21):
         yield (i, j, *tokens(batch.column(column)[i:j]))
 
 
@@ -209,23 +210,23 @@ def _merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     return key, context[first], token[first], np.bincount(place, n, len(key)).astype(np.int64)
 
 
-def _by_context(key, context, token, n) -> pa.RecordBatch:
+def _by_context(salted: np.ndarray, key, context, token, n) -> pa.RecordBatch:
     """One row per context and salt, with its tokens and their counts as lists."""
-    salt = token & (SALTS - 1)
-    order = np.lexsort((salt, context))
+    salt = np.where(lookup(salted, context)[1], token & (SALTS - 1), 0)
+    order = np.lexsort((token, salt, context))
     context, salt = context[order], salt[order]
     new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])]))
     offsets = pa.array(np.concatenate([new, [len(order)]]).astype(np.int32))
     return pa.RecordBatch.from_arrays(
         [pa.array(context[new]), pa.array(salt[new].astype(np.int32)),
          pa.ListArray.from_arrays(offsets, pa.array(token[order])),
-         pa.ListArray.from_arrays(offsets, pa.array(n[order]))], names=["ctx", "salt", "toks", "ns"])
+         pa.ListArray.from_arrays(offsets, pa.array(n[order].astype(np.int32)))], names=["ctx", "salt", "toks", "ns"])
 
 
 def _count_next(shared, depth: int):
     """Per task: counts of (context, next token) that may be tested at ``depth``."""
     def run(batches):
-        known, contexts, suffixes = shared.value
+        known, contexts, suffixes, salted = shared.value
         held, size = [], 0
         for batch in batches:
             for _, _, words, offsets in _groups(batch, 0):
@@ -243,21 +244,23 @@ def _count_next(shared, depth: int):
                     held.append(_merged([(joined_key(context, last), context, last, np.ones(len(at), np.int64))]))
                     size += len(held[-1][0])
                 if size > HELD_PAIRS:
-                    yield _by_context(*_merged(held))
+                    yield _by_context(salted, *_merged(held))
                     held, size = [], 0
         if held:
-            yield _by_context(*_merged(held))
+            yield _by_context(salted, *_merged(held))
     return run
 
 
-def _next_level(train: DataFrame, known: Vocabulary, below: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _next_level(staging: Staging, train: DataFrame, known: Vocabulary, below: DataFrame,
+                depth: int) -> tuple[DataFrame, DataFrame]:
     """(level, weights) of the n-grams of ``depth`` + 1 tokens, from the level below."""
-    spark = train.sparkSession
+    sc = train.sparkSession.sparkContext
     contexts = below.where(F.col("n") >= CONTEXT_COUNT)
-    shared = spark.sparkContext.broadcast((known, filter_of(contexts.select("g")), filter_of(below.select("g"))))
-    # Lists of a context lie in SALTS groups; the sum by token needs no second shuffle.
+    salted = below.where(F.col("n") >= SALTED_SHARE * known.total).select("g").toArrow()["g"].to_numpy()
+    shared = sc.broadcast((known, filter_of(contexts.select("g")), filter_of(below.select("g")), np.sort(salted)))
+    # The lists of a context lie in one group or in SALTS; the sum by token needs no second shuffle.
     lists = (train.mapInArrow(_count_next(shared, depth),
-                              "ctx long, salt int, toks array<long>, ns array<long>")
+                              "ctx long, salt int, toks array<long>, ns array<int>")
              .repartition("ctx", "salt"))
     counted = (lists.select("ctx", "salt", F.explode(F.arrays_zip("toks", "ns")).alias("x"))
                .groupBy("ctx", "salt", F.col("x.toks").alias("tok")).agg(F.sum("x.ns").alias("n"))
@@ -266,43 +269,47 @@ def _next_level(train: DataFrame, known: Vocabulary, below: DataFrame, depth: in
     pairs = (counted.join(contexts.select(F.col("g").alias("ctx"), F.col("n").alias("ctx_n"),
                                           F.col("sfx").alias("ctx_sfx")), "ctx")
              .select("ctx", "tok", "n", "ctx_n", suffix.alias("sfx"))
-             .join(below.select(F.col("g").alias("sfx"), F.col("cum").alias("low")), "sfx")
-             .withColumn("expected", F.expr("ctx_n * power(10D, low)"))
-             .withColumn("deviance", F.expr("n * ln(n / expected) - n + expected"))
-             .withColumn("listed", F.col("deviance") >= TOKEN_DEVIANCE).drop("expected"))
-    pairs = checkpoint(pairs)
+             .join(below.select(F.col("g").alias("sfx"), F.col("cum").alias("low")), "sfx"))
+    expected = "(ctx_n * power(10D, low))"
+    tested = (staging.write(pairs)
+              .withColumn("deviance", F.expr(f"n * ln(n / {expected}) - n + {expected}"))
+              .withColumn("listed", F.col("deviance") >= TOKEN_DEVIANCE))
     # What the listed tokens leave, over what they leave of the suffix state.
-    kept = (pairs.where("listed").groupBy("ctx", "ctx_n")
+    kept = (tested.where("listed").groupBy("ctx", "ctx_n")
             .agg(F.sum("deviance").alias("strength"), F.sum("n").alias("listed_n"),
                  F.expr("greatest(1 - sum(power(10D, low)), 1e-12D)").alias("rest"))
             .where(F.col("strength") >= CONTEXT_DEVIANCE)
             .select("ctx", F.col("ctx_n").alias("n"), F.expr(
                 f"log10((ctx_n - listed_n + {SMOOTHING}D * rest) / ((ctx_n + {SMOOTHING}D) * rest))").alias("scale")))
-    kept = checkpoint(kept)
+    kept = staging.write(kept)
     smoothed = F.expr(f"log10((n + {SMOOTHING}D * power(10D, low)) / (ctx_n + {SMOOTHING}D))")
-    level = (pairs.join(kept.select("ctx", "scale"), "ctx", "left")
-             .select(F.xxhash64("ctx", "tok").alias("g"), "sfx", "n",
+    # Of the deepest level only the weights are needed, so only listed tokens of kept contexts.
+    deepest = depth == DEPTH
+    level = ((tested.where("listed") if deepest else tested)
+             .join(kept.select("ctx", "scale"), "ctx", "inner" if deepest else "left")
+             .select(F.xxhash64("ctx", "tok").alias("g"),
+                     F.when(F.col("n") >= CONTEXT_COUNT, F.col("sfx")).alias("sfx"), "n",
                      F.when(F.col("scale").isNull(), F.col("low")).when(F.col("listed"), smoothed)
                      .otherwise(F.col("low") + F.col("scale")).alias("cum"),
                      F.when(F.col("scale").isNotNull() & F.col("listed"), smoothed - F.col("low") - F.col("scale"))
                      .alias("weight")))
-    level = checkpoint(level)
+    level = staging.write(level.drop("sfx", "cum") if deepest else level)
     return level, (level.where("weight IS NOT NULL").select("g", "n", "weight")
                    .unionAll(kept.select("ctx", "n", "scale")))
 
 
-def fit(train: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
+def fit(staging: Staging, train: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
     """The tree as (g, n, weight): key of an n-gram, its count, and what it adds to a text's score."""
     shared = train.sparkSession.sparkContext.broadcast(known)
-    below = checkpoint(counts.where(F.col("c") >= LEAST_COUNT).select("word", "c")
-                       .mapInArrow(_word_keys(shared), "g long, n long")
-                       .select("g", F.lit(0).cast("long").alias("sfx"), "n",
-                               F.log10((F.col("n") + 0.5) / known.denominator).alias("cum")))
+    below = staging.write(counts.where(F.col("c") >= LEAST_COUNT).select("word", "c")
+                          .mapInArrow(_word_keys(shared), "g long, n long")
+                          .select("g", F.lit(0).cast("long").alias("sfx"), "n",
+                                  F.log10((F.col("n") + 0.5) / known.denominator).alias("cum")))
     weights = below.where("false").select("g", "n", F.col("cum").alias("weight"))
     for depth in range(1, DEPTH + 1):
-        below, found = _next_level(train, known, below, depth)
+        below, found = _next_level(staging, train, known, below, depth)
         weights = weights.unionAll(found)
-    return checkpoint(weights.groupBy("g").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
+    return staging.write(weights.groupBy("g").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
 
 
 def _hot_limit(weights: DataFrame) -> float:
@@ -397,16 +404,17 @@ def _score_hot(shared):
 def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     train = docs.where(training_fold("doc_id", folds) != held_out).select("text")
-    counts = checkpoint(word_counts(train))
+    staging = Staging(docs.sparkSession, "pst_lm")
+    counts = staging.write(word_counts(train))
     known = vocabulary(counts)
-    hot, colder = hot_weights(fit(train, counts, known))
+    hot, colder = hot_weights(fit(staging, train, counts, known))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", "text").mapInArrow(
         _score_hot(docs.sparkSession.sparkContext.broadcast((known, hot))),
         f"doc_id {id_type}, n_tokens long, n_known long, base double, gain double, "
         "rare array<struct<word string, times int>>, other array<struct<key long, times int>>"))
-    # The rows get a number once they lie in the checkpoint, where it no longer changes.
-    rows = checkpoint(rows).withColumn("row", F.monotonically_increasing_id())
+    # The number of a row is written with it, so it no longer changes.
+    rows = staging.write(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     other = rows.select("row", F.explode("other").alias("r")).select("row", "r.key", "r.times")
     # Both sides of a join dealt by its key; the sum by row starts before the next shuffle.

@@ -225,8 +225,11 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     def weights(n):
         rows = [(" ".join(f"t{i}x{rng.randint(0, 3)}" for _ in range(60)),) for i in range(n)]
         train = spark.createDataFrame(rows, "text string")
-        counts = pst_lm.checkpoint(pst_lm.word_counts(train))
-        return pst_lm.fit(train, counts, pst_lm.vocabulary(counts)).count()
+        staging = Staging(spark, "tree_test")
+        counts = staging.write(pst_lm.word_counts(train))
+        found = pst_lm.fit(staging, train, counts, pst_lm.vocabulary(counts)).count()
+        staging.close()
+        return found
 
     assert weights(80) > 6 * weights(10) > 0
 
