@@ -25,9 +25,9 @@ its count, and log10 P of its last token after the rest. The next level counts
 per salt of the token, so they are no single group), and joins the level before it for the context's
 count and the suffix state's prediction. Two Bloom filters of fixed size
 (``FILTER_BITS``) spare tasks most n-grams that cannot count often enough; they only
-ever let too much through. For scoring, the weights of the most frequent n-grams, at
-most ``HOT_WEIGHTS``, are broadcast; a text's other n-grams that pass a filter of all
-weights are joined with the table. Likewise words: those of at least
+ever let too much through. For scoring, the weights of n-grams of at least ``HOT_SHARE``
+of all tokens (at most its inverse for each length) are broadcast; a text's other
+n-grams that pass a filter of all weights are joined with the table. Likewise words: those of at least
 ``FREQUENT_SHARE`` (at most its inverse) are broadcast, rare ones are joined.
 
 Keys are 64-bit hashes (frequent words: small numbers); n-grams whose keys collide are
@@ -60,7 +60,7 @@ TOKEN_DEVIANCE = 6.0
 CONTEXT_DEVIANCE = 12.0
 SMOOTHING = 4.0
 FILTER_BITS = 1 << 26
-HOT_WEIGHTS = 1 << 20
+HOT_SHARE = 5e-7
 HELD_PAIRS = 1 << 19  # (context, token) counts that a task holds before it hands them on
 SALTED_SHARE = 1e-4  # contexts of this share of all tokens (at most its inverse) are dealt by SALTS
 SALTS = 16
@@ -312,18 +312,6 @@ def fit(staging: Staging, train: DataFrame, counts: DataFrame, known: Vocabulary
     return staging.write(weights.groupBy("g").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
 
 
-def _hot_limit(weights: DataFrame) -> float:
-    """The least count at which no more than HOT_WEIGHTS n-grams are left, to an eighth of a doubling."""
-    sizes = weights.groupBy(F.floor(8 * F.log2("n")).alias("b")).count().collect()  # at most 8 * 63 rows
-    left, limit = 0, 64 * 8
-    for b, size in sorted(((r["b"], r["count"]) for r in sizes), reverse=True):
-        left += size
-        if left > HOT_WEIGHTS:
-            break
-        limit = b
-    return limit
-
-
 @dataclass
 class HotWeights:
     """What every task gets of the tree: weights by sorted key, and a filter of all keys."""
@@ -333,14 +321,14 @@ class HotWeights:
     every: np.ndarray
 
 
-def hot_weights(weights: DataFrame) -> tuple[HotWeights, DataFrame]:
+def hot_weights(weights: DataFrame, total: int) -> tuple[HotWeights, DataFrame]:
     """(broadcast part, weights that must be joined)."""
-    heat, limit = F.floor(8 * F.log2("n")), _hot_limit(weights)
-    got = weights.where(heat >= limit).select("g", "weight").toArrow()
+    hot = F.col("n") >= HOT_SHARE * total
+    got = weights.where(hot).select("g", "weight").toArrow()
     key, value = got["g"].to_numpy(), got["weight"].to_numpy()
     order = np.argsort(key)
     return (HotWeights(key[order], value[order], filter_of(weights.select("g"))),
-            weights.where(heat < limit).select(F.col("g").alias("key"), "weight"))
+            weights.where(~hot).select(F.col("g").alias("key"), "weight"))
 
 
 def _lists(doc, rows: int, columns: list[pa.Array], names: list[str]) -> pa.ListArray:
@@ -407,7 +395,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     staging = Staging(docs.sparkSession, "pst_lm")
     counts = staging.write(word_counts(train))
     known = vocabulary(counts)
-    hot, colder = hot_weights(fit(staging, train, counts, known))
+    hot, colder = hot_weights(fit(staging, train, counts, known), known.total)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", "text").mapInArrow(
         _score_hot(docs.sparkSession.sparkContext.broadcast((known, hot))),

@@ -186,11 +186,11 @@ def suffix_tree(texts):
     return log_p, nodes, vocabulary
 
 
-@pytest.mark.parametrize("frequent, hot", [(2e-6, 1 << 20), (1e-2, 60), (1.0, 0)])
+@pytest.mark.parametrize("frequent, hot", [(2e-6, 5e-7), (1e-2, 3e-3), (1.0, 1.0)])
 def test_suffix_tree_lm_equals_plain_dictionaries(spark, monkeypatch, frequent, hot):
     """With all words and weights broadcast, some of them, and none."""
     monkeypatch.setattr(pst_lm, "FREQUENT_SHARE", frequent)
-    monkeypatch.setattr(pst_lm, "HOT_WEIGHTS", hot)
+    monkeypatch.setattr(pst_lm, "HOT_SHARE", hot)
     rng = random.Random(11)
     words = [f"w{k}" for k in range(12)]
 
