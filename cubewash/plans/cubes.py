@@ -25,7 +25,8 @@ Broadcasts are never forced: Spark broadcasts a side only when its size
 estimate is under ``spark.sql.autoBroadcastJoinThreshold``, and AQE re-plans
 from measured shuffle sizes. The aggregation to the cube grain runs with
 map-side partial sums, so the last shuffle carries at most one row per
-(group, map task).
+(group, map task); in the customer cube, where hardly any lines share a group,
+lines are dealt out by group in parts of bounded size instead.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from ..functions.periods import YYYY_M, YYYYQN, date_period_index_col, format_pe
 from ..sources.cube import long_to_wide
 
 MONEY = "decimal(18,2)"
+#: Lines that a task sums to rows of the customer x brand cube.
+LINES_A_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,15 +127,25 @@ def customer_brand_cube(spark: SparkSession, sf_dir: str,
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    lines = li.join(part, li.l_partkey == part.p_partkey)
-    facts = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-             # the period stays a number until the lines are summed
-             .groupBy("o_custkey", "p_brand", "index").agg(F.sum("v").alias("v"))
-             .join(customer, F.col("o_custkey") == customer.c_custkey)
-             .select("c_name", "p_brand", period_label_col(F.col("index"), YYYYQN).alias("period"), "v"))
+    tasks = line_tasks(spark, sf_dir)
+    order_names = orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "c_name")
+    lines = li.join(part, li.l_partkey == part.p_partkey).repartition(tasks, "l_orderkey")
+    # hardly two lines share a cube cell, so they are dealt out by row of the cube and summed there
+    facts = (lines.join(order_names, lines.l_orderkey == order_names.o_orderkey)
+             .select("c_name", "p_brand", period_label_col(F.col("index"), YYYYQN).alias("period"), "v")
+             .repartition(tasks, "c_name", "p_brand"))
     return long_to_wide(facts, ["c_name", "p_brand"], "period", "v", labels, fill=0.0)
 
 
+def line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Parts that lineitem-sized data is dealt into, of some LINES_A_TASK lines each.
+
+    Left to themselves, parts of few compressed bytes are merged until a task holds
+    millions of lines, whose hash tables and sorts then spill."""
+    lines = table(spark, sf_dir, "lineitem").count()  # from the files' footers
+    return max(spark.sparkContext.defaultParallelism, -(-lines // LINES_A_TASK))
+
+
 def segment_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = (table(spark, sf_dir, "orders").where(F.col("o_orderdate").isNotNull())
               .select("o_custkey", "o_orderpriority",

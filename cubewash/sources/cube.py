@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import cells_array, q, sql_name, sql_text, to_double_sql
+from ..functions.cells import cells_array, free_name, q, sql_name, sql_text, to_double_sql
 from ..model import (
     CELLS,
     FILE_PATH,
@@ -124,21 +124,25 @@ def long_to_wide(facts: DataFrame, ids: list[str], period: str, value: str,
     """P-05: fact rows (ids, period label, value) -> one row per id tuple and one
     column per label, in ``labels`` order.
 
-    One hash aggregate with one conditional sum per label: map-side partial
-    sums, a single shuffle on the id tuple (``pivot`` would aggregate twice), and
-    no distinct job since the labels are given. A fact of any other period is an
-    error, never dropped."""
+    Facts are summed first, per id tuple and place of the period, in rows of one sum each
+    (map-side partial sums); only these few are laid out, with one double per label. A sum
+    per label at once would hold a decimal buffer for every cell of the cube, empty ones
+    included. Facts that are already dealt out by the id tuple are not shuffled again. No
+    distinct job, since the labels are given. A fact of any other period is an error,
+    never dropped."""
     name, listed = sql_name(period), ", ".join(map(sql_text, labels))
-    known = (f"CASE WHEN {name} IN ({listed}) THEN {name} ELSE raise_error(concat('period outside the cube: ', "
-             f"coalesce(CAST({name} AS STRING), 'NULL'))) END" if labels else name)
-    facts = facts.withColumn(period, F.expr(known))
+    place, total = free_name(facts, "place"), free_name(facts, "total")
+    known = (f"CASE WHEN {name} IN ({listed}) THEN array_position(array({listed}), {name}) ELSE "
+             f"raise_error(concat('period outside the cube: ', coalesce(CAST({name} AS STRING), 'NULL'))) END")
+    sums = (facts.withColumn(place, F.expr(known)).groupBy(*[q(c) for c in ids], q(place))
+            .agg(F.sum(q(value)).cast("double").alias(total)))
 
     def cell(label: str) -> Column:
-        total = f"sum(CASE WHEN {name} = {sql_text(label)} THEN {sql_name(value)} END)"
-        filled = total if fill is None else f"coalesce({total}, {float(fill)!r}D)"
-        return F.expr(f"CAST({filled} AS DOUBLE) AS {sql_name(label)}")
+        one = f"max(CASE WHEN {sql_name(place)} = {labels.index(label) + 1} THEN {sql_name(total)} END)"
+        filled = one if fill is None else f"coalesce({one}, {float(fill)!r}D)"
+        return F.expr(f"{filled} AS {sql_name(label)}")
 
-    return facts.groupBy(*[q(c) for c in ids]).agg(*[cell(lab) for lab in labels])
+    return sums.groupBy(*[q(c) for c in ids]).agg(*[cell(lab) for lab in labels])
 
 
 def wide_to_long(df: DataFrame, ids: list[str], measures: list[str], *,
