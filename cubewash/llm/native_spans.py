@@ -88,13 +88,19 @@ def sample_rows(rows: DataFrame, by: str, label: str, most: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def fit_trees(classifier, rows: DataFrame, features: list[str], label: str):
-    """A fitted tree ensemble, or None if the rows do not have both labels."""
+def fit_trees(classifier, rows: DataFrame, features: list[str], label: str, weight: str | None = None, parts: int = 1):
+    """A fitted tree ensemble, or None if the rows do not have both labels.
+
+    ``weight`` names what a row counts for (1 without); the rows are read in at most ``parts`` tasks.
+    """
     data = VectorAssembler(inputCols=features, outputCol="_features").transform(rows).select(
-        "_features", F.col(label).alias("_label")).coalesce(1).cache()
+        "_features", F.col(label).alias("_label"), (F.col(weight) if weight else F.lit(1.0)).alias("_weight"))
+    data = data.coalesce(parts).cache()
     try:
         if data.select("_label").distinct().count() < 2:
             return None
+        if weight:
+            classifier.setWeightCol("_weight")
         return classifier.setFeaturesCol("_features").setLabelCol("_label").fit(data)
     finally:
         data.unpersist()

@@ -5,12 +5,13 @@ pass the kind's check. Generators then propose many more, overlapping spans:
 everything that the base patterns match, number runs with loose separators, and
 addresses with a written-out "at". Gradient-boosted trees score each candidate
 from its format (length, digits, groups, separators, signs) and its context
-(what touches it, key words before it). They are trained on at most
-``MAX_ROWS`` candidates that overlap a base span and ``MAX_ROWS`` others of each
-label. Right are those that overlap a base span, and of the others those with
+(what touches it, key words before it). They are trained on the candidates of all
+documents: equal ones are counted, and the counts are the weights. No group (those
+that overlap a base span, others of either label) weighs more than ``GROUP_WEIGHT``
+in all, so that none takes the room of another. Right are those that overlap a base span, and of the others those with
 evidence that the base patterns do not hold: a written-out address, a national
 number by format or by the key word before it, a card in groups or named one
-with a right check digit. Half of the sample is held back, and the threshold of
+with a right check digit. Half of the candidates are held back, and the threshold of
 a kind is the lowest score at which the held-back candidates of that kind that
 overlap no base span are right in ``PRECISION`` of cases. Candidates with
 evidence or above the threshold that overlap no base span are added; base spans
@@ -30,15 +31,16 @@ candidates of one label alone only those with evidence are added. Other columns
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubewash.llm.common import checkpoint
 from cubewash.llm.native_spans import (
-    Matches, boosted_probability, count_of, digits_of, fit_trees, flag, luhn, sample_rows)
+    Matches, boosted_probability, count_of, digits_of, fit_trees, flag, luhn)
 
 KINDS = ["email", "ip", "card", "phone"]
-MAX_ROWS = 3000
+GROUP_WEIGHT = 3000
+CASES_A_TASK = 50_000  # distinct cases that a training task reads
 PRECISION = 0.98
 LEAST_CALIBRATION = 20  # held-back candidates of a kind without which nothing of it is added
 
@@ -158,43 +160,45 @@ def _scan(docs: DataFrame) -> DataFrame:
     return checkpoint(df.select("doc_id", "base", proposed.alias("candidates")))
 
 
-def _thresholds(held_back: DataFrame, score: Column, weights: dict[float, float]) -> dict[str, float]:
-    """Per kind, the lowest score above which PRECISION of the held-back candidates are right.
+def _cases(scanned: DataFrame) -> DataFrame:
+    """All candidates: the distinct ones of each half, and how many there are (n)."""
+    half = F.pmod(F.xxhash64("doc_id", "c.kind", "c.start", "c.end"), F.lit(2)) == 0
+    rows = scanned.select("doc_id", F.explode("candidates").alias("c")).select(
+        half.alias("half"), "c.kind", "c.f.*", "c.is_base",
+        flag(F.col("c.is_base") | F.col("c.evidence")).alias("label"))
+    return checkpoint(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
 
-    Candidates of a label count as often as their sample stands for.
-    """
-    rows = held_back.select("kind", "label", score.alias("score")).collect()  # at most 2 * MAX_ROWS
-    out = {}
-    for kind in KINDS:
-        own = sorted(((r["score"], r["label"]) for r in rows if r["kind"] == kind), reverse=True)
-        right = every = 0.0
-        for n, (s, label) in enumerate(own, 1):
-            right += label * weights[label]
-            every += weights[label]
-            tied = n < len(own) and own[n][0] == s
-            if not tied and n >= LEAST_CALIBRATION and right / every >= PRECISION:
-                out[kind] = s
-    return out
+
+def _fit(cases: DataFrame):
+    """Trees of all cases of the training half, None if they have one label alone."""
+    groups = cases.groupBy("is_base", "label").agg(F.sum("n").alias("total"))  # three rows at most
+    train = cases.where("half").join(F.broadcast(groups), ["is_base", "label"]).withColumn(
+        "weight", F.col("n") * F.least(F.lit(1.0), F.lit(GROUP_WEIGHT) / F.col("total")))
+    parts = -(-max(1, cases.count()) // CASES_A_TASK)
+    train = train.coalesce(parts).sortWithinPartitions("label", "is_base", "kind", *FEATURES)
+    return fit_trees(GBTClassifier(maxIter=12, maxDepth=4, seed=3), train, FEATURES, "label", "weight", parts)
+
+
+def _thresholds(held_back: DataFrame, score: Column) -> dict[str, float]:
+    """Per kind, the lowest score above which PRECISION of the held-back candidates are right."""
+    scores = held_back.groupBy("kind", score.alias("score")).agg(
+        F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("every"))
+    down = Window.partitionBy("kind").orderBy(F.desc("score"))  # a row per different score
+    sums = scores.select("kind", "score", F.sum("right").over(down).alias("right"), F.sum("every").over(down).alias("every"))
+    enough = (F.col("every") >= LEAST_CALIBRATION) & (F.col("right") / F.col("every") >= PRECISION)
+    return {r["kind"]: r["score"] for r in sums.where(enough).groupBy("kind").agg(F.min("score").alias("score")).collect()}
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base, added: arrays of struct<kind, start, end>, each by kind as listed, then start."""
     scanned = _scan(docs)
-    rows = (scanned.select("doc_id", F.explode("candidates").alias("c"))
-            .select(F.xxhash64("doc_id", "c.kind", "c.start", "c.end").alias("h"), "c.kind", "c.f.*", "c.is_base",
-                    flag(F.col("c.is_base") | F.col("c.evidence")).alias("label")))
-    # what overlaps a base span is sampled apart, so that it takes no room from other cases
-    others = checkpoint(sample_rows(rows.where(~F.col("is_base")), "h", "label", MAX_ROWS))
-    sample = others.unionByName(checkpoint(rows.where("is_base").orderBy("h", *rows.columns).limit(MAX_ROWS)))
-    half = F.pmod("h", F.lit(2)) == 0
-    model = fit_trees(GBTClassifier(maxIter=12, maxDepth=4, seed=3), sample.where(half), FEATURES, "label")
+    cases = _cases(scanned)
+    model = _fit(cases)
     chosen = lambda c: c["evidence"]
     if model is not None:
-        found, drawn = ({r["label"]: r["count"] for r in x.groupBy("label").count().collect()}
-                        for x in (rows.where(~F.col("is_base")), others))
-        held_back = others.where(~half).select("kind", "label", F.struct(*FEATURES).alias("f"))
-        limits = _thresholds(held_back, boosted_probability(model, FEATURES, F.col("f")),
-                             {label: found[label] / n for label, n in drawn.items()})
+        held_back = cases.where(~F.col("half") & ~F.col("is_base")).select(
+            "kind", "label", "n", F.struct(*FEATURES).alias("f"))
+        limits = _thresholds(held_back, boosted_probability(model, FEATURES, F.col("f")))
         if limits:
             least = lambda kind: F.coalesce(*[F.when(kind == k, v) for k, v in limits.items()], F.lit(2.0))
             chosen = lambda c: c["evidence"] | (

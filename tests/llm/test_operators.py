@@ -402,6 +402,40 @@ def test_personal_data_beyond_the_base_patterns(spark):
         assert [tuple(a) for a in r["added"]] == want, text
 
 
+def test_personal_data_learns_from_every_candidate(spark, monkeypatch):
+    """More candidates than any fixed sample would hold; thresholds are those of a plain loop over all."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(70):
+        numbers = ["".join(rng.choice("0123456789") for _ in range(rng.randrange(7, 13))) for _ in range(150)]
+        calls = [f"phone {n[:3]} {n[3:7]} {n[1:4]}" for n in numbers[:40]]
+        texts.append(", ".join([*numbers, *calls, f"a{i}@b.c and 10.0.0.{i}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = pii_boost._scan(docs).select(F.sum(F.size("candidates"))).first()[0]
+    assert every > 3 * 3000
+    seen = {}
+    fit, limit = pii_boost.fit_trees, pii_boost._thresholds
+    monkeypatch.setattr(pii_boost, "fit_trees", lambda c, rows, *more: seen.update(train=rows) or fit(c, rows, *more))
+
+    def thresholds(held_back, score):
+        seen.update(rows=held_back.select("kind", "label", "n", score.alias("s")).collect(), got=limit(held_back, score))
+        return seen["got"]
+
+    monkeypatch.setattr(pii_boost, "_thresholds", thresholds)
+    assert pii_boost.find_personal_data(docs).count() == len(texts)
+    base = pii_boost._cases(pii_boost._scan(docs)).where("is_base and not half").agg(F.sum("n")).first()[0]
+    assert seen["train"].agg(F.sum("n")).first()[0] + sum(r["n"] for r in seen["rows"]) + base == every
+    want = {}
+    for kind in {r["kind"] for r in seen["rows"]}:
+        own = [r for r in seen["rows"] if r["kind"] == kind]
+        for s in {r["s"] for r in own}:
+            above = [r for r in own if r["s"] >= s]
+            n = sum(r["n"] for r in above)
+            if n >= pii_boost.LEAST_CALIBRATION and sum(r["n"] * r["label"] for r in above) / n >= pii_boost.PRECISION:
+                want[kind] = min(want.get(kind, 9.0), s)
+    assert seen["got"] == want and "phone" in want
+
+
 def test_secrets_are_found_and_redacted(spark):
     rng = random.Random(4)
     rows = []
