@@ -9,7 +9,11 @@ outer branch also takes this ring and every pair within r meets in some leaf.
 Leaves are Spark groups ("shards"); inside, the same split goes on in memory
 down to small blocks that are compared bit by bit. A shard returns a spanning
 forest of its links, not the links, so large groups of near copies stay linear.
-Shards above ``SHARD_ROWS`` are split again before any is searched.
+Every level of the tree copies its ring once more, so shards hold a fixed share of
+the fingerprints, one of ``SHARDS``: the tree has the same depth whatever their number,
+and rows are dealt out in proportion to the input. Only past ``SHARD_ROWS`` a shard
+it grows deeper. Rows are dealt out once; shards that came out twice too large are
+split again.
 
 The forests of all shards are joined into components by alternating min-label
 rounds on Spark, checkpointed each round.
@@ -34,8 +38,10 @@ from pyspark.sql import functions as F
 from cubewash.llm.common import LOWER, checkpoint, fresh_name
 
 SEED = 42
-#: Fingerprints in a shard before it is split again (8 bytes each).
-SHARD_ROWS = 8_000
+#: A shard holds one of so many parts of the fingerprints; with the overlap there are more shards.
+SHARDS = 16
+#: Least and most fingerprints that make a shard (8 bytes each).
+LEAST_ROWS, SHARD_ROWS = 1_000, 500_000
 #: Fingerprints sampled for a round of splits.
 SAMPLE_ROWS = 60_000
 LEAF = 256  # fingerprints compared pair by pair
@@ -219,44 +225,49 @@ def link_points(points: np.ndarray, radius: int, union: _Union, rng) -> None:
         stack += [inner, outer]
 
 
-def _shards(points: DataFrame, tree: VpTree, only: set[int] | None = None) -> DataFrame:
-    """(shard, fp): every fingerprint with each shard that must hold it."""
-    shared = points.sparkSession.sparkContext.broadcast(tree)  # nodes: some bytes for SHARD_ROWS rows
+def _route(members: DataFrame, tree: VpTree) -> DataFrame:
+    """(shard, fp): every fingerprint with each leaf below its shard that must hold it."""
+    shared = members.sparkSession.sparkContext.broadcast(tree)  # some nodes a shard
 
     def route(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for shard, part in shared.value.route(fp):
-                if only is None or shard in only:
+            at, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for node in np.unique(at).tolist():
+                for shard, part in shared.value.route(fp[at == node], node):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64))],
                         names=["shard", "fp"])
 
-    return points.select("fp").mapInArrow(route, "shard int, fp long")
+    return members.select("shard", "fp").mapInArrow(route, "shard int, fp long")
 
 
-def build_tree(points: DataFrame, rows: int, radius: int, shard_rows: int = SHARD_ROWS) -> VpTree:
-    """Split until no shard holds more than ``shard_rows`` fingerprints or a split no longer helps.
+def shards(points: DataFrame, rows: int, radius: int, shard_rows: int | None = None) -> DataFrame:
+    """(shard, fp): every fingerprint with each shard that must hold it.
 
-    Each round samples up to SAMPLE_ROWS fingerprints (those of the smallest
-    hash) of the shards that are still too large, and grows them.
+    A round samples up to SAMPLE_ROWS fingerprints (those of the smallest hash) of the
+    shards that are too large, grows the tree there and deals out their rows. It ends
+    when no shard holds over twice ``shard_rows`` or a split no longer helps.
     """
+    shard_rows = shard_rows or min(SHARD_ROWS, max(LEAST_ROWS, rows // SHARDS))
     tree, rng = VpTree.leaf(radius), np.random.default_rng(11)
+    members = points.select(F.lit(0).alias("shard"), "fp")
     large, stuck = ({0: rows} if rows > shard_rows else {}), set()
     while large:
         every = max(1, sum(large.values()) // SAMPLE_ROWS)
-        members = points.select(F.lit(0).alias("shard"), "fp") if len(tree.vantage) == 1 else \
-            _shards(points, tree, set(large))
-        sample = members.where(F.pmod(F.xxhash64("fp", F.lit(len(tree.vantage))), F.lit(every)) == 0).toArrow()
+        sample = members.where(F.col("shard").isin(*large) & (
+            F.pmod(F.xxhash64("fp", F.lit(len(tree.vantage))), F.lit(every)) == 0)).toArrow()
         shard, fp = sample["shard"].to_numpy(), sample["fp"].to_numpy().view(np.uint64)
+        grown = []
         for s, n in large.items():
             before = len(tree.vantage)
             tree.grow(s, fp[shard == s], n, shard_rows, rng)
-            if len(tree.vantage) == before:
-                stuck.add(s)
-        counts = _shards(points, tree).groupBy("shard").count().where(F.col("count") > shard_rows).collect()
+            (grown.append if len(tree.vantage) > before else stuck.add)(s)
+        if grown:
+            again = F.col("shard").isin(*grown)
+            members = checkpoint(members.where(~again).unionByName(_route(members.where(again), tree)))
+        counts = members.groupBy("shard").count().where(F.col("count") > 2 * shard_rows).collect()
         large = {r["shard"]: r["count"] for r in counts if r["shard"] not in stuck}
-    return tree
+    return members
 
 
 def _shard_forest(radius: int):
@@ -272,10 +283,9 @@ def _shard_forest(radius: int):
     return spanning
 
 
-def forest(points: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def forest(points: DataFrame, radius: int, shard_rows: int | None = None) -> DataFrame:
     """(a, b): links that span the components of each shard, a <> b."""
-    tree = build_tree(points, points.count(), radius, shard_rows)
-    return (_shards(points, tree).groupBy("shard")
+    return (shards(points, points.count(), radius, shard_rows).groupBy("shard")
             .applyInArrow(_shard_forest(radius), "a long, b long"))
 
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -92,6 +93,22 @@ def test_vp_tree_links_are_exact_over_shards(spark):
     assert found == want
 
 
+def test_vp_tree_deals_out_rows_in_proportion(spark):
+    """Four times the fingerprints make four times the rows in shards, and all are there."""
+    rng = np.random.default_rng(5)
+    dealt = []
+    for n in (20_000, 80_000):
+        points = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+        df = spark.createDataFrame(pa.table({"fp": points}))
+        members = simhash_vptree.shards(df, len(points), 2)
+        sizes = [r["count"] for r in members.groupBy("shard").count().collect()]
+        assert len(sizes) <= 8 * simhash_vptree.SHARDS
+        assert max(sizes) <= 2 * n / simhash_vptree.SHARDS
+        assert members.select("fp").distinct().count() == len(points)
+        dealt.append(sum(sizes))
+    assert dealt[1] < 4.6 * dealt[0]
+
+
 def test_ann_recall_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16)).astype(np.float32)
