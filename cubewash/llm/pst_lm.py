@@ -21,14 +21,16 @@ plus the weights of all n-grams of the text, repeats included.
 
 On Spark: a level is a table (g, sfx, n, cum): key of an n-gram, of its suffix,
 its count, and log10 P of its last token after the rest. The next level counts
-(context, next token) per task, ships them as one list per context (hot contexts: one
-per salt of the token, so they are no single group), and joins the level before it for the context's
+(context, next token) per task and deals the counts by context into parts of about ``PART_TOKENS`` tokens'
+work (a hot context: into several, by token), as compressed lists; a part is added up at a time, and what counts
+``LEAST_COUNT`` joins the level before it for the context's
 count and the suffix state's prediction. Two Bloom filters of fixed size
 (``FILTER_BITS``) spare tasks most n-grams that cannot count often enough; they only
 ever let too much through. For scoring, the weights of n-grams of at least ``HOT_SHARE``
 of all tokens (at most its inverse for each length) are broadcast; a text's other
-n-grams that pass a filter of all weights are joined with the table. Likewise words: those of at least
-``FREQUENT_SHARE`` (at most its inverse) are broadcast, rare ones are joined.
+n-grams that pass a filter of all weights are joined with the table, in ``SLICES`` shares of the keys. Likewise words: those of at least
+``FREQUENT_SHARE`` (at most its inverse) are broadcast, rare ones are joined. Tables on the way and shuffle
+files go as soon as nothing reads them.
 
 Keys are 64-bit hashes (frequent words: small numbers); n-grams whose keys collide are
 counted as one, which takes billions of them to happen at all. All counts are over all
@@ -43,6 +45,7 @@ doc_id (or have none) are scored row by row. Without training rows N and V are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubewash.llm.common import LOWER, RollingHash, Staging, doc_groups, text_bytes, training_fold
+from cubewash.llm.common import (
+    LOWER, RollingHash, Staging, doc_groups, freed_shuffles, shuffle_partitions, text_bytes, training_fold,
+)
 
 DEPTH = 3
 CONTEXT_COUNT = 8
@@ -61,9 +66,9 @@ CONTEXT_DEVIANCE = 12.0
 SMOOTHING = 4.0
 FILTER_BITS = 1 << 26
 HOT_SHARE = 5e-7
-HELD_PAIRS = 1 << 19  # (context, token) counts that a task holds before it hands them on
-SALTED_SHARE = 1e-4  # contexts of this share of all tokens (at most its inverse) are dealt by SALTS
-SALTS = 16
+HELD_PAIRS = 1 << 19  # (context, token) pairs that a task holds before it hands them on
+PART_TOKENS = 1 << 20  # a part of the counts is that of so many tokens
+SLICES = 2  # shares of the keys that are joined with the texts one after another
 END = "\n"  # cannot be a word
 
 # The multipliers of XXH64, which Spark's xxhash64 uses.
@@ -175,13 +180,15 @@ def _word_keys(shared):
     return run
 
 
-def filter_of(keys: DataFrame) -> np.ndarray:
+def filter_of(staging: Staging, keys: DataFrame) -> np.ndarray:
     """Bloom filter of the column ``g``, two bits a key: at most FILTER_BITS / 64 numbers come to the driver."""
     places = keys.select(F.xxhash64("g").alias("h")).select(F.explode(F.array(
         F.col("h").bitwiseAND(FILTER_BITS - 1),
         F.shiftrightunsigned("h", 32).bitwiseAND(FILTER_BITS - 1))).alias("p"))
-    words = (places.groupBy(F.shiftright("p", 6).alias("at"))
-             .agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits")).toArrow())
+    stored = staging.write(places.groupBy(F.shiftright("p", 6).alias("at"))
+                           .agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits")))
+    words = stored.toArrow()
+    staging.free(stored)
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out
@@ -203,75 +210,124 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
-def _merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
-    """(key, context, token, n) with equal keys added up."""
-    key, context, token, n = (np.concatenate(x) for x in zip(*parts))
-    key, first, place = np.unique(key, return_index=True, return_inverse=True)
-    return key, context[first], token[first], np.bincount(place, n, len(key)).astype(np.int64)
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, first bytes of all numbers first: small numbers take little."""
+    raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _by_context(salted: np.ndarray, key, context, token, n) -> pa.RecordBatch:
-    """One row per context and salt, with its tokens and their counts as lists."""
-    salt = np.where(lookup(salted, context)[1], token & (SALTS - 1), 0)
-    order = np.lexsort((token, salt, context))
-    context, salt = context[order], salt[order]
-    new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])]))
-    offsets = pa.array(np.concatenate([new, [len(order)]]).astype(np.int32))
+def _unsqueezed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of all rows of a column of :func:`_squeezed` bytes."""
+    raw = [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+           for x in column.to_pylist()]
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).ravel()
+                           for x in raw])
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each key, sum of its n)."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return order[new], np.add.reduceat(n[order], new)
+
+
+def _by_part(parts: int, salted: tuple[np.ndarray, np.ndarray], held: list[tuple]) -> pa.RecordBatch:
+    """One row per part: its contexts, the length of each one's list, and the listed tokens with their counts."""
+    key, context, token = (np.concatenate(x) for x in zip(*held))
+    first, n = _summed(key, np.ones(len(key), np.int32))
+    context, token = context[first], token[first]
+    at, hot = lookup(salted[0], context)
+    salt = np.zeros(len(context), np.int64)
+    salt[hot] = token[hot] % salted[1][at[hot]]
+    part = joined_key(context, salt).view(np.uint64) % np.uint64(parts)
+    order = np.argsort(context)
+    order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
+    context, token, n, part = context[order], token[order], n[order].astype(np.int32), part[order].astype(np.int32)
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    rows = []
+    for i, j in zip(begin, np.append(begin[1:], len(part))):
+        ctx, tok = context[i:j], token[i:j]
+        new = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        often = tok >= 0
+        rows.append([_squeezed(x) for x in (
+            np.diff(ctx[new], prepend=np.int64(0)), np.diff(np.append(new, j - i)).astype(np.int32),
+            often, tok[often].astype(np.int32), tok[~often], n[i:j])])
     return pa.RecordBatch.from_arrays(
-        [pa.array(context[new]), pa.array(salt[new].astype(np.int32)),
-         pa.ListArray.from_arrays(offsets, pa.array(token[order])),
-         pa.ListArray.from_arrays(offsets, pa.array(n[order].astype(np.int32)))], names=["ctx", "salt", "toks", "ns"])
+        [pa.array(part[begin]), *(pa.array(x, pa.binary()) for x in zip(*rows))],
+        names=["part", "ctx", "size", "often", "ids", "rare", "n"])
 
 
-def _count_next(shared, depth: int):
-    """Per task: counts of (context, next token) that may be tested at ``depth``."""
+def _count_next(shared, depth: int, parts: int):
+    """Per task: counts of (context, next token) that may be tested at ``depth``, by part."""
     def run(batches):
         known, contexts, suffixes, salted = shared.value
         held, size = [], 0
         for batch in batches:
             for _, _, words, offsets in _groups(batch, 0):
                 coded = words.dictionary_encode()
-                token = known.keys(coded.dictionary, known.ids(coded.dictionary))[coded.indices.to_numpy()]
+                word_keys, index = known.keys(coded.dictionary, known.ids(coded.dictionary)), coded.indices.to_numpy()
+                token = word_keys[index]
                 place = np.arange(len(token)) - np.repeat(offsets[:-1], np.diff(offsets))
                 gram = token  # key of the n-gram of ``depth`` tokens that ends at a position
                 for back in range(1, depth):
                     gram = np.concatenate([gram[:1], joined_key(gram[:-1], token[1:])])
                 at = np.flatnonzero(place >= depth)
-                at = at[in_filter(contexts, gram[at - 1])]
-                at = at[in_filter(suffixes, gram[at])]
+                if depth > 1:
+                    at = at[in_filter(contexts, gram[at - 1])]
+                    at = at[in_filter(suffixes, gram[at])]
+                else:  # words: once each
+                    at = at[in_filter(contexts, word_keys)[index[at - 1]]]
+                    at = at[in_filter(suffixes, word_keys)[index[at]]]
                 if len(at):
                     context, last = gram[at - 1], token[at]
-                    held.append(_merged([(joined_key(context, last), context, last, np.ones(len(at), np.int64))]))
-                    size += len(held[-1][0])
+                    held.append((joined_key(context, last), context, last))
+                    size += len(at)
                 if size > HELD_PAIRS:
-                    yield _by_context(salted, *_merged(held))
+                    yield _by_part(parts, salted, held)
                     held, size = [], 0
         if held:
-            yield _by_context(salted, *_merged(held))
+            yield _by_part(parts, salted, held)
     return run
 
 
+def _add_part(lists: pa.Table) -> pa.Table:
+    """(context, next token, n) of one part, from the lists of all tasks."""
+    # each row's contexts are differences from 0 on
+    context = np.concatenate([np.cumsum(_unsqueezed(lists["ctx"].slice(i, 1), np.int64)) for i in range(len(lists))])
+    context = np.repeat(context, _unsqueezed(lists["size"], np.int32))
+    often = _unsqueezed(lists["often"], np.bool_)
+    token = np.empty(len(context), np.int64)
+    token[often] = _unsqueezed(lists["ids"], np.int32)
+    token[~often] = _unsqueezed(lists["rare"], np.int64)
+    first, n = _summed(joined_key(context, token), _unsqueezed(lists["n"], np.int32).astype(np.int64))
+    first, n = first[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
+    return pa.table({"ctx": context[first], "tok": token[first], "n": n})
+
+
 def _next_level(staging: Staging, train: DataFrame, known: Vocabulary, below: DataFrame,
-                depth: int) -> tuple[DataFrame, DataFrame]:
-    """(level, weights) of the n-grams of ``depth`` + 1 tokens, from the level below."""
+                depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(level, weights) of the n-grams of ``depth`` + 1 tokens, from the level below; also the kept contexts."""
     sc = train.sparkSession.sparkContext
     contexts = below.where(F.col("n") >= CONTEXT_COUNT)
-    salted = below.where(F.col("n") >= SALTED_SHARE * known.total).select("g").toArrow()["g"].to_numpy()
-    shared = sc.broadcast((known, filter_of(contexts.select("g")), filter_of(below.select("g")), np.sort(salted)))
-    # The lists of a context lie in one group or in SALTS; the sum by token needs no second shuffle.
-    lists = (train.mapInArrow(_count_next(shared, depth),
-                              "ctx long, salt int, toks array<long>, ns array<int>")
-             .repartition("ctx", "salt"))
-    counted = (lists.select("ctx", "salt", F.explode(F.arrays_zip("toks", "ns")).alias("x"))
-               .groupBy("ctx", "salt", F.col("x.toks").alias("tok")).agg(F.sum("x.ns").alias("n"))
-               .where(F.col("n") >= LEAST_COUNT).drop("salt"))
+    # Parts of a fixed share of work: as many as the tokens ask for; a hot context lies in several.
+    salted = below.where(F.col("n") >= PART_TOKENS // 4).orderBy("g").select("g", "n").toArrow()
+    salted = (salted["g"].to_numpy(), salted["n"].to_numpy() * 4 // PART_TOKENS + 1)
+    parts = max(shuffle_partitions(train.sparkSession), known.total // PART_TOKENS + 1)
+    shared = sc.broadcast((known, filter_of(staging, contexts.select("g")),
+                           filter_of(staging, below.select("g")), salted))
+    counted = (train.mapInArrow(_count_next(shared, depth, parts), "part int, ctx binary, size binary, often binary, "
+                                "ids binary, rare binary, n binary")
+               .groupBy("part").applyInArrow(_add_part, "ctx long, tok long, n long"))
     suffix = F.col("tok") if depth == 1 else F.xxhash64("ctx_sfx", "tok")
     pairs = (counted.join(contexts.select(F.col("g").alias("ctx"), F.col("n").alias("ctx_n"),
                                           F.col("sfx").alias("ctx_sfx")), "ctx")
              .select("ctx", "tok", "n", "ctx_n", suffix.alias("sfx"))
              .join(below.select(F.col("g").alias("sfx"), F.col("cum").alias("low")), "sfx"))
     expected = "(ctx_n * power(10D, low))"
-    tested = (staging.write(pairs)
+    pairs = staging.write(pairs)
+    tested = (pairs
               .withColumn("deviance", F.expr(f"n * ln(n / {expected}) - n + {expected}"))
               .withColumn("listed", F.col("deviance") >= TOKEN_DEVIANCE))
     # What the listed tokens leave, over what they leave of the suffix state.
@@ -294,8 +350,9 @@ def _next_level(staging: Staging, train: DataFrame, known: Vocabulary, below: Da
                      F.when(F.col("scale").isNotNull() & F.col("listed"), smoothed - F.col("low") - F.col("scale"))
                      .alias("weight")))
     level = staging.write(level.drop("sfx", "cum") if deepest else level)
+    staging.free(pairs)
     return level, (level.where("weight IS NOT NULL").select("g", "n", "weight")
-                   .unionAll(kept.select("ctx", "n", "scale")))
+                   .unionAll(kept.select("ctx", "n", "scale"))), kept
 
 
 def fit(staging: Staging, train: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
@@ -306,10 +363,14 @@ def fit(staging: Staging, train: DataFrame, counts: DataFrame, known: Vocabulary
                           .select("g", F.lit(0).cast("long").alias("sfx"), "n",
                                   F.log10((F.col("n") + 0.5) / known.denominator).alias("cum")))
     weights = below.where("false").select("g", "n", F.col("cum").alias("weight"))
+    used = [below]
     for depth in range(1, DEPTH + 1):
-        below, found = _next_level(staging, train, known, below, depth)
+        below, found, kept = _next_level(staging, train, known, below, depth)
+        used += [below, kept]
         weights = weights.unionAll(found)
-    return staging.write(weights.groupBy("g").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
+    tree = staging.write(weights.groupBy("g").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
+    staging.free(*used)
+    return tree
 
 
 @dataclass
@@ -321,13 +382,13 @@ class HotWeights:
     every: np.ndarray
 
 
-def hot_weights(weights: DataFrame, total: int) -> tuple[HotWeights, DataFrame]:
+def hot_weights(staging: Staging, weights: DataFrame, total: int) -> tuple[HotWeights, DataFrame]:
     """(broadcast part, weights that must be joined)."""
     hot = F.col("n") >= HOT_SHARE * total
     got = weights.where(hot).select("g", "weight").toArrow()
     key, value = got["g"].to_numpy(), got["weight"].to_numpy()
     order = np.argsort(key)
-    return (HotWeights(key[order], value[order], filter_of(weights.select("g"))),
+    return (HotWeights(key[order], value[order], filter_of(staging, weights.select("g"))),
             weights.where(~hot).select(F.col("g").alias("key"), "weight"))
 
 
@@ -391,11 +452,16 @@ def _score_hot(shared):
 
 def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    with freed_shuffles(docs.sparkSession):
+        return _score(docs, folds, held_out)
+
+
+def _score(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     train = docs.where(training_fold("doc_id", folds) != held_out).select("text")
     staging = Staging(docs.sparkSession, "pst_lm")
     counts = staging.write(word_counts(train))
     known = vocabulary(counts)
-    hot, colder = hot_weights(fit(staging, train, counts, known), known.total)
+    hot, colder = hot_weights(staging, fit(staging, train, counts, known), known.total)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", "text").mapInArrow(
         _score_hot(docs.sparkSession.sparkContext.broadcast((known, hot))),
@@ -405,15 +471,25 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     rows = staging.write(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     other = rows.select("row", F.explode("other").alias("r")).select("row", "r.key", "r.times")
-    # Both sides of a join dealt by its key; the sum by row starts before the next shuffle.
+    # One join after another, each over a share of the keys and stored as sums by row: its shuffle files go
+    # before the next begins.
     c, zero = F.coalesce("c", F.lit(0)), F.lit(0.0)
-    parts = (rare.join(counts, "word", "left")
-             .select("row", F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("known"),
-                     (F.col("times") * F.log10((c + 0.5) / known.denominator)).alias("base"), zero.alias("gain"))
-             .unionAll(other.join(colder, "key")
-                       .select("row", F.lit(0).cast("long"), zero, F.col("times") * F.col("weight"))))
-    summed = parts.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"),
-                                      F.sum("gain").alias("more_gain"))
+    parts = []
+    for k in range(SLICES):
+        def share(df, key):
+            return df.where(F.pmod(F.xxhash64(key), F.lit(SLICES)) == k)
+
+        found = (
+            share(rare, "word").join(share(counts, "word").hint("shuffle_hash"), "word", "left")
+            .select("row", F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("known"),
+                    (F.col("times") * F.log10((c + 0.5) / known.denominator)).alias("base"), zero.alias("gain")),
+            share(other, "key").join(share(colder, "key").hint("shuffle_hash"), "key")
+            .select("row", F.lit(0).cast("long").alias("known"), zero.alias("base"),
+                    (F.col("times") * F.col("weight")).alias("gain")))
+        parts += [staging.write(x.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "gain"))))
+                  for x in found]
+    summed = (reduce(DataFrame.unionAll, parts).groupBy("row")
+              .agg(*(F.sum(x).alias(f"more_{x}") for x in ("known", "base", "gain"))))
     base = F.col("base") + F.coalesce("more_base", zero) if known.total else zero
     gain = F.col("gain") + F.coalesce("more_gain", zero)
     return (rows.drop("rare", "other").join(summed, "row", "left")

@@ -251,6 +251,39 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     assert weights(80) > 6 * weights(10) > 0
 
 
+def test_counts_of_a_part_are_packed_and_added_up(spark):
+    """Pairs of several tasks, rare words, hot contexts and counts of one included, take few bytes and are counted right."""
+    rng = np.random.default_rng(13)
+    context, token = rng.zipf(1.3, 60000) % 3000, rng.zipf(1.3, 60000) % 3000
+    token = np.where(token % 50 == 7, -(token << 40) - 5, token)
+    salted = (np.array([1, 2]), np.array([5, 3]))
+    batches = [pst_lm._by_part(7, salted, [(pst_lm.joined_key(context[i:i + 20000], token[i:i + 20000]),
+                                           context[i:i + 20000], token[i:i + 20000])]) for i in (0, 20000, 40000)]
+    lists = pa.Table.from_batches(batches)
+    want = {k: n for k, n in Counter(zip(context.tolist(), token.tolist())).items() if n >= pst_lm.LEAST_COUNT}
+    got = {}
+    for part in set(lists["part"].to_pylist()):
+        made = pst_lm._add_part(lists.filter(pa.array([p == part for p in lists["part"].to_pylist()])))
+        for c, t, n in zip(*(made[x].to_pylist() for x in ("ctx", "tok", "n"))):
+            assert (c, t) not in got
+            got[c, t] = n
+    assert got == want
+    assert lists.nbytes < 8 * sum(len(set(zip(context[i:i + 20000].tolist(), token[i:i + 20000].tolist())))
+                                  for i in (0, 20000, 40000))
+
+
+def test_suffix_tree_lm_leaves_only_the_tables_its_result_reads(spark, docs):
+    import glob
+
+    root = pst_lm.Staging(spark, "x").root.removeprefix("file:").rsplit("/", 1)[0]
+    before = set(glob.glob(f"{root}/pst_lm_*"))
+    pst_lm.score(docs)
+    made = set(glob.glob(f"{root}/pst_lm_*")) - before
+    tables = [t for t in glob.glob(f"{made.pop()}/*")]
+    assert len(tables) <= 3 + 2 * pst_lm.SLICES  # words, tree, texts, and their sums; not the levels and pairs
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_family_takes_batches_and_finds_what_they_repeat_from_before(spark):
     rng = random.Random(6)
     staging = Staging(spark, "family_test")
