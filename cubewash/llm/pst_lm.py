@@ -21,14 +21,15 @@ plus the weights of all n-grams of the text, repeats included.
 
 On Spark: a level is a table (g, sfx, n, cum): key of an n-gram, of its suffix,
 its count, and log10 P of its last token after the rest. The next level counts
-(context, next token) per task and deals the counts by context into parts of about ``PART_TOKENS`` tokens'
-work (a hot context: into several, by token), as compressed lists; a part is added up at a time, and what counts
-``LEAST_COUNT`` joins the level before it for the context's
+(context, next token) per task and deals the counts by context into parts, each for about
+``PART_TOKENS`` tokens (a hot context: into several, by token), as compressed lists; a part is added
+up at a time, and what counts ``LEAST_COUNT`` joins the level before it for the context's
 count and the suffix state's prediction. Two Bloom filters of fixed size
 (``FILTER_BITS``) spare tasks most n-grams that cannot count often enough; they only
 ever let too much through. For scoring, the weights of n-grams of at least ``HOT_SHARE``
 of all tokens (at most its inverse for each length) are broadcast; a text's other
-n-grams that pass a filter of all weights are joined with the table, in ``SLICES`` shares of the keys. Likewise words: those of at least
+n-grams that pass a filter of all weights are dealt by key into parts, like the table, and looked up a part at a
+time, in ``SLICES`` shares one after another. Likewise words: those of at least
 ``FREQUENT_SHARE`` (at most its inverse) are broadcast, rare ones are joined. Tables on the way and shuffle
 files go as soon as nothing reads them.
 
@@ -233,6 +234,24 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], np.add.reduceat(n[order], new)
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True] * bool(len(values)), values[1:] != values[:-1]]).astype(bool))
+
+
+def _part_order(part: np.ndarray, key: np.ndarray, parts: int) -> np.ndarray:
+    """Order by part, then by key."""
+    order = np.argsort(key)
+    return order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
+
+
+def _runs(key: np.ndarray) -> list[bytes]:
+    """Sorted keys: each one's difference to the one before, and how often it occurs."""
+    new = _starts(key)
+    return [_squeezed(np.diff(key[new], prepend=np.int64(0))),
+            _squeezed(np.diff(np.append(new, len(key))).astype(np.int32))]
+
+
 def _by_part(parts: int, salted: tuple[np.ndarray, np.ndarray], held: list[tuple]) -> pa.RecordBatch:
     """One row per part: its contexts, the length of each one's list, and the listed tokens with their counts."""
     key, context, token = (np.concatenate(x) for x in zip(*held))
@@ -242,18 +261,15 @@ def _by_part(parts: int, salted: tuple[np.ndarray, np.ndarray], held: list[tuple
     salt = np.zeros(len(context), np.int64)
     salt[hot] = token[hot] % salted[1][at[hot]]
     part = joined_key(context, salt).view(np.uint64) % np.uint64(parts)
-    order = np.argsort(context)
-    order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
+    order = _part_order(part, context, parts)
     context, token, n, part = context[order], token[order], n[order].astype(np.int32), part[order].astype(np.int32)
-    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    begin = _starts(part)
     rows = []
     for i, j in zip(begin, np.append(begin[1:], len(part))):
-        ctx, tok = context[i:j], token[i:j]
-        new = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        tok = token[i:j]
         often = tok >= 0
-        rows.append([_squeezed(x) for x in (
-            np.diff(ctx[new], prepend=np.int64(0)), np.diff(np.append(new, j - i)).astype(np.int32),
-            often, tok[often].astype(np.int32), tok[~often], n[i:j])])
+        rows.append([*_runs(context[i:j]), *(_squeezed(x) for x in (
+            often, tok[often].astype(np.int32), tok[~often], n[i:j]))])
     return pa.RecordBatch.from_arrays(
         [pa.array(part[begin]), *(pa.array(x, pa.binary()) for x in zip(*rows))],
         names=["part", "ctx", "size", "often", "ids", "rare", "n"])
@@ -398,8 +414,47 @@ def _lists(doc, rows: int, columns: list[pa.Array], names: list[str]) -> pa.List
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(columns, names=names))
 
 
-def _score_hot(shared):
-    """Per row: what the broadcast parts give, and the rare words and other n-grams with their counts."""
+def _cold_lists(key: np.ndarray, doc: np.ndarray, rows: int, parts: int) -> pa.ListArray:
+    """N-grams of ``rows`` texts by part, all with the first text: keys, how often each occurs, and in which texts."""
+    part = hash_long(key) % parts
+    order = _part_order(part, key, parts)
+    key, doc, part = key[order], doc[order].astype(np.int32), part[order].astype(np.int32)
+    begin = _starts(part)
+    found = [[*_runs(key[i:j]), _squeezed(doc[i:j])] for i, j in zip(begin, np.append(begin[1:], len(part)))]
+    return _lists(np.zeros(len(begin), np.int64), rows, [
+        pa.array(part[begin]), *(pa.array(x, pa.binary()) for x in (list(zip(*found)) or [()] * 3))],
+        ["part", "keys", "size", "docs"])
+
+
+def _add_cold(lists: pa.Table, tree: pa.Table) -> pa.Table:
+    """Per list: the number of its first row, texts, and what the n-grams of one part add to their scores."""
+    known, weight = tree["key"].to_numpy(), tree["weight"].to_numpy()
+    order = np.argsort(known)
+    known, weight = known[order], weight[order]
+    found = []
+    for i, row in enumerate(lists["row"].to_pylist() if len(known) else []):
+        keys, size, doc = (_unsqueezed(lists[x].slice(i, 1), kind) for x, kind in (
+            ("keys", np.int64), ("size", np.int32), ("docs", np.int32)))
+        at, there = lookup(known, np.cumsum(keys))
+        doc = doc[np.repeat(there, size)]
+        if len(doc):
+            gain = np.bincount(doc, np.repeat(weight[at[there]], size[there]))
+            some = np.flatnonzero(np.bincount(doc))
+            found.append((row, _squeezed(some.astype(np.int32)), _squeezed(gain[some])))
+    row, docs, gains = list(zip(*found)) or [()] * 3
+    return pa.table([pa.array(row, pa.int64()), pa.array(docs, pa.binary()), pa.array(gains, pa.binary())],
+                    names=["row", "docs", "gains"])
+
+
+def _add_rows(lists: pa.Table) -> pa.Table:
+    """(row, gain) of one group of rows, from all parts."""
+    doc, gain = _unsqueezed(lists["docs"], np.int32), _unsqueezed(lists["gains"], np.float64)
+    some = np.flatnonzero(np.bincount(doc))
+    return pa.table({"row": lists["row"][0].as_py() + some, "gain": np.bincount(doc, gain)[some]})
+
+
+def _score_hot(shared, parts: int):
+    """Per row: what the broadcast parts give, and the rare words with counts; per group of rows: other n-grams."""
     def run(batches):
         known, hot = shared.value
         log_root = np.log10((known.counts + 0.5) / known.denominator)
@@ -436,13 +491,7 @@ def _score_hot(shared):
                     at = at[~found[where]]
                     cold.append((doc[at], gram[at]))
                 cold_doc, cold_key = (np.concatenate(x) for x in zip(*cold))
-                order = np.lexsort((cold_key, cold_doc))
-                cold_doc, cold_key = cold_doc[order], cold_key[order]
-                new = np.flatnonzero(np.concatenate([
-                    [True] * bool(len(order)),
-                    (cold_doc[1:] != cold_doc[:-1]) | (cold_key[1:] != cold_key[:-1])]).astype(bool))
-                repeats = np.diff(np.concatenate([new, [len(order)]])).astype(np.int32)
-                other = _lists(cold_doc[new], j - i, [pa.array(cold_key[new]), pa.array(repeats)], ["key", "times"])
+                other = _cold_lists(cold_key, cold_doc, j - i, parts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(np.diff(offsets)), pa.array(count.astype(np.int64)),
                      pa.array(base), pa.array(gain), rare, other],
@@ -462,33 +511,35 @@ def _score(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     counts = staging.write(word_counts(train))
     known = vocabulary(counts)
     hot, colder = hot_weights(staging, fit(staging, train, counts, known), known.total)
+    parts = max(shuffle_partitions(docs.sparkSession), known.total // (4 * PART_TOKENS) + 1)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", "text").mapInArrow(
-        _score_hot(docs.sparkSession.sparkContext.broadcast((known, hot))),
+        _score_hot(docs.sparkSession.sparkContext.broadcast((known, hot)), parts),
         f"doc_id {id_type}, n_tokens long, n_known long, base double, gain double, "
-        "rare array<struct<word string, times int>>, other array<struct<key long, times int>>"))
+        "rare array<struct<word string, times int>>, "
+        "other array<struct<part int, keys binary, size binary, docs binary>>"))
     # The number of a row is written with it, so it no longer changes.
     rows = staging.write(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    other = rows.select("row", F.explode("other").alias("r")).select("row", "r.key", "r.times")
+    other = rows.select("row", F.explode("other").alias("r")).select("row", "r.*")
+    colder = colder.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     # One join after another, each over a share of the keys and stored as sums by row: its shuffle files go
     # before the next begins.
     c, zero = F.coalesce("c", F.lit(0)), F.lit(0.0)
-    parts = []
+    sums = []
     for k in range(SLICES):
-        def share(df, key):
-            return df.where(F.pmod(F.xxhash64(key), F.lit(SLICES)) == k)
-
+        words, share = F.pmod(F.xxhash64("word"), F.lit(SLICES)) == k, F.col("part") % SLICES == k
         found = (
-            share(rare, "word").join(share(counts, "word").hint("shuffle_hash"), "word", "left")
+            rare.where(words).join(counts.where(words).hint("shuffle_hash"), "word", "left")
             .select("row", F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("known"),
                     (F.col("times") * F.log10((c + 0.5) / known.denominator)).alias("base"), zero.alias("gain")),
-            share(other, "key").join(share(colder, "key").hint("shuffle_hash"), "key")
-            .select("row", F.lit(0).cast("long").alias("known"), zero.alias("base"),
-                    (F.col("times") * F.col("weight")).alias("gain")))
-        parts += [staging.write(x.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "gain"))))
-                  for x in found]
-    summed = (reduce(DataFrame.unionAll, parts).groupBy("row")
+            other.where(share).groupBy("part").cogroup(colder.where(share).groupBy("part"))
+            .applyInArrow(_add_cold, "row long, docs binary, gains binary")
+            .groupBy("row").applyInArrow(_add_rows, "row long, gain double")
+            .select("row", F.lit(0).cast("long").alias("known"), zero.alias("base"), "gain"))
+        sums += [staging.write(x.groupBy("row").agg(*(F.sum(y).alias(y) for y in ("known", "base", "gain"))))
+                 for x in found]
+    summed = (reduce(DataFrame.unionAll, sums).groupBy("row")
               .agg(*(F.sum(x).alias(f"more_{x}") for x in ("known", "base", "gain"))))
     base = F.col("base") + F.coalesce("more_base", zero) if known.total else zero
     gain = F.col("gain") + F.coalesce("more_gain", zero)
